@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import documents
+from loomspan.llm.bpe import round_trip
+from loomspan.llm.common import documents, fresh_dir
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.mixing import mix
+from loomspan.llm.repetition import repetition_rules
 from loomspan.llm.simhash import near_duplicates
+from loomspan.llm.token_files import read_token_files, write_token_files
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_dir(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), out, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, out).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +47,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -84,8 +103,11 @@ FROM lined JOIN arcs USING (sid, shard)
 """
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_suffix_repetition": op8_suffix_repetition,
     "op10_mix_sources": op10_mix_sources,
 }
 
