@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import SPACE, fresh_dir, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state's settings: on disk; many small stores, so nothing is allocated ahead; rows are not counted, so puts need no reads.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -56,8 +61,9 @@ def stream_groups(source: DataFrame, out_dir: str, id_col: str, text_col: str, d
         .groupBy("digest")
         .agg(F.min(_preference()).alias("best"), F.count(F.lit(1)).alias("group_size"))
     )
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             groups.writeStream.outputMode("update")
@@ -68,10 +74,8 @@ def stream_groups(source: DataFrame, out_dir: str, id_col: str, text_col: str, d
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(
