@@ -9,12 +9,24 @@ from pyspark.sql import functions as F
 from loomspan.llm.bpe import round_trip
 from loomspan.llm.common import documents, fresh_dir
 from loomspan.llm.exact_dedup import exact_dedup
+from loomspan.llm.language_id import identify, train
+from loomspan.llm.line_dedup import line_dedup
 from loomspan.llm.mixing import mix
+from loomspan.llm.pii import pseudonymise
 from loomspan.llm.repetition import repetition_rules
 from loomspan.llm.simhash import near_duplicates
+from loomspan.llm.token_counts import token_counts
 from loomspan.llm.token_files import read_token_files, write_token_files
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    docs = docs.select("doc_id", "text", "lang", (fold == 1).alias("held_out"))
+    model = train(docs.filter("NOT held_out"))
+    return identify(docs, model, carry=("held_out",)).withColumnRenamed("id", "doc_id")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_dir(spark, "token-files")
     write_token_files(documents(spark, sf_dir), out, public_tokenizers.path("word_bpe_49k.json"))
@@ -26,6 +38,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op4_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -47,10 +63,35 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text", "source"), removed_col="n_removed").select("doc_id", "n_removed", "text")
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), keyed AS (
+  SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS k FROM lines
+), boiler AS (
+  SELECT k, min(doc_id) AS first_id FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce('=' || source, '')) >= 5
+), marked AS (
+  SELECT doc_id, line, pos, b.k IS NOT NULL AND doc_id <> first_id AS bad FROM keyed LEFT JOIN boiler b USING (k)
+), cut AS (
+  SELECT doc_id, count(*) FILTER (bad) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE cut.text END AS text FROM documents d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonymise(docs, "an example key; a deployment passes its own", count_col="n_replaced")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -103,12 +144,16 @@ FROM lined JOIN arcs USING (sid, shard)
 """
 
 QUERIES = {
+    "op1_language_mixture": op1_language_mixture,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_unigram_counts": op4_unigram_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_line_spread": op7_line_spread,
     "op8_suffix_repetition": op8_suffix_repetition,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op10_mix_sources": OP10_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_line_spread": OP7_SQL, "op10_mix_sources": OP10_SQL}
