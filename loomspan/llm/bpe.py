@@ -255,7 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     rest = [c for c in docs.columns if c != ids_col]
     source = docs.select(*rest)
     at = rest.index(text_col)
-    schema = source.schema.add(ids_col, T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*source.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         encoder = text_encoder(ranks_path, pattern)
@@ -279,7 +279,7 @@ def decode(docs: DataFrame, ranks_path: str, *, ids_col: str = "ids", bytes_col:
             out = [pairs.decode(x.as_py() or ()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*rest, bytes_col])
 
-    return source.mapInArrow(run, source.schema.add(bytes_col, T.BinaryType()))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,7 +147,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).cast("string").alias("text"))
     at = len(carry) + 1
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** bits floats a language, languages bounded in train()
-    schema = source.drop("text").schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StringType())).add("shares", T.ArrayType(T.DoubleType()))
+    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "languages": T.ArrayType(T.StringType()), "shares": T.ArrayType(T.DoubleType())}
+    schema = T.StructType([*source.schema.fields[:at], *(T.StructField(k, v) for k, v in added.items())])
 
     def run(batches):
         known = shared.value

@@ -24,11 +24,19 @@ from loomspan.llm.components import components
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included; no words: zero."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of each hash, for a further independent view (the finaliser of splitmix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str, shingle: int = 4, views: int = 1, seed: int = 42) -> list[int]:
+    """64-bit SimHashes of the word shingles of a text, repeats included, one per view; no words: zero."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * views
     joined, n = b" ".join(words), len(words)
     k = min(shingle, n)
     lengths = np.fromiter(map(len, words), np.int64, n)
@@ -36,23 +44,28 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     starts = (ends - lengths)[: n - k + 1].tolist()
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(joined[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for part in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
-    """Rows ``id, fp`` (the 64 bits as a signed long), one per input row."""
+    found = []
+    for view in range(views):
+        hashes = _mixed(hashes) if view else hashes
+        ones = np.zeros(64, np.int64)
+        for part in range(0, len(hashes), 1 << 16):
+            ones += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+    return found
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, views: int = 1) -> DataFrame:
+    """Rows ``id, fp, fp1, ...`` (64 bits each as signed longs), one per input row."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    names = ["fp", *(f"fp{i}" for i in range(1, views))]
 
     def run(batches):
         for batch, texts in text_slices(batches, 1):
-            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = np.array([fingerprint(t, shingle, views) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in fps.T)], ["id", *names])
 
-    return source.mapInArrow(run, f"id {kind}, fp long")
+    return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
 
 
 def block_keys(blocks: int, distance: int) -> list[Column]:
@@ -107,6 +120,16 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 7, bucket: int = 16,
     return pairs.select(F.col("fp").alias("a"), "b").unionByName(spans)
 
 
+def _view_links(rows: DataFrame, view: str, found: DataFrame) -> DataFrame:
+    """Links of another view, told between first-view fingerprints: each of the view's stands for its least companion."""
+    both = rows.select("fp", view).distinct()
+    least = both.groupBy(view).agg(F.min("fp").alias("rep"))
+    same = both.join(least, view).filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    name = lambda c: least.select(F.col(view).alias(c), F.col("rep").alias(f"{c}_rep"))
+    told = found.join(name("a"), "a").join(name("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    return same.unionByName(told)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -114,20 +137,39 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 4,
     distance: int = 4,
+    views: int = 1,
     blocks: int = 7,
     bucket: int = 16,
     chunk: int = 1024,
 ) -> DataFrame:
     """One row per input row: ``id, fp, component_id``, the smallest id that links lead to, itself included.
 
-    Null and empty texts (and texts of white space) have fingerprint zero and are linked like any other. Repeated rows
-    have equal fingerprints, so share a component. A null id counts last: a component of null ids only has a null
-    component id. An empty table gives no rows; other columns are not read.
+    Two rows are linked if in any of the ``views`` (fingerprints by independent hashes of the same shingles) they differ in at
+    most ``distance`` bits; more views find more of the pairs near the limit. Null and empty texts (and texts of white space)
+    have fingerprint zero and are linked like any other. Repeated rows have equal fingerprints, so share a component. A null
+    id counts last: a component of null ids only has a null component id. An empty table gives no rows; other columns are
+    not read.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, views), "simhash-fps")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    found = components(links(distinct.select("fp"), distance, blocks, bucket, chunk), "a", "b")
+    linked = links(distinct.select("fp"), distance, blocks, bucket, chunk)
+    for view in rows.columns[2:]:
+        found = links(rows.select(F.col(view).alias("fp")).distinct(), distance, blocks, bucket, chunk)
+        linked = linked.unionByName(_view_links(rows, view, found))
+    found = components(linked, "a", "b")
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return rows.join(named, rows.fp == named.f).select("id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id; columns unchanged.
+
+    Cases as in :func:`near_duplicates`; of rows that share the staying id one stays; of groups of null ids only, one row stays.
+    """
+    found = stored(near_duplicates(docs, id_col=id_col, **settings), "simhash-groups")
+    stays = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    many = stays.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = docs.join(stays.select(F.col("id").alias("_stays")).distinct(), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    return kept if many.isEmpty() else kept.dropDuplicates([id_col])
