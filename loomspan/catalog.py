@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomspan.queries import ORACLE_SQL, QUERIES, calls
+
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """The flagship query: errors on Mondays by tool, hour and weekday."""
+    return calls.f14_filtered_distributions(spark, sf_dir)
