@@ -70,10 +70,10 @@ def tokens() -> Column:
 def mode_sums(rows: DataFrame, by: list[str], modes: tuple[str, ...]) -> DataFrame:
     """Cost per billing mode side by side, the whole, unpriced tokens and the part priced through an alias."""
     return rows.groupBy(*by).agg(
-        *(F.sum(F.when(F.col("mode") == m, F.col("cost")).otherwise(0.0)).alias(f"cost_{m.lower()}") for m in modes),
+        *(F.sum(F.when(F.col("mode") == m, F.col("cost")).otherwise(F.lit(0))).alias(f"cost_{m.lower()}") for m in modes),
         F.sum("cost").alias("cost"),
         F.sum(F.when(F.col("cost").isNull(), tokens()).otherwise(0)).alias("unpriced_tokens"),
-        F.sum(F.when(F.col("price_source") == "alias", F.col("cost")).otherwise(0.0)).alias("estimated"),
+        F.sum(F.when(F.col("price_source") == "alias", F.col("cost")).otherwise(F.lit(0))).alias("estimated"),
     )
 
 

@@ -133,6 +133,7 @@ def attribute_skills(requests: DataFrame, loads: DataFrame) -> DataFrame:
             last = context
         return pd.DataFrame(rows, columns=["session", "seq", "name", "slot", "tokens"])
 
+    loads = loads.select(*(F.col(c).alias(c) for c in loads.columns))  # both may come from one table
     return requests.groupBy("session").cogroup(loads.groupBy("session")).applyInPandas(run, "session long, seq long, name string, slot string, tokens double")
 
 

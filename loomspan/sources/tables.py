@@ -86,7 +86,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same frames as DuckDB common table expressions, for the oracles.
 CALLS_SQL = """calls AS (
-  SELECT user_id AS session, event_id AS seq, ts AS t, epoch_ms(ts) AS t_ms, ts::DATE AS day, hour(ts)::INT AS hour, dayofweek(ts)::INT AS weekday, event_type AS tool,
+  SELECT user_id AS session, event_id AS seq, ts AS t, epoch_us(ts) // 1000 AS t_ms, ts::DATE AS day, hour(ts)::INT AS hour, dayofweek(ts)::INT AS weekday, event_type AS tool,
     CASE WHEN k % 11 <> 0 THEN round(value * 100)::BIGINT END AS ms, CASE WHEN event_type <> 'signup' THEN event_type = 'error' END AS err,
     CASE WHEN event_type <> 'signup' THEN k * 1000 END AS out, ['p' || k % 5, 'p' || k % 3] AS programs, ['p' || k % 5 || ' run'] AS commands,
     ['src/d' || k % 4 || '/f' || k % 20 || CASE WHEN k % 2 = 0 THEN '.py' ELSE '.md' END] AS files, 'm' || k % 4 AS model
