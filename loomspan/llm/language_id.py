@@ -2,8 +2,8 @@
 
 Every language is a distribution over character n-grams, learned as counts over all training texts. A document is a
 mixture of these distributions: expectation-maximisation finds the proportions that make its n-grams likeliest. The set of
-languages is chosen by penalised likelihood: sets grow in order of the full mixture's proportions, and each further
-language must raise the log-likelihood by more than the penalty, ``penalty / 2 * log(number of n-grams)``.
+languages is chosen by penalised likelihood: the likeliest language alone, or sets that grow in order of the full mixture's
+proportions, where each further language must raise the log-likelihood by more than the penalty, ``penalty / 2 * log(number of n-grams)``.
 """
 
 from __future__ import annotations
@@ -125,8 +125,9 @@ def infer(texts: list[str], model: Model, penalty: float = 6.0, most: int = 3, r
     for k in range(1, min(most, n_langs) + 1):
         chosen = np.zeros_like(theta)
         np.put_along_axis(chosen, order[:, :k], 1.0, axis=1)
-        if k == 1:
-            part, like = chosen, np.add.reduceat(weight * np.log(np.maximum(np.einsum("ij,ij->i", p, chosen[owner]), 1e-300)), starts)
+        if k == 1:  # alone: the likeliest one
+            each = np.add.reduceat(np.log(np.maximum(p, 1e-300)) * weight[:, None], starts, axis=0)
+            part, like = np.eye(n_langs)[each.argmax(1)], each.max(1)
         else:
             part, like = _mixture(p, weight, starts, owner, chosen, rounds)
         score = like - cost * (k - 1)

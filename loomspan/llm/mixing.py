@@ -79,13 +79,13 @@ def mix(
     """What the mix takes of every document.
 
     Returns one row per input row: ``id, source, size, source_size, target, taken`` and the plan of the take:
-    ``rounds`` (whole copies) and ``spans``, an array of (first word, words) taken once more. Sources in code-point
+    ``rounds`` (whole copies), ``spans``, an array of (first word, words) taken once more, and ``text_hash``. Sources in code-point
     order, null last, have ``weights`` in turn. Error of a source: half a block, and in each shard less than a word
     a block. A null or empty text has size 0 and nothing is taken; repeated rows each count (they lie side by side on
     the line, so any of them may be cut); a null id is an id of its own; an empty table gives no rows; other columns
     are not read. No document is taken more than ``most`` times, rounded up to whole copies.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     rows = stored(rows, "mix-sizes")  # the texts are read once
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -95,8 +95,8 @@ def mix(
 
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs))
     placed = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))  # null joins null
-    placed = placed.withColumn("h", seeded(seed, "id")).withColumn("shard", F.pmod("h", n_shards)).select("id", "source", "size", "sid", "source_size", "target", "h", "shard")
-    line = Window.partitionBy("sid", "shard").orderBy("h", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("h", seeded(seed, "id")).withColumn("shard", F.pmod("h", n_shards)).select("id", "source", "size", "text_hash", "sid", "source_size", "target", "h", "shard")
+    line = Window.partitionBy("sid", "shard").orderBy("h", F.col("id").asc_nulls_last(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     lined = placed.withColumn("upto", F.sum("size").over(line))
     lined = stored(lined, "mix-lines")
 
@@ -129,7 +129,7 @@ def mix(
     cuts = F.filter(F.array(cut(F.lit(0).cast("long"), F.col("b1")), cut(F.col("a0"), F.col("a1"))), lambda x: x["words"] > 0)
     out = lined.join(arcs, ["sid", "shard"]).withColumn("spans", cuts)
     taken = F.col("rounds") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return out.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "rounds", "spans")
+    return out.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "rounds", "spans", "text_hash")
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
@@ -139,19 +139,21 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     space between them. Rows of which nothing is taken are left out. Repeated rows (same id and same text) are told
     apart by a number; null ids and null sources are values like others.
     """
-    key, size = "_mix_key", "_mix_size"
-    text_hash = F.coalesce(F.xxhash64(text_col), F.lit(0))
-    plan = mix(docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), text_hash)), id_col=key, text_col=text_col, source_col=source_col, **settings)
-    parts = F.concat(
-        F.when(F.col("rounds") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("words")), F.col("rounds").cast("int"))).otherwise(F.array()),
-        F.col("spans"),
-    )
-    # Equal rows share a key; the plan's n-th goes to the table's n-th.
-    nth = lambda *o: F.row_number().over(Window.partitionBy(*o[0]).orderBy(*o[1:]))
-    plan = plan.withColumn("_mix_n", nth(["id", "source"], "rounds", "taken")).select(F.col("id").alias("_k"), F.col("source").alias("_s"), F.col("_mix_n").alias("_n"), F.col("size").alias(size), F.explode(parts).alias("_part"))
-    rows = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), text_hash)).withColumn("_mix_n", nth([key, source_col], F.lit(1)))
-    joined = rows.join(plan, (F.col(key) == F.col("_k")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_mix_n") == F.col("_n")))
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("words"))
+    parts = F.concat(F.when(F.col("rounds") > 0, F.array_repeat(whole, F.col("rounds").cast("int"))).otherwise(F.array()), F.col("spans"))
+
+    def numbered(df: DataFrame, id_: str, source: str, hash_: Column, *order: str) -> DataFrame:
+        """Equal rows by number: the plan's n-th goes to the table's n-th."""
+        w = Window.partitionBy(id_, source, "_mix_hash").orderBy(*(order or ("_mix_hash",)))
+        return df.withColumn("_mix_hash", hash_).withColumn("_mix_n", F.row_number().over(w))
+
+    takes = numbered(plan.filter((F.col("rounds") > 0) | (F.size("spans") > 0)), "id", "source", F.col("text_hash"), "rounds", "taken")
+    takes = takes.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("_mix_hash").alias("_h"), F.col("_mix_n").alias("_n"), F.col("size").alias("_size"), F.explode(parts).alias("_part"))
+    rows = numbered(docs, id_col, source_col, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_mix_hash") == F.col("_h")) & (F.col("_mix_n") == F.col("_n"))
+    joined = rows.join(takes, same)
     pieces = F.regexp_extract_all(text_col, F.lit("[^\\x20\\x09-\\x0D]+" + SPACE + "*"), 0)
     run = F.rtrim(F.array_join(F.slice(pieces, (F.col("_part.first") + 1).cast("int"), F.col("_part.words").cast("int")), ""))
-    text = F.when(F.col("_part.words") == F.col(size), F.col(text_col)).otherwise(run)
+    text = F.when(F.col("_part.words") == F.col("_size"), F.col(text_col)).otherwise(run)
     return joined.withColumn(text_col, text).filter(F.col("_part.words") > 0).select(docs.columns)
