@@ -60,7 +60,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: a token request of a session (customer) with tokens, model, provider, mode and the harness's own cost."""
     q, line = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
-    own = F.round(F.col("l_extendedprice") / 100000, 6)
+    own = F.col("l_extendedprice") / 100000
     return read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("session"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("request"),
@@ -105,6 +105,6 @@ REQUESTS_SQL = """requests AS (
   SELECT o_custkey AS session, l_orderkey || '-' || l_linenumber AS request, l_suppkey AS host, l_shipdate::DATE AS day, (l_linenumber::BIGINT * 3) % 24 AS hour,
     'm' || l_partkey % 7 || CASE WHEN l_partkey % 2 = 0 THEN '-20250101' ELSE '' END AS model, l_linestatus AS provider, l_returnflag AS mode,
     l_quantity::BIGINT * 100 AS input, l_quantity::BIGINT * 20 AS output, l_quantity::BIGINT * l_linenumber::BIGINT * 10 AS cache_read, l_quantity::BIGINT * 3 AS write_5m, l_quantity::BIGINT AS write_1h,
-    CASE WHEN l_tax >= 0.06 THEN round(l_extendedprice / 100000, 6) ELSE 0 END AS usd_reported
+    CASE WHEN l_tax >= 0.06 THEN l_extendedprice / 100000 ELSE 0 END AS usd_reported
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
