@@ -72,7 +72,7 @@ class BytePairs:
         self.tokens: list[bytes] = [b""] * n
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, made, sooner = [], [], [], set()
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -83,7 +83,7 @@ class BytePairs:
                 sooner.update(x for x in (a, b) if x is not None and x > rank)
         keys = np.array(left, np.int64) * (n + 1) + np.array(right, np.int64)
         order = np.argsort(keys)
-        self.keys, self.made = keys[order], np.array(made, np.int64)[order]
+        self.keys, self.made = keys[order], np.array(made, np.int32)[order]
         self.one_by_one = np.zeros(n, bool)
         self.one_by_one[list(sooner)] = True
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
@@ -91,10 +91,10 @@ class BytePairs:
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair; ``none`` where no token is made of it."""
         if not len(self.keys):
-            return np.full(len(left), self.none)
-        keys = left * (self.none + 1) + right
+            return np.full(len(left), self.none, np.int32)
+        keys = left.astype(np.int64) * (self.none + 1) + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.made[at], self.none)
+        return np.where(self.keys[at] == keys, self.made[at], np.int32(self.none))
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after another, and where each piece's ids begin (with the end as last)."""
@@ -106,11 +106,11 @@ class BytePairs:
         if todo:
             sizes = np.fromiter(map(len, todo), np.int64, len(todo))
             ends = np.cumsum(sizes + 1) - 1  # each piece is followed by a slot that pairs with nothing
-            symbols = np.full(int(ends[-1]) + 1, none, np.int64)
+            symbols = np.full(int(ends[-1]) + 1, none, np.int32)
             inside = np.ones(len(symbols), bool)
             inside[ends] = False
             symbols[inside] = self.byte[np.frombuffer(b"".join(todo), np.uint8)]
-            alive = self._merge(symbols, np.repeat(np.arange(len(todo)), sizes + 1))
+            alive = self._merge(symbols, np.repeat(np.arange(len(todo), dtype=np.int32), sizes + 1))
             stays = alive & inside
             ids = symbols[stays]
             counts[whole < 0] = np.diff(np.concatenate([[0], np.cumsum(stays)[ends]]))
@@ -123,9 +123,9 @@ class BytePairs:
     def _merge(self, symbols: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Merge in place; returns which slots are left."""
         size, none = len(symbols), self.none
-        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        after, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
         alive = np.ones(size, bool)
-        rank = np.full(size, none, np.int64)  # of the pair that starts at a slot
+        rank = np.full(size, none, np.int32)  # of the pair that starts at a slot
         rank[:-1] = self.pair_rank(symbols[:-1], symbols[1:])
         merged = np.zeros(size, bool)  # the slots of the current step, else clear
         buckets: dict[int, list[np.ndarray]] = {}
@@ -147,7 +147,7 @@ class BytePairs:
                 else:
                     held.append(part)
 
-        put(np.arange(size))
+        put(np.arange(size, dtype=np.int32))
         while (r := queue.first()) >= 0:
             held = buckets.pop(r)
             queue.discard(r)
@@ -240,12 +240,6 @@ class TextEncoder:
         return self.ids[take], np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
 
 
-@lru_cache(maxsize=2)
-def text_encoder(ranks_path: str, pattern: str) -> TextEncoder:
-    """One per Python worker; what it remembers serves the worker's later tasks too."""
-    return TextEncoder(load_ranks(ranks_path), pattern)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``, an array of the text's ids, as its last column (one of that name is replaced).
 
@@ -258,8 +252,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
     schema = T.StructType([*source.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        encoder = text_encoder(ranks_path, pattern)
-        for batch, texts in text_slices(batches, at):
+        encoder = TextEncoder(load_ranks(ranks_path), pattern)  # what it remembers goes with the task
+        for batch, texts in text_slices(batches, at, 1 << 22):
             ids, begin = encoder(texts)
             column = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*rest, ids_col])
@@ -291,10 +285,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):
-        encoder = text_encoder(ranks_path, pattern)
+        encoder = TextEncoder(load_ranks(ranks_path), pattern)  # what it remembers goes with the task
         pairs = encoder.pairs
         names = [str(i) for i in range(pairs.none)]
-        for batch, texts in text_slices(batches, 1):
+        for batch, texts in text_slices(batches, 1, 1 << 22):
             ids, begin = encoder(texts)
             listed, digested, decoded = ids.tolist(), [], []
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):

@@ -52,7 +52,7 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text_index: int, max_chars: int = 1 << 23) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text_index: int, max_chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into runs of rows of about ``max_chars`` of text (one longer text is a run of its own); null texts become empty."""
     for batch in batches:
         texts = batch.column(text_index)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 from itertools import accumulate, islice
 
 import numpy as np
@@ -100,11 +99,6 @@ class WordTokenizer:
         return self.ids[take], np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
 
 
-@lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def _open_dir(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -175,7 +169,7 @@ def write_token_files(
     dealt = source.repartitionByRange(n, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), F.xxhash64("text"))
 
     def run(batches):
-        tokenizer, task = word_tokenizer(tokenizer_path), TaskContext.get()
+        tokenizer, task = WordTokenizer(tokenizer_path), TaskContext.get()
         dtype = "uint16" if max(tokenizer.vocabulary, end_id + 1) <= 1 << 16 else "uint32"
         shard = task.partitionId()
         name = f"shard-{shard:06d}-{task.taskAttemptId()}"
