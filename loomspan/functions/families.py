@@ -23,7 +23,7 @@ KIND_WORDS = (
     ("test", ("test", "tests", "vitest", "jest", "mocha", "pytest", "playwright", "cypress", "rspec", "check.sh", "e2e", "nextest", "cargo test", "go test", "mix test")),
     ("typecheck", ("tsc", "typecheck", "type-check", "check-types", "mypy", "pyright", "vue-tsc", "svelte-check", "cargo check")),
     ("lint", ("lint", "eslint", "biome", "ruff", "clippy", "prettier", "shellcheck", "golangci-lint", "stylelint", "fmt", "format", "vet")),
-    ("build", ("build", "compile", "make", "scriptc", "webpack", "vite build", "esbuild", "rollup", "next build", "tsup", "cargo build", "go build", "docker build")),
+    ("build", ("build", "compile", "make", "webpack", "vite build", "esbuild", "rollup", "next build", "tsup", "cargo build", "go build", "docker build")),
     ("install", ("install", "pip", "pip3", "uv sync", "go mod", "bundle install")),
     ("ci", ("gh run", "gh pr checks", "gh workflow", "act")),
     ("wait", ("sleep", "wait")),
