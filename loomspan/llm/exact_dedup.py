@@ -117,6 +117,7 @@ def exact_dedup(
     hit = groups.filter("group_size > 1").select(F.col("digest").alias("hit"), "keep_at")
     content = rows.select("locator", F.col("norm").alias("keep_norm")).join(hit, F.col("locator") == F.col("keep_at")).select("hit", "keep_norm", "keep_at")
     once = groups.join(content.select("hit", "keep_norm"), groups.digest == F.col("hit"), "left").drop("hit").withColumnRenamed("digest", "d")
+    once = stored(once, "exact-dedup-kept")  # so that a large group's rows meet it in a join that Spark can split
     compared = rows.join(once, rows.digest == once.d, "inner").select(
         "id", "keep_id", "group_size", (F.col("locator") == F.col("keep_at")).alias("kept"), "digest", "locator",
         (F.col("keep_norm").isNull() | (F.col("norm") == F.col("keep_norm"))).alias("same"),
