@@ -9,7 +9,10 @@ links, never all pairs. No link is lost either way.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,28 +35,60 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str, shingle: int = 4, views: int = 1, seed: int = 42) -> list[int]:
-    """64-bit SimHashes of the word shingles of a text, repeats included, one per view; no words: zero."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; a text of fewer words is one shingle, one of none has none."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return [0] * views
+        return np.empty(0, "<u8")
     joined, n = b" ".join(words), len(words)
     k = min(shingle, n)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: n - k + 1].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    found = []
+    return np.array([h(joined[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for part in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = 4, views: int = 1, seed: int = 42) -> list[int]:
+    """64-bit SimHashes of the word shingles of a text, repeats included, one per view; no words: zero."""
+    hashes, found = shingle_hashes(text, shingle, seed), []
     for view in range(views):
         hashes = _mixed(hashes) if view else hashes
-        ones = np.zeros(64, np.int64)
-        for part in range(0, len(hashes), 1 << 16):
-            ones += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+        found.append(majority(hashes))
     return found
 
 
+def long_fingerprint(hashes: np.ndarray, words: int, samples: int, sample: int) -> list[int]:
+    """``words`` SimHashes of a text's set of shingle hashes, then ``samples`` SimHashes of ``sample`` of its shingles each.
+
+    A sample holds the shingles whose hashes, mixed anew for every sample, are smallest; two texts of similarity s have
+    the same sample with a probability of about s to the power of ``sample``.
+    """
+    if not len(hashes):
+        return [0] * (words + samples)
+    found, view = [], hashes
+    for _ in range(words):
+        found.append(majority(view))
+        view = _mixed(view)
+    salts = _mixed(np.arange(1, samples + 1, dtype=np.uint64))[:, None]
+    least = np.empty((samples, 0), np.uint64)
+    for part in range(0, len(hashes), 1 << 14):
+        least = np.concatenate([least, _mixed(hashes[None, part : part + (1 << 14)] ^ salts)], axis=1)
+        if least.shape[1] > sample:
+            least = np.partition(least, sample - 1, axis=1)[:, :sample]
+    bits = np.unpackbits(np.ascontiguousarray(_mixed(least)).view(np.uint8).reshape(samples, -1, 8), axis=2, bitorder="little")
+    sampled = np.packbits(2 * bits.sum(1, dtype=np.int64) > least.shape[1], axis=1, bitorder="little").view("<u8")
+    return found + sampled[:, 0].tolist()
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, views: int = 1) -> DataFrame:
     """Rows ``id, fp, fp1, ...`` (64 bits each as signed longs), one per input row."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -68,30 +103,45 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4,
     return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
 
 
-def block_keys(blocks: int, distance: int) -> list[Column]:
-    """One masked fingerprint per choice of blocks that agree."""
+def block_keys(blocks: int, distance: int, word: str = "fp") -> list[Column]:
+    """One masked word per choice of blocks that agree."""
     widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
     masks = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
     chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - distance)]
-    return [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in chosen]
+    return [F.col(word).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in chosen]
 
 
 def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of at most ``distance`` bits that connect all that any such links connect, at most one per fingerprint."""
     fps = np.unique(fps)
-    label = np.arange(len(fps))
-    found: list[tuple[int, int]] = []
-    for i in range(len(fps)):
-        close = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= distance) + i + 1
-        for other in np.unique(label[close]):
-            if other != label[i]:
-                j = close[label[close] == other][0]
-                found.append((i, int(j)))
-                label[label == other] = label[i]
-    a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    a, b = spanning_rows(fps[:, None], distance)
     return fps[a], fps[b]
 
 
+def spanning_rows(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for rows of several words, as row numbers: a search from row to row that compares with unreached rows only."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    rest = np.arange(len(fps))
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            close = np.bitwise_count(fps[rest] ^ fps[i]).sum(1, dtype=np.int64) <= distance
+            if close.any():
+                new, rest = rest[close], rest[~close]
+                found.append((np.full(len(new), i), new))
+                reached.extend(new.tolist())
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
+
+
+def chunk_pairs(many: DataFrame, chunk: int) -> DataFrame:
+    """Deal each bucket (``choice, key`` of ``n`` rows) into chunks by hash; a row goes to every pair ``low, high`` with its own."""
+    parts = F.ceil(F.col("n") / chunk).cast("long")
+    dealt = many.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(1)), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.select("choice", "key", "fp", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
+
+
 def links(fps: DataFrame, distance: int = 4, blocks: int = 7, bucket: int = 16, chunk: int = 1024) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints of column ``fp`` that span every component at ``distance``.
 
@@ -106,11 +156,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 7, bucket: int = 16,
     pairs = few.join(other, ["choice", "key"]).filter((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance))
 
     # Large buckets: chunks by hash, every pair of chunks a group of its own.
-    parts = F.ceil(F.col("n") / chunk).cast("long")
-    mine = F.pmod(F.xxhash64("fp", F.lit(1)), parts)
-    many = met.filter(F.col("n") > bucket).withColumn("mine", mine)
-    many = many.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    many = many.select("choice", "key", "fp", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
+    many = chunk_pairs(met.filter(F.col("n") > bucket), chunk)
 
     def span(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = spanning_links(pdf["fp"].to_numpy().view(np.uint64), distance)
@@ -130,6 +176,13 @@ def _view_links(rows: DataFrame, view: str, found: DataFrame) -> DataFrame:
     return same.unionByName(told)
 
 
+def group_names(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows ``f, component_id``: the smallest ``first_id`` of each fingerprint's component."""
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -157,18 +210,107 @@ def near_duplicates(
         found = links(rows.select(F.col(view).alias("fp")).distinct(), distance, blocks, bucket, chunk)
         linked = linked.unionByName(_view_links(rows, view, found))
     found = components(linked, "a", "b")
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
+    named = group_names(distinct, found)
     return rows.join(named, rows.fp == named.f).select("id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
+def hamming_band(similarity: float, words: int, deviations: float) -> tuple[int, int, int]:
+    """Bits of ``words`` 64-bit words in which sets of this Jaccard similarity differ: expected, surely closer, surely farther."""
+    p, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
+    slack = deviations * math.sqrt(bits * p * (1 - p))
+    return math.floor(bits * p), math.floor(bits * p - slack), math.floor(bits * p + slack)
+
+
+def similar_groups(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = 0.8,
+    shingle: int = 5,
+    words: int = 8,
+    samples: int = 16,
+    sample: int = 6,
+    blocks: int = 4,
+    agree: int = 2,
+    deviations: float = 2.5,
+    bucket: int = 16,
+    chunk: int = 1024,
+) -> DataFrame:
+    """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` or more lead to.
+
+    Similarity is that of the sets of word shingles. Two texts at 0.8 differ in about 15 % of a fingerprint's bits, which no
+    selective block survives, so rows meet on blocks (the choices of ``agree`` of the first word's ``blocks``) and also on
+    the SimHashes of small samples of their shingles: with 16 samples of 6 a pair at 0.8 meets with a probability of 0.99,
+    and more often above. Whatever meets is verified by the Hamming distance of long fingerprints (``words`` SimHashes of
+    64 bits); pairs from small buckets whose distance is within ``deviations`` of the one expected at ``similarity`` are
+    decided by their shingle sets, pairs from large buckets by the expected distance.
+
+    Null and empty texts are equal to each other and to texts of white space; repeated rows share a group. A null id counts
+    last: a group of null ids only has a null ``component_id``. An empty table gives no rows; other columns are not read.
+    """
+    (limit, sure, far), source = hamming_band(similarity, words, deviations), docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind, names = source.schema["id"].dataType.simpleString(), [f"w{i}" for i in range(words)]
+
+    def run(batches):
+        for batch, texts in text_slices(batches, 1):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            found = np.array([long_fingerprint(x, words, samples, sample) for x in sets], dtype=np.uint64).reshape(len(texts), -1).view(np.int64)
+            sampled = pa.FixedSizeListArray.from_arrays(pa.array(found[:, words:].ravel()), samples).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found[:, :words].T), sampled, pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))], [*fields])
+
+    fields = {"id": kind, **dict.fromkeys(names, "long"), "sampled": "array<long>", "shingles": "array<int>"}
+    rows = source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items()))
+    rows = stored(rows.withColumn("fp", F.xxhash64(*names)), "simhash-long")  # fp names a long fingerprint
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"), *(F.min(x).alias(x) for x in names), F.min("sampled").alias("sampled"))
+    distinct = stored(distinct, "simhash-distinct")
+
+    own = [k.alias("k") for k in block_keys(blocks, blocks - agree, "w0")]
+    keys = distinct.select("fp", F.posexplode(F.concat(F.array(*own), F.col("sampled"))).alias("choice", "key"))
+    sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    wide = distinct.select(F.col("fp").alias("_f"), *names)
+    met = keys.join(sizes, ["choice", "key"])
+    few = stored(met.filter(F.col("n") <= bucket), "simhash-buckets")
+    many = stored(met.filter(F.col("n") > bucket), "simhash-buckets")
+
+    # Small buckets: each pair once, however many buckets it shares; then the words of both.
+    other = few.select("choice", "key", F.col("fp").alias("b"))
+    pairs = few.join(other, ["choice", "key"]).filter(F.col("fp") < F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
+    left, right = (wide.select(F.col("_f").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in names)) for side in "ab")
+    bits = reduce(add, (F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in names))
+    close = stored(pairs.join(left, "a").join(right, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= far), "simhash-close")
+    doubt = close.filter(F.col("bits") > sure).select("a", "b")
+    asked = doubt.select(F.col("a").alias("fp")).unionByName(doubt.select(F.col("b").alias("fp"))).distinct()
+    sets = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("set"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    checked = doubt.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("b_set")), "b")
+    checked = checked.filter(common / (F.size("a_set") + F.size("b_set") - common) >= similarity).select("a", "b")
+    close = close.filter(F.col("bits") <= sure).select("a", "b").unionByName(checked)
+
+    # Large buckets: chunks by hash, every pair of chunks a group of its own, of bounded size.
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fp")
+        a, b = spanning_rows(np.ascontiguousarray(pdf[names].to_numpy()).view(np.uint64), limit)
+        fps = pdf["fp"].to_numpy()
+        return pd.DataFrame({"a": fps[a], "b": fps[b]})
+
+    dealt = chunk_pairs(many, chunk).join(wide, F.col("fp") == F.col("_f")).select("choice", "key", "low", "high", "fp", *names)
+    spans = dealt.groupBy("choice", "key", "low", "high").applyInPandas(span, "a long, b long")
+    named = group_names(distinct, components(close.unionByName(spans), "a", "b"))
+    return rows.select("id", "fp").join(named, rows.fp == named.f).select("id", "component_id")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", similarity: float | None = None, **settings) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id; columns unchanged.
 
-    Cases as in :func:`near_duplicates`; of rows that share the staying id one stays; of groups of null ids only, one row stays.
+    Groups are those of :func:`similar_groups` where a ``similarity`` is given, else of :func:`near_duplicates`, with its cases; of
+    rows that share the staying id one stays; of groups of null ids only, one row stays.
     """
-    found = stored(near_duplicates(docs, id_col=id_col, **settings), "simhash-groups")
+    if similarity is None:
+        found = near_duplicates(docs, id_col=id_col, **settings)
+    else:
+        found = similar_groups(docs, id_col=id_col, similarity=similarity, **settings)
+    found = stored(found, "simhash-groups")
     stays = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
     many = stays.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = docs.join(stays.select(F.col("id").alias("_stays")).distinct(), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")

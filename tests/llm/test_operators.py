@@ -165,6 +165,57 @@ def test_simhash_views_only_add_links(spark):
     assert all(three[i] == three[one[i]] for i in one if i is not None and one[i] is not None)
 
 
+def similar_components(rows, similarity):
+    """Smallest id that chains of pairs of this shingle similarity reach, for rows (id, text), by comparing all pairs."""
+
+    def shingles(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    least: dict = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    return {i: least[r] for (i, _), r in zip(rows, root, strict=True)}
+
+
+def edited(rnd, text, share):
+    """A copy with this share of its words replaced."""
+    return " ".join(rnd.choice(WORDS) + "x" if rnd.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("bucket", [1000, 2])
+def test_similar_groups_against_all_pairs(spark, bucket):
+    rnd = random.Random(23)
+    texts = [prose(rnd, rnd.choice([6, 40, 150, 700])) for _ in range(30)]
+    texts += [edited(rnd, rnd.choice(texts), rnd.choice([0.0, 0.005, 0.01, 0.08, 0.2])) for _ in range(150)] + ["a b c", "A b  c", "", None, " \n", "a b"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows), bucket=bucket, chunk=8).collect()}
+    sure, loose = similar_components([r[:2] for r in rows], 0.8), similar_components([r[:2] for r in rows], 0.8 if bucket > 2 else 0.7)
+    assert len(got) == len(rows)
+    assert sum(got[i] == got[sure[i]] for i in got) >= (len(rows) if bucket > 2 else 0.97 * len(rows))  # nothing torn apart
+    assert all(loose[i] == loose[got[i]] for i in got)  # nothing thrown together
+
+
+def test_similar_groups_defined_cases(spark):
+    rows = odd_rows()
+    got = simhash.similar_groups(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    named = {r.id: r.component_id for r in got if r.id is not None}
+    assert named[2] == named[3] == named[4] == 2 and named[1] == named[6] == named[8] == 1 and named[5] == 5 and named[7] == 7
+    assert sorted(str(r.component_id) for r in got if r.id is None) == ["1", "2"]
+    kept = simhash.representatives(frame(spark, rows), similarity=0.8).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 5, 7]
+    assert simhash.similar_groups(empty(spark)).count() == 0 and simhash.representatives(empty(spark), similarity=0.8).count() == 0
+
+
 # mixing
 
 

@@ -7,8 +7,8 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, repetition, simhash
-from tests.llm.test_operators import SCHEMA, prose, tiktoken_encoding
+from loomspan.llm import mixing, repetition
+from tests.llm.test_operators import SCHEMA, prose, similar_components, tiktoken_encoding
 
 
 def fixture():
@@ -37,8 +37,8 @@ def test_pipeline_stages(spark):
     assert [r.doc_id for r in two.filter(F.col("text").contains(licence)).collect()] == [0]
 
     three = by_name["simhash_near_dedup"](spark, two, "").cache()
-    groups = {r.id: r.component_id for r in simhash.near_duplicates(two, shingle=5, views=3).collect()}
-    assert ids(three) == sorted({*groups.values()}) and three.columns == docs.columns
+    groups = similar_components([(r.doc_id, r.text) for r in two.collect()], 0.8)
+    assert ids(three) == sorted({*groups.values()}) and three.columns == docs.columns and len(ids(three)) < len(ids(two))
 
     four = by_name["mix_sources"](spark, three, "").cache()
     taken = {r.id: r.taken for r in mixing.mix(three).collect()}
