@@ -240,23 +240,29 @@ class TextEncoder:
         return self.ids[take], np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids", same_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col``, an array of the text's ids, as its last column (one of that name is replaced).
 
+    ``same_col`` adds, after it, whether the decoded ids are the text's bytes; both are made in one pass, slice by slice.
+
     A null or empty text has no ids. Rows, repeated or not, are encoded one by one; an empty table gives an empty one;
     other columns pass through unread. Memory: some million characters of text at a time, or one longer text.
     """
-    rest = [c for c in docs.columns if c != ids_col]
+    rest = [c for c in docs.columns if c not in (ids_col, same_col)]
     source = docs.select(*rest)
     at = rest.index(text_col)
-    schema = T.StructType([*source.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(same_col, T.BooleanType())] if same_col else [])]
+    schema = T.StructType([*source.schema.fields, *added])
 
     def run(batches):
         encoder = TextEncoder(load_ranks(ranks_path), pattern)  # what it remembers goes with the task
-        for batch, texts in text_slices(batches, at, 1 << 22):
+        for batch, texts in text_slices(batches, at, 1 << 20):
             ids, begin = encoder(texts)
-            column = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*rest, ids_col])
+            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))]
+            if same_col:
+                cuts = zip(begin[:-1].tolist(), begin[1:].tolist(), texts, strict=True)
+                columns.append(pa.array([encoder.pairs.decode(ids[a:b].tolist()) == t.encode("utf-8", "surrogatepass") for a, b, t in cuts], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(run, schema)
 

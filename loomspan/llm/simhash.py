@@ -250,23 +250,22 @@ def similar_groups(
     last: a group of null ids only has a null ``component_id``. An empty table gives no rows; other columns are not read.
     """
     (limit, sure, far), source = hamming_band(similarity, words, deviations), docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind, names = source.schema["id"].dataType.simpleString(), [f"w{i}" for i in range(words)]
+    kind, names, views = source.schema["id"].dataType.simpleString(), [f"w{i}" for i in range(words)], [f"s{i}" for i in range(samples)]
 
     def run(batches):
         for batch, texts in text_slices(batches, 1):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             found = np.array([long_fingerprint(x, words, samples, sample) for x in sets], dtype=np.uint64).reshape(len(texts), -1).view(np.int64)
-            sampled = pa.FixedSizeListArray.from_arrays(pa.array(found[:, words:].ravel()), samples).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found[:, :words].T), sampled, pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))], [*fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))], [*fields])
 
-    fields = {"id": kind, **dict.fromkeys(names, "long"), "sampled": "array<long>", "shingles": "array<int>"}
+    fields = {"id": kind, **dict.fromkeys(names + views, "long"), "shingles": "array<int>"}
     rows = source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items()))
     rows = stored(rows.withColumn("fp", F.xxhash64(*names)), "simhash-long")  # fp names a long fingerprint
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"), *(F.min(x).alias(x) for x in names), F.min("sampled").alias("sampled"))
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"), *(F.min(x).alias(x) for x in names + views))
     distinct = stored(distinct, "simhash-distinct")
 
-    own = [k.alias("k") for k in block_keys(blocks, blocks - agree, "w0")]
-    keys = distinct.select("fp", F.posexplode(F.concat(F.array(*own), F.col("sampled"))).alias("choice", "key"))
+    own = block_keys(blocks, blocks - agree, "w0")
+    keys = distinct.select("fp", F.posexplode(F.array(*own, *views)).alias("choice", "key"))
     sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     wide = distinct.select(F.col("fp").alias("_f"), *names)
     met = keys.join(sizes, ["choice", "key"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, repetition
+from loomspan.llm import bpe, mixing, repetition
 from tests.llm.test_operators import SCHEMA, prose, similar_components, tiktoken_encoding
 
 
@@ -53,6 +54,15 @@ def test_pipeline_stages(spark):
     assert sorted((r.doc_id, list(r.ids)) for r in five) == sorted(texts) and all(r.round_trip and r.n_tokens == len(r.ids) for r in five)
 
 
+def test_round_trip_column_tells_of_lost_bytes(spark):
+    rows = [(1, "plain text, é 漢字", None, None, None), (2, None, None, None, None), (3, "", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("same", F.lit(7))
+    got = bpe.encode(docs, public_tokenizers.path(corpus_pipeline.RANKS), public_tokenizers.PATTERN, same_col="same")
+    assert got.columns == [*docs.columns[:-1], "ids", "same"] and {r.doc_id: r.same for r in got.collect()} == {1: True, 2: True, 3: True}
+    torn = bpe.encode(docs, public_tokenizers.path(corpus_pipeline.RANKS), r"[a-z]+", same_col="same")
+    assert {r.doc_id: r.same for r in torn.collect()} == {1: False, 2: True, 3: True}
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
