@@ -10,9 +10,7 @@ links, never all pairs. No link is lost either way.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import combinations
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -66,18 +64,14 @@ def fingerprint(text: str, shingle: int = 4, views: int = 1, seed: int = 42) ->
     return found
 
 
-def long_fingerprint(hashes: np.ndarray, words: int, samples: int, sample: int) -> list[int]:
-    """``words`` SimHashes of a text's set of shingle hashes, then ``samples`` SimHashes of ``sample`` of its shingles each.
+def sample_keys(hashes: np.ndarray, samples: int, sample: int) -> list[int]:
+    """``samples`` SimHashes of ``sample`` of a text's set of shingle hashes each.
 
-    A sample holds the shingles whose hashes, mixed anew for every sample, are smallest; two texts of similarity s have
-    the same sample with a probability of about s to the power of ``sample``.
+    A sample holds the shingles whose hashes, mixed anew for every sample, are smallest; texts of high similarity often have
+    the same sample.
     """
     if not len(hashes):
-        return [0] * (words + samples)
-    found, view = [], hashes
-    for _ in range(words):
-        found.append(majority(view))
-        view = _mixed(view)
+        return [0] * samples
     salts = _mixed(np.arange(1, samples + 1, dtype=np.uint64))[:, None]
     least = np.empty((samples, 0), np.uint64)
     for part in range(0, len(hashes), 1 << 14):
@@ -86,7 +80,42 @@ def long_fingerprint(hashes: np.ndarray, words: int, samples: int, sample: int)
             least = np.partition(least, sample - 1, axis=1)[:, :sample]
     bits = np.unpackbits(np.ascontiguousarray(_mixed(least)).view(np.uint8).reshape(samples, -1, 8), axis=2, bitorder="little")
     sampled = np.packbits(2 * bits.sum(1, dtype=np.int64) > least.shape[1], axis=1, bitorder="little").view("<u8")
-    return found + sampled[:, 0].tolist()
+    return sampled[:, 0].tolist()
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of a set of n shingle hashes in one order of all shingles.
+
+    Two sets of this Jaccard similarity or more share one of these, whatever the order. Shingles that are not in the sorted
+    ``common`` come first, then those of fewer ``times``, so that the shared ones are few.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((_mixed(hashes), rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def common_shingles(texts: DataFrame, shingle: int, every: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that three texts or more of a sample (one in ``every`` by hash) have, sorted, and in how many.
+
+    Only the ``most`` frequent are told. They order shingles for :func:`prefix`; another sample changes the work, not the result.
+    """
+
+    def run(batches):
+        for _, part in text_slices(batches, 0):
+            found, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in part]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    taken = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counted = taken.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
+    top = counted.orderBy(F.col("n").desc(), "h").limit(most).toArrow()
+    hashes, times = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, views: int = 1) -> DataFrame:
@@ -214,11 +243,35 @@ def near_duplicates(
     return rows.join(named, rows.fp == named.f).select("id", "fp", "component_id")
 
 
-def hamming_band(similarity: float, words: int, deviations: float) -> tuple[int, int, int]:
-    """Bits of ``words`` 64-bit words in which sets of this Jaccard similarity differ: expected, surely closer, surely farther."""
-    p, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
-    slack = deviations * math.sqrt(bits * p * (1 - p))
-    return math.floor(bits * p), math.floor(bits * p - slack), math.floor(bits * p + slack)
+def spanning_sets(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose sets have this similarity, by number, that connect all that any such pairs and equal ``roots`` connect."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    inside, found, rest = np.zeros(flat.max() + 1, bool), [], np.arange(len(sets))
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            inside[own] = True
+            both = np.add.reduceat(inside[flat], starts, dtype=np.int64)[rest]
+            inside[own] = False
+            close, same = both / (sizes[rest] + sizes[i] - both) >= similarity, roots[rest] == roots[i]
+            found.extend((i, j) for j in rest[close & ~same].tolist())
+            reached.extend(rest[close | same].tolist())
+            rest = rest[~(close | same)]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs ``a, b`` of fingerprints whose sets have this similarity."""
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = stored(distinct.select("fp", "shingles").join(asked, "fp", "left_semi"), "simhash-sets")
+    left, right = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(left, "a").join(right, "b").filter(common / (F.size("a_set") + F.size("b_set") - common) >= similarity).select("a", "b")
 
 
 def similar_groups(
@@ -228,74 +281,81 @@ def similar_groups(
     text_col: str = "text",
     similarity: float = 0.8,
     shingle: int = 5,
-    words: int = 8,
     samples: int = 16,
     sample: int = 6,
-    blocks: int = 4,
-    agree: int = 2,
-    deviations: float = 2.5,
     bucket: int = 16,
     chunk: int = 1024,
+    every: int = 32,
+    most: int = 1 << 16,
 ) -> DataFrame:
     """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` or more lead to.
 
-    Similarity is that of the sets of word shingles. Two texts at 0.8 differ in about 15 % of a fingerprint's bits, which no
-    selective block survives, so rows meet on blocks (the choices of ``agree`` of the first word's ``blocks``) and also on
-    the SimHashes of small samples of their shingles: with 16 samples of 6 a pair at 0.8 meets with a probability of 0.99,
-    and more often above. Whatever meets is verified by the Hamming distance of long fingerprints (``words`` SimHashes of
-    64 bits); pairs from small buckets whose distance is within ``deviations`` of the one expected at ``similarity`` are
-    decided by their shingle sets, pairs from large buckets by the expected distance.
+    Similarity is that of the sets of word shingles, and every link is decided by the two sets. In a first pass rows meet the
+    least one of those that share a SimHash of a small sample of shingles, which joins most groups cheaply. Then every pair of
+    ``similarity`` or more meets for certain: each set is keyed by its :func:`prefix`, and such sets share a key. Keys whose
+    rows are in one group already are dropped. Rows of a small bucket meet in a join; a larger one is dealt into chunks of
+    about ``chunk`` rows (and ``chunk`` * 1024 shingles), and each pair of chunks gives a spanning set of its links.
 
     Null and empty texts are equal to each other and to texts of white space; repeated rows share a group. A null id counts
     last: a group of null ids only has a null ``component_id``. An empty table gives no rows; other columns are not read.
     """
-    (limit, sure, far), source = hamming_band(similarity, words, deviations), docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind, names, views = source.schema["id"].dataType.simpleString(), [f"w{i}" for i in range(words)], [f"s{i}" for i in range(samples)]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind, views = source.schema["id"].dataType.simpleString(), [f"s{i}" for i in range(samples)]
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(source, shingle, every, most))  # at most ``most`` entries
 
     def run(batches):
         for batch, texts in text_slices(batches, 1):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            found = np.array([long_fingerprint(x, words, samples, sample) for x in sets], dtype=np.uint64).reshape(len(texts), -1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T), pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))], [*fields])
-
-    fields = {"id": kind, **dict.fromkeys(names + views, "long"), "shingles": "array<int>"}
-    rows = source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items()))
-    rows = stored(rows.withColumn("fp", F.xxhash64(*names)), "simhash-long")  # fp names a long fingerprint
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"), *(F.min(x).alias(x) for x in names + views))
-    distinct = stored(distinct, "simhash-distinct")
-
-    own = block_keys(blocks, blocks - agree, "w0")
-    keys = distinct.select("fp", F.posexplode(F.array(*own, *views)).alias("choice", "key"))
-    sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    wide = distinct.select(F.col("fp").alias("_f"), *names)
-    met = keys.join(sizes, ["choice", "key"])
-    few = stored(met.filter(F.col("n") <= bucket), "simhash-buckets")
-    many = stored(met.filter(F.col("n") > bucket), "simhash-buckets")
-
-    # Small buckets: each pair once, however many buckets it shares; then the words of both.
-    other = few.select("choice", "key", F.col("fp").alias("b"))
-    pairs = few.join(other, ["choice", "key"]).filter(F.col("fp") < F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
-    left, right = (wide.select(F.col("_f").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in names)) for side in "ab")
-    bits = reduce(add, (F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in names))
-    close = stored(pairs.join(left, "a").join(right, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= far), "simhash-close")
-    doubt = close.filter(F.col("bits") > sure).select("a", "b")
-    asked = doubt.select(F.col("a").alias("fp")).unionByName(doubt.select(F.col("b").alias("fp"))).distinct()
-    sets = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    checked = doubt.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("b_set")), "b")
-    checked = checked.filter(common / (F.size("a_set") + F.size("b_set") - common) >= similarity).select("a", "b")
-    close = close.filter(F.col("bits") <= sure).select("a", "b").unionByName(checked)
+            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            sampled = np.array([sample_keys(x, samples, sample) for x in sets], np.uint64).reshape(len(texts), -1).view(np.int64)
+            first = [prefix(x, similarity, *shared.value).view(np.int64) for x in sets]
+            short = [np.unique(x.astype(np.uint32)).view(np.int32) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *map(pa.array, sampled.T), pa.array(first, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], [*fields])
+
+    fields = {"id": kind, "fp": "long", **dict.fromkeys(views, "long"), "prefix": "array<long>", "shingles": "array<int>"}
+    rows = stored(source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items())), "simhash-sets")
+    # Copies share a fingerprint: one row stands for all; sets of texts without copies are not moved for it.
+    first_ids = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
+    many_copies = first_ids.filter("copies > 1").select("fp")
+    once = rows.join(many_copies, "fp", "left_anti").select("fp", *views, "prefix", "shingles")
+    again = rows.join(many_copies, "fp", "left_semi").groupBy("fp").agg(*(F.min(x).alias(x) for x in (*views, "prefix", "shingles")))
+    distinct = once.unionByName(again)
+
+    # First pass: every row of a sample's bucket with the least.
+    sampled = distinct.select("fp", F.posexplode(F.array(*views)).alias("choice", "key"))
+    hubs = sampled.groupBy("choice", "key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = stored(sampled.join(hubs, ["choice", "key"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "simhash-pairs")
+    cheap = stored(_alike(pairs, distinct, similarity), "simhash-links")
+    roots = stored(components(cheap, "a", "b"), "simhash-roots").select(F.col("node").alias("fp"), "root")
+
+    # Second pass: all pairs that share a shingle of their prefixes, unless they are in one group already.
+    keys = distinct.select("fp", F.size("shingles").alias("size"), F.posexplode("prefix").alias("pos", "key"))
+    shared_keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    met = stored(keys.join(shared_keys, "key").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-met")
+    sizes = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.greatest(F.count(F.lit(1)), F.sum("size") / 1024).alias("n"), F.count(F.lit(1)).alias("rows"))
+    live = stored(met.join(sizes.filter("low <> high").select("key", "n", "rows"), "key"), "simhash-buckets")
+
+    # Small buckets: each pair once. Behind the first shared key there must be enough shingles left on both sides.
+    few = live.filter(F.col("rows") <= bucket).drop("n", "rows")
+    other = few.select("key", *(F.col(x).alias(f"b_{x}") for x in ("fp", "size", "pos", "root")))
+    left = F.least(F.col("size") - F.col("pos"), F.col("b_size") - F.col("b_pos"))
+    enough = left + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("b_size"))
+    pairs = few.join(other, "key").filter((F.col("fp") < F.col("b_fp")) & (F.col("root") != F.col("b_root")) & enough)
+    close = _alike(stored(pairs.select(F.col("fp").alias("a"), F.col("b_fp").alias("b")).distinct(), "simhash-pairs"), distinct, similarity)
 
     # Large buckets: chunks by hash, every pair of chunks a group of its own, of bounded size.
     def span(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("fp")
-        a, b = spanning_rows(np.ascontiguousarray(pdf[names].to_numpy()).view(np.uint64), limit)
         fps = pdf["fp"].to_numpy()
+        a, b = spanning_sets(pdf["shingles"].tolist(), pdf["root"].to_numpy(), similarity)
         return pd.DataFrame({"a": fps[a], "b": fps[b]})
 
-    dealt = chunk_pairs(many, chunk).join(wide, F.col("fp") == F.col("_f")).select("choice", "key", "low", "high", "fp", *names)
-    spans = dealt.groupBy("choice", "key", "low", "high").applyInPandas(span, "a long, b long")
-    named = group_names(distinct, components(close.unionByName(spans), "a", "b"))
+    large = stored(live.filter(F.col("rows") > bucket).select(F.lit(0).alias("choice"), "key", "fp", "root", "n"), "simhash-buckets")
+    links = cheap.unionByName(close)
+    if not large.isEmpty():
+        sets = distinct.select("fp", "shingles").join(large.select("fp", "root").distinct(), "fp")
+        dealt = chunk_pairs(large, chunk).join(stored(sets, "simhash-sets"), "fp")
+        links = links.unionByName(dealt.groupBy("choice", "key", "low", "high").applyInPandas(span, "a long, b long"))
+    named = group_names(first_ids, components(links, "a", "b"))
     return rows.select("id", "fp").join(named, rows.fp == named.f).select("id", "component_id")
 
 

@@ -204,6 +204,17 @@ def test_similar_groups_against_all_pairs(spark, bucket):
     assert all(loose[i] == loose[got[i]] for i in got)  # nothing thrown together
 
 
+@pytest.mark.parametrize("bucket", [1000, 4])
+def test_similar_groups_large_families_by_sets(spark, bucket):
+    """Families of more than 16 near copies about the limit: right at every bucket size."""
+    rnd = random.Random(41)
+    bases = [prose(rnd, 120) for _ in range(4)]
+    texts = [edited(rnd, base, share) for base in bases for share in (0.015, 0.02, 0.025) for _ in range(15)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows), bucket=bucket, chunk=8).collect()}
+    assert got == similar_components([r[:2] for r in rows], 0.8)
+
+
 def test_similar_groups_defined_cases(spark):
     rows = odd_rows()
     got = simhash.similar_groups(frame(spark, rows)).collect()
