@@ -88,23 +88,41 @@ def train(texts: DataFrame, *, text_col: str = "text", lang_col: str = "lang", b
     return Model(languages, np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32), bits)
 
 
-def _mixture(p: np.ndarray, weight: np.ndarray, starts: np.ndarray, owner: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _narrow(p: np.ndarray, weight: np.ndarray, owner: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the kept documents, numbered anew: ``p, weight, starts, owner``."""
+    rows = kept[owner]
+    owner = (np.cumsum(kept) - 1)[owner[rows]]
+    return p[rows], weight[rows], np.flatnonzero(np.diff(owner, prepend=-1)), owner
+
+
+def _mixture(p: np.ndarray, weight: np.ndarray, starts: np.ndarray, owner: np.ndarray, allowed: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """EM for all documents at once: proportions over each one's ``allowed`` languages, and the log-likelihoods.
 
-    Rows of ``p`` are a document's distinct n-grams (scaled probabilities), grouped by document.
+    Rows of ``p`` are a document's distinct n-grams (scaled probabilities), grouped by document. A document is done when a
+    round raises its log-likelihood by no more than ``tolerance``.
     """
-    theta = allowed / allowed.sum(1, keepdims=True)
-    total = np.add.reduceat(weight, starts)[:, None]
-    for _ in range(rounds):
-        mixed = np.einsum("ij,ij->i", p, theta[owner])
+    theta, like = allowed / allowed.sum(1, keepdims=True), np.full(len(allowed), -np.inf)
+    live = np.arange(len(allowed))
+    while len(live):
+        mixed = np.einsum("ij,ij->i", p, theta[live][owner])
+        now = np.add.reduceat(weight * np.log(mixed), starts)
+        going = now - like[live] > tolerance
+        like[live] = now
         share = np.add.reduceat(p * (weight / mixed)[:, None], starts, axis=0)
-        theta = theta * share / total
-    mixed = np.einsum("ij,ij->i", p, theta[owner])
-    return theta, np.add.reduceat(weight * np.log(mixed), starts)
+        total = np.add.reduceat(weight, starts)[:, None]
+        theta[live[going]] = (theta[live] * share / total)[going]
+        if not going.all():
+            live = live[going]
+            p, weight, starts, owner = _narrow(p, weight, owner, going)
+    return theta, like
 
 
-def infer(texts: list[str], model: Model, penalty: float = 6.0, most: int = 3, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (texts x languages) of the chosen sets, and which texts have any n-gram."""
+def infer(texts: list[str], model: Model, penalty: float = 6.0, most: int | None = None, tolerance: float = 0.01, slack: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (texts x languages) of the chosen sets, and which texts have any n-gram.
+
+    Sets grow up to ``most`` languages (None: all). No set is likelier than the full mixture, so a document's search ends when
+    even that likelihood (and ``slack``, as EM stops at ``tolerance``) could not pay for a further language.
+    """
     n_langs = len(model.languages)
     out, any_gram = np.zeros((len(texts), n_langs)), np.zeros(len(texts), bool)
     found, owner = grams(texts, model.bits)
@@ -118,21 +136,21 @@ def infer(texts: list[str], model: Model, penalty: float = 6.0, most: int = 3, r
     p, weight = np.exp(log_p - peak).astype(np.float64), weight.astype(np.float64)
     any_gram[who] = True
     allowed = np.ones((len(who), n_langs))
-    theta, _ = _mixture(p, weight, starts, owner, allowed, rounds)
+    theta, full = _mixture(p, weight, starts, owner, allowed, tolerance)
     order = np.argsort(-theta, axis=1, kind="stable")
     cost = penalty / 2 * np.log(np.add.reduceat(weight, starts))
-    best, best_score = np.zeros_like(theta), np.full(len(who), -np.inf)
-    for k in range(1, min(most, n_langs) + 1):
-        chosen = np.zeros_like(theta)
-        np.put_along_axis(chosen, order[:, :k], 1.0, axis=1)
-        if k == 1:  # alone: the likeliest one
-            each = np.add.reduceat(np.log(np.maximum(p, 1e-300)) * weight[:, None], starts, axis=0)
-            part, like = np.eye(n_langs)[each.argmax(1)], each.max(1)
-        else:
-            part, like = _mixture(p, weight, starts, owner, chosen, rounds)
-        score = like - cost * (k - 1)
-        better = score > best_score
-        best[better], best_score[better] = part[better], score[better]
+    each = np.add.reduceat(np.log(np.maximum(p, 1e-300)) * weight[:, None], starts, axis=0)
+    best, best_score = np.eye(n_langs)[each.argmax(1)], each.max(1)  # alone: the likeliest one
+    for k in range(2, min(most or n_langs, n_langs) + 1):
+        open_ = full + slack - cost * (k - 1) > best_score
+        if not open_.any():
+            break
+        chosen = np.zeros((int(open_.sum()), n_langs))
+        np.put_along_axis(chosen, order[open_, :k], 1.0, axis=1)
+        part, like = _mixture(*_narrow(p, weight, owner, open_), chosen, tolerance)
+        score = like - cost[open_] * (k - 1)
+        better = np.flatnonzero(open_)[score > best_score[open_]]
+        best[better], best_score[better] = part[score > best_score[open_]], score[score > best_score[open_]]
     out[who] = best
     return out, any_gram
 

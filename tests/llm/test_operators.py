@@ -425,6 +425,19 @@ def test_language_cases(spark):
     assert language_id.identify(empty(spark), model).count() == 0
 
 
+def test_language_mixture_of_five():
+    """Every language of a mixture is found, in about its share."""
+    names, rnd = "abcde", random.Random(5)
+    words = [[" ".join("".join(rnd.choice("abcdefghijklmnop"[3 * i : 3 * i + 4]) for _ in range(6)) for _ in range(80))] for i in range(5)]
+    counts = np.full((1 << 12, 5), 0.05)
+    for i, text in enumerate(words):
+        found, _ = language_id.grams(text, 12)
+        np.add.at(counts[:, i], found, 1)
+    model = language_id.Model(tuple(names), np.log(counts / counts.sum(0)).astype(np.float32), 12)
+    theta, _ = language_id.infer([" ".join(w[0] for w in words), words[2][0]], model)
+    assert (abs(theta[0] - 0.2) < 0.03).all() and theta[1].tolist() == [0, 0, 1, 0, 0]
+
+
 def test_single_language_is_naive_bayes():
     """With one language allowed the chosen one has the greatest likelihood."""
     rnd = np.random.default_rng(0)
