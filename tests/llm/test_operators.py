@@ -215,6 +215,19 @@ def test_similar_groups_large_families_by_sets(spark, bucket):
     assert got == similar_components([r[:2] for r in rows], 0.8)
 
 
+def test_similar_groups_short_texts(spark):
+    """Pairs of short texts of similarity 0.8 or a little more share no sample; all meet."""
+    rnd, texts = random.Random(43), []
+    for n in (9, 10, 11, 12, 14, 18, 23, 28):
+        for _ in range(15):
+            words = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, *(f"v{rnd.randrange(10**9)}" for _ in range((n - 4) // 4))])]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    want = similar_components([r[:2] for r in rows], 0.8)
+    assert got == want and sum(want[i] != i for i in want) == 120
+
+
 def test_similar_groups_defined_cases(spark):
     rows = odd_rows()
     got = simhash.similar_groups(frame(spark, rows)).collect()
