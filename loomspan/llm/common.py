@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six ASCII white-space characters.
@@ -17,16 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent (local tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else the context's checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomspan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; these operators write tables there")
     return base.rstrip("/")
 
 
@@ -35,12 +28,65 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a cut in the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    The table stays, since the result reads it; tables that only steps on the way read belong in a :class:`Scratch`.
+    """
+    return _written(df, fresh_dir(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables in the shared folder that are removed at the end of the ``with`` block, or sooner by :meth:`drop`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, fresh_dir(spark, name), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        table = _written(df, path)
+        self.paths[path] = table  # also holds the table, so that its identity stays its own
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove these tables now; nothing may read them later."""
+        for path, held in self.paths.items():
+            if any(held is t for t in tables):
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.root)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Inner join in which the rows of one key of ``big`` are dealt by hash of ``by`` to ``salts`` tasks; ``small`` is repeated as often."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +95,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def word_count(text):
+def word_count(text: Column) -> Column:
     """Number of words of a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

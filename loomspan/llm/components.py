@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import stored
+from loomspan.llm.common import Scratch
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, tmp: Scratch) -> DataFrame:
     """Label the nodes of undirected ``links``: rows ``node, root`` with the smallest node of each component.
 
-    Every round is two grouped minima and two joins, written to the shared folder, until the links no longer change;
-    the number of rounds grows with the logarithm of the graph. A hub's links are pre-aggregated and never gathered.
-    Nodes without links are not in the result.
+    Every round is two grouped minima and two joins, written to ``tmp``, until the links no longer change; the number of
+    rounds grows with the logarithm of the graph. A hub's links are pre-aggregated and never gathered. A link of which an
+    end is null joins nothing; nodes without links are not in the result.
     """
-    edges = stored(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links"
-    )
+    edges = tmp.keep(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     state = None
     while True:
         # Large star: every larger neighbour, and the node itself, hang on the node's smallest neighbour.
@@ -27,9 +25,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         # Small star: smaller neighbours, and the node itself, hang on the smallest of them.
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(small, "u")
-        edges = stored(
+        before, edges = edges, tmp.keep(
             near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links"
         )
+        tmp.drop(before)
         # The star steps are done when nothing changes: same number of links and same sum of their hashes.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

@@ -2,24 +2,29 @@
 
 A fingerprint is cut into ``blocks`` parts. Two fingerprints that differ in at most ``distance`` bits agree in at least
 ``blocks - distance`` parts, so every close pair meets under one of the C(blocks, distance) choices of agreeing parts.
-Only distinct fingerprints are joined (copies share one). A bucket with few fingerprints is joined with itself; a larger
-one is dealt into chunks, each pair of chunks is compared in one task of bounded size and gives a spanning set of its
-links, never all pairs. No link is lost either way.
+Only distinct fingerprints are joined (copies share one). The rows of a small bucket meet in a join. In a large one every row
+meets two hubs first, the least and the greatest row; buckets whose rows are then in one component are done, and in the others
+the rows outside the commonest component meet the rest, dealt by hash into parts of bounded size. No link is lost, and rows
+that are linked already are not paired.
+
+Blocks of 64 bits reach pairs that are nearly equal, not a shingle similarity of 0.8: there 10 of 64 bits differ on average,
+and blocks that 20 differing bits leave alone would have 3 bits. :func:`similar_groups` therefore takes as blocks hashes of
+samples of the shingle set (its minima under 64 orders, two by two), verifies the Hamming distance of a 256-bit fingerprint and
+decides every link by the two shingle sets.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import stored, text_slices
+from loomspan.llm.common import Scratch, salted_join, spare, stored, text_slices
 from loomspan.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -57,79 +62,46 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str, shingle: int = 4, views: int = 1, seed: int = 42) -> list[int]:
     """64-bit SimHashes of the word shingles of a text, repeats included, one per view; no words: zero."""
-    hashes, found = shingle_hashes(text, shingle, seed), []
+    return fingerprint_of(shingle_hashes(text, shingle, seed), views)
+
+
+def fingerprint_of(hashes: np.ndarray, views: int) -> list[int]:
+    """The SimHashes of shingle hashes; every further view hashes them anew."""
+    found = []
     for view in range(views):
         hashes = _mixed(hashes) if view else hashes
         found.append(majority(hashes))
     return found
 
 
-def sample_keys(hashes: np.ndarray, samples: int, sample: int) -> list[int]:
-    """``samples`` SimHashes of ``sample`` of a text's set of shingle hashes each.
+def minima(hashes: np.ndarray, orders: int) -> np.ndarray:
+    """The least of a set of shingle hashes in each of ``orders`` orders.
 
-    A sample holds the shingles whose hashes, mixed anew for every sample, are smallest; texts of high similarity often have
-    the same sample.
-    """
-    if not len(hashes):
-        return [0] * samples
-    salts = _mixed(np.arange(1, samples + 1, dtype=np.uint64))[:, None]
-    least = np.empty((samples, 0), np.uint64)
-    for part in range(0, len(hashes), 1 << 14):
-        least = np.concatenate([least, _mixed(hashes[None, part : part + (1 << 14)] ^ salts)], axis=1)
-        if least.shape[1] > sample:
-            least = np.partition(least, sample - 1, axis=1)[:, :sample]
-    bits = np.unpackbits(np.ascontiguousarray(_mixed(least)).view(np.uint8).reshape(samples, -1, 8), axis=2, bitorder="little")
-    sampled = np.packbits(2 * bits.sum(1, dtype=np.int64) > least.shape[1], axis=1, bitorder="little").view("<u8")
-    return sampled[:, 0].tolist()
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first ``n - ceil(similarity * n) + 1`` of a set of n shingle hashes in one order of all shingles.
-
-    Two sets of this Jaccard similarity or more share one of these, whatever the order. Shingles that are not in the sorted
-    ``common`` come first, then those of fewer ``times``, so that the shared ones are few.
+    Two sets have the same least one in an order with the probability of their Jaccard similarity, however small they are.
     """
-    n = len(hashes)
-    if not n:
-        return hashes
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((_mixed(hashes), rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+    salts = _mixed(np.arange(1, orders + 1, dtype=np.uint64))[:, None]
+    least = np.full(orders, np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(hashes), 1 << 13):
+        least = np.minimum(least, _mixed(hashes[None, part : part + (1 << 13)] ^ salts).min(1))
+    return least
 
 
-def common_shingles(texts: DataFrame, shingle: int, every: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that three texts or more of a sample (one in ``every`` by hash) have, sorted, and in how many.
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key per two minima."""
+    return _mixed(least[0::2] + _mixed(least[1::2]))
 
-    Only the ``most`` frequent are told. They order shingles for :func:`prefix`; another sample changes the work, not the result.
-    """
-
-    def run(batches):
-        for _, part in text_slices(batches, 0):
-            found, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in part]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    taken = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counted = taken.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
-    top = counted.orderBy(F.col("n").desc(), "h").limit(most).toArrow()
-    hashes, times = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], times[order]
-
-
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, views: int = 1) -> DataFrame:
-    """Rows ``id, fp, fp1, ...`` (64 bits each as signed longs), one per input row."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
+    """Rows ``id, h, fp``: a hash of the text and its fingerprint (64 bits as a signed long), one per input row."""
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    names = ["fp", *(f"fp{i}" for i in range(1, views))]
 
     def run(batches):
-        for batch, texts in text_slices(batches, 1):
-            fps = np.array([fingerprint(t, shingle, views) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in fps.T)], ["id", *names])
+        for batch, texts in text_slices(batches, 2):
+            fps = np.array([fingerprint(t, shingle)[0] for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "h", "fp"])
 
-    return source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
+    return source.mapInArrow(run, f"id {kind}, h long, fp long")
 
 
 def block_keys(blocks: int, distance: int, word: str = "fp") -> list[Column]:
@@ -140,237 +112,185 @@ def block_keys(blocks: int, distance: int, word: str = "fp") -> list[Column]:
     return [F.col(word).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in chosen]
 
 
-def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of at most ``distance`` bits that connect all that any such links connect, at most one per fingerprint."""
-    fps = np.unique(fps)
-    a, b = spanning_rows(fps[:, None], distance)
-    return fps[a], fps[b]
-
-
-def spanning_rows(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for rows of several words, as row numbers: a search from row to row that compares with unreached rows only."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    rest = np.arange(len(fps))
-    while len(rest):
-        reached, rest = [int(rest[0])], rest[1:]
-        while reached and len(rest):
-            i = reached.pop()
-            close = np.bitwise_count(fps[rest] ^ fps[i]).sum(1, dtype=np.int64) <= distance
-            if close.any():
-                new, rest = rest[close], rest[~close]
-                found.append((np.full(len(new), i), new))
-                reached.extend(new.tolist())
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
-
-
-def chunk_pairs(many: DataFrame, chunk: int) -> DataFrame:
-    """Deal each bucket (``choice, key`` of ``n`` rows) into chunks by hash; a row goes to every pair ``low, high`` with its own."""
-    parts = F.ceil(F.col("n") / chunk).cast("long")
-    dealt = many.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(1)), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.select("choice", "key", "fp", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"))
-
-
-def links(fps: DataFrame, distance: int = 4, blocks: int = 7, bucket: int = 16, chunk: int = 1024) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints of column ``fp`` that span every component at ``distance``.
-
-    ``blocks`` sets the bucket count: more blocks give longer keys and more of them. 7 blocks (35 keys of some 27 bits)
-    suit up to about 10^9 distinct fingerprints, 8 (70 keys of 32 bits) some ten times that.
-    """
-    keys = fps.select("fp", F.posexplode(F.array(*block_keys(blocks, distance))).alias("choice", "key"))
-    sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(keys.join(sizes, ["choice", "key"]), "simhash-buckets")
-    few = met.filter(F.col("n") <= bucket)
-    other = few.select("choice", "key", F.col("fp").alias("b"))
-    pairs = few.join(other, ["choice", "key"]).filter((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance))
-
-    # Large buckets: chunks by hash, every pair of chunks a group of its own.
-    many = chunk_pairs(met.filter(F.col("n") > bucket), chunk)
-
-    def span(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = spanning_links(pdf["fp"].to_numpy().view(np.uint64), distance)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    spans = many.groupBy("choice", "key", "low", "high").applyInPandas(span, "a long, b long")
-    return pairs.select(F.col("fp").alias("a"), "b").unionByName(spans)
-
-
-def _view_links(rows: DataFrame, view: str, found: DataFrame) -> DataFrame:
-    """Links of another view, told between first-view fingerprints: each of the view's stands for its least companion."""
-    both = rows.select("fp", view).distinct()
-    least = both.groupBy(view).agg(F.min("fp").alias("rep"))
-    same = both.join(least, view).filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-    name = lambda c: least.select(F.col(view).alias(c), F.col("rep").alias(f"{c}_rep"))
-    told = found.join(name("a"), "a").join(name("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-    return same.unionByName(told)
-
-
-def group_names(distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows ``f, component_id``: the smallest ``first_id`` of each fingerprint's component."""
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-
-
-def near_duplicates(
-    docs: DataFrame,
+def block_links(
+    keys: DataFrame,
+    close: Callable[[str, str], Column],
+    tmp: Scratch,
     *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 4,
-    distance: int = 4,
-    views: int = 1,
-    blocks: int = 7,
+    words: DataFrame | None = None,
+    exact: Callable[[DataFrame], DataFrame] | None = None,
+    further: DataFrame | None = None,
+    depth: int = 0,
     bucket: int = 16,
     chunk: int = 1024,
 ) -> DataFrame:
+    """Links ``a, b`` between rows of equal ``choice, key`` that connect all that are ``close`` (and ``exact``) there.
+
+    ``keys`` has ``choice, key, fp``; ``close("a", "b")`` is a condition on ``a`` and ``b`` and on ``a_x, b_x`` for the columns x of
+    ``words`` (one row per fp); ``exact`` keeps the right ones of pairs ``a, b``. Buckets above ``chunk`` rows are first divided up to
+    ``depth`` times by the next keys of ``further`` (``fp`` and an array of all keys, by choice) that their rows share.
+    """
+
+    def told(df: DataFrame, x: str) -> DataFrame:
+        return df if words is None else df.join(words.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in words.columns if c != "fp")), x)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        found = told(told(pairs.distinct(), "a"), "b").filter(close("a", "b")).select("a", "b")
+        return tmp.keep(exact(found) if exact else found, "links")
+
+    sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
+    met = tmp.keep(keys.join(sizes, ["choice", "key"]), "buckets")
+    few = met.filter(F.col("n") <= bucket).select("choice", "key", F.col("fp").alias("a"))
+    pairs = few.join(few.withColumnRenamed("a", "b"), ["choice", "key"]).filter("a < b").select("a", "b")
+    hubs = met.filter(F.col("n") > bucket).select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
+    if words is None:  # what is not close need not be told apart first
+        pairs, hubs = pairs.filter(close("a", "b")), hubs.filter(close("a", "b"))
+    links = linked(pairs.unionByName(hubs))
+    large = met.filter(F.col("n") > bucket).select("choice", "key", "fp")
+    for level in range(depth + 1):
+        if large.isEmpty():
+            break
+        roots = components(links, "a", "b", tmp)
+        rooted = large.join(roots, F.col("fp") == F.col("node"), "left").select("choice", "key", "fp", F.coalesce("root", "fp").alias("root"))
+        rooted = tmp.keep(rooted, "rooted")
+        spread = rooted.groupBy("choice", "key", "root").agg(F.count(F.lit(1)).alias("held"))
+        live = spread.groupBy("choice", "key").agg(F.max_by("root", "held").alias("major"), F.sum("held").alias("n"), F.count(F.lit(1)).alias("roots"))
+        mine = tmp.keep(rooted.join(live.filter("roots > 1").drop("roots"), ["choice", "key"]), "live")
+        here = mine if level == depth else mine.filter(F.col("n") <= chunk)
+        # Rows outside the commonest component meet all others, part by part.
+        parts = F.ceil(F.col("n") / chunk).cast("long")
+        here = here.withColumn("parts", parts)
+        outside = told(here.filter("root <> major").select("choice", "key", F.col("fp").alias("a"), F.col("root").alias("a_root"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "a")
+        every = told(here.select("choice", "key", F.col("fp").alias("b"), F.col("root").alias("b_root"), "major", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")), "b")
+        once = (F.col("b_root") == F.col("major")) | (F.col("a") < F.col("b"))
+        pairs = outside.join(every, ["choice", "key", "part"]).filter((F.col("a_root") != F.col("b_root")) & once & close("a", "b"))
+        more = linked(pairs.select("a", "b"))
+        if not more.isEmpty():
+            links = tmp.keep(links.unionByName(more), "links")
+        if level < depth:
+            nearer = mine.filter(F.col("n") > chunk).join(further.select("fp", "keys"), "fp")
+            nearer = nearer.select("fp", "choice", "key", F.posexplode("keys").alias("next", "with")).filter("next > choice")
+            large = tmp.keep(nearer.select(F.col("next").alias("choice"), F.xxhash64("key", "with").alias("key"), "fp"), "divided")
+    return links
+
+
+def _grouped(rows: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
+    """``rows`` (``id, h, fp``) with the component of each: its first row's ``first_id, first_h`` (a null id counts last)."""
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
+    distinct = tmp.keep(rows.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
+    found = tmp.keep(components(links, "a", "b", tmp), "roots")
+    rooted = tmp.keep(found.join(distinct, found.node == distinct.fp).select("fp", "root", "first"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    named = salted_join(rooted, least, ["root"], "fp").select(F.col("fp").alias("f"), "best")
+    labels = distinct.join(named, distinct.fp == F.col("f"), "left").select("fp", F.coalesce("best", "first").alias("best"))
+    return rows.join(labels, "fp").select("id", "h", "fp", F.col("best.id").alias("first_id"), F.col("best.h").alias("first_h"))
+
+
+def _near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7, bucket: int = 16, chunk: int = 1024) -> DataFrame:
+    with Scratch(docs.sparkSession, "simhash") as tmp:
+        rows = tmp.keep(fingerprints(docs, id_col, text_col, shingle), "fps")
+        keys = rows.select("fp").distinct().select("fp", F.posexplode(F.array(*block_keys(blocks, distance))).alias("choice", "key"))
+        links = block_links(keys, lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance, tmp, bucket=bucket, chunk=chunk)
+        return stored(_grouped(rows, links, tmp), "simhash-groups")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per input row: ``id, fp, component_id``, the smallest id that links lead to, itself included.
 
-    Two rows are linked if in any of the ``views`` (fingerprints by independent hashes of the same shingles) they differ in at
-    most ``distance`` bits; more views find more of the pairs near the limit. Null and empty texts (and texts of white space)
-    have fingerprint zero and are linked like any other. Repeated rows have equal fingerprints, so share a component. A null
-    id counts last: a component of null ids only has a null component id. An empty table gives no rows; other columns are
-    not read.
+    ``settings``: words per ``shingle`` (4); bits by which linked fingerprints may differ (``distance``, 4); ``blocks`` (7 give 35
+    keys of some 27 bits and suit up to about 10^9 distinct fingerprints, 8 give 70 keys of 32 bits for some ten times that);
+    ``bucket``, the size up to which rows of a bucket meet at once, and ``chunk``, that of the parts of a large one.
+
+    Null and empty texts (and texts of white space) have fingerprint zero and are linked like any other; a very long text costs
+    its length. Repeated rows have equal fingerprints, so share a component. A null id counts last: a component of null ids
+    only has a null component id. An empty table gives no rows; other columns are not read, whatever their names.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle, views), "simhash-fps")
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    linked = links(distinct.select("fp"), distance, blocks, bucket, chunk)
-    for view in rows.columns[2:]:
-        found = links(rows.select(F.col(view).alias("fp")).distinct(), distance, blocks, bucket, chunk)
-        linked = linked.unionByName(_view_links(rows, view, found))
-    found = components(linked, "a", "b")
-    named = group_names(distinct, found)
-    return rows.join(named, rows.fp == named.f).select("id", "fp", "component_id")
-
-
-def spanning_sets(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose sets have this similarity, by number, that connect all that any such pairs and equal ``roots`` connect."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    inside, found, rest = np.zeros(flat.max() + 1, bool), [], np.arange(len(sets))
-    while len(rest):
-        reached, rest = [int(rest[0])], rest[1:]
-        while reached and len(rest):
-            i = reached.pop()
-            own = flat[starts[i] : starts[i] + sizes[i]]
-            inside[own] = True
-            both = np.add.reduceat(inside[flat], starts, dtype=np.int64)[rest]
-            inside[own] = False
-            close, same = both / (sizes[rest] + sizes[i] - both) >= similarity, roots[rest] == roots[i]
-            found.extend((i, j) for j in rest[close & ~same].tolist())
-            reached.extend(rest[close | same].tolist())
-            rest = rest[~(close | same)]
-    a, b = np.array(found, np.int64).reshape(-1, 2).T
-    return a, b
-
-
-def _alike(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs ``a, b`` of fingerprints whose sets have this similarity."""
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = stored(distinct.select("fp", "shingles").join(asked, "fp", "left_semi"), "simhash-sets")
+    return _near_rows(docs, id_col, text_col, **settings).select("id", "fp", F.col("first_id").alias("component_id"))
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float, tmp: Scratch, most: int = 1024) -> DataFrame:
+    """Those pairs ``a, b`` of fingerprints whose shingle sets have this similarity; a fingerprint with many partners is dealt to many tasks."""
+    pairs = tmp.keep(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
+    sets = tmp.keep(rows.select("rid", "fp", "shingles").join(asked.select("rid"), "rid", "left_semi").drop("rid"), "sets")
+    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).alias("salts")).filter("salts > 1")
     left, right = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+    dealt = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    right = right.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1))).drop("salts")
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(left, "a").join(right, "b").filter(common / (F.size("a_set") + F.size("b_set") - common) >= similarity).select("a", "b")
+    met = dealt.join(left, "a").join(right, ["b", "salt"])
+    return met.filter(common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
 
 
-def similar_groups(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    similarity: float = 0.8,
-    shingle: int = 5,
-    samples: int = 16,
-    sample: int = 6,
-    bucket: int = 16,
-    chunk: int = 1024,
-    every: int = 32,
-    most: int = 1 << 16,
+def _similar_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, orders: int = 64, views: int = 4, farthest: int = 92, bucket: int = 16, chunk: int = 1024, depth: int = 3
 ) -> DataFrame:
-    """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` or more lead to.
-
-    Similarity is that of the sets of word shingles, and every link is decided by the two sets. In a first pass rows meet the
-    least one of those that share a SimHash of a small sample of shingles, which joins most groups cheaply. Then every pair of
-    ``similarity`` or more meets for certain: each set is keyed by its :func:`prefix`, and such sets share a key. Keys whose
-    rows are in one group already are dropped. Rows of a small bucket meet in a join; a larger one is dealt into chunks of
-    about ``chunk`` rows (and ``chunk`` * 1024 shingles), and each pair of chunks gives a spanning set of its links.
-
-    Null and empty texts are equal to each other and to texts of white space; repeated rows share a group. A null id counts
-    last: a group of null ids only has a null ``component_id``. An empty table gives no rows; other columns are not read.
-    """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind, views = source.schema["id"].dataType.simpleString(), [f"s{i}" for i in range(samples)]
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(source, shingle, every, most))  # at most ``most`` entries
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    kind, bits = source.schema["id"].dataType.simpleString(), [f"f{i}" for i in range(views)]
+    fields = {"id": kind, "h": "long", "fp": "long", "size": "int", **dict.fromkeys(bits, "long"), "keys": "array<long>", "shingles": "array<long>"}
 
     def run(batches):
-        for batch, texts in text_slices(batches, 1):
+        for batch, texts in text_slices(batches, 2):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            sampled = np.array([sample_keys(x, samples, sample) for x in sets], np.uint64).reshape(len(texts), -1).view(np.int64)
-            first = [prefix(x, similarity, *shared.value).view(np.int64) for x in sets]
-            short = [np.unique(x.astype(np.uint32)).view(np.int32) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *map(pa.array, sampled.T), pa.array(first, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], [*fields])
-
-    fields = {"id": kind, "fp": "long", **dict.fromkeys(views, "long"), "prefix": "array<long>", "shingles": "array<int>"}
-    rows = stored(source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items())), "simhash-sets")
-    # Copies share a fingerprint: one row stands for all; sets of texts without copies are not moved for it.
-    first_ids = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "simhash-distinct")
-    many_copies = first_ids.filter("copies > 1").select("fp")
-    once = rows.join(many_copies, "fp", "left_anti").select("fp", *views, "prefix", "shingles")
-    again = rows.join(many_copies, "fp", "left_semi").groupBy("fp").agg(*(F.min(x).alias(x) for x in (*views, "prefix", "shingles")))
-    distinct = once.unionByName(again)
-
-    # First pass: every row of a sample's bucket with the least.
-    sampled = distinct.select("fp", F.posexplode(F.array(*views)).alias("choice", "key"))
-    hubs = sampled.groupBy("choice", "key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = stored(sampled.join(hubs, ["choice", "key"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "simhash-pairs")
-    cheap = stored(_alike(pairs, distinct, similarity), "simhash-links")
-    roots = stored(components(cheap, "a", "b"), "simhash-roots").select(F.col("node").alias("fp"), "root")
-
-    # Second pass: all pairs that share a shingle of their prefixes, unless they are in one group already.
-    keys = distinct.select("fp", F.size("shingles").alias("size"), F.posexplode("prefix").alias("pos", "key"))
-    shared_keys = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = stored(keys.join(shared_keys, "key").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-met")
-    sizes = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.greatest(F.count(F.lit(1)), F.sum("size") / 1024).alias("n"), F.count(F.lit(1)).alias("rows"))
-    live = stored(met.join(sizes.filter("low <> high").select("key", "n", "rows"), "key"), "simhash-buckets")
-
-    # Small buckets: each pair once. Behind the first shared key there must be enough shingles left on both sides.
-    few = live.filter(F.col("rows") <= bucket).drop("n", "rows")
-    other = few.select("key", *(F.col(x).alias(f"b_{x}") for x in ("fp", "size", "pos", "root")))
-    left = F.least(F.col("size") - F.col("pos"), F.col("b_size") - F.col("b_pos"))
-    enough = left + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("b_size"))
-    pairs = few.join(other, "key").filter((F.col("fp") < F.col("b_fp")) & (F.col("root") != F.col("b_root")) & enough)
-    close = _alike(stored(pairs.select(F.col("fp").alias("a"), F.col("b_fp").alias("b")).distinct(), "simhash-pairs"), distinct, similarity)
-
-    # Large buckets: chunks by hash, every pair of chunks a group of its own, of bounded size.
-    def span(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].to_numpy()
-        a, b = spanning_sets(pdf["shingles"].tolist(), pdf["root"].to_numpy(), similarity)
-        return pd.DataFrame({"a": fps[a], "b": fps[b]})
-
-    large = stored(live.filter(F.col("rows") > bucket).select(F.lit(0).alias("choice"), "key", "fp", "root", "n"), "simhash-buckets")
-    links = cheap.unionByName(close)
-    if not large.isEmpty():
-        sets = distinct.select("fp", "shingles").join(large.select("fp", "root").distinct(), "fp")
-        dealt = chunk_pairs(large, chunk).join(stored(sets, "simhash-sets"), "fp")
-        links = links.unionByName(dealt.groupBy("choice", "key", "low", "high").applyInPandas(span, "a long, b long"))
-    named = group_names(first_ids, components(links, "a", "b"))
-    return rows.select("id", "fp").join(named, rows.fp == named.f).select("id", "component_id")
-
-
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", similarity: float | None = None, **settings) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the smallest id; columns unchanged.
-
-    Groups are those of :func:`similar_groups` where a ``similarity`` is given, else of :func:`near_duplicates`, with its cases; of
-    rows that share the staying id one stays; of groups of null ids only, one row stays.
+            seen = np.array([fingerprint_of(x, views) for x in sets], np.uint64).reshape(len(texts), views).view(np.int64)
+            keys = [band_keys(minima(x, orders)).view(np.int64) for x in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, [x.view(np.int64) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), *map(pa.array, seen.T), *lists], [*fields])
+
+    with Scratch(docs.sparkSession, "similar") as tmp:
+        rows = source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items())).withColumn("rid", F.monotonically_increasing_id())
+        rows = tmp.keep(rows, "sets")
+        # Copies share a fingerprint: one row stands for all.
+        reps = tmp.keep(rows.groupBy("fp").agg(F.min("rid").alias("rid")), "distinct")
+        distinct = tmp.keep(rows.select("rid", "fp", "size", *bits, "keys").join(reps.select("rid"), "rid", "left_semi").drop("rid"), "words")
+
+        def close(a: str, b: str) -> Column:
+            apart = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in bits), F.lit(0))
+            small, large = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
+            return (apart <= farthest) & (small >= F.lit(similarity) * large - 1e-9)
+
+        links = block_links(
+            distinct.select("fp", F.posexplode("keys").alias("choice", "key")), close, tmp,
+            words=distinct.drop("keys"), exact=lambda pairs: _alike(pairs, rows, reps, similarity, tmp), further=distinct, depth=depth, bucket=bucket, chunk=chunk,
+        )
+        return stored(_grouped(rows.select("id", "h", "fp"), links, tmp), "similar-groups")
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` (0.8) or more lead to.
+
+    Similarity is that of the sets of word shingles (``shingle``, 5 words), and every link is decided by the two sets of 64-bit
+    shingle hashes. Pairs meet where two of ``orders`` (64) minima agree, in any of the 32 such keys: two sets of similarity 0.8
+    miss each other with a probability of 0.36^32 (6e-15), in buckets above ``chunk`` rows, which are divided up to ``depth`` (3)
+    times by further shared keys, with one below 1e-9; the size of the sets does not matter. Of the pairs that meet, those are
+    compared whose sizes allow the similarity and whose 256-bit fingerprints differ in at most ``farthest`` (92) bits: at 0.8
+    some 40 differ, and with the least favourable small sets 48 on average, so that one in 10^9 is above.
+
+    Null and empty texts are equal to each other and to texts of white space; a very long text costs its length; repeated rows
+    share a group. A null id counts last: a group of null ids only has a null ``component_id``. An empty table gives no rows;
+    other columns are not read, whatever their names.
+    """
+    return _similar_rows(docs, id_col, text_col, **settings).select("id", F.col("first_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **settings) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id (null last); columns unchanged.
+
+    Groups are those of :func:`similar_groups` where a ``similarity`` is given, else of :func:`near_duplicates`, with their cases. Rows
+    are told apart by id and text, not by id alone: rows of one id, or of a null id, in different groups all stay; of rows with
+    the same id in one group, that of the smallest text hash stays, and of rows of the same id and text one.
     """
     if similarity is None:
-        found = near_duplicates(docs, id_col=id_col, **settings)
+        found = _near_rows(docs, id_col, text_col, **settings)
     else:
-        found = similar_groups(docs, id_col=id_col, similarity=similarity, **settings)
-    found = stored(found, "simhash-groups")
-    stays = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
-    many = stays.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = docs.join(stays.select(F.col("id").alias("_stays")).distinct(), F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
-    return kept if many.isEmpty() else kept.dropDuplicates([id_col])
+        found = _similar_rows(docs, id_col, text_col, similarity=similarity, **settings)
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    h, gone_id, gone_h = spare(docs, "_h", "_gone_id", "_gone_h")
+    told = lambda df: df.select(F.col("id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(h) == F.col(gone_h))
+    kept = docs.withColumn(h, F.xxhash64(text_col)).join(told(found.filter(~stays)), same, "left_anti")
+    twice = stored(found.filter(stays).groupBy("id", "h").count().filter("count > 1").drop("count"), "simhash-repeated")
+    if not twice.isEmpty():
+        kept = kept.join(told(twice), same, "left_anti").unionByName(kept.join(told(twice), same, "left_semi").dropDuplicates([id_col, h]))
+    return kept.select(docs.columns)
