@@ -9,8 +9,8 @@ that are linked already are not paired.
 
 Blocks of 64 bits reach pairs that are nearly equal, not a shingle similarity of 0.8: there 10 of 64 bits differ on average,
 and blocks that 20 differing bits leave alone would have 3 bits. :func:`similar_groups` therefore takes as blocks hashes of
-samples of the shingle set (its minima under 64 orders, two by two), verifies the Hamming distance of a 256-bit fingerprint and
-decides every link by the two shingle sets.
+samples of the shingle set, joins each row with the hub of its blocks, makes every pair of 0.8 or more meet by prefix filtering,
+verifies the Hamming distance of a 256-bit fingerprint and decides every link by the two shingle sets.
 """
 
 from __future__ import annotations
@@ -112,66 +112,40 @@ def block_keys(blocks: int, distance: int, word: str = "fp") -> list[Column]:
     return [F.col(word).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in chosen]
 
 
-def block_links(
-    keys: DataFrame,
-    close: Callable[[str, str], Column],
-    tmp: Scratch,
-    *,
-    words: DataFrame | None = None,
-    exact: Callable[[DataFrame], DataFrame] | None = None,
-    further: DataFrame | None = None,
-    depth: int = 0,
-    bucket: int = 16,
-    chunk: int = 1024,
-) -> DataFrame:
-    """Links ``a, b`` between rows of equal ``choice, key`` that connect all that are ``close`` (and ``exact``) there.
+def outside_pairs(buckets: DataFrame, key: list[str], near: Callable[[str, str], Column], chunk: int) -> DataFrame:
+    """Pairs ``a, b`` of different ``root`` in a bucket that are ``near``.
 
-    ``keys`` has ``choice, key, fp``; ``close("a", "b")`` is a condition on ``a`` and ``b`` and on ``a_x, b_x`` for the columns x of
-    ``words`` (one row per fp); ``exact`` keeps the right ones of pairs ``a, b``. Buckets above ``chunk`` rows are first divided up to
-    ``depth`` times by the next keys of ``further`` (``fp`` and an array of all keys, by choice) that their rows share.
+    In a bucket the rows outside the commonest root meet all others, which are dealt by hash to parts of about ``chunk`` rows; rows
+    of one root never meet. ``buckets`` has ``key``, ``fp``, ``root`` and the columns x that ``near`` knows as ``a_x`` and ``b_x``.
     """
-
-    def told(df: DataFrame, x: str) -> DataFrame:
-        return df if words is None else df.join(words.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in words.columns if c != "fp")), x)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        found = told(told(pairs.distinct(), "a"), "b").filter(close("a", "b")).select("a", "b")
-        return tmp.keep(exact(found) if exact else found, "links")
-
+    spread = buckets.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("held"))
+    live = spread.groupBy(*key).agg(F.max_by("root", "held").alias("major"), F.ceil(F.sum("held") / chunk).cast("long").alias("parts"), F.count(F.lit(1)).alias("roots"))
+    mine = buckets.join(live.filter("roots > 1").drop("roots"), key)
+    rest = [c for c in buckets.columns if c not in (*key, "fp")]
+    told = lambda x, part: mine.select(*key, "major", "parts", F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in rest), part.alias("part"))
+    outside = told("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("a_root <> major").drop("major", "parts")
+    every = told("b", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    once = (F.col("b_root") == F.col("major")) | (F.col("a") < F.col("b"))
+    return outside.join(every, [*key, "part"]).filter((F.col("a_root") != F.col("b_root")) & once & near("a", "b")).select("a", "b")
+
+
+def links(fps: DataFrame, tmp: Scratch, distance: int = 4, blocks: int = 7, bucket: int = 16, chunk: int = 1024) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints of column ``fp`` that span every component at ``distance``."""
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    keys = fps.select("fp", F.posexplode(F.array(*block_keys(blocks, distance))).alias("choice", "key"))
     sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
     met = tmp.keep(keys.join(sizes, ["choice", "key"]), "buckets")
     few = met.filter(F.col("n") <= bucket).select("choice", "key", F.col("fp").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), ["choice", "key"]).filter("a < b").select("a", "b")
-    hubs = met.filter(F.col("n") > bucket).select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    if words is None:  # what is not close need not be told apart first
-        pairs, hubs = pairs.filter(close("a", "b")), hubs.filter(close("a", "b"))
-    links = linked(pairs.unionByName(hubs))
-    large = met.filter(F.col("n") > bucket).select("choice", "key", "fp")
-    for level in range(depth + 1):
-        if large.isEmpty():
-            break
-        roots = components(links, "a", "b", tmp)
-        rooted = large.join(roots, F.col("fp") == F.col("node"), "left").select("choice", "key", "fp", F.coalesce("root", "fp").alias("root"))
-        rooted = tmp.keep(rooted, "rooted")
-        spread = rooted.groupBy("choice", "key", "root").agg(F.count(F.lit(1)).alias("held"))
-        live = spread.groupBy("choice", "key").agg(F.max_by("root", "held").alias("major"), F.sum("held").alias("n"), F.count(F.lit(1)).alias("roots"))
-        mine = tmp.keep(rooted.join(live.filter("roots > 1").drop("roots"), ["choice", "key"]), "live")
-        here = mine if level == depth else mine.filter(F.col("n") <= chunk)
-        # Rows outside the commonest component meet all others, part by part.
-        parts = F.ceil(F.col("n") / chunk).cast("long")
-        here = here.withColumn("parts", parts)
-        outside = told(here.filter("root <> major").select("choice", "key", F.col("fp").alias("a"), F.col("root").alias("a_root"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "a")
-        every = told(here.select("choice", "key", F.col("fp").alias("b"), F.col("root").alias("b_root"), "major", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")), "b")
-        once = (F.col("b_root") == F.col("major")) | (F.col("a") < F.col("b"))
-        pairs = outside.join(every, ["choice", "key", "part"]).filter((F.col("a_root") != F.col("b_root")) & once & close("a", "b"))
-        more = linked(pairs.select("a", "b"))
-        if not more.isEmpty():
-            links = tmp.keep(links.unionByName(more), "links")
-        if level < depth:
-            nearer = mine.filter(F.col("n") > chunk).join(further.select("fp", "keys"), "fp")
-            nearer = nearer.select("fp", "choice", "key", F.posexplode("keys").alias("next", "with")).filter("next > choice")
-            large = tmp.keep(nearer.select(F.col("next").alias("choice"), F.xxhash64("key", "with").alias("key"), "fp"), "divided")
-    return links
+    pairs = few.join(few.withColumnRenamed("a", "b"), ["choice", "key"]).filter((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
+    many = met.filter(F.col("n") > bucket)
+    hubs = many.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
+    found = tmp.keep(pairs.unionByName(hubs).distinct(), "links")
+    if many.isEmpty():
+        return found
+    roots = components(found, "a", "b", tmp)
+    rooted = many.select("choice", "key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("choice", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    more = outside_pairs(tmp.keep(rooted, "rooted"), ["choice", "key"], near, chunk)
+    return found.unionByName(tmp.keep(more.distinct(), "links"))
 
 
 def _grouped(rows: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
@@ -186,12 +160,10 @@ def _grouped(rows: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
     return rows.join(labels, "fp").select("id", "h", "fp", F.col("best.id").alias("first_id"), F.col("best.h").alias("first_h"))
 
 
-def _near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7, bucket: int = 16, chunk: int = 1024) -> DataFrame:
+def _near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **settings) -> DataFrame:
     with Scratch(docs.sparkSession, "simhash") as tmp:
         rows = tmp.keep(fingerprints(docs, id_col, text_col, shingle), "fps")
-        keys = rows.select("fp").distinct().select("fp", F.posexplode(F.array(*block_keys(blocks, distance))).alias("choice", "key"))
-        links = block_links(keys, lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance, tmp, bucket=bucket, chunk=chunk)
-        return stored(_grouped(rows, links, tmp), "simhash-groups")
+        return stored(_grouped(rows, links(rows.select("fp").distinct(), tmp, **settings), tmp), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -222,12 +194,51 @@ def _alike(pairs: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float
     return met.filter(common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
 
 
+def common_shingles(texts: DataFrame, shingle: int, every: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that three texts or more of a sample (one in ``every`` by hash) have, sorted, and in how many.
+
+    Only the ``most`` frequent are told. They order shingles and choose hubs; another sample changes the work, not the result.
+    """
+
+    def run(batches):
+        for _, part in text_slices(batches, 0):
+            found, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in part]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    taken = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counted = taken.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
+    top = counted.orderBy(F.col("n").desc(), "h").limit(most).toArrow()
+    hashes, times = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def rare_first(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set of shingle hashes in one order of all shingles, seldom ones first, and how many of them are ``common``."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((_mixed(hashes), rank))], int(np.count_nonzero(rank))
+
+
 def _similar_rows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, orders: int = 64, views: int = 4, farthest: int = 92, bucket: int = 16, chunk: int = 1024, depth: int = 3
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = 0.8,
+    shingle: int = 5,
+    orders: int = 16,
+    views: int = 4,
+    farthest: int = 92,
+    chunk: int = 1024,
+    every: int = 32,
+    most: int = 1 << 16,
 ) -> DataFrame:
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     kind, bits = source.schema["id"].dataType.simpleString(), [f"f{i}" for i in range(views)]
-    fields = {"id": kind, "h": "long", "fp": "long", "size": "int", **dict.fromkeys(bits, "long"), "keys": "array<long>", "shingles": "array<long>"}
+    fields = {"id": kind, "h": "long", "fp": "long", "size": "int", "central": "double", **dict.fromkeys(bits, "long"), "keys": "array<long>", "shingles": "array<long>"}
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(source, shingle, every, most))  # at most ``most`` entries
 
     def run(batches):
         for batch, texts in text_slices(batches, 2):
@@ -235,37 +246,61 @@ def _similar_rows(
             fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             seen = np.array([fingerprint_of(x, views) for x in sets], np.uint64).reshape(len(texts), views).view(np.int64)
             keys = [band_keys(minima(x, orders)).view(np.int64) for x in sets]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, [x.view(np.int64) for x in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), *map(pa.array, seen.T), *lists], [*fields])
+            ranked = [rare_first(x, *shared.value) for x in sets]
+            central = [n / max(1, len(x)) for x, n in ranked]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, [x.view(np.int64) for x, _ in ranked])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), pa.array(central, pa.float64()), *map(pa.array, seen.T), *lists], [*fields])
+
+    def close(a: str, b: str) -> Column:
+        """What the sizes and the fingerprints' Hamming distance allow."""
+        apart = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in bits), F.lit(0))
+        small, large = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
+        return (apart <= farthest) & (small >= F.lit(similarity) * large - 1e-9)
+
+    def met_in_order(a: str, b: str) -> Column:
+        """At the first shingle that two sets share, both have enough shingles left."""
+        left = F.least(F.col(f"{a}_size") - F.col(f"{a}_pos"), F.col(f"{b}_size") - F.col(f"{b}_pos"))
+        return left + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col(f"{a}_size") + F.col(f"{b}_size"))
 
     with Scratch(docs.sparkSession, "similar") as tmp:
         rows = source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items())).withColumn("rid", F.monotonically_increasing_id())
         rows = tmp.keep(rows, "sets")
         # Copies share a fingerprint: one row stands for all.
-        reps = tmp.keep(rows.groupBy("fp").agg(F.min("rid").alias("rid")), "distinct")
-        distinct = tmp.keep(rows.select("rid", "fp", "size", *bits, "keys").join(reps.select("rid"), "rid", "left_semi").drop("rid"), "words")
-
-        def close(a: str, b: str) -> Column:
-            apart = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in bits), F.lit(0))
-            small, large = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
-            return (apart <= farthest) & (small >= F.lit(similarity) * large - 1e-9)
-
-        links = block_links(
-            distinct.select("fp", F.posexplode("keys").alias("choice", "key")), close, tmp,
-            words=distinct.drop("keys"), exact=lambda pairs: _alike(pairs, rows, reps, similarity, tmp), further=distinct, depth=depth, bucket=bucket, chunk=chunk,
-        )
-        return stored(_grouped(rows.select("id", "h", "fp"), links, tmp), "similar-groups")
+        reps = tmp.keep(rows.groupBy("fp").agg(F.min("rid").alias("rid")), "reps")
+        distinct = rows.join(reps.select("rid"), "rid", "left_semi")
+        words = distinct.select("fp", "size", *bits)
+
+        # First every row with the hub of each of its blocks, the row of the most common shingles.
+        keys = distinct.select("fp", "central", F.posexplode("keys").alias("choice", "key"))
+        hubs = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.max_by("fp", "central").alias("b")).filter("n > 1").drop("n")
+        pairs = tmp.keep(keys.join(hubs, ["choice", "key"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "pairs")
+        for x in "ab":
+            pairs = pairs.join(words.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in words.columns[1:])), x)
+        first = _alike(pairs.filter(close("a", "b")).select("a", "b"), rows, reps, similarity, tmp)
+
+        # Then all that share one of the n - ceil(similarity * n) + 1 first shingles of their sets: all pairs of this similarity do.
+        roots = tmp.keep(components(first, "a", "b", tmp), "roots")
+        taken = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+        head = distinct.filter("size > 0").select("fp", "size", F.slice("shingles", F.lit(1), taken.cast("int")).alias("head"))
+        head = head.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", F.posexplode("head").alias("pos", "key"))
+        live = head.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        live = tmp.keep(head.join(tmp.keep(live, "keys"), "key", "left_semi"), "heads").join(words.drop("size"), "fp")
+        met = outside_pairs(tmp.keep(live, "buckets"), ["key"], lambda a, b: met_in_order(a, b) & close(a, b), chunk)
+        found = first.unionByName(_alike(met.distinct(), rows, reps, similarity, tmp))
+        return stored(_grouped(rows.select("id", "h", "fp"), found, tmp), "similar-groups")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` (0.8) or more lead to.
 
     Similarity is that of the sets of word shingles (``shingle``, 5 words), and every link is decided by the two sets of 64-bit
-    shingle hashes. Pairs meet where two of ``orders`` (64) minima agree, in any of the 32 such keys: two sets of similarity 0.8
-    miss each other with a probability of 0.36^32 (6e-15), in buckets above ``chunk`` rows, which are divided up to ``depth`` (3)
-    times by further shared keys, with one below 1e-9; the size of the sets does not matter. Of the pairs that meet, those are
-    compared whose sizes allow the similarity and whose 256-bit fingerprints differ in at most ``farthest`` (92) bits: at 0.8
-    some 40 differ, and with the least favourable small sets 48 on average, so that one in 10^9 is above.
+    shingle hashes. In a first pass every row meets the hub of each of its blocks, which joins most groups cheaply: a block is a
+    pair of the set's minima under ``orders`` (16) orders, its hub the row of the most common shingles. Then every pair of
+    ``similarity`` or more meets for certain: of a set of n the first n - ceil(similarity * n) + 1 in one order of all
+    shingles, seldom ones first, are keys, and such sets share one. Keys within one group are dropped; otherwise the rows outside
+    the commonest group meet the rest. Of the pairs that meet, those are compared whose sizes and places in the order allow the
+    similarity and whose 256-bit fingerprints differ in at most ``farthest`` (92) bits: at 0.8 some 40 differ, with the least
+    favourable small sets 48 on average, and one pair in 10^9 more than 92.
 
     Null and empty texts are equal to each other and to texts of white space; a very long text costs its length; repeated rows
     share a group. A null id counts last: a group of null ids only has a null ``component_id``. An empty table gives no rows;
