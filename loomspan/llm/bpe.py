@@ -3,14 +3,16 @@
 All pre-tokens of a batch of documents are laid end to end in one linked list of symbols. Every adjacent pair that has
 a merge rank is a position in the bucket of that rank; a bitmap tree over the ranks tells by find-first-set which bucket
 comes next. A popped bucket drops its stale positions (their pair has changed since), merges the others at once as
-arrays, and puts the new neighbours' pairs into their buckets. One very long pre-token costs as much as many short ones
-of the same length in all: each symbol enters a bucket a bounded number of times.
+arrays, and puts the new neighbours' pairs into their buckets. Some ranks may not be merged at once, as a merge of theirs can
+bring a pair that comes first; of these a bucket gives the first position of each pre-token at a time and keeps the others in
+heaps. So the time grows with the length of a pre-token (and the logarithm of it), however long it is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import lru_cache
 from itertools import islice
 
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 from loomspan.llm.common import text_slices
 
 _EMPTY = np.empty(0, np.int64)
+_NO_SLOTS = np.empty(0, np.int32)
 
 
 class RankBitmap:
@@ -148,27 +151,48 @@ class BytePairs:
                     held.append(part)
 
         put(np.arange(size, dtype=np.int32))
+        waiting: dict[int, dict[int, list[int]]] = {}  # by rank and piece, heaps of positions
         while (r := queue.first()) >= 0:
-            held = buckets.pop(r)
+            held = buckets.pop(r, None)
             queue.discard(r)
-            at = np.sort(np.concatenate(held)) if len(held) > 1 else held[0]
-            at = at[alive[at] & (rank[at] == r)]  # the others are stale
+            if held is not None:
+                at = np.sort(np.concatenate(held)) if len(held) > 1 else held[0]
+                at = at[alive[at] & (rank[at] == r)]  # the others are stale
+            else:
+                at = _NO_SLOTS
+            if self.one_by_one[r] and (len(at) > 1 or r in waiting):
+                heaps = waiting.setdefault(r, {})
+                at = self._first_of_each(at, piece, heaps, lambda x, r=r: alive[x] and rank[x] == r)
+                if heaps:
+                    queue.add(r)
+                else:
+                    del waiting[r]
+            elif len(at) > 1:  # of pairs that overlap in a row, every other one from the left
+                tied = after[at[:-1]] == at[1:]
+                if tied.any():
+                    starts = np.concatenate([[True], ~tied])
+                    run = np.flatnonzero(starts)
+                    nth = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))
+                    at = at[nth % 2 == 0]
             if not len(at):
                 continue
-            if len(at) > 1:
-                if self.one_by_one[r]:  # only the first of each piece; the rest wait for what it brings
-                    first = np.concatenate([[True], piece[at[1:]] != piece[at[:-1]]])
-                    if not first.all():
-                        buckets[r] = [at[~first]]
-                        queue.add(r)
-                        at = at[first]
-                else:  # of pairs that overlap in a row, every other one from the left
-                    tied = after[at[:-1]] == at[1:]
-                    if tied.any():
-                        starts = np.concatenate([[True], ~tied])
-                        run = np.flatnonzero(starts)
-                        nth = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))
-                        at = at[nth % 2 == 0]
+            if len(at) == 1:  # the same without arrays
+                one = int(at[0])
+                lost = int(after[one])
+                beyond, prior = int(after[lost]), int(before[one])
+                symbols[one], alive[lost], rank[lost] = r, False, none
+                after[one], before[beyond] = beyond, one
+                for x, y in ((one, beyond), (prior, one)):
+                    if x >= 0:
+                        key = int(symbols[x]) * (none + 1) + int(symbols[y])
+                        k = int(self.keys.searchsorted(key))
+                        rank[x] = made = int(self.made[k]) if k < len(self.keys) and self.keys[k] == key else none
+                        if made < none:
+                            if made not in buckets:
+                                buckets[made] = []
+                                queue.add(made)
+                            buckets[made].append(np.array([x], np.int32))
+                continue
             gone = after[at]
             symbols[at] = r
             alive[gone] = False
@@ -185,6 +209,33 @@ class BytePairs:
             put(np.concatenate([at, prior]))
         return alive
 
+    @staticmethod
+    def _first_of_each(at: np.ndarray, piece: np.ndarray, heaps: dict[int, list[int]], fresh) -> np.ndarray:
+        """The first fresh position of each piece, of the sorted ``at`` and of ``heaps``, which keep the others."""
+        chosen = []
+        if len(at):
+            cuts = np.flatnonzero(np.diff(piece[at])) + 1
+            starts = np.concatenate([[0], cuts, [len(at)]]).tolist()
+            listed, owners = at.tolist(), piece[at].tolist()
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                heap = heaps.get(owners[a])
+                if heap is not None:
+                    for x in listed[a:b]:
+                        heapq.heappush(heap, x)
+                elif b - a > 1:
+                    heaps[owners[a]] = listed[a:b]  # sorted, so a heap
+                else:
+                    chosen.append(listed[a])
+        for owner, heap in list(heaps.items()):
+            while heap:
+                x = heapq.heappop(heap)
+                if fresh(x):
+                    chosen.append(x)
+                    break
+            if not heap:
+                del heaps[owner]
+        return np.array(sorted(chosen), np.int32)
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
