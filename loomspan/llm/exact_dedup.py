@@ -5,6 +5,8 @@ identifier of the best row, a locator of its content (file and row number) and t
 RocksDB, on disk, and has no watermark, so it never expires. Rows are pre-aggregated before the shuffle, so a group
 that holds a third of the input costs its reducer one row per map task. On hits the stored locator leads to the
 kept row's content and full normalised bytes are compared; digests of which any pair differs are regrouped by text.
+The bytes of all micro-batches' hits are compared in one pass at the end: the kept rows of a batch's hits lie all over the
+earlier files, so a comparison in every batch would read the whole corpus once a batch.
 """
 
 from __future__ import annotations
@@ -85,6 +87,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | None = None,
     digest: Callable[[Column], Column] = sha256_hex,
     work_dir: str | None = None,
 ) -> DataFrame:
@@ -93,7 +96,10 @@ def exact_dedup(
     Returns one row per input row: ``id, keep_id, group_size, kept, digest``. Of equal texts the row with the most
     code points in its original text stays, then the smallest id (a null id comes last), then the first in the files;
     so of repeated identical rows exactly one has ``kept``. A null text equals an empty one. An empty table gives no
-    rows; other columns are not read, whatever their names. ``max_files_per_trigger`` bounds a micro-batch.
+    rows; other columns are not read, whatever their names. A very long text moves as one row.
+
+    ``max_files_per_trigger`` or ``max_bytes_per_trigger`` bounds a micro-batch (of whole files; default: all there is). With a
+    ``work_dir`` a later call takes up only the files that are new and gives the rows of all of them; its state is never dropped.
     ``digest`` may be weak: equality is always decided on full bytes.
     """
     work = work_dir or fresh_dir(spark, "exact-dedup")
@@ -103,13 +109,15 @@ def exact_dedup(
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    elif max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     at = path.rstrip("/")  # as a pattern it may be one file or a folder; a plain path must be a folder
     stream_groups(reader.parquet(f"{at[:-1]}[{at[-1]}]"), work, id_col, text_col, digest)
 
     best = f"struct<neg_length:bigint,no_id:boolean,id:{kind.simpleString()},locator:struct<file:string,row:bigint>>"
     changes = spark.read.schema(f"digest string, best {best}, group_size bigint, batch bigint").parquet(f"{work}/groups")
-    if max_files_per_trigger:  # a group's newest state wins; one batch has each group once
-        changes = changes.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.*")
+    # A group's newest state wins; one batch has each group once.
+    changes = changes.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.*")
     groups = changes.select("digest", F.col("best.id").alias("keep_id"), F.col("best.locator").alias("keep_at"), "group_size")
 
     rows = _rows(docs, id_col, text_col, digest)
