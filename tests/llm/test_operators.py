@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, exact_dedup, language_id, line_dedup, mixing, pii, repetition, simhash, token_counts, token_files
-from loomspan.llm.common import fresh_dir
+from loomspan.llm.common import Scratch, fresh_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew strange potions under moonlit towers".split()
@@ -76,6 +76,18 @@ def test_exact_dedup_decides_on_bytes(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_exact_dedup_resumes_with_new_files(spark):
+    """A second call with the same folder takes up the new file: the newest state of each group, over all rows."""
+    path, work = fresh_dir(spark, "test-docs"), fresh_dir(spark, "test-work")
+    first = [(1, "a b"), (2, "c")]
+    spark.createDataFrame([(*r, None, None, None) for r in first], SCHEMA).coalesce(1).write.parquet(path)
+    one = exact_dedup.exact_dedup(spark, path, work_dir=work)
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in one.collect()) == [(1, 1, 1, True), (2, 2, 1, True)]
+    spark.createDataFrame([(3, "a  b", None, None, None)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    two = exact_dedup.exact_dedup(spark, path, work_dir=work, max_bytes_per_trigger=1)
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in two.collect()) == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)]
+
+
 def test_exact_dedup_empty(spark):
     assert dedup_files(spark, empty(spark)).count() == 0
 
@@ -280,16 +292,25 @@ def test_mix_empty_and_wordless(spark):
     assert [(r.size, r.taken) for r in got] == [(0, 0), (0, 0)]
 
 
-def test_sainte_lague_is_highest_quotients(spark):
+@pytest.mark.parametrize("part", [4096, 2])
+def test_sainte_lague_is_highest_quotients(spark, part):
+    """Ties too: many rows of a group have the same weight."""
     rnd = random.Random(8)
-    rows = [(g, i, float(rnd.randrange(1, 1000)), {"p": 57, "q": 7, "r": 0}[g]) for g in "pqr" for i in range(12)]
-    got = mixing.sainte_lague(spark.createDataFrame(rows, "g string, i int, w double, seats int"), "w", "seats", ["i"], ["g"]).collect()
+    rows = [(g, i, float(rnd.choice([5, 40, 40, rnd.randrange(1, 1000)])), {"p": 57, "q": 7, "r": 0}[g]) for g in "pqr" for i in range(12)]
+    with Scratch(spark, "test") as tmp:
+        got = mixing.sainte_lague(spark.createDataFrame(rows, "g string, i long, w double, seats int"), "w", "seats", "i", "g", tmp, part=part).collect()
     for g, seats in {"p": 57, "q": 7, "r": 0}.items():
         quotients = sorted(((-w / (2 * q + 1), i, q) for gg, i, w, _ in rows if gg == g for q in range(seats)))[:seats]
         want = {i: sum(1 for _, j, _ in quotients if j == i) for gg, i, _, _ in rows if gg == g}
         assert {r.i: r.quota for r in got if r.g == g} == want
 
 
+def test_mix_checks_the_number_of_sources(spark):
+    rows = [(i, "some words here", "en", f"s{i}", 0) for i in range(9)]
+    with pytest.raises(ValueError, match="9 sources"):
+        mixing.mix(frame(spark, rows), max_sources=8)
+
+
 # byte-level BPE
 
 
@@ -311,6 +332,27 @@ def test_bpe_equals_library():
             assert ids[begin[i] : begin[i + 1]].tolist() == library.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("unit", ["ab", "the"])
+def test_bpe_on_very_long_pre_tokens(unit):
+    """One pre-token of 20 and of 320 kB: right, and the time grows with the length, not its square."""
+    import time
+
+    import tiktoken
+
+    pairs = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=pairs.ranks, special_tokens={})
+    seconds = {}
+    for size in (20_000, 320_000):
+        text = (unit * size)[:size]
+        began = time.process_time()
+        ids, _ = pairs.encode([text.encode()])
+        seconds[size] = time.process_time() - began
+        assert pairs.decode(ids.tolist()).decode() == text
+        if size == 20_000:
+            assert ids.tolist() == library.encode_ordinary(text)
+    assert seconds[320_000] < 3 * 16 * seconds[20_000]
+
+
 def test_rank_bitmap():
     bits, held, rnd = bpe.RankBitmap(100_000), set(), random.Random(2)
     for _ in range(3000):
@@ -490,6 +532,14 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """40,000 lines, half of them boilerplate, beside a short text: no step compares lines with lines."""
+    lines = [f"line number {i}" for i in range(40_000)]
+    rows = [(i, "\n".join(lines[::2]), "en", f"s{i}", 0) for i in range(5)] + [(9, "\n".join(lines), "en", "s9", 0)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, rows), removed_col="n").collect()}
+    assert got[0].n == 0 and got[9].n == 20_000 and got[9].text == "\n".join(lines[1::2]) and got[1].text == ""
+
+
 def test_line_dedup_many_sites(spark):
     """Far above the threshold the sketch decides, near it the exact count: 89, 90 and 400 sites at a threshold of 90."""
     rows = [(1000 * k + i, f"line {k}", "en", f"site{i}", 0) for k, n in ((1, 89), (2, 90), (3, 400)) for i in range(n)]
