@@ -37,10 +37,11 @@ class Rules:
     longest_words: int = 50
 
 
-def longest_repeats(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def longest_repeats(words: np.ndarray, sizes: np.ndarray, least: int = 1) -> np.ndarray:
     """For every place, how many words from it on occur at another place of the same document too.
 
-    ``words`` are word numbers of documents laid end to end; ``sizes`` are the documents' lengths. Lengths under 4 may be given as 0.
+    ``words`` are word numbers of documents laid end to end; ``sizes`` are the documents' lengths. Lengths under ``least`` may
+    be given as 0.
     """
     n = len(words)
     if not n:
@@ -77,7 +78,9 @@ def longest_repeats(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
     a, b = suffixes[:-1], suffixes[1:]
-    at = np.flatnonzero(levels[2][a] == levels[2][b]) if len(levels) > 3 else np.flatnonzero(levels[0][a] == levels[0][b])
+    # Level k tells prefixes of 2**k words; neighbours that differ in the last one that ``least`` covers are left out.
+    told = levels[min(max(least, 1).bit_length() - 1, len(levels) - 1)]
+    at = np.flatnonzero(told[a] == told[b])
     a, b, common = a[at], b[at], np.zeros(len(at), np.int64)
     for level, ranks in reversed(list(enumerate(levels))):
         x, y = a + common, b + common
@@ -114,7 +117,7 @@ def measure(texts: list[str], rules: Rules) -> dict[str, np.ndarray]:
     each = [np.fromiter(map(number.__getitem__, t.encode("utf-8", "surrogatepass").split()), np.int64) for t in texts]
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     words = np.concatenate(each) if each else np.zeros(0, np.int64)
-    longest, n = longest_repeats(words, sizes), len(words)
+    longest, n = longest_repeats(words, sizes, min(rules.window, rules.repeat_words)), len(words)
     at = np.flatnonzero(longest >= rules.window)
     in_windows = per_document(covered(at, np.full(len(at), rules.window), n), sizes)
     at = np.flatnonzero(longest >= rules.repeat_words)
