@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import text_slices
+from loomspan.llm.common import Scratch, spare, text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,7 +61,8 @@ def train(texts: DataFrame, *, text_col: str = "text", lang_col: str = "lang", b
     """Count trigrams of all labelled rows by language; rows with a null text or language teach nothing.
 
     Each task sends its non-zero counts, Spark adds them, and the driver gets at most 2**bits rows a language. More than
-    ``max_languages`` languages is an error, since the model is sent to all tasks. An empty table gives a model of none.
+    ``max_languages`` languages is an error, told before any count reaches the driver, since the model is sent to all tasks. An
+    empty table gives a model of none; a very long text is counted as a whole.
     """
     source = texts.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
 
@@ -78,10 +79,12 @@ def train(texts: DataFrame, *, text_col: str = "text", lang_col: str = "lang", b
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
 
     counted = source.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    known = counted.toArrow()
-    languages = tuple(sorted(set(known["lang"].to_pylist())))
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; the model holds {max_languages}")
+    with Scratch(texts.sparkSession, "language") as tmp:
+        counted = tmp.keep(counted, "counts")
+        languages = tuple(sorted(r.lang for r in counted.select("lang").distinct().limit(max_languages + 1).collect()))
+        if len(languages) > max_languages:
+            raise ValueError(f"more than {max_languages} languages")
+        known = counted.toArrow()
     counts = np.full((1 << bits, len(languages)), smoothing)
     place = {x: i for i, x in enumerate(languages)}
     np.add.at(counts, (known["gram"].to_numpy(), [place[x] for x in known["lang"].to_pylist()]), known["n"].to_numpy())
@@ -172,7 +175,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches):
         known = shared.value
         names = np.array([*known.languages, "und"], dtype=object)
-        for batch, texts in text_slices(batches, at):
+        for batch, texts in text_slices(batches, at, max(1 << 16, (1 << 24) // max(8, len(known.languages)))):  # a slice holds characters by languages
             theta, any_gram = infer(texts, known)
             lettered = np.fromiter((g or any(map(str.isalpha, t)) for g, t in zip(any_gram.tolist(), texts, strict=True)), bool, len(texts))
             if theta.shape[1]:
