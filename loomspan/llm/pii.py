@@ -1,9 +1,11 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own type, gender, script and format.
 
 The replacement of an entity is a function of a secret key and the entity's canonical form, so all mentions in all documents
-agree, however they are written. A table of the distinct entities is checked for collisions: where two entities would
-share a replacement, or one would be a real entity of the corpus, all but one get a further attempt, until all differ.
-Built-in functions only.
+agree, however they are written. Of a person the given name and the surname are entities of their own, so all bearers of a
+surname keep a common one. A table of the distinct entities is checked for collisions: where two entities would share a
+replacement, or one would be a real entity of the corpus, all but one get a further attempt; entities that still collide after
+the last attempt get a replacement that tells their kind and 32 keyed digits, so the work always ends. The key is read by a
+scalar subquery and is in no plan. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -11,23 +13,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import stored
+from loomspan.llm.common import Scratch, salted_join, spare, stored
 
-# Titles by the gender they tell, Latin and Cyrillic.
+# Titles by the gender they tell, Latin and Cyrillic; the last ones tell none.
 MALE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа", "г-жа")
 
+NEUTRAL = ("Dr", "Prof", "Mx", "доктор", "профессор")
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLE = "(?:" + "|".join((*MALE, *FEMALE)) + ")"
+_TITLE = "(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + ")"
 #: Kinds in order of precedence at one place, and their patterns (after a boundary on the left).
 KINDS = {
     "person": _TITLE + r"\.?[ \xa0]\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
+    "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
+    "apikey": r"(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abps]|AKIA|ASIA|AIza)[-_]?[A-Za-z0-9][-_A-Za-z0-9]{15,}(?![\p{L}\p{N}])",
+    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\p{L}\p{N}:])",
     "ip": r"(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\d]|\.\d)",
     "card": r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\d\p{L}])",
-    "secret": r"[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
+    "secret": r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
 }
 PATTERN = r"(?<!\d\.)(?<![\p{L}\p{N}_@+])(?:" + "|".join(KINDS.values()) + ")"
 
@@ -54,23 +61,25 @@ def kind_of(mention: Column) -> Column:
 
 
 def canonical(kind: Column, mention: Column) -> Column:
-    """What mentions of one entity share: digits, or lower case; a person's own name without the title."""
+    """What mentions of one entity share: digits, or lower case."""
     return (
         F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(mention, r"\D", ""))
-        .when(kind == "person", F.lower(F.regexp_replace(mention, "^" + _TITLE + r"\.?[ \xa0]", "")))
+        .when(kind == "iban", F.replace(mention, F.lit(" ")))
+        .when(kind == "apikey", mention)
         .otherwise(F.lower(mention))
     )
 
 
-def gender(kind: Column, mention: Column) -> Column:
-    told = F.when(mention.rlike("^(?:" + "|".join(FEMALE) + r")\b"), F.lit("female")).otherwise(F.lit("male"))
-    return F.when(kind == "person", told).otherwise(F.lit(""))
+def gender(mention: Column) -> Column:
+    """Of a person's mention; a title that tells none gives names of either kind."""
+    starts = lambda titles: mention.rlike("^(?:" + "|".join(titles) + r")\.?[ \xa0]")
+    return F.when(starts(FEMALE), F.lit("female")).when(starts(MALE), F.lit("male")).otherwise(F.lit("any"))
 
 
-def _stream(key: str, *parts: Column) -> Column:
+def _stream(key: Column, *parts: Column) -> Column:
     """128 hexadecimal digits that only the key's holder can foretell (an HMAC-like hash under the key)."""
-    inner = F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
-    return F.sha2(F.concat(F.lit(key), inner), 512)
+    inner = F.sha2(F.concat_ws("\x1f", key, *parts), 256)
+    return F.sha2(F.concat(key, inner), 512)
 
 
 def _nibble(stream: Column, i: Column) -> Column:
@@ -132,100 +141,121 @@ def _card(mention: Column, stream: Column) -> Column:
 def _name_word(word: Column, role: Column, gender_: Column, stream: Column, attempt: Column) -> Column:
     """A name of the word's script; given names end as the gender's names do; further attempts are longer."""
     script = F.when(word.rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    told = F.when(gender_ != "any", gender_).when(_nibble(stream, F.lit(1)) % 2 == 0, F.lit("male")).otherwise(F.lit("female"))
     made = F.lit("")
     for s, syllables in _SYLLABLES.items():
         table = F.array(*map(F.lit, syllables))
         body = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.element_at(table, _nibble(stream, i + 4) + 1)), "")
         for part in ("male", "female", "surname"):
             ends = F.array(*map(F.lit, _ENDINGS[s, part]))
-            fits = (script == s) & (F.when(role == "surname", F.lit("surname")).otherwise(gender_) == part)
+            fits = (script == s) & (F.when(role == "surname", F.lit("surname")).otherwise(told) == part)
             made = F.when(fits, F.concat(body, F.element_at(ends, _nibble(stream, F.lit(0)) % 8 + 1))).otherwise(made)
     return F.when(word.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(F.initcap(made))
 
 
-def surrogate(key: str, kind: Column, mention: Column, canon: Column, gender_: Column, attempt: Column) -> Column:
-    """The replacement of a mention; of a canonical form it is the replacement's canonical form."""
-    stream = _stream(key, kind, canon, attempt.cast("string"))
-    # Country codes stay; addresses at one domain stay at one domain; a surname is the same beside any given name.
+def with_surrogate(df: DataFrame, key: Column, mention: str) -> DataFrame:
+    """``df`` (``kind, canon, gender, attempt``) with ``made``, the replacement of column ``mention``. The key makes two streams, as columns."""
+    host = _stream(key, F.lit("domain"), F.lower(F.substring_index(mention, "@", -1)))
+    streams = df.withColumns({"stream": _stream(key, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt").cast("string")), "host_stream": host})
+    return streams.withColumn("made", surrogate(F.col("kind"), F.col(mention), F.col("gender"), F.col("attempt"), F.col("stream"), F.col("host_stream"))).drop("stream", "host_stream")
+
+
+def surrogate(kind: Column, mention: Column, gender_: Column, attempt: Column, stream: Column, host_stream: Column) -> Column:
+    """The replacement of a mention (of a person: of one of the name's words); after the last attempt a plain one that cannot collide."""
+    # Country codes stay, and addresses at one domain stay at one domain; a further attempt makes the local part longer.
     country = F.length(F.regexp_replace(F.regexp_extract(mention, r"^\+(\d{1,3})[ .(-]", 1), r"\D", ""))
     octet = lambda i: (_byte(stream, F.lit(i)) % 254 + 1).cast("string")
     local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
     host = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)
-    email = F.concat(_recast(local, stream), F.lit("@"), _recast(host, _stream(key, F.lit("domain"), F.lower(domain))), F.lit("."), F.substring_index(domain, ".", -1))
-    title = F.regexp_extract(mention, "^(" + _TITLE + r"\.?[ \xa0])", 1)
-    words = F.split(F.regexp_replace(mention, "^" + _TITLE + r"\.?[ \xa0]", ""), " ")
-    named = F.transform(
-        words,
-        lambda w, i: _name_word(
-            w,
-            F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.lit("given")),
-            gender_,
-            _stream(key, F.lit("name"), F.lower(w), attempt.cast("string")),
-            attempt,
-        ),
-    )
+    longer = F.translate(F.substring(stream, F.lit(100), attempt), "0123456789", "ghijklmnop")
+    email = F.concat(_recast(local, stream), longer, F.lit("@"), _recast(host, host_stream), F.lit("."), F.substring_index(domain, ".", -1))
+    start = F.regexp_extract(mention, "^(?:(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abps]|AKIA|ASIA|AIza)[-_]?)", 0)
+    bare = F.replace(mention, F.lit(" "))
+    account = F.concat(F.substring(bare, 1, 2), _recast(F.substr(bare, F.lit(3)), stream))
+    account = F.when(F.contains(mention, F.lit(" ")), F.regexp_replace(account, "(.{4})(?=.)", "$1 ")).otherwise(account)
     return (
-        F.when(kind == "person", F.concat(title, F.array_join(named, " ")))
+        F.when(attempt < 0, F.concat(kind, F.lit("-"), F.substring(stream, 1, 32)))
+        .when(kind.isin("given", "surname"), _name_word(mention, kind, gender_, stream, attempt))
         .when(kind == "email", email)
         .when(kind == "phone", _digits(mention, stream, country))
         .when(kind == "ssn", _digits(mention, stream))
         .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
         .when(kind == "card", _card(mention, stream))
+        .when(kind == "iban", account)
+        .when(kind == "apikey", F.concat(start, _recast(F.substr(mention, F.length(start) + 1), stream)))
         .otherwise(_hex(mention, stream))
     )
 
 
 def _hex(mention: Column, stream: Column) -> Column:
-    digit = lambda c, i: F.when(c.rlike("[A-F]"), F.upper(F.substring(stream, (i % 128 + 1).cast("int"), F.lit(1)))).otherwise(F.substring(stream, (i % 128 + 1).cast("int"), F.lit(1)))
+    """Hexadecimal digits become others of the same case; colons stay."""
+    lower = lambda i: F.substring(stream, (i % 128 + 1).cast("int"), F.lit(1))
+    digit = lambda c, i: F.when(c == ":", c).when(c.rlike("[A-F]"), F.upper(lower(i))).otherwise(lower(i))
     return F.array_join(F.transform(F.split(mention, ""), digit), "")
 
 
-def settle(entities: DataFrame, key: str, most_attempts: int = 16) -> DataFrame:
+def settle(entities: DataFrame, key: Column, tmp: Scratch, most_attempts: int = 16) -> DataFrame:
     """Give each distinct entity (``kind, canon, gender, sample``) the first ``attempt`` at which all replacements differ.
 
-    ``sample`` is one mention. The loop ends when no two entities of a kind share a replacement and none is an entity
-    itself; each round hashes only, and moves on the losers (all but the first by canonical form).
+    ``sample`` is one mention. The loop ends when no two entities of a kind share a replacement and none is an entity itself;
+    each round hashes only, and moves on the losers (all but the first by canonical form). Whoever still loses after
+    ``most_attempts`` rounds, as where a format has fewer forms than there are entities, gets attempt -1.
     """
-    real = stored(entities.withColumn("attempt", F.lit(0)), "pii-entities")
-    now = real
-    for _ in range(most_attempts):
-        made = now.withColumn("made", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("sample"), F.col("canon"), F.col("gender"), F.col("attempt"))))
+    now = real = tmp.keep(entities.withColumn("attempt", F.lit(0)), "entities")
+    for round_ in range(most_attempts):
+        made = with_surrogate(now, key, "sample").withColumn("made", canonical(F.col("kind"), F.col("made")))
         shared = made.groupBy("kind", "made").agg(F.min(F.struct("canon", "gender")).alias("first"), F.count(F.lit(1)).alias("n"))
         taken = real.select(F.col("kind").alias("k"), F.col("canon").alias("c")).distinct()
         shared = shared.join(taken, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("c")), "left").filter((F.col("n") > 1) | F.col("c").isNotNull())
-        shared = stored(shared.select("kind", "made", F.when(F.col("c").isNull(), F.col("first")).alias("first")), "pii-collisions")
+        shared = tmp.keep(shared.select("kind", "made", F.when(F.col("c").isNull(), F.col("first")).alias("first")), "collisions")
         if shared.isEmpty():
-            return now
+            break
         lost = F.col("s.made").isNotNull() & ~F.coalesce(F.struct("m.canon", "m.gender") == F.col("s.first"), F.lit(False))
-        now = stored(
+        after = F.lit(-1) if round_ == most_attempts - 1 else F.col("m.attempt") + 1
+        now = tmp.keep(
             made.alias("m")
             .join(shared.alias("s"), (F.col("m.kind") == F.col("s.kind")) & (F.col("m.made") == F.col("s.made")), "left")
-            .select("m.kind", "m.canon", "m.gender", "m.sample", (F.col("m.attempt") + lost.cast("int")).alias("attempt")),
-            "pii-entities",
+            .select("m.kind", "m.canon", "m.gender", "m.sample", F.when(lost, after).otherwise(F.col("m.attempt")).alias("attempt")),
+            "entities",
         )
-    raise RuntimeError(f"entities still share replacements after {most_attempts} attempts; use a longer name scheme or another key")
+    return now
 
 
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with every entity in ``text_col`` replaced; other columns unchanged.
+    """``docs`` with every entity in ``text_col`` replaced; other columns unchanged, whatever their names.
 
     Null and entity-free texts stay as they are; repeated rows get equal results; a null id is a value like others; an
-    empty table gives an empty table. ``count_col`` adds the number of replaced mentions (a column of that name is replaced).
+    empty table gives an empty table; the time of a very long text grows with its length. ``count_col`` adds the number of
+    replaced mentions (a column of that name is replaced). Persons are found after a title only.
     """
-    text = F.col(text_col)
+    spark, text = docs.sparkSession, F.col(text_col)
+    # The key is data, not part of an expression: plans, event logs and the web interface do not show it.
+    secret = spark.createDataFrame([(key,)], "key string").scalar()
     mentions = F.regexp_extract_all(text, F.lit(PATTERN), 0)
-    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.explode(F.array_distinct(mentions)).alias("mention"))
-    found = found.withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention"))).withColumn("gender", gender(F.col("kind"), F.col("mention")))
-    found = stored(found, "pii-mentions")
-    entities = settle(found.groupBy("kind", "canon", "gender").agg(F.min("mention").alias("sample")), key)
-    named = found.join(entities.select("kind", "canon", "gender", "attempt"), ["kind", "canon", "gender"])
-    made = named.select("id", "x", "mention", surrogate(key, F.col("kind"), F.col("mention"), F.col("canon"), F.col("gender"), F.col("attempt")).alias("made"))
-    maps = made.groupBy("id", "x").agg(F.map_from_entries(F.collect_set(F.struct("mention", "made"))).alias("_made")).withColumnsRenamed({"id": "_pii_id", "x": "_pii_x"})
+    h, own_id, own_h, made_at = spare(docs, "_h", "_own_id", "_own_h", "_made")
+    with Scratch(spark, "pii") as tmp:
+        found = tmp.keep(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.posexplode(mentions).alias("pos", "mention")), "mentions")
+        kinds = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
+        # A mention's parts: a person's words, else itself.
+        title = F.when(F.col("kind") == "person", F.regexp_extract("mention", "^" + _TITLE + r"\.?[ \xa0]", 0)).otherwise(F.lit(""))
+        words = F.split(F.substr(F.col("mention"), F.length("title") + 1), F.when(F.col("kind") == "person", F.lit(" ")).otherwise(F.lit(r"(?!)")))
+        parts = kinds.withColumn("title", title).select("mention", "title", "kind", F.size(words).alias("n"), F.posexplode(words).alias("at", "part"))
+        role = F.when(F.col("kind") != "person", F.col("kind")).when(F.col("at") == F.col("n") - 1, F.lit("surname")).otherwise(F.lit("given"))
+        told = F.when(role == "given", gender(F.col("mention"))).otherwise(F.lit(""))
+        parts = parts.select("mention", "title", "at", "part", told.alias("gender"), role.alias("kind"))
+        parts = tmp.keep(parts.withColumn("canon", canonical(F.col("kind"), F.col("part"))), "parts")
+        entities = settle(parts.groupBy("kind", "canon", "gender").agg(F.min("part").alias("sample")), secret, tmp)
+        named = salted_join(parts, entities.select("kind", "canon", "gender", "attempt"), ["kind", "canon", "gender"], "mention")
+        whole = F.concat("title", F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "made"))), lambda x: x["made"]), " "))
+        replaced = tmp.keep(with_surrogate(named, secret, "part").groupBy("mention", "title").agg(whole.alias("made")).select("mention", "made"), "replaced")
+        placed = salted_join(found, replaced, ["mention"], "id")
+        maps = placed.groupBy("id", "x").agg(F.sort_array(F.collect_set(F.struct("pos", "made"))).alias("made"))  # repeated rows have the same places
+        maps = stored(maps.select(F.col("id").alias(own_id), F.col("x").alias(own_h), F.transform("made", lambda x: x["made"]).alias(made_at)), "pii-places")
     rest = [c for c in docs.columns if c != count_col]
-    joined = docs.select(*rest).withColumn("_pii_h", F.xxhash64(text)).join(maps, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.col("_pii_h") == F.col("_pii_x")), "left")
+    joined = docs.select(*rest).withColumn(h, F.xxhash64(text)).join(maps, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_h)), "left")
     gaps = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(gaps, F.transform(mentions, lambda m: F.element_at("_made", m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    columns = [F.when(F.col("_made").isNull(), text).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in rest]
+    whole = F.array_join(F.zip_with(gaps, made_at, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    columns = [F.when(F.col(made_at).isNull(), text).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in rest]
     if count_col:
-        columns.append(F.when(F.col("_made").isNull(), F.lit(0)).otherwise(F.size(mentions)).cast("long").alias(count_col))
+        columns.append(F.when(F.col(made_at).isNull(), F.lit(0)).otherwise(F.size(made_at)).cast("long").alias(count_col))
     return joined.select(*columns)

@@ -566,11 +566,23 @@ def test_longest_repeats():
     rnd = random.Random(3)
     for _ in range(150):
         docs = [[rnd.randrange(rnd.choice([1, 2, 3, 10])) for _ in range(rnd.randrange(40))] for _ in range(rnd.randrange(1, 6))]
-        got = repetition.longest_repeats(np.array([x for d in docs for x in d], np.int64), np.array([len(d) for d in docs]))
+        got = repetition.longest_repeats(np.array([x for d in docs for x in d], np.int64), np.array([len(d) for d in docs]), rnd.choice([1, 4]))
         want = np.array([x for d in docs for x in brute_longest(d)], np.int64)
         assert (np.where(got < 4, 0, got) == np.where(want < 4, 0, want)).all()
 
 
+@pytest.mark.parametrize("window,repeat", [(1, 1), (2, 2), (3, 3)])
+def test_repetition_of_short_windows(window, repeat):
+    """Short windows too, and a text's figures do not depend on the texts beside it."""
+    rnd, rules = random.Random(17), repetition.Rules(window=window, repeat_words=repeat)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(1, 40))) for _ in range(60)] + ["x y z " * 30]
+    both = repetition.measure(texts, rules)
+    for i, t in enumerate(texts):
+        longest = brute_longest(t.split())
+        assert both["n_repeat_words"][i] == len({q for p, n in enumerate(longest) if n >= window for q in range(p, p + window)})
+        assert both["longest_repeat"][i] == max([n for n in longest if n >= repeat], default=0)
+
+
 def test_repetition_rules_against_brute_force(spark):
     rnd, rows = random.Random(9), odd_rows()
     for i in range(60):
@@ -639,3 +651,75 @@ def test_surrogates_stay_distinct(spark):
     before = {r[1] for r in rows}
     got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, SCHEMA), "k").collect()]
     assert len(set(got)) == len(before) and not set(got) & before
+
+
+def test_surrogates_never_run_out(spark):
+    """26 one-letter addresses at one short domain, and more numbers than a format has forms: all distinct, and none fails."""
+    rows = [(i, f"to {chr(97 + i)}@x.org", "en", "a", 0) for i in range(26)]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, SCHEMA), "k").collect()]
+    assert len(set(got)) == 26 and not set(got) & {r[1] for r in rows} and all(t.endswith(".org") for t in got)
+    crowd = spark.createDataFrame([("ipv6", f"{i:x}", "", f"{i:x}") for i in range(16)], "kind string, canon string, gender string, sample string")
+    with Scratch(spark, "test") as tmp:
+        settled = pii.settle(crowd, F.lit("k"), tmp, most_attempts=3)
+        made = [r.made for r in pii.with_surrogate(settled, F.lit("k"), "sample").collect()]
+    assert len(set(made)) == 16 and all(m.startswith("ipv6-") for m in made)
+
+
+def test_surrogates_of_further_kinds(spark):
+    text = "Dr. Ada Long and Mr Long: DE44 5001 0517 5407 3249 31 or DE44500105175407324931, 2001:0db8:85a3:0000:0000:8a2e:0370:7334, sk-abcDEF1234567890abcDEF, " + "ab" * 100 + "; end"
+    (row,) = pii.pseudonymise(spark.createDataFrame([(1, text, None, None, None)], SCHEMA), "k", count_col="n").collect()
+    import re
+
+    assert row.n == 7 and not any(x in row.text for x in ("Ada", "Long", "5407", "85a3", "abcDEF", "abab"))
+    names = re.match(r"Dr\. (\w+) (\w+) and Mr (\w+):", row.text)
+    assert names[2] == names[3]
+    ibans = re.search(r": (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}),", row.text)
+    assert ibans[1].replace(" ", "") == ibans[2]
+    assert re.search(r", [0-9a-f]{4}(:[0-9a-f]{4}){7}, sk-[a-z]{3}[A-Z]{3}\d{10}[a-z]{3}[A-Z]{3}, [0-9a-f]{200}; end$", row.text)
+
+
+def test_surrogates_key_is_in_no_plan(spark):
+    out = pii.pseudonymise(frame(spark, [(1, "Mr. John Smith", None, None, None)]), "very-secret-key")
+    assert "very-secret-key" not in out._jdf.queryExecution().toString()
+
+
+def test_surrogates_against_plain_replacement(spark):
+    """Every mention is replaced as its entity alone would be, and nothing else changes."""
+    import re
+
+    rnd = random.Random(12)
+    entities = ["a.b@x.org", "c@y.net", "10.1.2.3", "743-555-3824", "123-45-6789", "Mr. John Smith", "Mrs Eva Smith"]
+    rows = [(i, " ".join(rnd.choice([*entities, "word", "3.14", "x,"]) for _ in range(rnd.randrange(12))), None, None, None) for i in range(60)]
+    rows += [(100 + i, e, None, None, None) for i, e in enumerate(entities)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows), "k").collect()}
+    alone = {e: got[100 + i] for i, e in enumerate(entities)}
+    assert len(set(alone.values())) == len(alone) and not set(alone) & set(alone.values())
+    pattern = re.compile("|".join(map(re.escape, entities)))
+    assert all(got[i] == pattern.sub(lambda m: alone[m[0]], t) for i, t, *_ in rows)
+
+
+def test_language_mixture_against_plain_em():
+    """Proportions and the chosen set against EM over every set of languages, document by document."""
+    rnd = np.random.default_rng(3)
+    p = rnd.dirichlet(np.full(1 << 8, 0.3), 4).T
+    model = language_id.Model(("a", "b", "c", "d"), np.log(p).astype(np.float32), 8)
+    texts = ["".join(rnd.choice(list("abcdefghijklmnop "), 90)) for _ in range(25)]
+    theta, _ = language_id.infer(texts, model, tolerance=1e-9)
+    for t, row in zip(texts, theta):
+        found, _ = language_id.grams([t], 8)
+
+        def fit(chosen):
+            q, mix = np.exp(model.log_p[found][:, chosen].astype(np.float64)), np.full(len(chosen), 1 / len(chosen))
+            for _ in range(3000):
+                share = q * mix
+                mix = (share / share.sum(1, keepdims=True)).mean(0)
+            return np.log(q @ mix).sum(), mix
+
+        order = np.argsort(-fit(list(range(4)))[1], kind="stable")
+        sets = [[i] for i in range(4)] + [sorted(order[:k].tolist()) for k in (2, 3, 4)]
+        score = {tuple(c): fit(c)[0] - 3 * np.log(len(found)) * (len(c) - 1) for c in sets}
+        best = max(score, key=score.get)
+        near = [c for c in score if score[c] > score[best] - 0.01]
+        mine = tuple(np.flatnonzero(row > 1e-6).tolist())
+        assert any(set(mine) <= set(c) for c in near)
+        assert abs(row[list(best)] - fit(list(best))[1]).max() < 0.02 or len(near) > 1
