@@ -15,7 +15,7 @@ WEEKDAYS = ("su", "mo", "tu", "we", "th", "fr", "sa")
 
 def bucket(ms: Column) -> Column:
     """Number of the duration bucket: how many edges are at or below ``ms``; null for null."""
-    return F.when(ms.isNotNull(), F.size(F.filter(F.array(*map(F.lit, EDGES)), lambda e: e <= ms)))
+    return sum(((ms >= e).cast("int") for e in EDGES[1:]), (ms >= EDGES[0]).cast("int"))
 
 
 def _short(ms: int) -> str:
@@ -50,8 +50,12 @@ def histogram_quantile(hist: Column, q: float, top: Column) -> Column:
 
 
 def histogram_of(ms: Column) -> Column:
-    """Aggregate: counts in the 16 buckets; 16 conditional counts that Spark pre-aggregates."""
-    b = bucket(ms)
+    """Aggregate: the histogram of durations."""
+    return histogram(bucket(ms))
+
+
+def histogram(b: Column) -> Column:
+    """Aggregate of bucket numbers: counts in the 16 buckets; 16 conditional counts that Spark pre-aggregates."""
     return F.array(*(F.count_if(b == i) for i in range(len(EDGES) + 1)))
 
 

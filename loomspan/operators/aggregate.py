@@ -43,12 +43,12 @@ def dimension_pairs(rows: DataFrame, dims: list[str], keep: list[str]) -> DataFr
 
 def distributions(calls: DataFrame, dims: list[str], weight: Column | None = None) -> DataFrame:
     """Per dimension and value: calls, weight, errors, duration histogram and maximum. Each call counts once per distinct value."""
-    rows = calls.withColumn("_w", (weight if weight is not None else F.lit(1)).cast("double"))
-    return dimension_pairs(rows, dims, ["_w", "err", "ms"]).groupBy("dim", "value").agg(
+    rows = calls.withColumns({"_w": (weight if weight is not None else F.lit(1)).cast("double"), "_b": S.bucket(F.col("ms"))})  # the bucket once a call
+    return dimension_pairs(rows, dims, ["_w", "_b", "err", "ms"]).groupBy("dim", "value").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("_w").alias("weight"),
         F.count_if("err").alias("errors"),
-        S.histogram_of(F.col("ms")).alias("hist"),
+        S.histogram(F.col("_b")).alias("hist"),
         F.max("ms").alias("max_ms"),
     )
 

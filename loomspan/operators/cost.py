@@ -19,30 +19,33 @@ def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     prefix beats it. Models without any price are not in the result.
     """
     ids = models.select("model", "provider").distinct().withColumn("id", S.model_id(F.col("model")))
-
-    def hits(rows: DataFrame, layers: tuple[str, ...]) -> DataFrame:
-        cut = rows.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("id")), lambda n: F.substring(F.col("id"), F.lit(1), n))))
-        table = prices.filter(F.col("layer").isin(*layers)).withColumnRenamed("provider", "_provider")
-        found = cut.join(table, "prefix")
-        exact = (F.col("layer") != "gateway") | ((F.col("prefix") == F.col("id")) & (F.col("_provider") == F.col("provider")))
-        return found.filter(exact).drop("_provider")
-
+    rates = ["input", "output", "cache_read", "cache_write", "cache_write_1h"]
     place = F.array_position(F.array(*map(F.lit, ("user", "gateway", "community", "built-in"))), F.col("layer"))
     base = F.when(F.col("layer").isin("community", "built-in"), F.lit(3)).otherwise(place)
+    order = F.struct(base, -F.length("prefix"), place)
 
-    def first(rows: DataFrame) -> DataFrame:
-        best = Window.partitionBy("model", "provider").orderBy(base, F.length("prefix").desc(), place)
-        return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "alias")
-
-    direct = first(hits(ids, ("user", "gateway", "community", "built-in")))
-    aliases = hits(ids, ("alias",)).withColumn("_r", F.row_number().over(Window.partitionBy("model", "provider").orderBy(F.length("prefix").desc()))).filter("_r = 1")
-    aliases = aliases.select("model", "provider", F.col("prefix").alias("alias_prefix"), F.col("alias").alias("target"))
-    users = direct.filter("layer = 'user'").select("model", "provider", F.length("prefix").alias("user_length"))
-    aliases = aliases.join(users, ["model", "provider"], "left").filter("user_length IS NULL OR user_length < length(alias_prefix)").drop("user_length")
-    hop = first(hits(aliases.select("model", "provider", S.model_id(F.col("target")).alias("id")), ("user", "gateway", "community", "built-in")))
-    hop = hop.join(aliases.select("model", "provider", "alias_prefix"), ["model", "provider"]).withColumn("layer", F.lit("alias")).withColumn("prefix", F.col("alias_prefix")).drop("alias_prefix")
-    plain = direct.join(aliases, ["model", "provider"], "left_anti")
-    return plain.unionByName(hop.select(plain.columns))
+    def hits(rows: DataFrame) -> DataFrame:
+        """Rows with each price entry whose prefix their ``id`` has; all columns of prices are null where there is none."""
+        cut = rows.withColumn("prefix", F.explode_outer(F.transform(F.when(F.length("id") > 0, F.sequence(F.lit(1), F.length("id"))), lambda n: F.substring(F.col("id"), F.lit(1), n))))
+        found = cut.join(prices.withColumnRenamed("provider", "_provider"), "prefix", "left")
+        exact = (F.col("layer") != "gateway") | ((F.col("prefix") == F.col("id")) & (F.col("_provider") == F.col("provider")))
+        return found.withColumn("layer", F.when(exact, F.col("layer")))
+
+    price = F.struct("layer", "prefix", *rates)
+    listed = F.coalesce(F.col("layer") != "alias", F.lit(False))
+    # One pass finds a model's own price and its alias, a second one the price of the alias' target; the models are read once.
+    own = hits(ids).groupBy("model", "provider").agg(
+        F.min_by(price, F.when(listed, order)).alias("own"),
+        F.max_by(F.struct("prefix", "alias"), F.when(F.col("layer") == "alias", F.length("prefix"))).alias("other"),
+        F.max(F.when(F.col("layer") == "user", F.length("prefix"))).alias("user_length"),
+    )
+    aliased = F.col("other").isNotNull() & F.coalesce(F.col("user_length") < F.length("other.prefix"), F.lit(True))
+    named = own.select("model", "provider", "own", aliased.alias("aliased"), F.col("other.prefix").alias("alias_prefix"), F.when(aliased, S.model_id(F.col("other.alias"))).alias("id"))
+    both = hits(named).groupBy("model", "provider").agg(
+        F.first("own").alias("own"), F.first("aliased").alias("aliased"), F.first("alias_prefix").alias("alias_prefix"), F.min_by(price, F.when(listed, order)).alias("hop")
+    )
+    chosen = F.when(F.col("aliased"), F.when(F.col("hop").isNotNull(), F.struct(F.lit("alias").alias("layer"), F.col("alias_prefix").alias("prefix"), *(F.col(f"hop.{r}").alias(r) for r in rates)))).otherwise(F.col("own"))
+    return both.select("model", "provider", chosen.alias("_p")).select("model", "provider", "_p.*").filter("layer IS NOT NULL")
 
 
 def list_cost() -> Column:

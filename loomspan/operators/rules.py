@@ -137,7 +137,14 @@ def transitions(samples: DataFrame, rule: Rule) -> DataFrame:
 
 
 def throttled(alerts: DataFrame, seconds: int = 30) -> DataFrame:
-    """Notifications: fires and escalations, per session and rule at most one every ``seconds`` since the previous change."""
-    w = Window.partitionBy("session", "rule").orderBy("t_ms")
+    """Notifications: fires and escalations, per session and rule at most one every ``seconds`` since the last one sent.
+
+    The times of a session's and rule's alerts, and nothing else, are folded in order; rows of one time share their fate.
+    """
     wanted = alerts.filter(F.col("state").isin("fire", "escalate"))
-    return wanted.withColumn("_gap", F.col("t_ms") - F.lag("t_ms").over(w)).filter(F.coalesce(F.col("_gap") >= seconds * 1000, F.lit(True))).drop("_gap")
+    times = wanted.groupBy("session", "rule").agg(F.array_sort(F.collect_set("t_ms")).alias("times"))
+    nothing = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
+    due = lambda s, t: s["last"].isNull() | (t - s["last"] >= seconds * 1000)
+    step = lambda s, t: F.when(due(s, t), F.struct(t.cast("long").alias("last"), F.concat(s["sent"], F.array(t.cast("long"))).alias("sent"))).otherwise(s)
+    sent = times.select("session", "rule", F.explode(F.aggregate("times", nothing, step)["sent"]).alias("t_ms"))
+    return wanted.join(sent, ["session", "rule", "t_ms"], "left_semi")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -16,5 +18,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    if not session.conf.get("spark.checkpoint.dir", None):  # on a cluster the setting names a shared folder
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-tests-"))
     yield session
     session.stop()

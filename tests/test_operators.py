@@ -185,6 +185,8 @@ def test_rules(spark):
     assert [r.id for r in rules.merge_rules([rules.Rule("loop", "repeat_run", critical=9)])][2] == "loop" and rules.merge_rules([rules.Rule("loop", "repeat_run", critical=9)])[2].critical == 9
     alerts = rules.transitions(df, now).filter("session = 1")
     assert [r.t_ms // 1000 for r in rules.throttled(alerts, 2).orderBy("t_ms").collect()] == [1, 4]
+    steady = spark.createDataFrame([(1, "r", t * 20_000, "fire") for t in range(1, 8)], "session long, rule string, t_ms long, state string")
+    assert [r.t_ms // 1000 for r in rules.throttled(steady, 30).orderBy("t_ms").collect()] == [20, 60, 100, 140]
 
 
 def test_patch_and_time_zone(spark):
