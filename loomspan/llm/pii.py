@@ -10,8 +10,9 @@ scalar subquery and is in no plan. Built-in functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.llm.common import Scratch, salted_join, spare, stored
 
@@ -153,6 +154,17 @@ def _name_word(word: Column, role: Column, gender_: Column, stream: Column, atte
     return F.when(word.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(F.initcap(made))
 
 
+def secret_of(spark: SparkSession, key: str) -> Column:
+    """The key as a scalar subquery over a local table of one row; a plan names the table's column, never its value."""
+    gateway = spark.sparkContext._gateway
+    values = gateway.new_array(gateway.jvm.java.lang.Object, 1)
+    values[0] = key
+    rows = gateway.jvm.java.util.ArrayList()
+    rows.add(gateway.jvm.org.apache.spark.sql.RowFactory.create(values))
+    schema = spark._jsparkSession.parseDataType(T.StructType([T.StructField("key", T.StringType())]).json())
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, schema), spark).scalar()
+
+
 def with_surrogate(df: DataFrame, key: Column, mention: str) -> DataFrame:
     """``df`` (``kind, canon, gender, attempt``) with ``made``, the replacement of column ``mention``. The key makes two streams, as columns."""
     host = _stream(key, F.lit("domain"), F.lower(F.substring_index(mention, "@", -1)))
@@ -229,8 +241,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     replaced mentions (a column of that name is replaced). Persons are found after a title only.
     """
     spark, text = docs.sparkSession, F.col(text_col)
-    # The key is data, not part of an expression: plans, event logs and the web interface do not show it.
-    secret = spark.createDataFrame([(key,)], "key string").scalar()
+    secret = secret_of(spark, key)
     mentions = F.regexp_extract_all(text, F.lit(PATTERN), 0)
     h, own_id, own_h, made_at = spare(docs, "_h", "_own_id", "_own_h", "_made")
     with Scratch(spark, "pii") as tmp:
