@@ -134,6 +134,14 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def top_files(files: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most edited files (file, n), by name where equal, and after them what lies outside (an empty or null name), as one row."""
+    outside = F.coalesce("file", F.lit("")) == ""
+    found = files.filter(~outside).select("file", "n").orderBy(F.col("n").desc(), "file").limit(n)
+    rest = files.filter(outside).agg(F.sum("n").alias("n")).filter("n > 0").select(F.lit("").alias("file"), "n")
+    return found.unionByName(rest)
+
+
 def page(rows: DataFrame, key: str, after=None, limit: int = 200) -> DataFrame:
     """Keyset paging in descending order of ``key`` and then ``session``: rows after the cursor (key, session)."""
     if not 1 <= limit <= 1000:

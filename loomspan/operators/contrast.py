@@ -104,6 +104,19 @@ def compare_tools(a: DataFrame, b: DataFrame, least: int = 50, by: str = "tool")
     return rows.withColumn("chi2", F.when(enough, chi_square(F.col("errors_a"), F.col("calls_a"), F.col("errors_b"), F.col("calls_b"))))
 
 
+def compare_skills(a: DataFrame, b: DataFrame, sessions_a: DataFrame, sessions_b: DataFrame, least: int = 20) -> DataFrame:
+    """Skills of two groups (name, session, usd): loads, dollars, sessions, and the chi-square of the sessions that load them.
+
+    The test needs ``least`` sessions in each group (``sessions_*``: all of a group's), and is unknown below.
+    """
+    side = lambda df, s: df.groupBy("name").agg(F.count(F.lit(1)).alias(f"loads_{s}"), F.sum("usd").alias(f"usd_{s}"), F.count_distinct("session").alias(f"sessions_{s}"))
+    size = lambda df, s: df.agg(F.count_distinct("session").alias(f"_n_{s}"))
+    rows = side(a, "a").join(side(b, "b"), "name", "full_outer").na.fill(0)
+    rows = rows.join(size(sessions_a, "a").join(size(sessions_b, "b"), F.lit(True)), F.lit(True))  # one row each
+    chi = chi_square(F.col("sessions_a"), F.col("_n_a"), F.col("sessions_b"), F.col("_n_b"))
+    return rows.withColumn("chi2", F.when((F.col("_n_a") >= least) & (F.col("_n_b") >= least), chi)).drop("_n_a", "_n_b")
+
+
 def compare_sets(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Values that only a, only b or both have."""
     x, y = a.select(value).distinct().withColumn("_a", F.lit(True)), b.select(value).distinct().withColumn("_b", F.lit(True))

@@ -80,6 +80,16 @@ def mode_sums(rows: DataFrame, by: list[str], modes: tuple[str, ...]) -> DataFra
     )
 
 
+def summary(rows: DataFrame, today: str, modes: tuple[str, ...]) -> DataFrame:
+    """Sums of today, of the last seven days and of the month so far, by mode: one pass, a row adds to each period it lies in."""
+    d = F.lit(today).cast("date")
+    periods = F.array_compact(F.array(
+        F.when(F.col("day") == d, "today"), F.when(F.col("day") > F.date_sub(d, 7), "week"), F.when(F.col("day") >= F.trunc(d, "month"), "month")
+    ))
+    since = F.least(F.date_sub(d, 6), F.trunc(d, "month"))
+    return mode_sums(rows.filter((F.col("day") <= d) & (F.col("day") >= since)).withColumn("period", F.explode(periods)), ["period"], modes)
+
+
 def unpriced(rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` models with most unpriced tokens, and one row for the rest."""
     sums = rows.filter("cost IS NULL").groupBy("model").agg(F.sum(tokens()).alias("tokens"))

@@ -6,10 +6,14 @@ Everything is partitioned by a key, and sweeps over many calls also by time buck
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def active_minutes(rows: DataFrame, by: list[str], t_ms: str = "t_ms", gap: int = 5) -> DataFrame:
@@ -133,24 +137,70 @@ def clobbers(commands: DataFrame, writes: DataFrame, within: int) -> DataFrame:
     return a.join(b, ["top", "_cell"]).filter("w_t <= c_t").filter((F.col("c_t") - F.col("w_t") <= within) & (F.col("c_session") != F.col("w_session"))).drop("_cell")
 
 
+def in_order(rows: DataFrame, by: list[str], order: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
+    """Rows of each key in ``order`` through a state machine that sees one row at a time.
+
+    ``start`` gives a fresh step for each key; a step takes a row as a dict and gives the rows it makes, as tuples of ``schema``.
+    Spark deals and sorts the rows (spilling where it must), and a task reads them in Arrow batches: it holds a batch and the
+    machine's state, never a whole key.
+    """
+
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                own = tuple(r[c] for c in by)
+                if step is None or own != key:
+                    key, step = own, start()
+                out += step(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(made)], schema=made)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def lanes(spans: DataFrame, by: list[str], lane: str = "lane") -> DataFrame:
-    """Greedy lane packing: each span takes the lowest lane that is free at its start. One graph (key) at a time."""
+    """Greedy lane packing: each span takes the lowest lane that is free at its start; equal spans go by their other columns.
+
+    A key is cut where no span is open, as all lanes are free there, so the parts of one key are packed in different tasks. A
+    task holds the spans that are open, no key and no part. Times are not null.
+    """
+    w = Window.partitionBy(*by).orderBy("t0", "t1")
+    reach = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("_fresh", F.coalesce(F.col("t0") >= reach, F.lit(True)).cast("int"))
+    cut = fresh.withColumn("_island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    columns = spans.columns
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t0", "t1"], kind="stable")
+    def start():
         busy: list[tuple[int, int]] = []
         free: list[int] = []
-        out = []
-        for t0, t1 in zip(pdf["t0"], pdf["t1"]):
-            while busy and busy[0][0] <= t0:
+
+        def step(r: dict) -> list[tuple]:
+            while busy and busy[0][0] <= r["t0"]:
                 heapq.heappush(free, heapq.heappop(busy)[1])
             n = heapq.heappop(free) if free else len(busy)
-            heapq.heappush(busy, (t1, n))
-            out.append(n)
-        return pdf.assign(**{lane: out})
+            heapq.heappush(busy, (r["t1"], n))
+            return [(*(r[c] for c in columns), n)]
+
+        return step
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema) + f", {lane} long"
-    return spans.groupBy(*by).applyInPandas(pack, schema)
+    return in_order(cut, [*by, "_island"], ["t0", "t1", *(c for c in columns if c not in (*by, "t0", "t1"))], start, schema)
+
+
+def overlapping_pairs(spans: DataFrame, key: list[str], name: str, other: str = "other", bucket_ms: int = 86_400_000) -> DataFrame:
+    """Spans of one key that overlap (ends included), both ways: an equi join on key and time bucket, each pair once a side.
+
+    A pair meets in every bucket that both touch and is kept in the first one, so a hot key is dealt over its buckets.
+    """
+    first, last = F.floor(F.col("t0") / bucket_ms), F.floor(F.col("t1") / bucket_ms)
+    cut = spans.withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    right = cut.select(*key, "_bucket", *(F.col(c).alias(f"{other}_{c}") for c in (name, "t0", "t1", "_first")))
+    met = cut.join(right, [*key, "_bucket"])
+    kept = met.filter((F.col("_bucket") == F.greatest("_first", f"{other}__first")) & (F.col(name) != F.col(f"{other}_{name}")) & (F.col("t0") <= F.col(f"{other}_t1")) & (F.col(f"{other}_t0") <= F.col("t1")))
+    return kept.select(*key, name, F.col(f"{other}_{name}").alias(other))
 
 
 def timeline(spans: DataFrame, row: Column, width_ms: int) -> DataFrame:
@@ -179,12 +229,30 @@ def causes(rows: DataFrame, by: list[str], order: str, failed: Column, reply: Co
     return rows.withColumn("cause", F.last(F.when(reply, F.col(order)), ignorenulls=True).over(w)).filter(failed)
 
 
-def pair_results(calls: DataFrame, results: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Calls with their results by id; where there is none, first in, first out."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    a, b = calls.withColumn("_n", nth), results.withColumn("_n", nth)
-    extra = [c for c in results.columns if c not in key]
-    return a.join(b.select(*key, "_n", *(F.col(c).alias(f"result_{c}") for c in extra)), [*key, "_n"], "left").drop("_n")
+def pair_results(calls: DataFrame, results: DataFrame, key: list[str], order: str, call_id: str | None = None) -> DataFrame:
+    """Calls with their results, by ``call_id`` within ``key`` if it is given; what that leaves over, first in, first out.
+
+    Equal ids pair in order, an id without a partner and a null id go by place, and null keys meet each other.
+    """
+
+    def matched(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        on = [*by, "_n"]
+        x, y = a.withColumn("_n", nth), b.withColumn("_n", nth)
+        y = y.select(*(F.col(c).alias(f"_r_{c}") for c in on), *(F.col(c).alias(f"result_{c}") for c in extra))
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on))
+        return x.join(y, same, "full_outer")
+
+    extra = [c for c in results.columns if c not in key and c != call_id]
+    made = [*calls.columns, *(f"result_{c}" for c in extra)]
+    if call_id is None:
+        return matched(calls, results, key).filter("_n IS NOT NULL").select(made)
+    known = lambda df, yes: df.filter(F.col(call_id).isNotNull() if yes else F.col(call_id).isNull())
+    met = matched(known(calls, True), known(results, True), [*key, call_id])
+    paired = met.filter("_n IS NOT NULL AND _r__n IS NOT NULL").select(made)
+    rest = met.filter("_r__n IS NULL").select(calls.columns).unionByName(known(calls, False))
+    loose = met.filter("_n IS NULL").select(*(F.col(f"_r_{c}").alias(c) for c in (*key, call_id)), *(F.col(f"result_{c}").alias(c) for c in extra))
+    return paired.unionByName(matched(rest, loose.unionByName(known(results, False)), key).filter("_n IS NOT NULL").select(made))
 
 
 def spread_untimed(spans: DataFrame, parent: str = "parent") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.intervals import in_order
+
 
 def owned(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows whose owner is the first copy in ``order``, one per ``key``: a grouped minimum of a struct, pre-aggregated in each task."""
@@ -102,22 +103,30 @@ def attribute_skills(requests: DataFrame, loads: DataFrame) -> DataFrame:
     ``requests``: session, seq, input, cache_read, write_5m, write_1h, context; ``loads``: session, name, seq (the request that first
     carries it), size. Earlier loads are carried first, oldest first, from cache reads, then new ones are loaded from cache writes,
     bounded by the context's growth (proportionally, largest remainder). A context under half of the last one and below the open
-    loads' sum drops them all. Rows: session, seq, name, slot (load or carry), tokens. The state of one session is small (its open
-    loads), its requests are streamed in order.
+    loads' sum drops them all. Rows: session, seq, name, slot (load or carry), tokens. Requests and loads of a session are read
+    in order as one stream; a task holds the open loads of one session and those of one request, not the session.
     """
 
-    def run(key, pdf_requests: pd.DataFrame, pdf_loads: pd.DataFrame) -> pd.DataFrame:
-        rows, open_loads, last = [], [], 0.0
-        pending = pdf_loads.sort_values(["seq", "name"], kind="stable").to_dict("records")
-        for r in pdf_requests.sort_values("seq").to_dict("records"):
+    def start():
+        open_loads: list[dict] = []
+        waiting: list[dict] = []
+        last = 0.0
+
+        def step(r: dict) -> list[tuple]:
+            nonlocal last
+            if waiting and waiting[0]["seq"] != r["seq"]:
+                waiting.clear()
+            if r["_is_request"] == 0:
+                waiting.append({"name": r["name"], "seq": r["seq"], "size": float(r["size"])})
+                return []
+            rows = []
             left = [float(r[c]) for c in ("input", "cache_read", "write_5m", "write_1h")]
             context = float(r["context"])
             if last > 0 and context < 0.5 * last and context < sum(x["size"] for x in open_loads):
-                open_loads = []
+                open_loads.clear()
             for x in open_loads:
-                got = sum(_take(left, x["size"], (1, 2, 3, 0)))
-                rows.append((key[0], r["seq"], x["name"], "carry", got))
-            new = [dict(x) for x in pending if x["seq"] == r["seq"]]
+                rows.append((r["session"], r["seq"], x["name"], "carry", sum(_take(left, x["size"], (1, 2, 3, 0)))))
+            new = [dict(x) for x in waiting]
             growth, wanted = context - last, sum(x["size"] for x in new)
             if 0 < growth < wanted:
                 exact = [x["size"] * growth / wanted for x in new]
@@ -128,13 +137,17 @@ def attribute_skills(requests: DataFrame, loads: DataFrame) -> DataFrame:
                 for x, f in zip(new, floors):
                     x["size"] = f
             for x in new:
-                rows.append((key[0], r["seq"], x["name"], "load", sum(_take(left, x["size"], (2, 3, 0, 1)))))
-            open_loads += new
+                rows.append((r["session"], r["seq"], x["name"], "load", sum(_take(left, x["size"], (2, 3, 0, 1)))))
+            open_loads.extend(new)
             last = context
-        return pd.DataFrame(rows, columns=["session", "seq", "name", "slot", "tokens"])
+            return rows
+
+        return step
 
-    loads = loads.select(*(F.col(c).alias(c) for c in loads.columns))  # both may come from one table
-    return requests.groupBy("session").cogroup(loads.groupBy("session")).applyInPandas(run, "session long, seq long, name string, slot string, tokens double")
+    asked = requests.select("session", "seq", "input", "cache_read", "write_5m", "write_1h", "context").withColumn("_is_request", F.lit(1))
+    given = loads.select("session", "seq", "name", F.col("size").cast("double").alias("size")).withColumn("_is_request", F.lit(0))
+    both = asked.unionByName(given, allowMissingColumns=True)
+    return in_order(both, ["session"], ["seq", "_is_request", "name", "size"], start, "session long, seq long, name string, slot string, tokens double")
 
 
 def skill_table(rows: DataFrame, loads: DataFrame) -> DataFrame:

@@ -108,9 +108,9 @@ def cost_per_commit(costs: DataFrame, commits: DataFrame) -> DataFrame:
     return costs.join(n, "session", "left").select("session", "cost", F.coalesce("commits", F.lit(0)).alias("commits"), F.try_divide("cost", "commits").alias("cost_per_commit"))
 
 
-def native_usage(usage: DataFrame, spans: DataFrame) -> DataFrame:
-    """Usage records whose request no span has and whose session is not exported: two anti joins."""
-    return usage.join(spans.select("request").distinct(), "request", "left_anti").join(spans.select("session").distinct(), "session", "left_anti")
+def native_usage(usage: DataFrame, requests: DataFrame, exported: DataFrame) -> DataFrame:
+    """Usage records whose request no span in ``requests`` has and whose session is not ``exported``: two anti joins."""
+    return usage.join(requests.select("request").distinct(), "request", "left_anti").join(exported.select("session").distinct(), "session", "left_anti")
 
 
 def link_processes(processes: DataFrame, sessions: DataFrame, within_ms: int = 60_000) -> DataFrame:

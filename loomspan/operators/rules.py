@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,25 +112,23 @@ class Machine:
 
 
 def transitions(samples: DataFrame, rule: Rule) -> DataFrame:
-    """Level changes of a rule over samples (session, t_ms, value; null is absent), each session in time order.
+    """Level changes of a rule over samples (session, t_ms, value; null is absent), each session in time order, then by value.
 
-    Without a hold time the level is a function of the sample, so ``lag`` tells the changes; with one, a small state per session
-    runs through its samples.
+    The level is a function of the sample and of how long each threshold has held: the time of the first sample since the last
+    one that did not hold. Windows of one sort tell both; no session is gathered.
     """
-    if rule.hold_s <= 0:
-        w = Window.partitionBy("session").orderBy("t_ms")
-        marked = samples.withColumn("to_level", level(rule, F.col("value"))).withColumn("from_level", F.coalesce(F.lag("to_level").over(w), F.lit(0)))
-    else:
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            m, rows = Machine(rule), []
-            for s, t, v in pdf.sort_values("t_ms")[["session", "t_ms", "value"]].itertuples(index=False):
-                was = m.level
-                m.step(None if pd.isna(v) else v, t)
-                rows.append((s, t, None if pd.isna(v) else float(v), m.level, was))
-            return pd.DataFrame(rows, columns=["session", "t_ms", "value", "to_level", "from_level"])
-
-        marked = samples.groupBy("session").applyInPandas(run, "session long, t_ms long, value double, to_level int, from_level int")
+    w = Window.partitionBy("session").orderBy("t_ms", "value")
+    marked, long_enough = samples, {}
+    for name, threshold in (("critical", rule.critical), ("degraded", rule.degraded)):
+        holds = _holds(rule.op, F.col("value"), threshold)
+        long_enough[name] = holds
+        if rule.hold_s > 0:
+            begins = holds & ~F.coalesce(F.lag(holds).over(w), F.lit(False))
+            marked = marked.withColumn(f"_{name}", F.when(begins, F.col("t_ms")))
+            since = F.last(f"_{name}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+            long_enough[name] = holds & (F.col("t_ms") - since >= rule.hold_s * 1000)
+    to = F.when(long_enough["critical"], 2).when(long_enough["degraded"], 1).otherwise(0)
+    marked = marked.withColumn("to_level", to).withColumn("from_level", F.coalesce(F.lag("to_level").over(w), F.lit(0)))
     state = F.when(F.col("from_level") == 0, "fire").when(F.col("to_level") == 0, "resolve").when(F.col("to_level") > F.col("from_level"), "escalate").otherwise("deescalate")
     return marked.filter("to_level <> from_level").select("session", F.lit(rule.id).alias("rule"), "t_ms", F.col("from_level").cast("int").alias("from_level"), F.col("to_level").cast("int").alias("to_level"), state.alias("state"), F.col("value").cast("double").alias("value"))
 

@@ -116,6 +116,14 @@ def a17_files(spark, sf_dir):
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tool").isin("click", "purchase")).alias("edits"), F.count_if("err").alias("errors"))
 
 
+@query(f"""{WITH_CALLS}, f AS (SELECT CASE WHEN file LIKE 'src/d3/%' THEN '' ELSE file END AS file FROM (SELECT unnest(files) AS file FROM calls)), n AS (SELECT file, count(*) AS n FROM f GROUP BY file)
+  SELECT * FROM (SELECT file, n FROM n WHERE file <> '' ORDER BY n DESC, file LIMIT 7) UNION ALL SELECT '', n FROM n WHERE file = ''""")
+def o2_top_files(spark, sf_dir):
+    """The seven most touched files and all of another root as one row."""
+    rows = T.calls(spark, sf_dir).select(F.explode("files").alias("file")).withColumn("file", F.when(F.col("file").startswith("src/d3/"), "").otherwise(F.col("file")))
+    return A.top_files(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")), 7)
+
+
 @query(f"{WITH_BOTH} SELECT harness, count(*) AS sessions, sum(tools)::BIGINT AS tools, max(tools) AS busiest_tools, arg_max(session, (tools, -session)) AS busiest FROM sessions GROUP BY harness")
 def a18_harness_stats(spark, sf_dir):
     s = T.sessions(spark, sf_dir)

@@ -63,6 +63,22 @@ def k7_mode_sums(spark, sf_dir):
     return made.withColumns({c: F.round(c, 4).cast("double") for c in ("cost_a", "cost_n", "cost_r", "cost", "estimated")})
 
 
+@query(f"""{WITH_COST}, x AS (SELECT *, unnest(list_filter([CASE WHEN day = DATE '1998-06-15' THEN 'today' END, CASE WHEN day BETWEEN DATE '1998-06-09' AND DATE '1998-06-15' THEN 'week' END, CASE WHEN day BETWEEN DATE '1998-06-01' AND DATE '1998-06-15' THEN 'month' END], lambda p: p IS NOT NULL)) AS period FROM {_EXACT})
+  SELECT period, round(sum(CASE WHEN mode = 'A' THEN cost ELSE 0 END), 4)::DOUBLE AS cost_a, round(sum(CASE WHEN mode = 'N' THEN cost ELSE 0 END), 4)::DOUBLE AS cost_n, round(sum(CASE WHEN mode = 'R' THEN cost ELSE 0 END), 4)::DOUBLE AS cost_r,
+  round(sum(cost), 4)::DOUBLE AS cost, sum(CASE WHEN cost IS NULL THEN toks ELSE 0 END)::BIGINT AS unpriced_tokens, round(sum(CASE WHEN price_source = 'alias' THEN cost ELSE 0 END), 4)::DOUBLE AS estimated FROM x GROUP BY period""")
+def k11_summary(spark, sf_dir):
+    """Today, seven days and the month so far, by mode."""
+    made = K.summary(booked(spark, sf_dir).withColumn("cost", F.col("cost").cast("decimal(18,8)")), "1998-06-15", ("A", "N", "R"))
+    return made.withColumns({c: F.round(c, 4).cast("double") for c in ("cost_a", "cost_n", "cost_r", "cost", "estimated")})
+
+
+@query(f"""{WITH_COST} SELECT session, grouping(session)::INT AS is_total, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(write_5m + write_1h)::BIGINT AS cache_write,
+  sum(CASE WHEN cost IS NULL THEN toks ELSE 0 END)::BIGINT AS unpriced_tokens, count(DISTINCT session) AS sessions, round(sum(cost), 4)::DOUBLE AS cost FROM {_EXACT} GROUP BY ROLLUP (session)""")
+def a16_cost_by_session(spark, sf_dir):
+    rows = booked(spark, sf_dir).withColumn("cost", F.col("cost").cast("decimal(18,8)"))
+    return A.rollup_cost(rows, "session").withColumn("cost", F.round("cost", 4).cast("double")).withColumn("is_total", F.col("is_total").cast("int"))
+
+
 @query(f"{WITH_COST}, u AS (SELECT model, sum(toks) AS t, row_number() OVER (ORDER BY sum(toks) DESC, model) AS n FROM booked WHERE cost IS NULL GROUP BY model) SELECT CASE WHEN n <= 3 THEN model ELSE '(more)' END AS model, sum(t)::BIGINT AS tokens, count(*) AS models FROM u GROUP BY 1")
 def k13_unpriced(spark, sf_dir):
     return K.unpriced(booked(spark, sf_dir), 3)
@@ -169,7 +185,11 @@ def r7_rule_transitions(spark, sf_dir):
     return R.transitions(samples, R.Rule("slow", "command_age", ">=", degraded=10000, critical=20000))
 
 
-@query(None)
+@query(f"""{WITH_CALLS}, s AS (SELECT session, t_ms, ms::DOUBLE AS value, coalesce(ms >= 1000, false) AS d, coalesce(ms >= 10000, false) AS c FROM calls),
+  g AS (SELECT *, sum((NOT d)::INT) OVER w AS gd, sum((NOT c)::INT) OVER w AS gc FROM s WINDOW w AS (PARTITION BY session ORDER BY t_ms ROWS UNBOUNDED PRECEDING)),
+  l AS (SELECT *, CASE WHEN c AND t_ms - min(CASE WHEN c THEN t_ms END) OVER (PARTITION BY session, gc) >= 600000 THEN 2 WHEN d AND t_ms - min(CASE WHEN d THEN t_ms END) OVER (PARTITION BY session, gd) >= 600000 THEN 1 ELSE 0 END AS lv FROM g),
+  t AS (SELECT *, coalesce(lag(lv) OVER (PARTITION BY session ORDER BY t_ms), 0) AS was FROM l)
+  SELECT session, 'slow' AS rule, t_ms, was::INT AS from_level, lv::INT AS to_level, CASE WHEN was = 0 THEN 'fire' WHEN lv = 0 THEN 'resolve' WHEN lv > was THEN 'escalate' ELSE 'deescalate' END AS state, value FROM t WHERE lv <> was""")
 def r7_rule_hold_time(spark, sf_dir):
     """The same with a hold time of ten minutes."""
     samples = T.calls(spark, sf_dir).select("session", "t_ms", F.col("ms").cast("double").alias("value"))

@@ -134,7 +134,11 @@ def j1_call_results(spark, sf_dir):
     return made.select("seq", "result_seq", (F.col("result_t_ms") - F.col("t_ms")).alias("took"))
 
 
-@query(None)
+@query(f"""{SPANS_SQL.replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT session, seq, t0, t1, row_number() OVER (PARTITION BY session ORDER BY t0, t1, seq) AS n FROM spans),
+  p AS (SELECT session, seq, t0, t1, n, 0::BIGINT AS lane, [t1] AS ends FROM o WHERE n = 1 UNION ALL
+    SELECT session, seq, t0, t1, n, lane, ends[1:lane] || [t1] || ends[lane + 2:] FROM (
+      SELECT o.*, p.ends, (coalesce(list_position(list_transform(p.ends, lambda e: e <= o.t0), true), len(p.ends) + 1) - 1)::BIGINT AS lane FROM p JOIN o ON o.session = p.session AND o.n = p.n + 1))
+  SELECT session, seq, t0, t1, lane FROM p""")
 def w8_lanes(spark, sf_dir):
     """Greedy lanes of each session's spans."""
     return I.lanes(spans(spark, sf_dir).select("session", "seq", "t0", "t1"), ["session"])

@@ -96,17 +96,16 @@ def j16_native_usage(spark, sf_dir):
     request = (F.col("out") * 1000 + F.col("session")).alias("request")
     calls = T.calls(spark, sf_dir).select("tool", "seq", "session", "hour", request)
     errors = calls.filter("tool = 'error'")
-    by_request = calls.filter("tool = 'purchase'").join(errors.select("request").distinct(), "request", "left_anti")
-    return by_request.join(errors.filter("hour = 3").select("session").distinct(), "session", "left_anti").select("seq")
+    return P.native_usage(calls.filter("tool = 'purchase'"), errors, errors.filter("hour = 3")).select("seq")
 
 
-@query(f"{WITH_CALLS}, s AS (SELECT session, min(t_ms) AS w0, max(t_ms) AS w1, count(DISTINCT t_ms // 60000) AS minutes FROM calls GROUP BY session), c AS (SELECT a.session, b.session AS other, row_number() OVER (PARTITION BY a.session ORDER BY b.minutes DESC, b.session) AS n FROM s a JOIN s b ON a.session <> b.session AND a.session % 5 = b.session % 5 AND a.w0 <= b.w1 AND b.w0 <= a.w1) SELECT session, other, n AS rank FROM c WHERE n <= 10")
+@query(f"{WITH_CALLS}, s AS (SELECT session, min(t_ms) AS w0, max(t_ms) AS w1, count(DISTINCT t_ms // 60000) AS minutes FROM calls GROUP BY session), c AS (SELECT a.session, b.session AS other, row_number() OVER (PARTITION BY a.session ORDER BY b.minutes DESC, b.session) AS n FROM s a JOIN s b ON a.session <> b.session AND a.session % 5 = b.session % 5 AND a.w0 <= b.w1 AND b.w0 <= a.w1) SELECT session, other, n AS rank FROM c WHERE n <= 40")
 def j13_related_candidates(spark, sf_dir):
-    """Sessions of one project whose windows overlap, the busiest ten."""
-    s = T.calls(spark, sf_dir).groupBy("session").agg(F.min("t_ms").alias("w0"), F.max("t_ms").alias("w1"), F.count_distinct(F.floor(F.col("t_ms") / 60000)).alias("minutes")).withColumn("project", F.col("session") % 5)
-    o = s.select("project", F.col("session").alias("other"), F.col("w0").alias("o0"), F.col("w1").alias("o1"), F.col("minutes").alias("m"))
-    met = s.join(o, "project").filter((F.col("session") != F.col("other")) & (F.col("w0") <= F.col("o1")) & (F.col("o0") <= F.col("w1")))
-    return top_per_group(met, ["session"], [F.col("m").desc(), F.col("other")], 10).select("session", "other", "rank")
+    """Sessions of one project whose windows overlap, the busiest forty."""
+    s = T.calls(spark, sf_dir).groupBy("session").agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t1"), F.count_distinct(F.floor(F.col("t_ms") / 60000)).alias("minutes")).withColumn("project", F.col("session") % 5)
+    met = I.overlapping_pairs(s.select("project", "session", "t0", "t1"), ["project"], "session")
+    busy = met.join(s.select(F.col("session").alias("other"), "minutes"), "other")
+    return top_per_group(busy, ["session"], [F.col("minutes").desc(), F.col("other")], 40).select("session", "other", "rank")
 
 
 @query("SELECT CASE WHEN event_type IN ('click', 'view') THEN 'file' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -120,8 +119,9 @@ def a30_session_summary(spark, sf_dir):
     return T.calls(spark, sf_dir).groupBy("session").agg((F.max("t_ms") - F.min("t_ms")).alias("wall_ms"), F.count_distinct("day").alias("days"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{WITH_CALLS} SELECT session, count(*) AS spans, max(n) AS most FROM (SELECT session, seq, count(*) OVER (PARTITION BY session) AS n FROM calls WHERE ms IS NOT NULL) GROUP BY session")
+@query(f"""{SPANS_SQL}, e AS (SELECT session, t0 AS t, 1 AS d FROM spans WHERE t1 > t0 UNION ALL SELECT session, t1, -1 FROM spans WHERE t1 > t0), p AS (SELECT session, d, sum(d) OVER (PARTITION BY session ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS open FROM e)
+  SELECT session, count(*) FILTER (d = 1) AS spans, max(open)::BIGINT AS most FROM p GROUP BY session""")
 def w8_lane_sizes(spark, sf_dir):
-    """Every span gets a lane: as many rows as spans."""
-    made = I.lanes(spans(spark, sf_dir).select("session", "seq", "t0", "t1"), ["session"])
-    return made.groupBy("session").agg(F.count(F.lit(1)).alias("spans"), F.count("lane").alias("most"))
+    """Greedy packing needs as many lanes as spans are ever open at once."""
+    made = I.lanes(spans(spark, sf_dir).filter("t1 > t0").select("session", "seq", "t0", "t1"), ["session"])
+    return made.groupBy("session").agg(F.count(F.lit(1)).alias("spans"), (F.max("lane") + 1).alias("most"))

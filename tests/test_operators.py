@@ -195,3 +195,80 @@ def test_patch_and_time_zone(spark):
     rows = spark.createDataFrame([(date(2024, 1, 1), 1), (date(2024, 1, 1), 23)], "day date, hour long")
     assert [(r.day, r.hour) for r in ownership.shifted(rows, -2).orderBy("day", "hour").collect()] == [(date(2023, 12, 31), 23), (date(2024, 1, 1), 21)]
     assert datetime(2024, 1, 1)
+
+
+def test_lanes_in_parts_and_batches(spark):
+    """Long spans over many batches, null keys, equal spans and gaps: as packed by hand in order."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), i, t, t + rnd.choice([0, 3, 40, 400])) for i in range(600) for t in [rnd.randrange(3000)]] + [("c", 900, 5, 5), ("c", 901, 5, 5)]
+    df = spark.createDataFrame(rows, "g string, id long, t0 long, t1 long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.id: r.lane for r in intervals.lanes(df, ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for g in ("a", "b", "c", None):
+        ends: list[int] = []
+        for _, i, t0, t1 in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[3], r[1])):
+            n = next((k for k, e in enumerate(ends) if e <= t0), len(ends))
+            ends[n:n + 1] = [t1]
+            want[i] = n
+    assert got == want
+    assert intervals.lanes(df.limit(0), ["g"]).columns == ["g", "id", "t0", "t1", "lane"] and intervals.lanes(df.limit(0), ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("op", [">=", "<"])
+def test_hold_times_against_the_machine(spark, op):
+    rnd = random.Random(9)
+    samples = [(s, t * 1000, rnd.choice([None, 0.0, 2.0, 4.0, 6.0])) for s in range(5) for t in sorted(rnd.sample(range(1, 400), 120))]
+    df = spark.createDataFrame(samples, "session long, t_ms long, value double")
+    for rule in (rules.Rule("x", "tool_calls", op, degraded=3, critical=5, hold_s=6), rules.Rule("x", "tool_calls", op, critical=3, hold_s=2)):
+        got = sorted((r.session, r.t_ms, r.from_level, r.to_level, r.state) for r in rules.transitions(df, rule).collect())
+        want, machines = [], {}
+        for s, t, v in samples:
+            m = machines.setdefault(s, rules.Machine(rule))
+            was = m.level
+            state = m.step(v, t)
+            if state:
+                want.append((s, t, was, m.level, state))
+        assert want and got == sorted(want)
+
+
+def test_skill_attribution_over_batches(spark):
+    """Several loads of one request, a load whose request is not there, sessions dealt together: as for each session alone."""
+    requests = spark.createDataFrame([(s, q, 10, 40 * q, 60, 0, 40 * q + 70) for s in (1, 2, 3) for q in range(1, 9)], "session long, seq long, input long, cache_read long, write_5m long, write_1h long, context long")
+    loads = spark.createDataFrame([(s, n, q, 15.0) for s in (1, 2, 3) for n, q in (("b", 2), ("a", 2), ("lost", 20), ("c", 5))], "session long, name string, seq long, size double")
+    whole = lambda r, x: sorted((v.session, v.seq, v.name, v.slot, v.tokens) for v in ownership.attribute_skills(r, x).collect())
+    got = whole(requests, loads)
+    assert got == sorted(v for s in (1, 2, 3) for v in whole(requests.filter(f"session = {s}"), loads.filter(f"session = {s}")))
+    assert [(v[1], v[2]) for v in got if v[0] == 1 and v[3] == "load"] == [(2, "a"), (2, "b"), (5, "c")] and sum(v[3] == "carry" for v in got if v[0] == 1) == 6 * 2 + 3
+
+
+def test_results_by_id_then_by_place(spark):
+    calls = spark.createDataFrame([("s", 1, "x"), ("s", 2, None), ("s", 3, "y"), ("s", 4, "x"), (None, 1, None), ("t", 1, "z")], "session string, seq long, call string")
+    results = spark.createDataFrame([("s", 10, "y", 1), ("s", 11, "x", 2), ("s", 12, None, 3), ("s", 13, "gone", 4), (None, 14, None, 5)], "session string, seq long, call string, took long")
+    got = {(r.session, r.seq): r.result_took for r in intervals.pair_results(calls, results, ["session"], "seq", "call").collect()}
+    assert got == {("s", 1): 2, ("s", 2): 3, ("s", 3): 1, ("s", 4): 4, (None, 1): 5, ("t", 1): None}
+    placed = {(r.session, r.seq): r.result_took for r in intervals.pair_results(calls.drop("call"), results.drop("call"), ["session"], "seq").collect()}
+    assert placed == {("s", 1): 1, ("s", 2): 2, ("s", 3): 3, ("s", 4): 4, (None, 1): 5, ("t", 1): None}
+
+
+def test_overlapping_pairs(spark):
+    rows, df = spans(spark, 11, 60)
+    for bucket in (100, 4000):
+        got = [(r.g, r.id, r.other) for r in intervals.overlapping_pairs(df, ["g"], "id", bucket_ms=bucket).collect()]
+        assert sorted(got) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_skill_comparison_and_top_files(spark):
+    a = spark.createDataFrame([("s", i, 1.0) for i in range(15)] + [("t", 1, 2.0)], "name string, session long, usd double")
+    b = spark.createDataFrame([("s", i, 1.0) for i in range(3)], "name string, session long, usd double")
+    many, few = spark.range(25).withColumnRenamed("id", "session"), spark.range(5).withColumnRenamed("id", "session")
+    got = {r.name: r for r in contrast.compare_skills(a, b, many, many).collect()}
+    n, x = 50, abs(15 * 22 - 3 * 10) - 25
+    assert got["s"].chi2 == pytest.approx(n * x * x / (18 * 32 * 25 * 25)) and (got["t"].loads_a, got["t"].loads_b, got["t"].usd_a, got["t"].sessions_b) == (1, 0, 2.0, 0)
+    assert [r.chi2 for r in contrast.compare_skills(a, b, many, few).collect()] == [None, None]
+    files = spark.createDataFrame([("a", 2), ("b", 5), ("c", 2), (None, 9), ("", 1)], "file string, n long")
+    assert [(r.file, r.n) for r in aggregate.top_files(files, 2).collect()] == [("b", 5), ("a", 2), ("", 10)]
