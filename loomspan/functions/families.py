@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions.scalars import mcp_server, tool_category
+
 # Programs by how their family is told.
 TRIVIAL = ("cd", "pushd", "popd", "export", "source", ".", "set", "unset", "ulimit", "true", "false", "echo", "printf", "test", "[", "[[", "mkdir", "local", "read", "trap", "for", "case", "done", "fi", "exit", "return", ":")
 FILTERS = ("cat", "grep", "rg", "sed", "head", "tail", "awk", "jq", "wc", "sort", "uniq", "tee", "less", "cut", "tr", "column")
@@ -31,6 +33,16 @@ KIND_WORDS = (
     ("net", ("ssh", "scp", "rsync", "curl", "wget")),
 )
 
+# Tools by name, for kinds of tools and of events.
+USER_TOOLS = ("askuserquestion", "ask_user", "askuser")
+WAIT_TOOLS = ("taskoutput", "bashoutput", "monitor", "wait", "write_stdin", "killshell")
+AGENT_TOOLS = ("agent", "task", "sendmessage", "spawn_agent", "send_input", "wait_agent")
+WEB_TOOLS = ("webfetch", "websearch", "google_web_search")
+FILE_TOOLS = ("read", "edit", "write", "grep", "glob", "ls", "notebookedit", "multiedit", "apply_patch", "read_file", "write_file", "replace", "list_directory", "read_many_files", "search_file_content", "patch")
+EDIT_TOOLS = ("edit", "write", "multiedit", "notebookedit", "apply_patch", "write_file", "replace", "patch", "str_replace_editor", "create_file")
+SEARCH_TOOLS = ("grep", "glob", "ls", "list_directory", "search_file_content", "find", "list", "codesearch", "rg")
+SKILL_TOOLS = ("skill", "activate_skill")
+
 #: Options that take a value of their own, of package managers, runners and task tools.
 VALUE_OPTIONS = ("-C", "--dir", "--filter", "-F", "--prefix", "--cwd", "--workspace", "--config", "-p", "--package", "--from", "--with", "--python", "-c", "--git-dir", "--work-tree", "-f", "--file", "--directory", "-n", "--namespace", "--context", "-R", "--repo", "--project", "-H")
 
@@ -80,8 +92,8 @@ def part_family(part: Column) -> Column:
 def family(command: Column) -> Column:
     """Family of a shell line; ``sh`` if it has only trivial parts."""
     named = F.filter(F.transform(parts(command), part_family), lambda f: f != "")
-    real = F.filter(named, lambda f: ~f.isin(*FILTERS))
-    return F.coalesce(F.try_element_at(real, F.lit(1)), F.try_element_at(named, F.lit(1)), F.lit("sh"))
+    first = lambda n: F.coalesce(F.try_element_at(F.filter(n, lambda f: ~f.isin(*FILTERS)), F.lit(1)), F.try_element_at(n, F.lit(1)), F.lit("sh"))
+    return F.element_at(F.transform(F.array(named), first), 1)  # bound by a lambda: evaluated once
 
 
 def kind(family_: Column) -> Column:
@@ -108,11 +120,38 @@ def tool_kind(tool: Column) -> Column:
     """user, wait, agent, web, mcp, file or other, for tools that are no shell."""
     low = F.lower(tool)
     return (
-        F.when(low.isin("askuserquestion", "ask_user", "askuser") | low.startswith("request_user_input"), "user")
-        .when(low.isin("taskoutput", "bashoutput", "monitor", "wait", "write_stdin", "killshell"), "wait")
-        .when(low.isin("agent", "task", "sendmessage", "spawn_agent", "send_input", "wait_agent"), "agent")
-        .when(low.isin("webfetch", "websearch", "google_web_search") | low.startswith("web_"), "web")
-        .when(low.startswith("mcp__"), "mcp")
-        .when(low.isin("read", "edit", "write", "grep", "glob", "ls", "notebookedit", "multiedit", "apply_patch", "read_file", "write_file", "replace", "list_directory", "read_many_files"), "file")
+        F.when(low.isin(*USER_TOOLS) | low.startswith("request_user_input"), "user")
+        .when(low.isin(*WAIT_TOOLS), "wait")
+        .when(low.isin(*AGENT_TOOLS), "agent")
+        .when(low.isin(*WEB_TOOLS) | low.startswith("web_"), "web")
+        .when(low.startswith("mcp_"), "mcp")
+        .when(low.isin(*FILE_TOOLS), "file")
+        .otherwise("other")
+    )
+
+
+def event_kinds(tool: Column, argument: Column, failed: Column) -> Column:
+    """Kinds of a call's event, as an array: one by its tool and argument text (a shell's command line), and ``error`` if it failed.
+
+    Kinds are ``family`` or ``family:name``. A null tool or argument tells nothing: ``other``, or ``shell:other``.
+    """
+    low = F.lower(tool)
+    proxied = F.when(low == "mcp", F.regexp_extract(argument, "^([^/]+)/", 1))
+    server = F.lower(F.coalesce(F.nullif(mcp_server(tool), F.lit("")), F.nullif(proxied, F.lit("")), F.lit("unknown")))
+    group, category = tool_kind(tool), tool_category(tool)
+    made = (
+        F.when((low == "mcp") | low.startswith("mcp__"), F.concat(F.lit("mcp:"), server))
+        .when(low.isin(*SKILL_TOOLS), "skill:load")
+        .when(group == "user", "approval")
+        .when(group == "agent", "subagent")
+        .when(group == "web", "web")
+        .when(low.isin(*EDIT_TOOLS), "edit")
+        .when((group == "file") | (category == "read"), F.when(low.isin(*SEARCH_TOOLS), "read:search").otherwise("read"))
+        .when(group == "wait", "shell:wait")
+        .when(category == "shell", F.concat(F.lit("shell:"), F.coalesce(F.element_at(F.transform(F.array(family(argument)), kind), 1), F.lit("other"))))
+        .when(category == "edit", "edit")
+        .when(category == "web", "web")
+        .when(category == "agent", "subagent")
         .otherwise("other")
     )
+    return F.array_compact(F.array(made, F.when(failed, "error")))

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions import families
 from loomspan.functions import scalars as S
 
 NUMERIC = ("usd", "tok", "num", "ratio", "dur", "size")
@@ -82,8 +83,8 @@ register("server", "call", "text", lambda: S.mcp_server(F.col("tool")))
 register("kind", "call", "enum", lambda: S.tool_category(F.col("tool")))
 register("ext", "call", "text", lambda: F.transform("files", S.extension), many=True)
 register("status", "call", "enum", lambda: F.when(F.col("err").isNull(), "unknown").when(F.col("err"), "error").otherwise("ok"))
-register("event.kind", "event", "enum", "kinds", many=True)
-register("event", "event", "enum", "kinds", many=True)
+register("event.kind", "event", "enum", lambda: F.array_union("kinds", F.transform("kinds", lambda k: F.substring_index(k, ":", 1))), many=True)  # a family means all its kinds
+register("event", "event", "enum", "raw")
 register("mcp.server", "event", "text", lambda: S.mcp_server(F.col("tool")))
 register("shell.family", "event", "text", "family")
 for _key, _kind, _col, _many in (
@@ -305,6 +306,23 @@ def matching_sessions(
     return found
 
 
+def event_rows(calls: DataFrame, turns: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """Events that event clauses are lifted from: session, raw, kinds, tool, family. Calls, and if given turns and marks.
+
+    ``calls``: session, tool, argument, err; ``turns``: session, role (user: prompt, assistant: reply, else meta); ``marks``: session, kinds.
+    """
+    shell = F.when(S.tool_category(F.col("tool")) == "shell", families.family(F.col("argument")))
+    rows = calls.select("session", F.lit("tool").alias("raw"), families.event_kinds(F.col("tool"), F.col("argument"), F.col("err")).alias("kinds"), "tool", shell.alias("family"))
+    if turns is not None:
+        role = F.col("role")
+        raw = F.when(role.isin("user", "assistant"), role).otherwise("meta")
+        told = F.when(role == "user", "prompt").when(role == "assistant", "reply").otherwise("meta")
+        rows = rows.unionByName(turns.select("session", raw.alias("raw"), F.array(told).alias("kinds")), allowMissingColumns=True)
+    if marks is not None:
+        rows = rows.unionByName(marks.select("session", F.lit("meta").alias("raw"), "kinds"), allowMissingColumns=True)
+    return rows
+
+
 def having_text(sessions: DataFrame, turns: DataFrame, words: str) -> DataFrame:
     """Sessions with a turn whose text has ``words``, in any case."""
     return sessions.join(turns.filter(F.lower("text").contains(words.lower())).select("session"), "session", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import scalars as S
 from loomspan.operators import aggregate as A
-from loomspan.plans.filters import Filters, clause, having_text, matching_calls, matching_sessions, session_and_children
+from loomspan.plans.filters import Filters, clause, event_rows, having_text, matching_calls, matching_sessions, session_and_children
 from loomspan.queries import LABELS, bucket_sql, quantile_sql, query
 from loomspan.sources import tables as T
 
@@ -188,6 +188,32 @@ def f21_content(spark, sf_dir):
     return having_text(turns.select("session").distinct(), turns, "TION")
 
 
+def _events(spark, sf_dir):
+    """Events with shell lines, edits, reads, a server's tools and subagents, and the turns."""
+    tool = F.col("tool")
+    name = F.when(tool == "click", "Bash").when(tool == "view", "Grep").when(tool == "purchase", "mcp__Shop__buy").when(tool == "error", "Edit").otherwise("Task")
+    lines = F.array(*map(F.lit, ("cd app && CI=1 pytest -q | tail -5", "git -C app status", "npm run build")))
+    calls = T.calls(spark, sf_dir).withColumn("argument", F.when(tool == "click", lines[F.floor(F.col("out") / 1000) % 3]))
+    return event_rows(calls.withColumn("tool", name), T.turns(spark, sf_dir))
+
+
+_EVENTS = """ev AS (SELECT session, unnest(CASE tool WHEN 'click' THEN [['shell:test', 'shell:vcs', 'shell:build'][(out // 1000) % 3 + 1]] WHEN 'view' THEN ['read:search'] WHEN 'purchase' THEN ['mcp:shop'] WHEN 'error' THEN ['edit', 'error'] ELSE ['subagent'] END) AS kind FROM calls
+  UNION ALL SELECT conv_id, CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'reply' ELSE 'meta' END FROM conversations)"""
+
+
+@query(f"{WITH_CALLS}, {_EVENTS} SELECT kind, count(*) AS n, count(DISTINCT session) AS sessions FROM ev GROUP BY kind")
+def c7_event_kinds(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("session", F.explode("kinds").alias("kind"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session").alias("sessions"))
+
+
+@query(f"{WITH_BOTH}, {_EVENTS} SELECT session, repo, harness, tools, errors FROM sessions SEMI JOIN (SELECT session FROM ev WHERE kind = 'shell:vcs') USING (session)")
+def f16_lifted_events(spark, sf_dir):
+    """Sessions with one event that is a shell's and of the family git status."""
+    f = Filters(clause("event.kind", "is", "shell"), clause("shell.family", "is", "git status"))
+    return matching_sessions(T.sessions(spark, sf_dir), f, events=_events(spark, sf_dir)).select(*_SESSION_COLUMNS)
+
+
 @query(f"{WITH_BOTH} SELECT session, parent FROM sessions WHERE session = 20 OR parent = 20")
 def f22_session_and_children(spark, sf_dir):
     return session_and_children(T.sessions(spark, sf_dir), 20).select("session", "parent")

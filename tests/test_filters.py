@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.plans.filters import CATALOGUE, Filters, clause, day_of, glob_pattern, matching_calls, matching_sessions, number, register, resolve_prefix, suggest
+from loomspan.plans.filters import CATALOGUE, Filters, clause, day_of, event_rows, glob_pattern, matching_calls, matching_sessions, number, register, resolve_prefix, suggest
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +91,25 @@ def test_extension_and_references(spark, sessions):
         del CATALOGUE["double_cost"]
     refs = spark.createDataFrame([("abcdef12",), ("abcdef99",), ("abc",)], "session string")
     assert resolve_prefix(refs, "abcdef").count() == 2 and resolve_prefix(refs, "abc").count() == 1 and resolve_prefix(refs, "abcd").count() == 0
+
+
+def test_event_kinds_and_event_clauses(spark):
+    rows = [
+        ("Bash", "cd x && pytest -q", False), ("Bash", None, None), ("exec_command", "sleep 5", True), ("mcp__Files__read", "", False), ("mcp", "Hub/tool", None), ("mcp", None, None), ("Skill", "a", False),
+        ("AskUserQuestion", "", None), ("Task", "", False), ("WebFetch", "", True), ("patch", "", False), ("Grep", "", False), ("Read", "", None), ("TaskOutput", "", False), ("strange", "", False), (None, None, None),
+    ]
+    calls = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "session long, tool string, argument string, err boolean")
+    turns = spark.createDataFrame([(90, "user"), (91, "assistant"), (92, "system")], "session long, role string")
+    marks = spark.createDataFrame([(93, ["debug:loop"])], "session long, kinds array<string>")
+    events = event_rows(calls, turns, marks)
+    got = {r.session: r.kinds for r in events.collect()}
+    assert [got[i] for i in range(len(rows))] == [
+        ["shell:test"], ["shell:other"], ["shell:wait", "error"], ["mcp:files"], ["mcp:hub"], ["mcp:unknown"], ["skill:load"],
+        ["approval"], ["subagent"], ["web", "error"], ["edit"], ["read:search"], ["read"], ["shell:wait"], ["other"], ["other"],
+    ]
+    assert [got[i] for i in (90, 91, 92, 93)] == [["prompt"], ["reply"], ["meta"], ["debug:loop"]]
+    sessions = spark.range(100).withColumnRenamed("id", "session")
+    found = lambda *c: sorted(r.session for r in matching_sessions(sessions, Filters(*c), events=events).collect())
+    assert found(clause("event.kind", "is", "shell")) == [0, 1, 2, 13] and found(clause("event.kind", "is", "shell:wait")) == [2, 13]
+    assert found(clause("event.kind", "is", "error")) == [2, 9] and found(clause("event", "is", "user")) == [90] and found(clause("mcp.server", "is", "files")) == [3]
+    assert found(clause("event.kind", "is", "debug")) == [93] and found(clause("shell.family", "is", "pytest")) == [0]
