@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.queries import ORACLE_SQL, QUERIES, calls, contrasts, costs, intervals, reports  # noqa: F401  (they register themselves)
+from loomspan.queries import ORACLE_SQL, QUERIES, calls, contrasts, costs, intervals, reports, skills  # noqa: F401  (they register themselves)
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import scalars as S
-from loomspan.operators import aggregate, contrast, cost, intervals, ownership, rules
+from loomspan.operators import aggregate, contrast, cost, intervals, ownership, rules, skills
 
 
 def values(spark, column, **inputs):
@@ -272,3 +272,30 @@ def test_skill_comparison_and_top_files(spark):
     assert [r.chi2 for r in contrast.compare_skills(a, b, many, few).collect()] == [None, None]
     files = spark.createDataFrame([("a", 2), ("b", 5), ("c", 2), (None, 9), ("", 1)], "file string, n long")
     assert [(r.file, r.n) for r in aggregate.top_files(files, 2).collect()] == [("b", 5), ("a", 2), ("", 10)]
+
+
+LOADS = "session long, name string, trigger string, turn long, t long, turn_end long, end long, size long, hash string, usd double, tail_usd double, carry_usd double"
+
+
+def test_skill_metrics_and_sizes(spark):
+    """An end at the time of a load comes first; a load that is not ended stays open; unknown sizes take the text's median, then the name's."""
+    rows = spark.createDataFrame([
+        (1, "a", "model", 0, 0, 5, 10, 100, "x", 1.0, 0.5, 0.25), (1, "a", "model", 0, 10, 15, None, None, "x", 1.0, 0.5, 0.25), (1, "a", "user", 1, 20, None, None, 300, "y", 1.0, 0.5, 0.5),
+        (2, "b", "model", 0, 0, 5, 9, None, None, 1.0, 0.5, 0.125), (2, "a", "model", 0, 1, 5, 9, None, None, 1.0, 0.5, 0.125), (3, "a", "model", 0, 1, 5, 9, 500, "z", None, None, None),
+    ], LOADS)
+    contexts = spark.createDataFrame([(1, 200), (2, 100)], "session long, context_tokens long")
+    found = {r.session: (r.skill_reloads, r.skill_carry_usd, r.skill_context_share) for r in skills.skill_metrics(rows, contexts).collect()}
+    assert found == {1: (2, 1.0, 1.0), 2: (1, 0.125, None), 3: (1, None, None)}
+    sizes = {(r.session, r.name, r.t): (r["size"], r.guessed) for r in skills.sizes_filled(rows).collect()}
+    assert sizes == {(1, "a", 0): (100, False), (1, "a", 10): (100, True), (1, "a", 20): (300, False), (2, "b", 0): (None, False), (2, "a", 1): (300, True), (3, "a", 1): (500, False)}
+    empty = rows.limit(0)
+    calls = spark.createDataFrame([], "session long, t_ms long, err boolean, is_test boolean, is_commit boolean")
+    assert skills.skill_metrics(empty, contexts).count() == skills.overlaps(empty, 1).count() == skills.idle_loads(empty, calls, 1).count() == skills.version_changes(empty, 1).count() == 0
+
+
+def test_idle_loads_borders(spark):
+    """A call at the load's own time is before it, one at the end of the turn after it; sessions without calls are not judged."""
+    rows = [(s, "a", "model", 0, 100, 200, None, 1, "x", 2.0, 0.0, 0.0) for s in (1, 2, 3, 4)] + [(1, "a", "model", 1, 300, None, None, 1, "x", 2.0, 0.0, 0.0)]
+    calls = spark.createDataFrame([(1, 100), (1, 200), (2, 101), (3, 199), (5, 150)], "session long, t_ms long")
+    found = skills.idle_loads(spark.createDataFrame(rows, LOADS), calls, 15, share=0.3, least=3).collect()
+    assert [(r.name, r.judged, r.idle, r.idle_usd, r.severity) for r in found] == [("a", 3, 1, 2.0, 4.0)]
