@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomspan.functions import scalars as S
 
 LAYERS = ("user", "alias", "gateway", "community", "built-in")
+# Tags of tiers; ids after this prefix are other models unless so continued.
+TAGS = r"(@2027)?(>200k)?$"
+GUARDED = "gemini-"
+SAME_MODEL = r"^-(preview|latest|exp|\d)"
 PRICE_SCHEMA = "layer string, provider string, prefix string, input double, output double, cache_read double, cache_write double, cache_write_1h double, alias string"
 
 
@@ -17,8 +21,12 @@ def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     Every prefix of the model id is looked up by equality, so there is no range join. Gateway rows match the whole id and
     their provider. An alias points at another id, priced by the layers below in one hop; a price of the same or a longer
     prefix beats it. Models without any price are not in the result.
+
+    A model may carry the tags ``@2027`` and ``>200k``, in that order: its price is then the tier's of the entry found, where
+    the user or the entry's own layer lists ``<prefix><tag>``.
     """
-    ids = models.select("model", "provider").distinct().withColumn("id", S.model_id(F.col("model")))
+    bare = lambda c: S.model_id(F.regexp_replace(c, TAGS, ""))
+    ids = models.select("model", "provider").distinct().withColumn("id", bare(F.col("model")))
     rates = ["input", "output", "cache_read", "cache_write", "cache_write_1h"]
     place = F.array_position(F.array(*map(F.lit, ("user", "gateway", "community", "built-in"))), F.col("layer"))
     base = F.when(F.col("layer").isin("community", "built-in"), F.lit(3)).otherwise(place)
@@ -29,7 +37,9 @@ def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
         cut = rows.withColumn("prefix", F.explode_outer(F.transform(F.when(F.length("id") > 0, F.sequence(F.lit(1), F.length("id"))), lambda n: F.substring(F.col("id"), F.lit(1), n))))
         found = cut.join(prices.withColumnRenamed("provider", "_provider"), "prefix", "left")
         exact = (F.col("layer") != "gateway") | ((F.col("prefix") == F.col("id")) & (F.col("_provider") == F.col("provider")))
-        return found.withColumn("layer", F.when(exact, F.col("layer")))
+        variant = F.substr(F.col("id"), F.length("prefix") + 1)
+        same = ~F.startswith(F.col("prefix"), F.lit(GUARDED)) | (variant == "") | variant.rlike(SAME_MODEL)
+        return found.withColumn("layer", F.when(exact & same, F.col("layer")))
 
     price = F.struct("layer", "prefix", *rates)
     listed = F.coalesce(F.col("layer") != "alias", F.lit(False))
@@ -40,12 +50,39 @@ def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
         F.max(F.when(F.col("layer") == "user", F.length("prefix"))).alias("user_length"),
     )
     aliased = F.col("other").isNotNull() & F.coalesce(F.col("user_length") < F.length("other.prefix"), F.lit(True))
-    named = own.select("model", "provider", "own", aliased.alias("aliased"), F.col("other.prefix").alias("alias_prefix"), F.when(aliased, S.model_id(F.col("other.alias"))).alias("id"))
+    named = own.select("model", "provider", "own", aliased.alias("aliased"), F.col("other.prefix").alias("alias_prefix"), F.when(aliased, bare(F.col("other.alias"))).alias("id"))
     both = hits(named).groupBy("model", "provider").agg(
         F.first("own").alias("own"), F.first("aliased").alias("aliased"), F.first("alias_prefix").alias("alias_prefix"), F.min_by(price, F.when(listed, order)).alias("hop")
     )
     chosen = F.when(F.col("aliased"), F.when(F.col("hop").isNotNull(), F.struct(F.lit("alias").alias("layer"), F.col("alias_prefix").alias("prefix"), *(F.col(f"hop.{r}").alias(r) for r in rates)))).otherwise(F.col("own"))
-    return both.select("model", "provider", chosen.alias("_p")).select("model", "provider", "_p.*").filter("layer IS NOT NULL")
+    found = both.select("model", "provider", chosen.alias("_p"), F.when(F.col("aliased"), F.col("hop")).otherwise(F.col("own")).alias("_e"))
+    return _tiers(found.filter("_p.layer IS NOT NULL"), prices, rates)
+
+
+def _tiers(found: DataFrame, prices: DataFrame, rates: list[str]) -> DataFrame:
+    """Resolved models, those of tagged ones with their tier's rates: ``@2027`` first, from there ``>200k``.
+
+    ``_e`` is the entry found and ``_p`` what is told of it: an alias keeps its own layer and prefix.
+    """
+    tagged = F.regexp_extract("model", TAGS, 0)
+    steps = F.when(tagged == "@2027>200k", F.array(F.lit("@2027"), F.lit("@2027>200k"), F.lit(">200k"))).when(tagged != "", F.array(tagged))
+    asked = found.withColumn("tag", F.explode_outer(steps)).withColumn("prefix", F.concat("_e.prefix", "tag"))
+    base = F.col("_e.layer").isin("community", "built-in")
+    own = (F.col("layer") == F.col("_e.layer")) | (base & F.col("layer").isin("community", "built-in"))
+    mine = (F.col("layer") == "user") | (own & ((F.col("layer") != "gateway") | (F.col("_provider") == F.col("provider"))))
+    met = asked.join(prices.withColumnRenamed("provider", "_provider"), "prefix", "left")
+    first = F.when(mine, F.array_position(F.array(*map(F.lit, ("user", "gateway", "community", "built-in"))), F.col("layer")))
+    entry = F.struct(*rates, F.col("layer").alias("_layer"), F.col("prefix").alias("_prefix"))
+    best = met.groupBy("model", "provider").agg(F.first("_p").alias("_p"), *(F.min_by(entry, F.when(F.col("tag") == t, first)).alias(n) for t, n in (("@2027", "_y"), ("@2027>200k", "_yb"), (">200k", "_b"))))
+    # A long prompt's tier hangs on the year's one where there is one.
+    tier = F.when(F.col("_y").isNotNull(), F.coalesce("_yb", "_y")).otherwise(F.col("_b"))
+    rows = best.select("model", "provider", "_p", tier.alias("_t"))
+    aliased, has = F.col("_p.layer") == "alias", F.col("_t").isNotNull()
+    return rows.select(
+        "model", "provider",
+        F.when(has & ~aliased, F.col("_t._layer")).otherwise(F.col("_p.layer")).alias("layer"), F.when(has & ~aliased, F.col("_t._prefix")).otherwise(F.col("_p.prefix")).alias("prefix"),
+        *(F.when(has, F.col(f"_t.{r}")).otherwise(F.col(f"_p.{r}")).alias(r) for r in rates),
+    )
 
 
 def list_cost() -> Column:

@@ -130,6 +130,18 @@ def test_price_resolution(spark):
     assert got == {("opus-3", ""): ("community", 14.0), ("prov/opus-4-20250101", ""): ("built-in", 5.0), ("opus-4-x-1", "gw"): ("user", 1.0), ("opus-4", "gw"): ("gateway", 9.0), ("mine", ""): ("alias", 5.0), ("mine-own-2", ""): ("user", 2.0)}
 
 
+def test_price_tiers_and_variants(spark):
+    """Tiers hang on the entry found; the user's win, a user's own entry has only the user's; an alias takes its target's tiers."""
+    listed = [("built-in", None, "m", 1.0), ("built-in", None, "m>200k", 2.0), ("built-in", None, "m@2027", 3.0), ("community", None, "n", 4.0), ("built-in", None, "n>200k", 5.0), ("user", None, "n@2027", 6.0), ("user", None, "n@2027>200k", 7.0),
+        ("user", None, "u", 8.0), ("community", None, "u>200k", 9.0), ("gateway", "g", "m", 10.0), ("gateway", "h", "m>200k", 11.0), ("built-in", None, "gemini-9", 12.0)]
+    prices = spark.createDataFrame([(*r, 1.0, None, None, None, None) for r in listed] + [("alias", None, "a", None, None, None, None, None, "m")], cost.PRICE_SCHEMA)
+    want = {("m", ""): ("built-in", "m", 1.0), ("m>200k", ""): ("built-in", "m>200k", 2.0), ("m@2027", ""): ("built-in", "m@2027", 3.0), ("m@2027>200k", ""): ("built-in", "m@2027", 3.0), ("n>200k", ""): ("built-in", "n>200k", 5.0),
+        ("n@2027", ""): ("user", "n@2027", 6.0), ("n@2027>200k", ""): ("user", "n@2027>200k", 7.0), ("u>200k", ""): ("user", "u", 8.0), ("m>200k", "g"): ("gateway", "m", 10.0), ("a>200k", ""): ("alias", "a", 2.0),
+        ("gemini-9-preview", ""): ("built-in", "gemini-9", 12.0), ("gemini-9-lite", ""): None, ("gemini-9", ""): ("built-in", "gemini-9", 12.0)}
+    found = cost.resolve_prices(spark.createDataFrame(list(want), "model string, provider string"), prices).collect()
+    assert {(r.model, r.provider): (r.layer, r.prefix, r.input) for r in found} == {k: v for k, v in want.items() if v}
+
+
 def test_cost_view(spark):
     prices = spark.createDataFrame([("user", None, "m", 10.0, 20.0, None, None, None, None)], cost.PRICE_SCHEMA)
     rows = [("m1", "", 1_000_000, 0, 0, 0, 0, 0.0), ("m1", "", 0, 0, 1_000_000, 1_000_000, 1_000_000, 0.0), ("m1", "", 5, 5, 5, 5, 5, 7.5), ("z", "", 5, 5, 5, 5, 5, 0.0)]
