@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.bpe import round_trip
 from loomspan.llm.common import documents, fresh_dir
+from loomspan.llm.conversation_repair import conversation_rows, damaged, repair_report
+from loomspan.llm.divergence import divergence
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.language_id import identify, train
 from loomspan.llm.line_dedup import line_dedup
@@ -144,6 +146,121 @@ SELECT doc_id, size, source_size, target,
 FROM lined JOIN arcs USING (sid, shard)
 """
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    return repair_report(damaged(rows)).withColumnRenamed("conv", "conv_id")
+
+
+def _edit(costs: str, cost: str, letter: str) -> str:
+    """SQL: nine digits of cost and the audit so far, after one more edit."""
+    return f"(printf('%09d', substr({costs}, 1, 9)::INTEGER + {cost}) || substr({costs}, 10) || '{letter}')"
+
+
+def _reached(keeps: str, states: tuple[str, ...], initial: str, deleted: str) -> str:
+    """SQL: the least way to a state by deletion, or from ``states`` by keeping a row of ``initial`` or (if ``keeps`` has R) re-roling it."""
+    ways = [_edit(deleted, "3", "D")]
+    for x in states:
+        ways.append(f"CASE WHEN NOT must AND initial = '{initial}' THEN {_edit(x, 'extra', 'K')} END")
+        if "R" in keeps:
+            ways.append(f"CASE WHEN NOT must THEN {_edit(x, '2 + extra', 'R')} END")
+    return f"least({', '.join(ways)})"
+
+
+_INSERTED = f"least(v2, {_edit('v0', '2', 'I')}, {_edit('v1', '2', 'I')}, {_edit('v3', '2', 'I')})"
+OP12_SQL = rf"""
+WITH RECURSIVE table_of AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))
+), given AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+  FROM conversations
+), diced AS (
+  SELECT conv, turn, role, text, xor(list_reduce(list_concat([4294967295], bytes), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS dice FROM given, table_of
+), damage AS (
+  SELECT conv, turn, CASE WHEN dice = 4 THEN 'user' ELSE role END AS role,
+         CASE dice WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN dice = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM diced WHERE dice <> 0
+), seen AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n FROM damage
+), lined AS (
+  SELECT conv, turn, role, text, n, left(role, 1) AS initial, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) AS before FROM seen
+), steps AS (
+  SELECT conv, n, initial, blank OR dup AS must, cut::INTEGER AS extra FROM lined
+), ids AS (SELECT DISTINCT conv FROM given),
+dp(conv, n, v0, v1, v2, v3) AS (
+  SELECT conv, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM ids
+  UNION ALL
+  SELECT conv, n, {_edit("v0", "3", "D")}, {_reached("K", ("v0",), "s", "v1")}, {_reached("KR", ("v0", "v1", "v3"), "u", "v2")}, {_reached("KR", ("v2",), "a", "v3")}
+  FROM (SELECT conv, n, must, extra, initial, v0, v1, v2, least(v3, {_edit("v2", "2", "I")}) AS v3
+        FROM (SELECT s.conv, s.n, must, extra, initial, v0, v1, {_INSERTED} AS v2, v3 FROM dp JOIN steps s ON s.conv IS NOT DISTINCT FROM dp.conv AND s.n = dp.n + 1))
+), ended AS (
+  SELECT conv, least(v0, v3, {_edit("v2", "2", "I")}) AS best FROM (SELECT conv, v0, {_INSERTED} AS v2, v3 FROM dp QUALIFY n = max(n) OVER (PARTITION BY conv))
+), answers AS (
+  SELECT conv, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM ended
+), edits AS (
+  SELECT conv, unnest(string_split(audit, '')) AS e, generate_subscripts(string_split(audit, ''), 1) AS place FROM answers WHERE audit <> ''
+), fed AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv ORDER BY place) AS n FROM edits
+), made AS (
+  SELECT f.conv, e, role, text, row_number() OVER (PARTITION BY f.conv ORDER BY place) AS k FROM fed f LEFT JOIN lined l ON e <> 'I' AND l.conv IS NOT DISTINCT FROM f.conv AND l.n = f.n WHERE e <> 'D'
+), led AS (
+  SELECT *, (k - max((k = 1 AND e = 'K' AND left(role, 1) = 's')::INTEGER) OVER (PARTITION BY conv)) % 2 = 1 AS is_user FROM made
+), joined AS (
+  SELECT conv, string_agg(CASE WHEN e = 'K' THEN role WHEN is_user THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM led GROUP BY conv
+), counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM lined GROUP BY conv
+)
+SELECT i.conv AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ids i JOIN answers a ON a.conv IS NOT DISTINCT FROM i.conv LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM i.conv LEFT JOIN joined j ON j.conv IS NOT DISTINCT FROM i.conv
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), occurs AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), counted AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM occurs GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM occurs GROUP BY ALL HAVING count(DISTINCT k) >= 10
+), vocabulary AS (
+  SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), used AS (
+  SELECT c.* FROM counted c JOIN kept USING (lang, term)
+), grp AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN vocabulary USING (lang) LEFT JOIN used USING (lang, source) GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(u.n, 0) + 2) // (g.total + 2 * g.v) AS p
+  FROM grp g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)
+), whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n)::HUGEINT + 2) // (any_value(total) + 2 * any_value(v)) AS q
+  FROM used JOIN (SELECT lang, any_value(v) AS v, sum(total)::HUGEINT AS total FROM grp GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', item, value::BIGINT FROM terms
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM rows
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_token_files": op2_token_files,
@@ -155,6 +272,8 @@ QUERIES = {
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_mix_sources": op10_mix_sources,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_line_spread": OP7_SQL, "op10_mix_sources": OP10_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_line_spread": OP7_SQL, "op10_mix_sources": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -24,7 +24,8 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     sql = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in sql.description]
     df = QUERIES[name](spark, SF)
@@ -66,7 +67,7 @@ def test_op9_leaves_no_entity_and_no_change_elsewhere(spark, docs):
         assert not [x for x in found if x in r.text] and (found or r.text == docs[r.doc_id].text) and (r.n_replaced > 0) == bool(found)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op12_conversation_repair", "op13_source_divergence"}))
 def test_one_row_per_document(spark, docs, name):
     df = QUERIES[name](spark, SF)
     assert "doc_id" in df.columns and sorted(r.doc_id for r in df.select("doc_id").collect()) == sorted(docs)
