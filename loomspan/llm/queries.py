@@ -14,6 +14,7 @@ from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.language_id import identify, train
 from loomspan.llm.line_dedup import line_dedup
 from loomspan.llm.mixing import mix
+from loomspan.llm.ngram_join import jaccard_classes
 from loomspan.llm.pii import pseudonymise
 from loomspan.llm.repetition import repetition_rules
 from loomspan.llm.simhash import near_duplicates
@@ -146,6 +147,10 @@ SELECT doc_id, size, source_size, target,
 FROM lined JOIN arcs USING (sid, shard)
 """
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
     return repair_report(damaged(rows)).withColumnRenamed("conv", "conv_id")
@@ -272,6 +277,7 @@ QUERIES = {
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_mix_sources": op10_mix_sources,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }

@@ -8,50 +8,25 @@ the rows outside the commonest component meet the rest, dealt by hash into parts
 that are linked already are not paired.
 
 Blocks of 64 bits reach pairs that are nearly equal, not a shingle similarity of 0.8: there 10 of 64 bits differ on average,
-and blocks that 20 differing bits leave alone would have 3 bits. :func:`similar_groups` therefore takes as blocks hashes of
-samples of the shingle set, joins each row with the hub of its blocks, makes every pair of 0.8 or more meet by prefix filtering,
-verifies the Hamming distance of a 512-bit fingerprint and decides every link by the two shingle sets.
+and blocks that 20 differing bits leave alone would have 3 bits. :func:`similar_groups` therefore lets pairs meet as
+:mod:`loomspan.llm.set_join` does, verifies the Hamming distance of a 512-bit fingerprint and decides links by the shingle sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import Scratch, salted_join, spare, stored, text_slices
 from loomspan.llm.components import components
-
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Another hash of each hash, for a further independent view (the finaliser of splitmix64)."""
-    h = h + np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of the word shingles of a text, repeats included; a text of fewer words is one shingle, one of none has none."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, "<u8")
-    joined, n = b" ".join(words), len(words)
-    k = min(shingle, n)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: n - k + 1].tolist()
-    h = xxhash.xxh64_intdigest
-    return np.array([h(joined[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-
+from loomspan.llm.ngram_join import CountVectors
+from loomspan.llm.set_join import set_groups
+from loomspan.llm.shingles import mixed, shingle_hashes
 
 def majority(hashes: np.ndarray) -> int:
     """The bits that over half the hashes have; zero for none."""
@@ -70,28 +45,11 @@ def fingerprint_of(hashes: np.ndarray, views: int) -> list[int]:
     """The SimHashes of shingle hashes; every further view hashes them anew."""
     found = []
     for view in range(views):
-        hashes = _mixed(hashes) if view else hashes
+        hashes = mixed(hashes) if view else hashes
         found.append(majority(hashes))
     return found
 
 
-def minima(hashes: np.ndarray, orders: int) -> np.ndarray:
-    """The least of a set of shingle hashes in each of ``orders`` orders.
-
-    Two sets have the same least one in an order with the probability of their Jaccard similarity, however small they are.
-    """
-    salts = _mixed(np.arange(1, orders + 1, dtype=np.uint64))[:, None]
-    least = np.full(orders, np.iinfo(np.uint64).max, np.uint64)
-    for part in range(0, len(hashes), 1 << 13):
-        least = np.minimum(least, _mixed(hashes[None, part : part + (1 << 13)] ^ salts).min(1))
-    return least
-
-
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One key per two minima."""
-    return _mixed(least[0::2] + _mixed(least[1::2]))
-
-
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
     """Rows ``id, h, fp``: a hash of the text and its fingerprint (64 bits as a signed long), one per input row."""
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
@@ -182,139 +140,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _near_rows(docs, id_col, text_col, **settings).select("id", "fp", F.col("first_id").alias("component_id"))
 
 
-def _alike(pairs: DataFrame, source: DataFrame, reps: DataFrame, shingle: int, similarity: float, tmp: Scratch, most: int = 1024) -> DataFrame:
-    """Those pairs ``a, b`` of fingerprints whose shingle sets have this similarity; a fingerprint with many partners is dealt to many tasks.
+class Fingerprints:
+    """A :class:`~loomspan.llm.set_join.Bound`: SimHashes of the set in several views by their Hamming distance, and its count vector.
 
-    The sets are made anew from the texts of the rows asked for, so no table of all sets is kept.
+    Of ``views`` (8) words of 64 bits at most ``farthest`` may differ (150, from 64 shingles on 130): at a similarity of 0.8 78 differ on
+    average with a standard deviation of 8, with the least favourable sets, of four and five shingles, 96 and 9. Six standard
+    deviations lie between, so of a billion such pairs about one may be ruled out. The count vector rules out for certain, and much
+    of what lies between 0.6 and 0.8, where fingerprints of this length tell little.
     """
 
-    def run(batches):
-        for batch, texts in text_slices(batches, 1):
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    pairs = tmp.keep(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(reps, "fp")
-    asked = asked.select("fp", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
-    texts = source.join(asked, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))).select("fp", "text")
-    sets = tmp.keep(texts.mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"]), "sets")
-    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).alias("salts")).filter("salts > 1")
-    left, right = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    dealt = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).drop("salts")
-    right = right.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1))).drop("salts")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    met = dealt.join(left, "a").join(right, ["b", "salt"])
-    return met.filter(common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
-
-
-def common_shingles(texts: DataFrame, shingle: int, every: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that three texts or more of a sample (one in ``every`` by hash) have, sorted, and in how many.
-
-    Only the ``most`` frequent are told. They order shingles and choose hubs; another sample changes the work, not the result.
-    """
+    kind = "long"
 
-    def run(batches):
-        for _, part in text_slices(batches, 0):
-            found, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in part]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    taken = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counted = taken.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
-    top = counted.orderBy(F.col("n").desc(), "h").limit(most).toArrow()
-    hashes, times = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], times[order]
-
-
-def rare_first(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
-    """A set of shingle hashes in one order of all shingles, seldom ones first, and how many of them are ``common``."""
-    rank = np.zeros(len(hashes), np.int64)
-    if len(common) and len(hashes):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((_mixed(hashes), rank))], int(np.count_nonzero(rank))
-
-
-def _similar_rows(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    similarity: float = 0.8,
-    shingle: int = 5,
-    orders: int = 16,
-    views: int = 8,
-    farthest: tuple[int, int] = (150, 130),
-    chunk: int = 1024,
-    every: int = 32,
-    most: int = 1 << 16,
-) -> DataFrame:
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    kind, bits = source.schema["id"].dataType.simpleString(), [f"f{i}" for i in range(views)]
-    fields = {"id": kind, "h": "long", "fp": "long", "size": "int", "central": "double", **dict.fromkeys(bits, "long"), "keys": "array<long>", "head": "array<long>"}
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(source, shingle, every, most))  # at most ``most`` entries
+    def __init__(self, counts: CountVectors, views: int = 8, farthest: tuple[int, int] = (150, 130)):
+        self.counts, self.views, self.farthest = counts, views, farthest
 
-    def run(batches):
-        for batch, texts in text_slices(batches, 2):
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            fps = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            seen = np.array([fingerprint_of(x, views) for x in sets], np.uint64).reshape(len(texts), views).view(np.int64)
-            keys = [band_keys(minima(x, orders)).view(np.int64) for x in sets]
-            ranked = [rare_first(x, *shared.value) for x in sets]
-            central = [n / max(1, len(x)) for x, n in ranked]
-            heads = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1].view(np.int64) for x, _ in ranked]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, heads)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), pa.array(central, pa.float64()), *map(pa.array, seen.T), *lists], [*fields])
-
-    def close(a: str, b: str) -> Column:
-        """What the sizes and the fingerprints' Hamming distance allow."""
-        apart = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in bits), F.lit(0))
-        small, large = F.least(f"{a}_size", f"{b}_size"), F.greatest(f"{a}_size", f"{b}_size")
-        return (apart <= F.when(small < 64, farthest[0]).otherwise(farthest[1])) & (small >= F.lit(similarity) * large - 1e-9)
-
-    def met_in_order(a: str, b: str) -> Column:
-        """At the first shingle that two sets share, both have enough shingles left."""
-        left = F.least(F.col(f"{a}_size") - F.col(f"{a}_pos"), F.col(f"{b}_size") - F.col(f"{b}_pos"))
-        return left + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col(f"{a}_size") + F.col(f"{b}_size"))
-
-    with Scratch(docs.sparkSession, "similar") as tmp:
-        rows = source.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items())).withColumn("rid", F.monotonically_increasing_id())
-        rows = tmp.keep(rows, "rows")
-        # Copies share a fingerprint: one row stands for all.
-        reps = rows.groupBy("fp").agg(F.min(F.struct("rid", "id", "h")).alias("rep"))
-        reps = tmp.keep(reps, "reps")
-        distinct = rows.join(reps.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")
-        words = distinct.select("fp", "size", *bits)
-
-        # First every row with the hub of each of its blocks, the row of the most common shingles.
-        keys = distinct.select("fp", "central", F.posexplode("keys").alias("choice", "key"))
-        hubs = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.max_by("fp", "central").alias("b")).filter("n > 1").drop("n")
-        pairs = tmp.keep(keys.join(hubs, ["choice", "key"]).filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct(), "pairs")
-        for x in "ab":
-            pairs = pairs.join(words.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in words.columns[1:])), x)
-        first = _alike(pairs.filter(close("a", "b")).select("a", "b"), source, reps, shingle, similarity, tmp)
-
-        # Then all that share one of the n - ceil(similarity * n) + 1 first shingles of their sets: all pairs of this similarity do.
-        roots = tmp.keep(components(first, "a", "b", tmp), "roots")
-        head = distinct.select("fp", "size", "head")
-        head = head.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "size", F.posexplode("head").alias("pos", "key"))
-        live = head.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        live = tmp.keep(head.join(tmp.keep(live, "keys"), "key", "left_semi"), "heads").join(words.drop("size"), "fp")
-        met = outside_pairs(tmp.keep(live, "buckets"), ["key"], lambda a, b: met_in_order(a, b) & close(a, b), chunk)
-        found = first.unionByName(_alike(met.distinct(), source, reps, shingle, similarity, tmp))
-        return stored(_grouped(rows.select("id", "h", "fp"), found, tmp), "similar-groups")
+    def point(self, hashes: np.ndarray) -> np.ndarray:
+        """The fingerprint's words, then the counts."""
+        return np.concatenate([np.array(fingerprint_of(hashes, self.views), np.uint64).view(np.int64), self.counts.point(hashes)])
+
+    def allows(self, a: Column, a_size: Column, b: Column, b_size: Column) -> Column:
+        (a_bits, b_bits), (a_counts, b_counts) = ([F.slice(x, at, n) for x in (a, b)] for at, n in ((1, self.views), (1 + self.views, self.counts.groups)))
+        apart = F.aggregate(F.zip_with(a_bits, b_bits, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return (apart <= F.when(F.least(a_size, b_size) < 64, self.farthest[0]).otherwise(self.farthest[1])) & self.counts.allows(a_counts, a_size, b_counts, b_size)
+
+    def tile(self, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = self.counts.tile(a[:, self.views :], a_size, b[:, self.views :], b_size)
+        apart = np.bitwise_count(a[i, : self.views] ^ b[j, : self.views]).sum(1)
+        fits = apart <= np.where(np.minimum(a_size[i], b_size[j]) < 64, *self.farthest)
+        return i[fits], j[fits]
+
+
+def _similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, **settings) -> DataFrame:
+    return set_groups(docs, id_col, text_col, "similar", Fingerprints(CountVectors(similarity)), shingle, similarity, **settings)
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` (0.8) or more lead to.
 
     Similarity is that of the sets of word shingles (``shingle``, 5 words), and every link is decided by the two sets of 64-bit
-    shingle hashes. In a first pass every row meets the hub of each of its blocks, which joins most groups cheaply: a block is a
-    pair of the set's minima under ``orders`` (16) orders, its hub the row of the most common shingles. Then every pair of
-    ``similarity`` or more meets for certain: of a set of n the first n - ceil(similarity * n) + 1 in one order of all
-    shingles, seldom ones first, are keys, and such sets share one. Keys within one group are dropped; otherwise the rows outside
-    the commonest group meet the rest. Of the pairs that meet, those are compared whose sizes and places in the order allow the
-    similarity and whose 512-bit fingerprints differ in at most ``farthest`` bits (150, from 64 shingles on 130): at 0.8 78 differ on
-    average with a standard deviation of 8, with the least favourable sets, of four and five shingles, 96 and 9.
+    shingle hashes; :mod:`loomspan.llm.set_join` tells which pairs meet, :class:`Fingerprints` which of them are compared.
 
     Null and empty texts are equal to each other and to texts of white space; a very long text costs its length; repeated rows
     share a group. A null id counts last: a group of null ids only has a null ``component_id``. An empty table gives no rows;
