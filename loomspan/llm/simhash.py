@@ -165,7 +165,7 @@ class Fingerprints:
 
     def tile(self, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = self.counts.tile(a[:, self.views :], a_size, b[:, self.views :], b_size)
-        apart = np.bitwise_count(a[i, : self.views] ^ b[j, : self.views]).sum(1)
+        apart = np.bitwise_count((a[i, : self.views] ^ b[j, : self.views]).view(np.uint64)).sum(1, dtype=np.int64)
         fits = apart <= np.where(np.minimum(a_size[i], b_size[j]) < 64, *self.farthest)
         return i[fits], j[fits]
 
