@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +63,11 @@ class Scratch:
             if any(held is t for t in tables):
                 self._remove(path)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

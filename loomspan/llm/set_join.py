@@ -1,13 +1,15 @@
 """Groups of sets of shingles that links of a Jaccard similarity join, found without making all pairs of a family.
 
-1. Rows of equal sets become one node. Every node is keyed by its first ``n - ceil(similarity n) + 1`` shingles in one order of all
-   shingles, seldom ones first; two sets of that similarity share such a key, and with it the smaller one is within its first
-   ``n - ceil(2 similarity / (1 + similarity) n) + 1``. Only keys of two nodes or more live on; sets are made for their nodes alone.
+1. Rows of equal sets become one node. Every node is keyed by its first ``n - ceil(similarity n) + l`` shingles in one order of all
+   shingles, seldom ones first, with ``l = 1 + n // 20``. Two sets of that similarity share as many such keys as the lesser of their
+   ``l``, and in the smaller one they are within its first ``n - ceil(2 similarity / (1 + similarity) n) + l``. Only keys of
+   two nodes or more live on, and only nodes with enough live keys, so a passage that unlike texts share makes no candidates of
+   them; sets are made for the nodes that are left.
 2. Every node is compared with one hub, the node that most of its blocks (pairs of minima of the set) name. This joins most families.
 3. While large blocks (the nodes of one key) hold several groups, their nodes are dealt to slots of some eight by hash, those of one
    slot meet, and the links found join groups before the next round. Every round is linear in the nodes.
-4. What is still apart meets for certain: in small blocks nodes of different groups, in large ones those outside the commonest group and
-   all others, dealt to tiles of bounded size on both sides.
+4. What is still apart meets for certain: in small blocks nodes of different groups that share enough keys, in large ones those outside
+   the commonest group and all others, dealt to tiles of bounded size on both sides.
 
 Before two sets are intersected, a :class:`Bound` that looks at a small point of each must allow it. Nodes of one group never meet, so
 families that are joined cost no more; only nodes that share keys with many and link with none of them are compared with them all.
@@ -30,6 +32,10 @@ from loomspan.llm.components import components
 from loomspan.llm.shingles import band_keys, common_shingles, minima, rare_first, shingle_hashes
 
 
+#: A set has one further key, and must share one more, per so many shingles.
+MORE = 20
+
+
 class Bound(Protocol):
     """What tells, from a small point of each set, that two sets cannot be similar enough."""
 
@@ -66,8 +72,10 @@ class SetJoin:
         self.source, self.tmp, self.bound, self.shingle, self.similarity = source, tmp, bound, shingle, similarity
         self.small, self.slot, self.chunk = max(2, chunk // 16), slot, chunk
         self.shared = source.sparkSession.sparkContext.broadcast(common_shingles(source, shingle, every, most))  # at most ``most`` entries
-        self.rows, self.nodes = self._rows()
-        self.heads = self._live_heads()
+        full, self.nodes = self._rows()
+        self.heads = self._live_heads(full)
+        self.rows = tmp.keep(full.drop("head"), "narrow")
+        tmp.drop(full)
         self.sets = self._sets(orders)
         self.links = self._links()
 
@@ -79,7 +87,7 @@ class SetJoin:
             for batch, texts in text_slices(batches, 2):
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
                 names = np.array([[x >> 64, x & (1 << 64) - 1] for s in sets for x in [xxhash.xxh3_128_intdigest(s.tobytes())]], np.uint64).reshape(-1, 2).view(np.int64)
-                heads = [rare_first(s, *shared.value)[0][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
+                heads = [rare_first(s, *shared.value)[0][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 + len(s) // MORE].view(np.int64) for s in sets]
                 columns = [batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "h", "f1", "f2", "n", "head"])
 
@@ -88,13 +96,22 @@ class SetJoin:
         order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
         return rows, self.tmp.keep(rows.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min(order).alias("first")), "nodes")
 
-    def _live_heads(self) -> DataFrame:
-        """``key, node, n, pos`` for the keys that two nodes or more have, one of them early enough."""
-        mine = self.rows.select("rid", "n", "head").filter("n > 0").join(self.nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
+    def _live_heads(self, full: DataFrame) -> DataFrame:
+        """``key, node, n, pos, block`` for the keys that two nodes or more have, one of them early enough, of the nodes with enough of them."""
+        mine = full.select("rid", "n", "head").filter("n > 0").join(self.nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
         keyed = mine.select(F.col("rid").alias("node"), "n", F.posexplode("head").alias("pos", "key"))
-        early = F.col("pos") <= F.col("n") - F.ceil(2 * self.similarity / (1 + self.similarity) * F.col("n") - 1e-9)
-        live = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("block"), F.min(~early).alias("late")).filter("block > 1 AND NOT late").select("key", "block")
-        return self.tmp.keep(keyed.join(self.tmp.keep(live, "live"), "key"), "heads")
+        early = F.col("pos") <= F.col("n") - F.ceil(2 * self.similarity / (1 + self.similarity) * F.col("n") - 1e-9) + F.floor(F.col("n") / MORE)
+        live = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("block"), F.min(~early).alias("late")).filter("block > 1 AND NOT late").select("key")
+        first = self.tmp.keep(keyed.join(self.tmp.keep(live, "live"), "key"), "heads")
+        self.tmp.release()
+        # The least that a set of this size shares with another one.
+        needed = 1 + F.floor(F.ceil(self.similarity * F.col("n") - 1e-9) / MORE)
+        rich = first.groupBy("node", "n").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= needed).select("node")
+        rich = self.tmp.keep(first.join(rich, "node", "left_semi"), "rich")
+        again = rich.groupBy("key").agg(F.count(F.lit(1)).alias("block")).filter("block > 1")
+        found = self.tmp.keep(rich.join(self.tmp.keep(again, "live"), "key"), "heads")
+        self.tmp.drop(first, rich)
+        return found
 
     def _sets(self, orders: int) -> DataFrame:
         """``node, n, shingles, point, central, bands`` of the nodes that have a live key, made anew from their texts."""
@@ -109,11 +126,16 @@ class SetJoin:
                 columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(central, pa.float64()), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", "central", "shingles", "point", "bands"])
 
+        # Both sides by one hash of id and text: rows that are there twice meet in one task, and no set is shuffled to tell them.
+        name = lambda h: F.xxhash64(F.struct("id", h)).alias("name")
         asked = self.rows.select("rid", "id", "h").join(self.heads.select(F.col("node").alias("rid")).distinct(), "rid")
-        asked = asked.select(F.col("rid").alias("node"), F.col("id").alias("asked_id"), F.col("h").alias("asked_h"))
-        texts = self.source.join(asked, F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("h") == F.col("asked_h"))).select("node", "text")
+        asked = asked.select(name("h"), F.col("rid").alias("node"), F.col("id").alias("asked_id"), F.col("h").alias("asked_h"))
+        texts = self.source.select(name("h"), "id", "h", "text").join(asked, "name").filter(F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("h") == F.col("asked_h")))
+        texts = texts.dropDuplicates(["name", "node"]).select("node", "text")
         made = texts.mapInArrow(run, f"node long, n int, central double, shingles array<long>, point array<{bound.kind}>, bands array<long>")
-        return self.tmp.keep(made.dropDuplicates(["node"]), "sets")
+        found = self.tmp.keep(made, "sets")
+        self.tmp.release()
+        return found
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Those pairs ``a, b`` of nodes whose sets are similar enough."""
@@ -131,6 +153,7 @@ class SetJoin:
         common = F.size(F.array_intersect("a_shingles", "b_shingles"))
         found = self.tmp.keep(met.filter(common >= F.lit(self.similarity) * (F.col("a_n") + F.col("b_n") - common) - 1e-9).select("a", "b"), "found")
         self.tmp.drop(pairs, near)
+        self.tmp.release()
         return found
 
     def _rooted(self, links: DataFrame) -> DataFrame:
@@ -155,7 +178,7 @@ class SetJoin:
             before, turn = groups, turn + 1
             found = found.unionByName(self._alike(self._slot_pairs(rooted.filter(large), turn)))
             rooted = self._rooted(found)
-        last = self._small_pairs(rooted.filter(~large))
+        last = self._small_pairs(rooted)
         if work:
             last = last.unionByName(self._tile_pairs(rooted.filter(large)))
         return found.unionByName(self._alike(last.distinct()))
@@ -181,15 +204,18 @@ class SetJoin:
     def _sizes_allow(self) -> Column:
         return F.least("a_n", "b_n") >= F.lit(self.similarity) * F.greatest("a_n", "b_n") - 1e-9
 
-    def _places_allow(self) -> Column:
-        """At the first shingle that two sets share, both have enough shingles left."""
-        left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-        return left + 1e-6 >= F.lit(self.similarity / (1 + self.similarity)) * (F.col("a_n") + F.col("b_n"))
-
     def _small_pairs(self, rooted: DataFrame) -> DataFrame:
-        left, right = (rooted.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "pos")), F.col("node").alias(x)) for x in "ab")
-        met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & self._sizes_allow() & self._places_allow())
-        return met.select("a", "b").distinct()
+        """Nodes of different groups that share as many keys as they must, less those that may be keys of large blocks."""
+        large = rooted.groupBy("node").agg(F.count_if(F.col("block") > self.small).alias("large"))
+        small = rooted.filter(F.col("block") <= self.small).join(large, "node")
+        left, right = (small.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "pos", "large")), F.col("node").alias(x)) for x in "ab")
+        met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & self._sizes_allow())
+        needed = 1 + F.floor(F.least("a_n", "b_n") / MORE)
+        # Among the first shingles that two sets share, both have enough shingles left.
+        left_over = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) + needed - 1
+        met = met.filter(left_over + 1e-6 >= F.lit(self.similarity / (1 + self.similarity)) * (F.col("a_n") + F.col("b_n")))
+        shared = met.groupBy("a", "b", "a_n", "b_n", "a_large", "b_large").agg(F.count(F.lit(1)).alias("shared"))
+        return shared.filter(F.col("shared") + F.least("a_large", "b_large") >= needed).select("a", "b")
 
     def _tile_pairs(self, rooted: DataFrame) -> DataFrame:
         """In large blocks the nodes outside the commonest group and all others, tile by tile."""
