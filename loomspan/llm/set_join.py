@@ -5,8 +5,9 @@
    ``l``, and in the smaller one they are within its first ``n - ceil(2 similarity / (1 + similarity) n) + l``. Only keys of
    two nodes or more live on, and only nodes with enough live keys, so a passage that unlike texts share makes no candidates of
    them; sets are made for the nodes that are left.
-2. Every node is compared with one hub, the node that most of its blocks (pairs of minima of the set) name. This joins most families.
-3. While large blocks (the nodes of one key) hold several groups, their nodes are dealt to slots of some eight by hash, those of one
+2. Every node is compared with one hub. A block (the nodes of one key) names the node of which the largest share of keys is live, the
+   least edited one; a node's hub is the one that most of its blocks name. This joins most families.
+3. While large blocks hold several groups, their nodes are dealt to slots of some eight by hash, those of one
    slot meet, and the links found join groups before the next round. Every round is linear in the nodes.
 4. What is still apart meets for certain: in small blocks nodes of different groups that share enough keys, in large ones those outside
    the commonest group and all others, dealt to tiles of bounded size on both sides.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import Scratch, salted_join, stored, text_slices
 from loomspan.llm.components import components
-from loomspan.llm.shingles import band_keys, common_shingles, minima, rare_first, shingle_hashes
+from loomspan.llm.shingles import common_shingles, rare_first, shingle_hashes
 
 
 #: A set has one further key, and must share one more, per so many shingles.
@@ -67,7 +68,7 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, hot: DataFr
 class SetJoin:
     """The steps above over one table of texts; ``rows`` and ``nodes`` hold every row, ``links`` spans the groups of nodes."""
 
-    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, orders: int = 16, every: int = 32, most: int = 1 << 16, slot: int = 8, chunk: int = 512):
+    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 8, chunk: int = 512):
         """``source``: ``id, h, text``, h a hash of the text. ``chunk``: the side of a tile; blocks of up to a sixteenth of it are small."""
         self.source, self.tmp, self.bound, self.shingle, self.similarity = source, tmp, bound, shingle, similarity
         self.small, self.slot, self.chunk = max(2, chunk // 16), slot, chunk
@@ -76,7 +77,7 @@ class SetJoin:
         self.heads = self._live_heads(full)
         self.rows = tmp.keep(full.drop("head"), "narrow")
         tmp.drop(full)
-        self.sets = self._sets(orders)
+        self.sets = self._sets()
         self.links = self._links()
 
     def _rows(self) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +88,7 @@ class SetJoin:
             for batch, texts in text_slices(batches, 2):
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
                 names = np.array([[x >> 64, x & (1 << 64) - 1] for s in sets for x in [xxhash.xxh3_128_intdigest(s.tobytes())]], np.uint64).reshape(-1, 2).view(np.int64)
-                heads = [rare_first(s, *shared.value)[0][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 + len(s) // MORE].view(np.int64) for s in sets]
+                heads = [rare_first(s, *shared.value)[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 + len(s) // MORE].view(np.int64) for s in sets]
                 columns = [batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "h", "f1", "f2", "n", "head"])
 
@@ -97,7 +98,7 @@ class SetJoin:
         return rows, self.tmp.keep(rows.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min(order).alias("first")), "nodes")
 
     def _live_heads(self, full: DataFrame) -> DataFrame:
-        """``key, node, n, pos, block`` for the keys that two nodes or more have, one of them early enough, of the nodes with enough of them."""
+        """``key, node, n, pos, block``, and the node's number of ``keys``, for the keys that two nodes or more have, one of them early enough, of the nodes with enough of them."""
         mine = full.select("rid", "n", "head").filter("n > 0").join(self.nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
         keyed = mine.select(F.col("rid").alias("node"), "n", F.posexplode("head").alias("pos", "key"))
         early = F.col("pos") <= F.col("n") - F.ceil(2 * self.similarity / (1 + self.similarity) * F.col("n") - 1e-9) + F.floor(F.col("n") / MORE)
@@ -106,37 +107,56 @@ class SetJoin:
         self.tmp.release()
         # The least that a set of this size shares with another one.
         needed = 1 + F.floor(F.ceil(self.similarity * F.col("n") - 1e-9) / MORE)
-        rich = first.groupBy("node", "n").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= needed).select("node")
-        rich = self.tmp.keep(first.join(rich, "node", "left_semi"), "rich")
+        rich = first.groupBy("node", "n").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= needed).select("node", "keys")
+        rich = self.tmp.keep(first.join(rich, "node"), "rich")
         again = rich.groupBy("key").agg(F.count(F.lit(1)).alias("block")).filter("block > 1")
         found = self.tmp.keep(rich.join(self.tmp.keep(again, "live"), "key"), "heads")
         self.tmp.drop(first, rich)
         return found
 
-    def _sets(self, orders: int) -> DataFrame:
-        """``node, n, shingles, point, central, bands`` of the nodes that have a live key, made anew from their texts."""
-        shingle, bound, shared = self.shingle, self.bound, self.shared
+    def _sets(self) -> DataFrame:
+        """``node, hub, is_hub, n, shingles, point`` of the nodes that have a live key, made anew from their texts."""
+        shingle, bound = self.shingle, self.bound
+        kind = pa.list_(pa.int32() if bound.kind == "int" else pa.int64())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in text_slices(batches, 1):
+            for batch, texts in text_slices(batches, 3):
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-                central = [rare_first(s, *shared.value)[1] / max(1, len(s)) for s in sets]
-                lists = [[s.view(np.int64) for s in sets], [bound.point(s) for s in sets], [band_keys(minima(s, orders)).view(np.int64) for s in sets]]
-                kinds = [pa.int64(), pa.int32() if bound.kind == "int" else pa.int64(), pa.int64()]
-                columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(central, pa.float64()), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "central", "shingles", "point", "bands"])
-
+                columns = [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bound.point(s) for s in sets], kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "hub", "is_hub", "n", "shingles", "point"])
+
+        hubs = self.heads.groupBy("key").agg(F.max_by("node", F.struct(F.col("keys") / F.col("n"), "node")).alias("hub"))
+        named = self.heads.select("key", "node").join(hubs, "key").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+        named = named.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+        self.named = self.tmp.keep(named, "named")
+        is_hub = self.named.filter("node <> hub").select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
+        named = self.named.join(is_hub, "node", "left").select(F.col("node").alias("rid"), "hub", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
         # Both sides by one hash of id and text: rows that are there twice meet in one task, and no set is shuffled to tell them.
         name = lambda h: F.xxhash64(F.struct("id", h)).alias("name")
-        asked = self.rows.select("rid", "id", "h").join(self.heads.select(F.col("node").alias("rid")).distinct(), "rid")
-        asked = asked.select(name("h"), F.col("rid").alias("node"), F.col("id").alias("asked_id"), F.col("h").alias("asked_h"))
+        asked = self.rows.select("rid", "id", "h").join(named, "rid")
+        asked = asked.select(name("h"), F.col("rid").alias("node"), "hub", "is_hub", F.col("id").alias("asked_id"), F.col("h").alias("asked_h"))
         texts = self.source.select(name("h"), "id", "h", "text").join(asked, "name").filter(F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("h") == F.col("asked_h")))
-        texts = texts.dropDuplicates(["name", "node"]).select("node", "text")
-        made = texts.mapInArrow(run, f"node long, n int, central double, shingles array<long>, point array<{bound.kind}>, bands array<long>")
+        texts = texts.dropDuplicates(["name", "node"]).select("node", "hub", "is_hub", "text")
+        made = texts.mapInArrow(run, f"node long, hub long, is_hub boolean, n int, shingles array<long>, point array<{bound.kind}>")
         found = self.tmp.keep(made, "sets")
         self.tmp.release()
         return found
 
+    def _sets_alike(self) -> Column:
+        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        return common >= F.lit(self.similarity) * (F.col("a_n") + F.col("b_n") - common) - 1e-9
+
+    def _points_allow(self) -> Column:
+        return self.bound.allows(F.col("a_point"), F.col("a_n"), F.col("b_point"), F.col("b_n"))
+
+    def _hub_links(self) -> DataFrame:
+        """The nodes that are similar to their hubs; every set moves once, with the hub's number, and hubs' sets once more."""
+        a, b = (self.sets.filter(rows).select(F.col(node).alias(x), *more, *(F.col(c).alias(f"{x}_{c}") for c in ("n", "point", "shingles"))) for x, node, rows, more in (("a", "node", "node <> hub", [F.col("hub").alias("b")]), ("b", "node", "is_hub", [])))
+        hot = hot_keys(self.named.filter("node <> hub").select(F.col("hub").alias("b")), "b")
+        found = self.tmp.keep(spread_join(a, b, "b", "a", hot).filter(self._points_allow()).filter(self._sets_alike()).select("a", "b"), "found")
+        self.tmp.release()
+        return found
+
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Those pairs ``a, b`` of nodes whose sets are similar enough."""
         pairs = self.tmp.keep(pairs, "pairs")
@@ -147,11 +167,10 @@ class SetJoin:
                 df = spread_join(df, self.sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols)), x, other, keys)
             return df
 
-        near = with_sets(pairs, "n", "point").filter(self.bound.allows(F.col("a_point"), F.col("a_n"), F.col("b_point"), F.col("b_n"))).select("a", "b")
+        near = with_sets(pairs, "n", "point").filter(self._points_allow()).select("a", "b")
         near = self.tmp.keep(near, "near")
         met = with_sets(near, "n", "shingles")
-        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        found = self.tmp.keep(met.filter(common >= F.lit(self.similarity) * (F.col("a_n") + F.col("b_n") - common) - 1e-9).select("a", "b"), "found")
+        found = self.tmp.keep(met.filter(self._sets_alike()).select("a", "b"), "found")
         self.tmp.drop(pairs, near)
         self.tmp.release()
         return found
@@ -166,7 +185,7 @@ class SetJoin:
         return self.tmp.keep(rooted.join(self.tmp.keep(apart, "apart"), "key"), "rooted")
 
     def _links(self) -> DataFrame:
-        found = self._alike(self._hub_pairs())
+        found = self._hub_links()
         rooted = self._rooted(found)
         large, turn, before = F.col("block") > self.small, 0, None
         while True:
@@ -183,13 +202,6 @@ class SetJoin:
             last = last.unionByName(self._tile_pairs(rooted.filter(large)))
         return found.unionByName(self._alike(last.distinct()))
 
-    def _hub_pairs(self) -> DataFrame:
-        """Each node with the hub that most of its blocks of minima name."""
-        keys = self.sets.select("node", "central", F.posexplode("bands").alias("choice", "key"))
-        hubs = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("block"), F.max_by("node", F.struct("central", "node")).alias("b")).filter("block > 1").drop("block")
-        named = keys.join(hubs, ["choice", "key"]).filter("node <> b").groupBy("node", "b").agg(F.count(F.lit(1)).alias("times"))
-        return named.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-
     def _slot_pairs(self, rooted: DataFrame, turn: int, blocks: int = 4) -> DataFrame:
         """Nodes of different groups that a round deals to one slot of a block; a node takes part in the least of its blocks by hash."""
         each = rooted.select("node", "root", "n", F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key").alias("key"))

@@ -1,4 +1,4 @@
-"""Hashes of word shingles, minima of their sets, and an order of all shingles."""
+"""Hashes of word shingles, and an order of all shingles."""
 
 from __future__ import annotations
 
@@ -35,27 +35,10 @@ def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
     return np.array([h(joined[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
 
 
-def minima(hashes: np.ndarray, orders: int) -> np.ndarray:
-    """The least of a set of shingle hashes in each of ``orders`` orders.
-
-    Two sets have the same least one in an order with the probability of their Jaccard similarity, however small they are.
-    """
-    salts = mixed(np.arange(1, orders + 1, dtype=np.uint64))[:, None]
-    least = np.full(orders, np.iinfo(np.uint64).max, np.uint64)
-    for part in range(0, len(hashes), 1 << 13):
-        least = np.minimum(least, mixed(hashes[None, part : part + (1 << 13)] ^ salts).min(1))
-    return least
-
-
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One key per two minima."""
-    return mixed(least[0::2] + mixed(least[1::2]))
-
-
 def common_shingles(texts: DataFrame, shingle: int, every: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that three texts or more of a sample (one in ``every`` by hash) have, sorted, and in how many.
 
-    Only the ``most`` frequent are told. They order shingles and choose hubs; another sample changes the work, not the result.
+    Only the ``most`` frequent are told. They order shingles; another sample changes the work, not the result.
     """
 
     def run(batches):
@@ -71,10 +54,10 @@ def common_shingles(texts: DataFrame, shingle: int, every: int, most: int) -> tu
     return hashes[order], times[order]
 
 
-def rare_first(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
-    """A set of shingle hashes in one order of all shingles, seldom ones first, and how many of them are ``common``."""
+def rare_first(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A set of shingle hashes in one order of all shingles, seldom ones first."""
     rank = np.zeros(len(hashes), np.int64)
     if len(common) and len(hashes):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         rank = np.where(common[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((mixed(hashes), rank))], int(np.count_nonzero(rank))
+    return hashes[np.lexsort((mixed(hashes), rank))]

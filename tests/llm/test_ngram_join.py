@@ -18,7 +18,7 @@ def word_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("settings", [{}, {"chunk": 8, "orders": 2, "every": 1}])
+@pytest.mark.parametrize("settings", [{}, {"chunk": 8, "every": 1}])
 def test_classes_against_all_pairs(spark, settings):
     rnd = random.Random(11)
     texts = [prose(rnd, rnd.choice([6, 9, 40, 150, 700])) for _ in range(30)]

@@ -172,7 +172,7 @@ def edited(rnd, text, share):
     return " ".join(rnd.choice(WORDS) + "x" if rnd.random() < share else w for w in text.split())
 
 
-@pytest.mark.parametrize("settings", [{}, {"chunk": 8, "orders": 2}])
+@pytest.mark.parametrize("settings", [{}, {"chunk": 8}])
 def test_similar_groups_against_all_pairs(spark, settings):
     """All pairs of 0.8 and more are linked and no others, whatever the size of the buckets."""
     rnd = random.Random(23)
@@ -183,7 +183,7 @@ def test_similar_groups_against_all_pairs(spark, settings):
     assert got == similar_components([r[:2] for r in rows], 0.8)
 
 
-@pytest.mark.parametrize("settings", [{}, {"chunk": 8, "orders": 2, "every": 1}])
+@pytest.mark.parametrize("settings", [{}, {"chunk": 8, "every": 1}])
 def test_similar_groups_large_families_by_sets(spark, settings):
     """Families of more than 16 near copies about the limit, and a passage that all rows share: right at every bucket size."""
     rnd = random.Random(41)
