@@ -8,6 +8,7 @@ from loomspan.operators import intervals as I
 from loomspan.queries import query
 from loomspan.queries.calls import WITH_CALLS
 from loomspan.sources import tables as T
+from loomspan.streaming.open_calls import replayed
 
 
 def spans(spark, sf_dir):
@@ -142,3 +143,19 @@ def j1_call_results(spark, sf_dir):
 def w8_lanes(spark, sf_dir):
     """Greedy lanes of each session's spans."""
     return I.lanes(spans(spark, sf_dir).select("session", "seq", "t0", "t1"), ["session"])
+
+
+@query(f"""{WITH_CALLS.replace("WITH", "WITH RECURSIVE", 1)}, ev AS (
+    SELECT session, CASE WHEN seq % 3 > 0 THEN seq % 2 END AS id, CASE tool WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS kind, seq, t_ms, coalesce(err, false) AS err FROM calls WHERE tool IN ('click', 'view', 'purchase')
+  ), o AS (SELECT *, coalesce(id, -1) AS k, row_number() OVER (PARTITION BY session, id ORDER BY seq) AS n FROM ev),
+  s AS (SELECT session, k, 0::BIGINT AS n, 0::BIGINT AS opened, 0::BIGINT AS closed, false AS hit, 0::BIGINT AS seq, 0::BIGINT AS t_ms, 0 AS kind, false AS err FROM (SELECT DISTINCT session, k FROM o)
+    UNION ALL SELECT o.session, o.k, o.n, opened + (o.kind = 1)::BIGINT, closed + (o.kind = 2 AND closed < opened)::BIGINT, (o.kind = 2 AND closed < opened) OR (o.kind = 3 AND closed > 0), o.seq, o.t_ms, o.kind, o.err
+    FROM s JOIN o ON o.session = s.session AND o.k = s.k AND o.n = s.n + 1)
+  SELECT c.seq AS place, max(e.t_ms - c.t_ms) AS ms, bool_or(e.err) AS err FROM s c JOIN s e ON c.kind = 1 AND e.hit AND e.session = c.session AND e.k = c.k AND e.closed = c.opened
+  WHERE e.kind = 2 OR e.t_ms - c.t_ms < 86400000 GROUP BY c.session, c.k, c.seq""")
+def l6_open_calls(spark, sf_dir):
+    """Calls closed by later results through streaming state, the table being replayed as a log in four runs."""
+    kind = F.when(F.col("tool") == "click", "call").when(F.col("tool") == "view", "result").when(F.col("tool") == "purchase", "more")
+    call_id = F.when(F.col("seq") % 3 > 0, (F.col("seq") % 2).cast("string"))
+    rows = T.calls(spark, sf_dir).select(F.col("session").cast("string").alias("file"), call_id.alias("call_id"), kind.alias("kind"), F.col("seq").cast("long").alias("place"), F.col("t_ms").cast("long").alias("t_ms"), F.col("tool").alias("name"), "err")
+    return replayed(rows.filter("kind IS NOT NULL"), "place", 4, most=1 << 20).filter("ms IS NOT NULL").select("place", "ms", "err")
