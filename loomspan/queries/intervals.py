@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.operators import intervals as I
+from loomspan.operators import turns as U
 from loomspan.queries import query
 from loomspan.queries.calls import WITH_CALLS
 from loomspan.sources import tables as T
 from loomspan.streaming.open_calls import replayed
+from loomspan.streaming.turns import replayed_turns
 
 
 def spans(spark, sf_dir):
@@ -159,3 +161,72 @@ def l6_open_calls(spark, sf_dir):
     call_id = F.when(F.col("seq") % 3 > 0, (F.col("seq") % 2).cast("string"))
     rows = T.calls(spark, sf_dir).select(F.col("session").cast("string").alias("file"), call_id.alias("call_id"), kind.alias("kind"), F.col("seq").cast("long").alias("place"), F.col("t_ms").cast("long").alias("t_ms"), F.col("tool").alias("name"), "err")
     return replayed(rows.filter("kind IS NOT NULL"), "place", 4, most=1 << 20).filter("ms IS NOT NULL").select("place", "ms", "err")
+
+
+QUIET = 28_800_000
+
+
+def log_lines(spark, sf_dir):
+    """Events as log lines: clicks are prompts, purchases and half the errors what the harness says of turns, views activity; every
+    seventh line has no time, signups are passed over."""
+    c = T.calls(spark, sf_dir)
+    said = F.when(F.col("tool") == "purchase", "turn started").when(F.col("seq") % 2 == 0, "turn aborted").otherwise(F.concat(F.lit("turn complete · "), F.col("seq") % 90, F.lit(".5s")))
+    kind = F.when(F.col("tool") == "click", "user").when(F.col("tool") == "view", "tool").otherwise("meta")
+    rows = c.withColumn("text", F.when(F.col("tool").isin("purchase", "error"), said).otherwise(F.col("tool"))).withColumn("kind", U.line_kind(kind, F.col("text")))
+    return rows.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("place"), "kind", F.when(F.col("seq") % 7 != 0, F.col("t_ms")).cast("long").alias("t_ms"), U.told_ms(F.col("text")).alias("ms"))
+
+
+#: The automaton step by step, one line of every session at a time.
+TURNS_SQL = f"""{WITH_CALLS.replace("WITH", "WITH RECURSIVE", 1)}, ln AS (
+    SELECT session::VARCHAR AS session, seq AS place, row_number() OVER (PARTITION BY session ORDER BY seq) AS i, CASE WHEN seq % 7 <> 0 THEN t_ms END AS t,
+      CASE tool WHEN 'click' THEN 'prompt' WHEN 'view' THEN 'activity' WHEN 'purchase' THEN 'started' WHEN 'error' THEN CASE WHEN seq % 2 = 0 THEN 'aborted' ELSE 'complete' END END AS kind,
+      CASE WHEN tool = 'error' AND seq % 2 = 1 THEN (seq % 90) * 1000 + 500 END AS ms FROM calls),
+  a AS (
+    SELECT session, 0::BIGINT AS i, NULL::BIGINT AS last, false AS open, false AS waits, '' AS why, 0::BIGINT AS n, false AS opened, false AS filled, false AS quieted, '' AS shut, NULL::BIGINT AS place, NULL::VARCHAR AS kind, NULL::BIGINT AS t, NULL::BIGINT AS ms, NULL::BIGINT AS was, false AS late
+    FROM ln GROUP BY session
+    UNION ALL
+    SELECT session, i, greatest(last, t), CASE WHEN opens THEN true WHEN shuts THEN false ELSE open1 END, CASE WHEN opens THEN kind = 'started' WHEN shuts OR fills THEN false ELSE waits1 END,
+      CASE WHEN shuts THEN kind ELSE why1 END, n + opens::BIGINT, opens, fills, quiet, CASE WHEN shuts THEN kind ELSE '' END, place, kind, t, ms, last, opens AND kind = 'activity' AND why1 = 'quiet'
+    FROM (SELECT *, coalesce(kind IN ('complete', 'aborted'), false) AND open1 AS shuts, coalesce(kind = 'prompt', false) AND waits1 AS fills,
+        coalesce(kind = 'started' OR (kind = 'prompt' AND NOT waits1) OR (kind = 'activity' AND NOT open1), false) AS opens
+      FROM (SELECT *, open AND NOT quiet AS open1, waits AND NOT quiet AS waits1, CASE WHEN quiet THEN 'quiet' ELSE why END AS why1
+        FROM (SELECT a.session, ln.i, a.last, a.open, a.waits, a.why, a.n, ln.place, ln.kind, ln.ms, coalesce(ln.t, a.last) AS t, a.open AND coalesce(coalesce(ln.t, a.last) - a.last > {QUIET}, false) AS quiet
+          FROM a JOIN ln ON ln.session = a.session AND ln.i = a.i + 1)))),
+  o AS (SELECT session, n, kind, place, t, late FROM a WHERE opened),
+  f AS (SELECT session, n, min(place) AS place FROM a WHERE filled OR (opened AND kind = 'prompt') GROUP BY ALL),
+  c AS (SELECT session, n, kind, last, t, ms FROM a WHERE shut <> ''),
+  q AS (SELECT session, n - opened::BIGINT AS n, was FROM a WHERE quieted),
+  x AS (SELECT session, n - 1 AS n, last FROM a WHERE opened),
+  e AS (SELECT session, max(last) AS last FROM a GROUP BY session)
+  SELECT o.session, o.n AS turn, o.kind AS opened_by, o.place, f.place AS prompt_place, least(o.t, CASE WHEN c.ms > 0 THEN c.t - c.ms END) AS t0,
+    greatest(o.t, CASE WHEN c.kind IS NOT NULL THEN c.last WHEN q.n IS NOT NULL THEN q.was WHEN x.n IS NOT NULL THEN x.last ELSE e.last END) AS t1,
+    CASE WHEN c.kind IS NOT NULL THEN c.kind WHEN q.n IS NOT NULL THEN 'quiet' WHEN x.n IS NOT NULL THEN 'next' ELSE 'open' END AS closed_by, o.late
+  FROM o JOIN e USING (session) LEFT JOIN f USING (session, n) LEFT JOIN c USING (session, n) LEFT JOIN q USING (session, n) LEFT JOIN x USING (session, n)"""
+
+
+@query(TURNS_SQL)
+def w1_turn_spans(spark, sf_dir):
+    """Turns of every session with what opened and closed them."""
+    return U.turn_spans(log_lines(spark, sf_dir), ["session"], "place", QUIET)
+
+
+@query(TURNS_SQL)
+def i6_running_turns(spark, sf_dir):
+    """The same turns by the running summary, the table being replayed as a log in four runs."""
+    return replayed_turns(log_lines(spark, sf_dir), "place", 4, QUIET)
+
+
+@query(f"""{WITH_CALLS}, sp AS (SELECT session, seq AS id, CASE WHEN seq % 2 = 0 THEN seq // 4 END AS call_id, seq AS place, seq % 61 = 0 AS spawns, seq % 4 AS depth, t_ms AS t0, t_ms + ms * 20000 AS t1 FROM calls WHERE ms IS NOT NULL),
+  ch AS (SELECT session, seq AS child, CASE WHEN seq % 3 = 0 THEN seq // 4 END AS call_id, CASE WHEN seq % 5 <> 0 THEN t_ms END AS t FROM calls),
+  i AS (SELECT child, min(id) AS id FROM ch JOIN sp USING (session, call_id) GROUP BY child),
+  s AS (SELECT child, max(place) AS id FROM ch JOIN sp ON sp.session = ch.session AND spawns AND t0 <= t + 1000 GROUP BY child),
+  e AS (SELECT child, arg_max(id, r) AS id FROM (SELECT child, {{'depth': depth, 'place': place, 'id': id}} AS r, depth, place, id FROM ch JOIN sp ON sp.session = ch.session AND t BETWEEN t0 AND t1) GROUP BY child)
+  SELECT session, child, CASE WHEN i.id IS NOT NULL THEN 'id' WHEN s.id IS NOT NULL THEN 'spawn' WHEN e.id IS NOT NULL THEN 'enclosing' END AS how, coalesce(i.id, s.id, e.id) AS host
+  FROM ch LEFT JOIN i USING (child) LEFT JOIN s USING (child) LEFT JOIN e USING (child)""")
+def j7_attached_spans(spark, sf_dir):
+    """Where each call would hang as a subagent of its session: by id, by the latest spawning call, by the innermost span around it."""
+    c, s = T.calls(spark, sf_dir), F.col("seq")
+    quarter = F.floor(s / 4)
+    held = c.filter("ms IS NOT NULL").select("session", s.alias("id"), F.when(s % 2 == 0, quarter).alias("call_id"), s.alias("place"), (s % 61 == 0).alias("spawns"), (s % 4).alias("depth"), F.col("t_ms").alias("t0"), (F.col("t_ms") + F.col("ms") * 20000).alias("t1"))
+    children = c.select("session", s.alias("child"), F.when(s % 3 == 0, quarter).alias("call_id"), F.when(s % 5 != 0, F.col("t_ms")).alias("t"))
+    return U.attach_spans(children, held, ["session"]).select("session", "child", "how", "host")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,21 +95,26 @@ def closed_calls(events: DataFrame) -> DataFrame:
     return met.groupBy("file", "call_id", "place").agg(F.first("t_ms").alias("t_ms"), F.first("name").alias("name"), F.max("ms").alias("ms"), F.bool_or(F.coalesce("err", F.lit(False))).alias("err"))
 
 
-def replayed(events: DataFrame, order: str, parts: int, most: int = 2000) -> DataFrame:
-    """A table as the log it might have been: appended in ``parts`` runs of ``order``, each read by :func:`close_calls` before the next comes.
+def replay(events: DataFrame, order: str, parts: int, run: Callable[[DataFrame], DataFrame], schema: str, name: str) -> DataFrame:
+    """Rows that the streaming query ``run`` makes of a table as the log it might have been: appended in ``parts`` runs of ``order``.
 
-    Every run starts the query again from its checkpoint, so results meet calls of earlier runs by state. Files lie in the folder
+    Every run starts the query again from its checkpoint, so what it knows of earlier runs it knows by state. Files lie in the folder
     that ``spark.checkpoint.dir`` names. An empty table gives no rows; so do events without an ``order``.
     """
     spark = events.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"{base.rstrip('/')}/open-calls-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     low, high = events.agg(F.min(order), F.max(order)).first()
     for part in range(parts if low is not None else 0):
         cut = [low + (high + 1 - low) * k // parts for k in (part, part + 1)]
         events.filter(F.col(order).between(cut[0], cut[1] - 1)).write.mode("append").parquet(f"{root}/log")
         stream = spark.readStream.schema(events.schema).parquet(f"{root}/log")
-        close_calls(stream, most).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
-    return settled(spark.read.schema(_OUT).parquet(f"{root}/rows") if low is not None else spark.createDataFrame([], _OUT))
+        run(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/rows") if low is not None else spark.createDataFrame([], schema)
+
+
+def replayed(events: DataFrame, order: str, parts: int, most: int = 2000) -> DataFrame:
+    """A table of events read by :func:`close_calls` as a log that grows in ``parts`` runs: results meet calls of earlier runs by state."""
+    return settled(replay(events, order, parts, lambda s: close_calls(s, most), _OUT, "open-calls"))

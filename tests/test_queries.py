@@ -59,7 +59,7 @@ def test_entry(spark):
 
 def test_plans_prune_and_avoid_products(spark):
     """Scans read the columns they need, and no plan has a Cartesian product or a Python node outside the few that need one."""
-    python = {"w8_lanes", "w8_lane_sizes", "i14_skill_attribution", "o6_fuzzy_matches"}
+    python = {"w8_lanes", "w8_lane_sizes", "i14_skill_attribution", "o6_fuzzy_matches", "j7_attached_spans"}
     for name, query in catalog.QUERIES.items():
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
