@@ -56,12 +56,19 @@ def attribute_commits(commits: DataFrame, sessions: DataFrame, git_calls: DataFr
 
     ``commits``: repo, sha, at_ms; ``sessions``: session, repo, w0, w1; ``git_calls``: session, repo, t0, t1; ``banners``: session,
     short. Only observed commits (banner or single span) are counted; windows give ``reflog`` (one) or ``shared`` (several).
+    Commits meet calls and sessions by repository and time bucket (an hour, a day), so a repository's history is dealt over its buckets.
     """
+
+    def within(spans: DataFrame, t0: str, t1: str, rank: int, bucket_ms: int) -> DataFrame:
+        cell = lambda t: F.floor(F.col(t) / bucket_ms)
+        cut = spans.filter(F.col(t1) >= F.col(t0)).select("repo", "session", t0, t1, F.explode(F.sequence(cell(t0), cell(t1))).alias("_cell"))
+        met = commits.withColumn("_cell", cell("at_ms")).join(cut, ["repo", "_cell"]).filter(F.col("at_ms").between(F.col(t0), F.col(t1)))
+        return met.select("repo", "sha", "at_ms", "session", F.lit(rank).alias("rank"))
+
     sized = banners.select(F.col("session").alias("b_session"), "short")
     by_sha = commits.withColumn("short", F.explode(F.transform(F.sequence(F.lit(7), F.least(F.lit(40), F.length("sha"))), lambda n: F.substring(F.col("sha"), F.lit(1), n))))
     banner = by_sha.join(sized, "short").select("repo", "sha", "at_ms", F.col("b_session").alias("session"), F.lit(1).alias("rank"))
-    spans = commits.join(git_calls, "repo").filter(F.col("at_ms").between(F.col("t0"), F.col("t1"))).select("repo", "sha", "at_ms", "session", F.lit(2).alias("rank"))
-    windows = commits.join(sessions, "repo").filter(F.col("at_ms").between(F.col("w0"), F.col("w1"))).select("repo", "sha", "at_ms", "session", F.lit(3).alias("rank"))
+    spans, windows = within(git_calls, "t0", "t1", 2, 3_600_000), within(sessions, "w0", "w1", 3, 86_400_000)
     found = banner.unionByName(spans).unionByName(windows).distinct()
     w = Window.partitionBy("repo", "sha")
     best = found.withColumn("_best", F.min("rank").over(w)).filter(F.col("rank") == F.col("_best"))

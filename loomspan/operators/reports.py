@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import scalars as S
 from loomspan.operators.aggregate import with_quantiles
 from loomspan.operators.intervals import active_minutes, union_length
+from loomspan.operators.skills import told_apart
 from loomspan.plans.filters import glob_pattern
 
 
@@ -60,12 +61,21 @@ def calls_with_context(calls: DataFrame, loads: DataFrame, bucket_ms: int = 3_60
     return met.select("session", "seq", "name").distinct()
 
 
-def advice(loads: DataFrame, listed: DataFrame, days: int, *, min_size: int = 2000, tail_share: float = 0.6, min_sessions: int = 3, min_user_loads: int = 3, reload_sessions: int = 2, compact_loads: int = 3) -> DataFrame:
-    """What to change about skills, most dollars first. ``loads``: session, name, trigger, t, end, size, usd, tail_usd, reloaded, hash, host.
+#: Name of the loads that are the listing of skills itself.
+LISTING = "(listing)"
 
-    A1 carried too long, A2 never loaded by the model, A3 loaded again while in context, A4 loaded again after compaction,
-    A6 listed but never loaded, A10 newest versions differ between hosts.
+
+def advice(loads: DataFrame, listed: DataFrame, days: int, *, now_ms: int | None = None, drift_days: int = 7, min_size: int = 2000, tail_share: float = 0.6, min_sessions: int = 3, min_user_loads: int = 3, reload_sessions: int = 2, compact_loads: int = 3) -> DataFrame:
+    """What to change about skills. ``loads``: session, name, trigger, t, end, size, usd, tail_usd, carry_usd, reloaded, n, stub, hash, host.
+
+    A1 carried too long, A2 never loaded by the model, A3 loaded again while in context, A4 loaded again after compaction (what the
+    loads cost, without what they cost while carried), A6 listed but never loaded (an even share of what the listing costs), A10 newest
+    versions differ between hosts. Loads named :data:`LISTING` are the listing: they count for A6 only. A row of ``n`` loads of
+    more than one is no evidence of a second load (A3), a ``stub`` is of no version (A10), and with ``now_ms`` versions older than
+    ``drift_days`` are not compared.
     """
+    loads = told_apart(loads)
+    listing, loads = loads.filter(F.col("name") == LISTING), loads.filter(F.col("name") != LISTING)
     per = 30 / max(1, days)
     table = loads.groupBy("name").agg(
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size)").alias("size"),
@@ -76,18 +86,23 @@ def advice(loads: DataFrame, listed: DataFrame, days: int, *, min_size: int = 20
         F.count_if(F.col("trigger") == "model").alias("by_model"),
         F.count_distinct(F.when(F.col("trigger") == "user", F.col("session"))).alias("user_sessions"),
         F.count_if("reloaded").alias("reloads"),
-        F.sum(F.when(F.col("reloaded"), F.col("usd"))).alias("reload_usd"),
+        F.sum(F.when(F.col("reloaded"), F.col("usd") - F.coalesce("carry_usd", F.lit(0.0)))).alias("reload_usd"),
     )
-    w = Window.partitionBy("session", "name").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    twice = loads.withColumn("_open", F.max(F.coalesce("end", F.lit(1 << 60))).over(w)).filter(F.col("_open") > F.col("t"))
+    w = Window.partitionBy("session", "name").orderBy("t", "usd").rowsBetween(Window.unboundedPreceding, -1)
+    twice = loads.filter("n = 1").withColumn("_open", F.max(F.coalesce("end", F.lit(1 << 60))).over(w)).filter(F.col("_open") > F.col("t"))
     twice = twice.groupBy("name").agg(F.count_distinct("session").alias("n"), F.sum("usd").alias("usd")).filter(F.col("n") >= reload_sessions)
-    newest = loads.groupBy("name", "host").agg(F.max_by("hash", "t").alias("hash")).groupBy("name").agg(F.count_distinct("hash").alias("n")).filter("n >= 2")
+    versions = loads.filter("hash IS NOT NULL AND NOT stub")
+    if now_ms is not None:
+        versions = versions.filter(F.col("t") >= now_ms - drift_days * 86_400_000)
+    newest = versions.groupBy("name", "host").agg(F.max_by("hash", "t").alias("hash")).groupBy("name").agg(F.count_distinct("hash").alias("n")).filter("n >= 2")
     row = lambda df, id_, severity: df.select(F.lit(id_).alias("advice"), "name", F.round(severity, 6).alias("severity"))
     long = table.filter((F.col("size") >= min_size) & (F.col("tail") / F.col("usd") >= tail_share) & (F.col("sessions") >= min_sessions))
     manual = table.filter((F.col("by_user") >= min_user_loads) & (F.col("by_model") == 0) & (F.col("user_sessions") >= min_sessions))
     lost = table.filter(F.col("reloads") >= compact_loads)
-    unused = listed.select("name").distinct().join(loads, "name", "left_anti")
-    found = [row(long, "A1", F.col("tail") * per), row(manual, "A2", F.col("usd") * per * 0.1), row(twice, "A3", F.col("usd") * per), row(lost, "A4", F.col("reload_usd") * per), row(unused, "A6", F.lit(0.0)), row(newest, "A10", F.lit(0.0))]
+    names = listed.select("name").distinct()
+    share = F.coalesce(listing.agg(F.sum("usd")).scalar() / names.agg(F.count(F.lit(1))).scalar(), F.lit(0.0))
+    unused = names.join(loads, "name", "left_anti")
+    found = [row(long, "A1", F.col("tail") * per), row(manual, "A2", F.col("usd") * per * 0.1), row(twice, "A3", F.col("usd") * per), row(lost, "A4", F.col("reload_usd") * per), row(unused, "A6", share * per), row(newest, "A10", F.lit(0.0))]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -114,9 +129,14 @@ def native_usage(usage: DataFrame, requests: DataFrame, exported: DataFrame) ->
 
 
 def link_processes(processes: DataFrame, sessions: DataFrame, within_ms: int = 60_000) -> DataFrame:
-    """Session of each process: by pid, else the nearest start in the same folder within a time."""
+    """Session of each process: by pid, else the nearest start in the same folder within a time, the smaller name of equally near ones.
+
+    Starts meet by folder and time bucket, so a folder of many sessions gives no pairs but those near in time.
+    """
+    cell = lambda t: F.floor(F.col(t) / within_ms)
     by_pid = processes.join(sessions.select("pid", F.col("session").alias("s1")), "pid", "left")
-    near = by_pid.join(sessions.select("cwd", F.col("session").alias("s2"), F.col("start_ms").alias("s_ms")), "cwd", "left").withColumn("gap", F.abs(F.col("start_ms") - F.col("s_ms")))
+    starts = sessions.select("cwd", F.col("session").alias("s2"), F.col("start_ms").alias("s_ms"), F.explode(F.array(cell("start_ms") - 1, cell("start_ms"), cell("start_ms") + 1)).alias("_cell"))
+    near = by_pid.withColumn("_cell", cell("start_ms")).join(starts, ["cwd", "_cell"], "left").withColumn("gap", F.abs(F.col("start_ms") - F.col("s_ms")))
     best = near.groupBy("pid", "s1").agg(F.min(F.when(F.col("gap") <= within_ms, F.struct("gap", "s2"))).alias("n"))
     return best.select("pid", F.coalesce("s1", "n.s2").alias("session"))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.intervals import in_order
+
 UNITS = {
     "turn_done": "duration", "approval_wait": "duration", "repeat_run": "count", "command_age": "duration", "stalled": "duration", "spinning": "duration", "session_cost": "usd", "session_tokens": "count",
     "tool_calls": "count", "tool_errors": "count", "tool_error_rate": "ratio", "contention": "count", "contention_family": "count", "skill_reloads": "count", "skill_carry_usd": "usd", "skill_context_share": "ratio",
@@ -136,12 +138,21 @@ def transitions(samples: DataFrame, rule: Rule) -> DataFrame:
 def throttled(alerts: DataFrame, seconds: int = 30) -> DataFrame:
     """Notifications: fires and escalations, per session and rule at most one every ``seconds`` since the last one sent.
 
-    The times of a session's and rule's alerts, and nothing else, are folded in order; rows of one time share their fate.
+    The alerts of a session and rule go by in order; a task holds the time of the last one sent, no list of them. Rows of one time share
+    their fate. Alerts without a time are not sent.
     """
-    wanted = alerts.filter(F.col("state").isin("fire", "escalate"))
-    times = wanted.groupBy("session", "rule").agg(F.array_sort(F.collect_set("t_ms")).alias("times"))
-    nothing = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("sent"))
-    due = lambda s, t: s["last"].isNull() | (t - s["last"] >= seconds * 1000)
-    step = lambda s, t: F.when(due(s, t), F.struct(t.cast("long").alias("last"), F.concat(s["sent"], F.array(t.cast("long"))).alias("sent"))).otherwise(s)
-    sent = times.select("session", "rule", F.explode(F.aggregate("times", nothing, step)["sent"]).alias("t_ms"))
-    return wanted.join(sent, ["session", "rule", "t_ms"], "left_semi")
+    wanted = alerts.filter(F.col("state").isin("fire", "escalate") & F.col("t_ms").isNotNull())
+
+    def start():
+        sent: int | None = None
+
+        def step(r: dict) -> list[tuple]:
+            nonlocal sent
+            if sent is None or r["t_ms"] - sent >= seconds * 1000:
+                sent = r["t_ms"]
+            return [tuple(r.values())] if r["t_ms"] == sent else []
+
+        return step
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema)
+    return in_order(wanted, ["session", "rule"], ["t_ms"], start, schema)

@@ -51,12 +51,18 @@ def _calls_within(spans: DataFrame, calls: DataFrame, key: list[str], sums: dict
     return spans.join(made, key, "left").na.fill(0, list(sums))
 
 
+def told_apart(loads: DataFrame) -> DataFrame:
+    """``loads`` with ``n`` (loads in a row, 1 where it is not told) and ``stub`` (a call again whose text is its own, false likewise)."""
+    known = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in loads.columns else F.lit(other)
+    return loads.withColumns({"n": known("n", 1), "stub": known("stub", False)})
+
+
 def version_changes(loads: DataFrame, days: int, least: int = 3) -> DataFrame:
     """A5: consecutive versions (hashes, by first load) of a skill with ``least`` sessions each, and what a session costs before and after.
 
-    Loads without a hash are of no version. One row per version goes through the window.
+    Loads without a hash and stubs (a second call whose text is its own) are of no version. One row per version goes through the window.
     """
-    versions = loads.filter("hash IS NOT NULL").groupBy("name", "hash").agg(
+    versions = told_apart(loads).filter("hash IS NOT NULL AND NOT stub").groupBy("name", "hash").agg(
         F.min("t").alias("first_t"), F.count_distinct("session").alias("sessions"), F.sum("usd").alias("usd"), F.sum("tail_usd").alias("tail"), _median("size").alias("size")
     )
     versions = versions.select("name", "hash", "first_t", "sessions", "size", (F.col("usd") / F.col("sessions")).alias("usd_session"), F.try_divide("tail", "usd").alias("tail_share"))
@@ -69,10 +75,10 @@ def version_changes(loads: DataFrame, days: int, least: int = 3) -> DataFrame:
 def idle_loads(loads: DataFrame, calls: DataFrame, days: int, share: float = 0.5, least: int = 5) -> DataFrame:
     """A7: skills that the model loads and then calls no tool in that turn: judged and idle loads, and the idle ones' dollars.
 
-    Judged are model loads whose turn has ended, in sessions with call rows. Loads of one skill and moment are judged alike.
+    Judged are single model loads (``n`` of 1, no stubs) whose turn has ended, in sessions with call rows. Loads of one skill and moment are judged alike.
     """
     kept = calls.select("session").distinct()
-    own = loads.filter("trigger = 'model' AND turn_end IS NOT NULL").join(kept, "session", "left_semi")
+    own = told_apart(loads).filter("trigger = 'model' AND turn_end IS NOT NULL AND n = 1 AND NOT stub").join(kept, "session", "left_semi")
     spans = own.groupBy("session", "name", (F.col("t") + 1).alias("t0"), F.col("turn_end").alias("t1")).agg(F.count(F.lit(1)).alias("loads"), F.sum("usd").alias("usd"))
     seen = _calls_within(spans, calls.select("session", "t_ms"), ["session", "name", "t0", "t1"], {"calls": F.count(F.lit(1))})
     idle = F.col("calls") == 0

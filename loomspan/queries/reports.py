@@ -53,19 +53,20 @@ def j6_calls_in_context(spark, sf_dir):
 def _loads(spark, sf_dir):
     k = F.col("seq")
     return T.calls(spark, sf_dir).filter("tool = 'view'").select(
-        "session", F.concat(F.lit("s"), k % 7).alias("name"), F.when(k % 7 == 3, "user").when(k % 2 == 0, "user").otherwise("model").alias("trigger"), F.col("t_ms").alias("t"), (F.col("t_ms") + 86_400_000).alias("end"),
-        (k % 7 * 600).alias("size"), (F.col("seq") % 100).cast("double").alias("usd"), (F.col("seq") % 100 * 0.75).alias("tail_usd"), (k % 35 == 0).alias("reloaded"), F.concat(F.lit("h"), k % 3).alias("hash"), (F.col("session") % 4).alias("host"),
+        "session", F.when(k % 37 == 0, P.LISTING).otherwise(F.concat(F.lit("s"), k % 7)).alias("name"), F.when(k % 7 == 3, "user").when(k % 2 == 0, "user").otherwise("model").alias("trigger"), F.col("t_ms").alias("t"), (F.col("t_ms") + 86_400_000).alias("end"),
+        (k % 7 * 600).alias("size"), (F.col("seq") % 100).cast("double").alias("usd"), (F.col("seq") % 100 * 0.75).alias("tail_usd"), (F.col("seq") % 100 * 0.2).alias("carry_usd"), (k % 35 == 0).alias("reloaded"), F.when(k % 13 == 0, 2).otherwise(1).alias("n"), (k % 17 == 0).alias("stub"), F.concat(F.lit("h"), k % 3).alias("hash"), (F.col("session") % 4).alias("host"),
     )
 
 
-@query(f"""{WITH_CALLS}, loads AS (SELECT session, seq, 's' || seq % 7 AS name, CASE WHEN seq % 7 = 3 OR seq % 2 = 0 THEN 'user' ELSE 'model' END AS trigger, t_ms AS t, t_ms + 86400000 AS e, seq % 7 * 600 AS size, (seq % 100)::DOUBLE AS usd, seq % 100 * 0.75 AS tail, seq % 35 = 0 AS reloaded, 'h' || seq % 3 AS hash, session % 4 AS host FROM calls WHERE tool = 'view'),
-  t AS (SELECT name, quantile_disc(size, 0.5) AS size, sum(usd) AS usd, sum(tail) AS tail, count(DISTINCT session) AS n, count(*) FILTER (trigger = 'user') AS u, count(*) FILTER (trigger = 'model') AS m, count(DISTINCT session) FILTER (trigger = 'user') AS un, count(*) FILTER (reloaded) AS r, sum(usd) FILTER (reloaded) AS ru FROM loads GROUP BY name)
+@query(f"""{WITH_CALLS}, every AS (SELECT session, seq, CASE WHEN seq % 37 = 0 THEN '(listing)' ELSE 's' || seq % 7 END AS name, CASE WHEN seq % 7 = 3 OR seq % 2 = 0 THEN 'user' ELSE 'model' END AS trigger, t_ms AS t, t_ms + 86400000 AS e, seq % 7 * 600 AS size, (seq % 100)::DOUBLE AS usd, seq % 100 * 0.75 AS tail, seq % 100 * 0.2::DOUBLE AS carry, seq % 35 = 0 AS reloaded, CASE WHEN seq % 13 = 0 THEN 2 ELSE 1 END AS n, seq % 17 = 0 AS stub, 'h' || seq % 3 AS hash, session % 4 AS host FROM calls WHERE tool = 'view'),
+  loads AS (SELECT * FROM every WHERE name <> '(listing)'), listed AS (SELECT 's' || x AS name FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (8), (9)) v(x)),
+  t AS (SELECT name, quantile_disc(size, 0.5) AS size, sum(usd) AS usd, sum(tail) AS tail, count(DISTINCT session) AS n, count(*) FILTER (trigger = 'user') AS u, count(*) FILTER (trigger = 'model') AS m, count(DISTINCT session) FILTER (trigger = 'user') AS un, count(*) FILTER (reloaded) AS r, sum(usd - carry) FILTER (reloaded) AS ru FROM loads GROUP BY name)
   SELECT 'A1' AS advice, name, round(tail, 6)::DOUBLE AS severity FROM t WHERE size >= 2000 AND tail / usd >= 0.6 AND n >= 3
   UNION ALL SELECT 'A2', name, round(usd * 0.1, 6) FROM t WHERE u >= 3 AND m = 0 AND un >= 3
-  UNION ALL SELECT 'A3', name, round(sum(usd), 6) FROM loads a WHERE EXISTS (SELECT 1 FROM loads b WHERE b.session = a.session AND b.name = a.name AND b.t < a.t AND b.e > a.t) GROUP BY name HAVING count(DISTINCT session) >= 2
+  UNION ALL SELECT 'A3', name, round(sum(usd), 6) FROM loads a WHERE n = 1 AND EXISTS (SELECT 1 FROM loads b WHERE b.session = a.session AND b.name = a.name AND b.n = 1 AND b.t < a.t AND b.e > a.t) GROUP BY name HAVING count(DISTINCT session) >= 2
   UNION ALL SELECT 'A4', name, round(ru, 6) FROM t WHERE r >= 3
-  UNION ALL SELECT 'A6', 's' || x, 0.0 FROM (VALUES (8), (9)) v(x)
-  UNION ALL SELECT 'A10', name, 0.0 FROM (SELECT name, host, arg_max(hash, t) AS h FROM loads GROUP BY ALL) GROUP BY name HAVING count(DISTINCT h) >= 2""")
+  UNION ALL SELECT 'A6', name, round((SELECT sum(usd) FROM every WHERE name = '(listing)') / (SELECT count(*) FROM listed), 6) FROM listed WHERE name NOT IN (SELECT name FROM loads)
+  UNION ALL SELECT 'A10', name, 0.0 FROM (SELECT name, host, arg_max(hash, t) AS h FROM loads WHERE NOT stub GROUP BY ALL) GROUP BY name HAVING count(DISTINCT h) >= 2""")
 def i17_skill_advice(spark, sf_dir):
     listed = spark.range(10).select(F.concat(F.lit("s"), "id").alias("name")).filter("name <> 's7'")
     return P.advice(_loads(spark, sf_dir), listed, 30)

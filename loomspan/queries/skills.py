@@ -17,11 +17,12 @@ def loads(spark, sf_dir):
         "session", F.concat(F.lit("s"), k % 7).alias("name"), F.when(k % 4 == 0, "user").otherwise("model").alias("trigger"), F.floor(F.col("t_ms") / 604_800_000).alias("turn"), F.col("t_ms").alias("t"),
         F.when(k % 5 != 0, F.col("t_ms") + k % 9 * 3_600_000).alias("turn_end"), F.when(k % 6 != 0, F.col("t_ms") + 172_800_000).alias("end"), F.when(k % 8 != 0, k % 11 * 100).alias("size"),
         F.when(k % 3 != 0, F.concat(F.lit("h"), k % 4)).alias("hash"), (k % 100).cast("double").alias("usd"), (k % 100 * 0.5).alias("tail_usd"), (k % 100 * 0.25).alias("carry_usd"),
+        F.when(k % 13 == 0, 2).otherwise(1).alias("n"), (k % 17 == 0).alias("stub"),
     )
 
 
 _LOADS = """loads AS (SELECT session, 's' || seq % 7 AS name, CASE WHEN seq % 4 = 0 THEN 'user' ELSE 'model' END AS trigger, t_ms // 604800000 AS turn, t_ms AS t, CASE WHEN seq % 5 <> 0 THEN t_ms + seq % 9 * 3600000 END AS turn_end,
-    CASE WHEN seq % 6 <> 0 THEN t_ms + 172800000 END AS e, CASE WHEN seq % 8 <> 0 THEN seq % 11 * 100 END AS size, CASE WHEN seq % 3 <> 0 THEN 'h' || seq % 4 END AS hash, (seq % 100)::DOUBLE AS usd, seq % 100 * 0.5::DOUBLE AS tail, seq % 100 * 0.25::DOUBLE AS carry
+    CASE WHEN seq % 6 <> 0 THEN t_ms + 172800000 END AS e, CASE WHEN seq % 8 <> 0 THEN seq % 11 * 100 END AS size, CASE WHEN seq % 3 <> 0 THEN 'h' || seq % 4 END AS hash, (seq % 100)::DOUBLE AS usd, seq % 100 * 0.5::DOUBLE AS tail, seq % 100 * 0.25::DOUBLE AS carry, CASE WHEN seq % 13 = 0 THEN 2 ELSE 1 END AS n, seq % 17 = 0 AS stub
   FROM calls WHERE tool = 'view')"""
 WITH_LOADS = f"{WITH_CALLS}, {_LOADS}"
 
@@ -32,7 +33,7 @@ def i15_sizes_filled(spark, sf_dir):
     return K.sizes_filled(loads(spark, sf_dir)).select("session", "name", "t", "size", "guessed")
 
 
-@query(f"""{WITH_LOADS}, v AS (SELECT name, hash, min(t) AS first_t, count(DISTINCT session) AS sessions, sum(usd) / count(DISTINCT session) AS us, sum(tail) / nullif(sum(usd), 0) AS ts, quantile_disc(size, 0.5) AS size FROM loads WHERE hash IS NOT NULL GROUP BY ALL),
+@query(f"""{WITH_LOADS}, v AS (SELECT name, hash, min(t) AS first_t, count(DISTINCT session) AS sessions, sum(usd) / count(DISTINCT session) AS us, sum(tail) / nullif(sum(usd), 0) AS ts, quantile_disc(size, 0.5) AS size FROM loads WHERE hash IS NOT NULL AND NOT stub GROUP BY ALL),
   x AS (SELECT *, lag(hash) OVER w AS hash_before, lag(sessions) OVER w AS sessions_before, lag(us) OVER w AS ub, lag(size) OVER w AS size_before FROM v WINDOW w AS (PARTITION BY name ORDER BY first_t, hash))
   SELECT name, hash_before, hash, sessions_before, sessions, size_before, size, round(ub, 6) AS usd_session_before, round(us, 6) AS usd_session, round(abs(us - ub) * sessions, 6) AS severity FROM x WHERE sessions >= 3 AND sessions_before >= 3""")
 def i17_version_changes(spark, sf_dir):
@@ -41,7 +42,7 @@ def i17_version_changes(spark, sf_dir):
     return made.select("name", "hash_before", "hash", "sessions_before", "sessions", "size_before", "size", "usd_session_before", "usd_session", "severity")
 
 
-@query(f"""{WITH_LOADS}, s AS (SELECT l.*, (SELECT count(*) FROM calls c WHERE c.session = l.session AND c.t_ms > l.t AND c.t_ms < l.turn_end) AS n FROM loads l WHERE trigger = 'model' AND turn_end IS NOT NULL)
+@query(f"""{WITH_LOADS}, s AS (SELECT l.name, l.usd, (SELECT count(*) FROM calls c WHERE c.session = l.session AND c.t_ms > l.t AND c.t_ms < l.turn_end) AS n FROM loads l WHERE trigger = 'model' AND turn_end IS NOT NULL AND l.n = 1 AND NOT l.stub)
   SELECT name, count(*)::BIGINT AS judged, count(*) FILTER (n = 0)::BIGINT AS idle, round(sum(usd) FILTER (n = 0), 6) AS idle_usd, round(sum(usd) FILTER (n = 0), 6) AS severity FROM s GROUP BY name HAVING count(*) >= 5 AND count(*) FILTER (n = 0) / count(*)::DOUBLE >= 0.5""")
 def i17_idle_loads(spark, sf_dir):
     made = K.idle_loads(loads(spark, sf_dir), T.calls(spark, sf_dir), 30)

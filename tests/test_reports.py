@@ -62,3 +62,23 @@ def test_fuzzy_order(spark):
 def test_contention(spark, now, want):
     spans = spark.createDataFrame([("x", 1, 0, 20), ("x", 2, 1, 6), ("x", 3, 10, None)], "k string, session long, t0 long, t1 long")
     assert [tuple(r) for r in reports.contention(spans, "k", now).collect()] == want
+
+
+ADVICE_LOADS = "session string, name string, trigger string, t long, end long, size long, usd double, tail_usd double, carry_usd double, reloaded boolean, n int, stub boolean, hash string, host string"
+
+
+def test_advice_by_its_rules(spark):
+    """A4 leaves the carry out, A6 shares the listing, A3 takes single loads only, A10 no stubs and nothing old."""
+    day = 86_400_000
+    rows = [(f"s{i}", "lost", "model", day * 20 + i, None, 10, 5.0, 0.0, 2.0, True, 1, False, "h", "a") for i in range(3)]
+    rows += [(s, "twice", "model", day * 20 + t, None, 10, 1.0, 0.0, 0.0, False, n, False, "h", "a") for s in ("s1", "s2", "s3") for t, n in ((1, 1), (2, 1 if s != "s3" else 2))]
+    rows += [("s1", "drift", "model", day * 20, 1, 10, 0.0, 0.0, 0.0, False, 1, False, "h1", "a"), ("s2", "drift", "model", day * 20, 1, 10, 0.0, 0.0, 0.0, False, 1, False, "h2", "b")]
+    rows += [("s3", "same", "model", day * 20, 1, 10, 0.0, 0.0, 0.0, False, 1, False, "h1", "a"), ("s3", "same", "model", day * 21, 1, 10, 0.0, 0.0, 0.0, False, 1, True, "h9", "a"), ("s4", "same", "model", day * 20, 1, 10, 0.0, 0.0, 0.0, False, 1, False, "h1", "b")]
+    rows += [("s1", "(listing)", "model", 0, None, 10, 8.0, 0.0, 0.0, False, 1, False, None, "a")]
+    listed = spark.createDataFrame([("lost",), ("twice",), ("never",), ("nor this",)], "name string")
+    loads = spark.createDataFrame(rows, ADVICE_LOADS)
+    found = {(r.advice, r.name): r.severity for r in reports.advice(loads, listed, 15, now_ms=day * 22).collect()}
+    assert found == {("A4", "lost"): 18.0, ("A3", "twice"): 4.0, ("A6", "never"): 4.0, ("A6", "nor this"): 4.0, ("A10", "drift"): 0.0}
+    late = {r.advice for r in reports.advice(loads, listed, 15, now_ms=day * 40).collect()}
+    assert late == {"A3", "A4", "A6"}
+    assert reports.advice(loads.limit(0), listed.limit(0), 1).count() == 0
