@@ -1,9 +1,4 @@
-"""Command families and kinds of shell lines, with built-in functions only.
-
-A line's parts are judged by regular expressions: what runs in a part is its first word after assignments and wrappers, and its
-family is that program with the word that tells its task. The first part that runs something other than a text filter names
-the line. Quoted separators and here-documents are not followed.
-"""
+"""Kinds of command families, of tools and of events; :mod:`loomspan.functions.shell` reads the lines."""
 
 from __future__ import annotations
 
@@ -12,15 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions import shell
 from loomspan.functions.scalars import mcp_server, tool_category
 
-# Programs by how their family is told.
-TRIVIAL = ("cd", "pushd", "popd", "export", "source", ".", "set", "unset", "ulimit", "true", "false", "echo", "printf", "test", "[", "[[", "mkdir", "local", "read", "trap", "for", "case", "done", "fi", "exit", "return", ":")
-FILTERS = ("cat", "grep", "rg", "sed", "head", "tail", "awk", "jq", "wc", "sort", "uniq", "tee", "less", "cut", "tr", "column")
-PACKAGE_MANAGERS = ("npm", "pnpm", "yarn", "bun", "turbo", "nx")
-RUNNERS = ("npx", "pnpx", "bunx", "uvx")
-WITH_TASK = ("poetry", "pipenv", "cargo", "go", "make", "just", "git", "docker", "kubectl", "mvn", "gradle", "gradlew", "dotnet", "terraform", "composer", "mix", "flutter", "uv", "pip", "pip3", "bundle", "rake", "helm", "brew", "apt", "apt-get", "next", "vite", "podman", "systemctl", "tmux")
-INTERPRETERS = ("node", "tsx", "ts-node", "python", "python3", "ruby", "perl", "php", "sh", "bash", "zsh", "dash")
+# Kinds of families by words.
 KIND_WORDS = (
     ("test", ("test", "tests", "vitest", "jest", "mocha", "pytest", "playwright", "cypress", "rspec", "check.sh", "e2e", "nextest", "cargo test", "go test", "mix test")),
     ("typecheck", ("tsc", "typecheck", "type-check", "check-types", "mypy", "pyright", "vue-tsc", "svelte-check", "cargo check")),
@@ -43,57 +33,16 @@ EDIT_TOOLS = ("edit", "write", "multiedit", "notebookedit", "apply_patch", "writ
 SEARCH_TOOLS = ("grep", "glob", "ls", "list_directory", "search_file_content", "find", "list", "codesearch", "rg")
 SKILL_TOOLS = ("skill", "activate_skill")
 
-#: Options that take a value of their own, of package managers, runners and task tools.
-VALUE_OPTIONS = ("-C", "--dir", "--filter", "-F", "--prefix", "--cwd", "--workspace", "--config", "-p", "--package", "--from", "--with", "--python", "-c", "--git-dir", "--work-tree", "-f", "--file", "--directory", "-n", "--namespace", "--context", "-R", "--repo", "--project", "-H")
-
-_SKIP = (
-    r"^(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|do|then|else|elif|while|until|if|!|\{|\(|"
-    r"(?:\S*/)?(?:sudo|env|timeout|nice|ionice|nohup|time|command|exec|stdbuf|xargs)(?:\s+-{1,2}[\w-]+(?:=\S+)?)*(?:\s+\d+(?:\.\d+)?[smhd]?)*)\s+)*"
-)
-
 
-def parts(command: Column) -> Column:
-    return F.filter(F.transform(F.split(command, r"&&|\|\||[;|&\n]"), lambda p: F.regexp_replace(F.trim(p), _SKIP, "")), lambda p: p != "")
-
-
-def part_family(part: Column) -> Column:
-    """Family of one part, empty if it is trivial."""
-    program = F.regexp_replace(F.element_at(F.split(part, r"\s+"), 1), r"^.*/(?=[^/]+$)", "")
-    options = r"(?<=\s)(?:" + "|".join(VALUE_OPTIONS) + r")\s+\S+(?=\s|$)"
-    words = F.split(F.when(program.isin(*INTERPRETERS), part).otherwise(F.regexp_replace(part, options, "-")), r"\s+")
-    args = F.filter(F.slice(words, 2, 60), lambda w: ~w.startswith("-") & ~w.startswith("+") & ~w.rlike(r"^\d+$"))
-    first, second = F.coalesce(F.try_element_at(args, F.lit(1)), F.lit("")), F.coalesce(F.try_element_at(args, F.lit(2)), F.lit(""))
-    task = F.when(first.rlike(r"^[A-Za-z][\w:.-]*$"), F.concat(program, F.lit(" "), first)).otherwise(program)
-    bare = F.regexp_replace(F.regexp_replace(first, r"(?<=.)@[^/]*$", ""), r"^(?!@).*/", "")
-    managed = (
-        F.when(first.isin("run", "run-script"), F.when(second != "", F.concat(program, F.lit(" run "), second)).otherwise(F.concat(program, F.lit(" run"))))
-        .when(first.isin("test", "t", "tst"), F.concat(program, F.lit(" test")))
-        .when(first.isin("i", "ci", "add", "install"), F.concat(program, F.lit(" install")))
-        .when(first.isin("exec", "dlx", "x") & (second != ""), second)
-        .when(first == "", F.when(program == "yarn", "yarn install").otherwise(program))
-        .otherwise(task)
-    )
-    module = F.regexp_extract(part, r"^\S*python[\d.]*\s+-m\s+([\w.]+)", 1)
-    script = F.when(part.rlike(r"^\S+\s+(?:-c|-e|-p|--eval|--print)\b") | (first == ""), program).otherwise(F.concat(program, F.lit(" "), F.regexp_replace(first, r"^.*/(?=[^/]+$)", "")))
-    family = (
-        F.when(program.isin(*TRIVIAL), "")
-        .when(program.isin(*PACKAGE_MANAGERS), managed)
-        .when(program.isin(*RUNNERS), F.when(bare != "", bare).otherwise(program))
-        .when(program.isin("poetry", "pipenv", "uv", "bundle") & first.isin("run", "exec") & (second != ""), second)
-        .when(module != "", module)
-        .when(program == "gh", F.concat_ws(" ", program, F.nullif(first, F.lit("")), F.nullif(second, F.lit(""))))
-        .when(program.isin(*WITH_TASK), task)
-        .when(program.isin(*INTERPRETERS) | program.rlike(r"^python3\.\d+$"), script)
-        .otherwise(program)
-    )
-    return F.substring(family, 1, 40)
+def family(command: Column) -> Column:
+    """Family of a shell line; ``sh`` if it has only trivial parts, null if it is null."""
+    return shell.line_family(command, kind)["family"]
 
 
-def family(command: Column) -> Column:
-    """Family of a shell line; ``sh`` if it has only trivial parts."""
-    named = F.filter(F.transform(parts(command), part_family), lambda f: f != "")
-    first = lambda n: F.coalesce(F.try_element_at(F.filter(n, lambda f: ~f.isin(*FILTERS)), F.lit(1)), F.try_element_at(n, F.lit(1)), F.lit("sh"))
-    return F.element_at(F.transform(F.array(named), first), 1)  # bound by a lambda: evaluated once
+def call_family(argument: Column, rules: shell.Rules = shell.Rules()) -> Column:
+    """``family, kind, heavy`` of a shell call by its argument in any of the forms of :func:`~loomspan.functions.shell.command_lines`; null if that is null."""
+    lines = F.transform(shell.command_lines(argument), lambda line: shell.line_family(line, kind, rules))
+    return F.when(argument.isNotNull(), shell.of_several(lines, rules))
 
 
 def kind(family_: Column) -> Column:
@@ -148,7 +97,7 @@ def event_kinds(tool: Column, argument: Column, failed: Column) -> Column:
         .when(low.isin(*EDIT_TOOLS), "edit")
         .when((group == "file") | (category == "read"), F.when(low.isin(*SEARCH_TOOLS), "read:search").otherwise("read"))
         .when(group == "wait", "shell:wait")
-        .when(category == "shell", F.concat(F.lit("shell:"), F.coalesce(F.element_at(F.transform(F.array(family(argument)), kind), 1), F.lit("other"))))
+        .when(category == "shell", F.concat(F.lit("shell:"), F.coalesce(call_family(argument)["kind"], F.lit("other"))))
         .when(category == "edit", "edit")
         .when(category == "web", "web")
         .when(category == "agent", "subagent")

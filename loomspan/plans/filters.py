@@ -311,7 +311,7 @@ def event_rows(calls: DataFrame, turns: DataFrame | None = None, marks: DataFram
 
     ``calls``: session, tool, argument, err; ``turns``: session, role (user: prompt, assistant: reply, else meta); ``marks``: session, kinds.
     """
-    shell = F.when(S.tool_category(F.col("tool")) == "shell", families.family(F.col("argument")))
+    shell = F.when(S.tool_category(F.col("tool")) == "shell", families.call_family(F.col("argument"))["family"])
     rows = calls.select("session", F.lit("tool").alias("raw"), families.event_kinds(F.col("tool"), F.col("argument"), F.col("err")).alias("kinds"), "tool", shell.alias("family"))
     if turns is not None:
         role = F.col("role")

@@ -6,7 +6,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from loomspan.functions import families, shell
 from loomspan.functions import scalars as S
+from loomspan.functions.shell import HEAVY, Rules
 from loomspan.operators import aggregate as A
 from loomspan.plans.filters import Filters, clause, event_rows, having_text, matching_calls, matching_sessions, session_and_children
 from loomspan.queries import LABELS, bucket_sql, quantile_sql, query
@@ -214,6 +216,48 @@ def f16_lifted_events(spark, sf_dir):
     return matching_sessions(T.sessions(spark, sf_dir), f, events=_events(spark, sf_dir)).select(*_SESSION_COLUMNS)
 
 
+#: A shell line of every form around an order's comment, and the family and kind that a shell would run; {c} stands for the comment.
+_LINES = (
+    ("cd /w/app && git commit -m '{c}; make && rm -rf /'", "git commit", "vcs"),
+    ('FOO="{c} && x" timeout -s KILL 90 npx --yes vitest run | tail -5', "vitest", "test"),
+    ("cat <<'END' > notes.txt\n{c}; cargo test\nEND\nruff check .", "ruff", "lint"),
+    ('echo "{c} | y" | wc -c', "wc", "other"),
+    ('bash -lc "cd /w && echo \\"{c}; pytest\\" && cargo build --release"', "cargo build", "build"),
+    ("(sudo -u ci env A=1 pnpm -C web run type-check -- '{c}') 2>&1", "pnpm run type-check", "typecheck"),
+    ("export NOTE='{c}'; cd /tmp", "sh", "other"),
+    ("deploy '{c}' --now", "release", "ci"),
+)
+_RULES = Rules.read({"families": [{"match": "deploy * ...", "family": "release", "kind": "ci", "heavy": True}]})
+
+
+def _line_sql() -> str:
+    told = ", ".join(f"{{'family': '{f}', 'kind': '{k}', 'heavy': {f == 'release' or k in HEAVY}}}" for _, f, k in _LINES)
+    return f"SELECT o_orderkey, f.family AS family, f.kind AS kind, f.heavy AS heavy FROM (SELECT o_orderkey, [{told}][o_orderkey % {len(_LINES)} + 1] AS f FROM orders)"
+
+
+@query(_line_sql())
+def c3_shell_families(spark, sf_dir):
+    """Shell lines around orders' customers and priorities, quoted, in here-documents and in nested shells, by family with a user rule; the SQL tells what was put in."""
+    o = T.read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", F.lit("it; is && so |"), "o_custkey", "o_orderpriority").alias("c"))
+    lines = F.array(*(F.concat(F.lit(line.split("{c}")[0]), "c", F.lit(line.split("{c}")[1])) for line, _, _ in _LINES))
+    found = shell.line_family(F.element_at(lines, (F.col("o_orderkey") % len(_LINES) + 1).cast("int")), families.kind, _RULES)
+    return o.select("o_orderkey", found.alias("f")).select("o_orderkey", "f.family", "f.kind", "f.heavy")
+
+
+@query(f"""WITH told AS (SELECT o_orderkey, o_orderkey % 3 AS form FROM orders)
+SELECT ['pnpm test', 'cargo build', 'git status'][form + 1] AS family, ['test', 'build', 'vcs'][form + 1] AS kind, form < 2 AS heavy, count(*) AS calls, sum(o_orderkey)::BIGINT AS keys FROM told GROUP BY form""")
+def c5_call_families(spark, sf_dir):
+    """Calls with arguments as a script of two commands, a JSON argv and a JSON object: heavy commands first."""
+    key = F.col("o_orderkey").cast("string")
+    script = F.concat(F.lit('tools.exec_command({cmd:"git log \\"'), key, F.lit('\\" | cat"}); tools.exec_command({workdir: "/w", "cmd": \'pnpm test\'})'))
+    argv = F.to_json(F.array(F.lit("bash"), F.lit("-lc"), F.concat(F.lit("echo '"), key, F.lit("; x' && cargo build"))))
+    fields = F.to_json(F.struct(F.concat(F.lit("git status # "), key).alias("command")))
+    forms = F.array(script, argv, fields)
+    o = T.read(spark, sf_dir, "orders")
+    found = o.select("o_orderkey", families.call_family(F.element_at(forms, (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("f"))
+    return found.groupBy("f.family", "f.kind", "f.heavy").agg(F.count(F.lit(1)).alias("calls"), F.sum("o_orderkey").alias("keys"))
+
+
 @query(f"{WITH_BOTH} SELECT session, parent FROM sessions WHERE session = 20 OR parent = 20")
 def f22_session_and_children(spark, sf_dir):
     return session_and_children(T.sessions(spark, sf_dir), 20).select("session", "parent")
