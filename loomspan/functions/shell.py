@@ -104,6 +104,14 @@ _TO_WHAT_RUNS = rf"^(?:{_LEAD}|{_RUN})*+"
 _SHELL_LINE = rf"^{_PATH}{_any(SHELLS)}(?:{_U}(?!-[^-{_U}]*c{_U})[-+][^{_U}]*+)*+{_U}-[^-{_U}]*c{_U}([^{_U}]++)"
 
 
+_TASK_LEAD = "|".join(re.escape(name) + _U + _options(valued) for name, valued in TASK_OPTIONS.items())
+
+
+def _in(word: Column, words: Sequence[str]) -> Column:
+    """Whether it is one of the words; one call to the JVM, where ``isin`` makes one a word."""
+    return word.rlike(rf"^{_any(words)}\z")
+
+
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -179,24 +187,22 @@ def _named_family(words: Column, program: Column, versioned: Column, rest: Colum
         tool = F.when(is_word(_base(second)), F.concat(F.lit("go tool "), _base(second))).otherwise("go tool")
         return F.when(program == "gh", two).when((program == "go") & (first == "tool"), tool).otherwise(with_task(program, first))
 
-    options = past(rest, ())
-    for name, valued in TASK_OPTIONS.items():
-        options = F.when(program == name, past(rest, valued)).otherwise(options)
+    options = F.regexp_replace(F.concat(program, F.lit(WORD_END), rest), rf"^(?:{_TASK_LEAD}|[^{_U}]*+{_U}{_options(())})", "")
     # Options of an interpreter up to its script; ones that carry code, or a lone hyphen, leave no script.
     code = rest.rlike(rf"^(?:{_any(INTERPRETER_OPTIONS)}{_U}[^{_U}]++{_U}|(?!(?:-c|-e|-p|--eval|--print|-)(?:{_U}|\z))-[^{_U}]++{_U})*+(?:-c|-e|-p|--eval|--print|-)(?:{_U}|\z)")
     script = F.regexp_replace(rest, rf"^(?:{_any(INTERPRETER_OPTIONS)}{_U}[^{_U}]++(?:{_U}|\z)|-[^{_U}]++(?:{_U}|\z))*+", "")
     interpreted = F.when(code | (script == ""), program).otherwise(F.concat_ws(" ", program, _base(_first_word(script))))
     if depth < DEPTH:
         inner = _bound(family_of_segments(segments(F.regexp_extract(words, rf"(?s){_SHELL_LINE}", 1)), depth + 1), lambda f: F.when(f.isin("", "sh"), program).otherwise(f))
-        interpreted = F.when(program.isin(*SHELLS) & words.rlike(rf"(?s){_SHELL_LINE}"), inner).otherwise(interpreted)
+        interpreted = F.when(_in(program, SHELLS) & words.rlike(rf"(?s){_SHELL_LINE}"), inner).otherwise(interpreted)
     elif depth == DEPTH:
-        interpreted = F.when(program.isin(*SHELLS) & words.rlike(rf"(?s){_SHELL_LINE}"), program).otherwise(interpreted)
+        interpreted = F.when(_in(program, SHELLS) & words.rlike(rf"(?s){_SHELL_LINE}"), program).otherwise(interpreted)
     family = (
         F.when(versioned, program)
-        .when((words == "") | (program == "") | program.isin(*TRIVIAL), "")
-        .when(program.isin(*PACKAGE_MANAGERS), _bound(past(rest, MANAGER_OPTIONS), managed))
-        .when((program == "gh") | program.isin(*WITH_TASK), _bound(options, task))
-        .when(program.isin(*INTERPRETERS, "fish") | program.rlike(r"^python3\."), interpreted)
+        .when((words == "") | (program == "") | _in(program, TRIVIAL), "")
+        .when(_in(program, PACKAGE_MANAGERS), _bound(past(rest, MANAGER_OPTIONS), managed))
+        .when((program == "gh") | _in(program, WITH_TASK), _bound(options, task))
+        .when(_in(program, (*INTERPRETERS, "fish")) | program.rlike(r"^python3\."), interpreted)
         .otherwise(program)
     )
     return F.substring(family, 1, LONGEST)
@@ -215,7 +221,7 @@ def segment_family(segment: Column, depth: int = 0) -> Column:
 def _picked(segments_: Column, depth: int) -> Column:
     """``family, words`` of the segment that names the line, null if all are trivial."""
     named = F.filter(F.transform(segments_, lambda s: F.struct(segment_family(s, depth).alias("family"), s.alias("words"))), lambda p: p["family"] != "")
-    return _bound(named, lambda n: F.coalesce(F.try_element_at(F.filter(n, lambda p: ~p["family"].isin(*FILTERS)), F.lit(1)), F.try_element_at(n, F.lit(1))))
+    return _bound(named, lambda n: F.coalesce(F.try_element_at(F.filter(n, lambda p: ~_in(p["family"], FILTERS)), F.lit(1)), F.try_element_at(n, F.lit(1))))
 
 
 def family_of_segments(segments_: Column, depth: int = 0) -> Column:
