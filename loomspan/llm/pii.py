@@ -23,16 +23,24 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "го
 NEUTRAL = ("Dr", "Prof", "Mx", "доктор", "профессор")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLE = "(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + ")"
+#: Titles in capitals as well, where that is no common word or unit.
+_TITLE = "(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL, "MR", "MRS", "DR", "PROF", "HERR", "FRAU")) + ")"
+_BLANK = r"[ \xa0\t]"
+_WORD = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|\p{Lu}(?:\.\p{Lu})*+(?:\.|(?![\p{L}\p{N}])))"
+_PARTICLE = rf"(?:(?:van|von|vom|de|der|den|del|della|di|da|dos|du|la|le|bin|al|ter|zu){_BLANK}+)*+"
+#: Capitalised words that begin a sentence, and titles: they end a run of names.
+_OPENERS = r"(?!(?:The|Then|But|And|He|She|It|They|We|You|I|In|On|At|When|After|Before|This|That|There|If|As|So|Or|For|Of|To|A|An|His|Her)(?![\p{L}\p{N}.'’-]))" + rf"(?!{_TITLE}\.?{_BLANK})"
+_NAMES = rf"{_PARTICLE}{_WORD}(?:{_BLANK}+{_PARTICLE}{_OPENERS}{_WORD})*+"
+_GROUP = "[0-9a-fA-F]{1,4}"
 #: Kinds in order of precedence at one place, and their patterns (after a boundary on the left).
 KINDS = {
-    "person": _TITLE + r"\.?[ \xa0]\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "person": rf"(?:{_TITLE}\.?{_BLANK}+{_NAMES}|mrs?\.?{_BLANK}+(?:\p{{Ll}}[\p{{L}}\p{{M}}'’-]+|{_NAMES}))",
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "apikey": r"(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abps]|AKIA|ASIA|AIza)[-_]?[A-Za-z0-9][-_A-Za-z0-9]{15,}(?![\p{L}\p{N}])",
-    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\p{L}\p{N}:])",
+    "ipv6": rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[a-fA-F:]*\d)(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
     "ip": r"(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\d]|\.\d)",
     "card": r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\d\p{L}])",
     "secret": r"[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
@@ -73,7 +81,7 @@ def canonical(kind: Column, mention: Column) -> Column:
 
 def gender(mention: Column) -> Column:
     """Of a person's mention; a title that tells none gives names of either kind."""
-    starts = lambda titles: mention.rlike("^(?:" + "|".join(titles) + r")\.?[ \xa0]")
+    starts = lambda titles: mention.rlike("(?iu)^(?:" + "|".join(titles) + rf")\.?{_BLANK}")
     return F.when(starts(FEMALE), F.lit("female")).when(starts(MALE), F.lit("male")).otherwise(F.lit("any"))
 
 
@@ -154,6 +162,17 @@ def _name_word(word: Column, role: Column, gender_: Column, stream: Column, atte
     return F.when(word.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(F.initcap(made))
 
 
+def _initials(part: Column, stream: Column) -> Column:
+    """Initials moved on in their alphabet by one keyed number, so different ones stay different; others than Latin and Cyrillic ones become the first Latin ones."""
+
+    def moved(alphabet: str) -> Column:
+        place = lambda c: (F.instr(F.lit(alphabet), c) + _byte(stream, F.lit(0)) % (len(alphabet) - 1)) % len(alphabet) + 1
+        one = lambda c: F.when(c == ".", c).otherwise(F.substring(F.lit(alphabet), place(c).cast("int"), F.lit(1)))
+        return F.when(part.rlike(rf"^[{alphabet}.]+$"), F.array_join(F.transform(F.split(part, ""), one), ""))
+
+    return F.coalesce(moved("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), moved("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"), F.regexp_replace(part, r"\p{L}", "A"))
+
+
 def secret_of(spark: SparkSession, key: str) -> Column:
     """The key as a scalar subquery over a local table of one row; a plan names the table's column, never its value."""
     gateway = spark.sparkContext._gateway
@@ -168,7 +187,8 @@ def secret_of(spark: SparkSession, key: str) -> Column:
 def with_surrogate(df: DataFrame, key: Column, mention: str) -> DataFrame:
     """``df`` (``kind, canon, gender, attempt``) with ``made``, the replacement of column ``mention``. The key makes two streams, as columns."""
     host = _stream(key, F.lit("domain"), F.lower(F.substring_index(mention, "@", -1)))
-    streams = df.withColumns({"stream": _stream(key, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt").cast("string")), "host_stream": host})
+    of = F.when(F.col("kind") == "initial", F.lit("")).otherwise(F.col("canon"))
+    streams = df.withColumns({"stream": _stream(key, F.col("kind"), of, F.col("gender"), F.col("attempt").cast("string")), "host_stream": host})
     return streams.withColumn("made", surrogate(F.col("kind"), F.col(mention), F.col("gender"), F.col("attempt"), F.col("stream"), F.col("host_stream"))).drop("stream", "host_stream")
 
 
@@ -188,6 +208,7 @@ def surrogate(kind: Column, mention: Column, gender_: Column, attempt: Column, s
     return (
         F.when(attempt < 0, F.concat(kind, F.lit("-"), F.substring(stream, 1, 32)))
         .when(kind.isin("given", "surname"), _name_word(mention, kind, gender_, stream, attempt))
+        .when(kind == "initial", _initials(mention, stream))
         .when(kind == "email", email)
         .when(kind == "phone", _digits(mention, stream, country))
         .when(kind == "ssn", _digits(mention, stream))
@@ -238,7 +259,9 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
 
     Null and entity-free texts stay as they are; repeated rows get equal results; a null id is a value like others; an
     empty table gives an empty table; the time of a very long text grows with its length. ``count_col`` adds the number of
-    replaced mentions (a column of that name is replaced). Persons are found after a title only.
+    replaced mentions (a column of that name is replaced). Persons are found after a title only: a run of
+    capitalised words, initials and particles in any blanks, or one word after a small ``mr`` or ``mrs``; a word that often begins a sentence
+    ends the run. The last word is the surname. Initials are not tied to the names they stand for.
     """
     spark, text = docs.sparkSession, F.col(text_col)
     secret = secret_of(spark, key)
@@ -248,17 +271,28 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
         found = tmp.keep(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.posexplode(mentions).alias("pos", "mention")), "mentions")
         kinds = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
         # A mention's parts: a person's words, else itself.
-        title = F.when(F.col("kind") == "person", F.regexp_extract("mention", "^" + _TITLE + r"\.?[ \xa0]", 0)).otherwise(F.lit(""))
-        words = F.split(F.substr(F.col("mention"), F.length("title") + 1), F.when(F.col("kind") == "person", F.lit(" ")).otherwise(F.lit(r"(?!)")))
-        parts = kinds.withColumn("title", title).select("mention", "title", "kind", F.size(words).alias("n"), F.posexplode(words).alias("at", "part"))
-        role = F.when(F.col("kind") != "person", F.col("kind")).when(F.col("at") == F.col("n") - 1, F.lit("surname")).otherwise(F.lit("given"))
+        title = F.when(F.col("kind") == "person", F.regexp_extract("mention", rf"(?iu)^{_TITLE}\.?{_BLANK}+{_PARTICLE}", 0)).otherwise(F.lit(""))
+        rest = F.substr(F.col("mention"), F.length("title") + 1)
+        words = F.when(F.col("kind") == "person", F.regexp_extract_all(rest, F.lit(rf"[^ \xa0\t]+(?:{_BLANK}+{_PARTICLE})?"), F.lit(0))).otherwise(F.array(rest))
+        parts = kinds.withColumn("title", title).select("mention", "title", "kind", F.size(words).alias("n"), F.posexplode(words).alias("at", "piece"))
+        gap = F.when(F.col("kind") == "person", F.regexp_extract("piece", rf"^[^ \xa0\t]+(.*)$", 1)).otherwise(F.lit(""))
+        parts = parts.withColumn("gap", gap).withColumn("part", F.substr(F.col("piece"), F.lit(1), F.length("piece") - F.length("gap")))
+        initial = F.col("part").rlike(r"^\p{Lu}(?:\.\p{Lu})*\.?$")
+        role = F.when(F.col("kind") != "person", F.col("kind")).when(initial, F.lit("initial")).when(F.col("at") == F.col("n") - 1, F.lit("surname")).otherwise(F.lit("given"))
         told = F.when(role == "given", gender(F.col("mention"))).otherwise(F.lit(""))
-        parts = parts.select("mention", "title", "at", "part", told.alias("gender"), role.alias("kind"))
+        parts = parts.select("mention", "title", "at", "gap", "part", told.alias("gender"), role.alias("kind"))
         parts = tmp.keep(parts.withColumn("canon", canonical(F.col("kind"), F.col("part"))), "parts")
-        entities = settle(parts.groupBy("kind", "canon", "gender").agg(F.min("part").alias("sample")), secret, tmp)
+        # A title that tells no gender leaves it to the other mentions of the name, if these agree.
+        told = F.when(F.col("gender") != "any", F.col("gender"))
+        agreed = parts.groupBy("kind", "canon").agg(F.min(told).alias("least"), F.max(told).alias("most"))
+        agreed = agreed.select("kind", "canon", F.when(F.col("least") == F.col("most"), F.col("least")).alias("agreed"))
+        parts = salted_join(parts, agreed, ["kind", "canon"], "mention").withColumn("gender", F.when(F.col("gender") == "any", F.coalesce("agreed", "gender")).otherwise(F.col("gender")))
+        parts = tmp.keep(parts.drop("agreed"), "parts")
+        distinct = parts.groupBy("kind", "canon", "gender").agg(F.min("part").alias("sample"))
+        entities = settle(distinct.filter("kind <> 'initial'"), secret, tmp).unionByName(distinct.filter("kind = 'initial'").withColumn("attempt", F.lit(0)))
         named = salted_join(parts, entities.select("kind", "canon", "gender", "attempt"), ["kind", "canon", "gender"], "mention")
-        whole = F.concat("title", F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "made"))), lambda x: x["made"]), " "))
-        replaced = tmp.keep(with_surrogate(named, secret, "part").groupBy("mention", "title").agg(whole.alias("made")).select("mention", "made"), "replaced")
+        whole = F.concat("title", F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "made"))), lambda x: x["made"]), ""))
+        replaced = tmp.keep(with_surrogate(named, secret, "part").withColumn("made", F.concat("made", "gap")).groupBy("mention", "title").agg(whole.alias("made")).select("mention", "made"), "replaced")
         placed = salted_join(found, replaced, ["mention"], "id")
         maps = placed.groupBy("id", "x").agg(F.sort_array(F.collect_set(F.struct("pos", "made"))).alias("made"))  # repeated rows have the same places
         maps = stored(maps.select(F.col("id").alias(own_id), F.col("x").alias(own_h), F.transform("made", lambda x: x["made"]).alias(made_at)), "pii-places")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import hashlib
 import random
 import zlib
@@ -723,3 +724,23 @@ def test_language_mixture_against_plain_em():
         mine = tuple(np.flatnonzero(row > 1e-6).tolist())
         assert any(set(mine) <= set(c) for c in near)
         assert abs(row[list(best)] - fit(list(best))[1]).max() < 0.02 or len(near) > 1
+
+
+#: Texts with what must go, what must stay.
+NAMED = [
+    ("Ms Anna Maria Smith called", ("Anna", "Maria", "Smith"), "called"), ("Mr J. Smith left", ("J.", "Smith"), "left"), ("by MR SMITH today", ("SMITH",), "today"), ("then mr smith came", ("smith",), "came"),
+    ("Mrs. Jane  Doe slept", ("Jane", "Doe"), "slept"), ("Mr Smith Then left", ("Smith",), "Then left"), ("at 2001:db8::1 up", ("2001:db8::1",), "up"), ("Dr Anna Smith won", ("Anna", "Smith"), "won"),
+    ("Herr Karl von der Heide ging", ("Karl", "Heide"), "ging"), ("Frau\tErika\xa0Muster-Mann. Sie", ("Erika", "Muster-Mann"), ". Sie"), ("Prof van Dyke spoke", ("Dyke",), "spoke"), ("Mr T.S. Eliot wrote", ("T.S.", "Eliot"), "wrote"),
+    ("господин Иван Петров ушёл", ("Иван", "Петров"), "ушёл"), ("took 5 ms later, a::b stays", (), "took 5 ms later, a::b stays"), ("mrs doubtfire", ("doubtfire",), "mrs"), ("MS Word opens", (), "MS Word opens"),
+]
+
+
+def test_pii_names_of_any_run_case_and_blanks(spark):
+    rows = [(i, t, None, None, None) for i, (t, _, _) in enumerate(NAMED)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows), "k").collect()}
+    left = [(got[i], w) for i, (_, gone, _) in enumerate(NAMED) for w in gone if re.search(rf"(?<!\w){re.escape(w)}(?!\w)", got[i])]
+    assert not left and all(stays in got[i] for i, (_, _, stays) in enumerate(NAMED))
+    # One person, one name: by any title, in any case; different initials stay different.
+    assert got[0].split()[1] == got[7].split()[1] and got[0].split()[3] == got[7].split()[2] == got[5].split()[1]
+    assert got[2].split()[2] == got[5].split()[1].upper() and got[3].split()[2].lower() == got[5].split()[1].lower()
+    assert re.fullmatch(r"Mr [A-Z]\.[A-Z]\. \w+ wrote", got[11]) and "  " in got[4] and "von der " in got[8] and "\t" in got[9] and "\xa0" in got[9]
