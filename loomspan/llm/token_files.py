@@ -8,6 +8,7 @@ last sequence is padded. Beside each shard an index file has a row per document
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from itertools import accumulate, islice
@@ -19,6 +20,7 @@ import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.llm.common import WORD, text_slices
 
@@ -56,12 +58,27 @@ def chunks(text: str) -> list[bytes | str]:
     return _WORDS(text)
 
 
-class WordTokenizer:
-    """A tokenizers-library file applied to texts, each distinct chunk once.
+#: What a tokenizer file must hold so that :func:`chunks` is sure.
+_SURE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SURE_NORMALIZERS = {"NFC", "Lowercase", "Replace"}
 
-    Exact for tokenizers that fold case, part words at white space and part letters from other characters; a test
-    compares it with whole texts.
-    """
+
+def parts_surely(path: str) -> bool:
+    """Whether a tokenizer file folds case, drops white space and parts letters from the rest in the form that :func:`chunks` relies on."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda part, name: (part or {}).get(name, [part] if part else [])
+    normal, words = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+    folds = {x["type"] for x in normal} <= _SURE_NORMALIZERS and any(x["type"] == "Lowercase" for x in normal)
+    spaces = all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal if x["type"] == "Replace")
+    splits = bool(words) and words[0]["type"] == "Split" and words[0]["pattern"] == {"Regex": _SURE_WORDS} and (words[0]["behavior"], words[0]["invert"]) == ("Removed", True)
+    rest = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in words[1:])
+    special = all(x["content"].startswith("<|") for x in spec["added_tokens"])
+    return folds and spaces and splits and rest and special and not spec.get("truncation") and not spec.get("padding")
+
+
+class WordTokenizer:
+    """A tokenizers-library file applied to texts: each distinct chunk once where the file :func:`parts_surely`, else whole texts."""
 
     def __init__(self, path: str, most: int = 800_000):
         import os
@@ -69,7 +86,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.by_chunks = Tokenizer.from_file(path), most, parts_surely(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._forget()
 
@@ -79,6 +96,9 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (with the end as last)."""
+        if not self.by_chunks:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         if self.known > self.most:
             self._forget()
         number = self.number.__getitem__
@@ -161,11 +181,15 @@ def write_token_files(
     ``out_dir`` is a URI that all executors reach (Arrow opens file, hdfs, s3 and gs). Shards are ranges of ids of about
     equal rows. A null id comes last; repeated ids lie side by side, ordered by a hash of the text; a null or empty text
     is its end id alone; an empty table gives empty shards; other columns are not read. The ids' type is the smallest
-    unsigned one that holds the vocabulary.
+    unsigned one that holds the vocabulary. Ids must be of an integral type, others raise an error before any work. A very long text is
+    encoded in one piece of memory by one task. There are at least as many shards as shuffle partitions, and one per 512 MB of text, which a first pass sums.
     """
     spark = docs.sparkSession
+    kind = docs.select(id_col).schema[0].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} is of type {kind.simpleString()}; token files hold ids of an integral type")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.agg(F.ceil(F.sum(F.octet_length("text")) / (512 << 20))).first()[0] or 0)
     dealt = source.repartitionByRange(n, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), F.xxhash64("text"))
 
     def run(batches):

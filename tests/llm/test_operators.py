@@ -744,3 +744,22 @@ def test_pii_names_of_any_run_case_and_blanks(spark):
     assert got[0].split()[1] == got[7].split()[1] and got[0].split()[3] == got[7].split()[2] == got[5].split()[1]
     assert got[2].split()[2] == got[5].split()[1].upper() and got[3].split()[2].lower() == got[5].split()[1].lower()
     assert re.fullmatch(r"Mr [A-Z]\.[A-Z]\. \w+ wrote", got[11]) and "  " in got[4] and "von der " in got[8] and "\t" in got[9] and "\xa0" in got[9]
+
+
+def test_token_files_of_other_tokenizers_take_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World don't STOP", "", None, "  two  blanks\n\nÄß 'x'", "it's 12,345 <|endoftext|> end", "a" * 5000 + " B"]
+    for file, sure in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = P.path(file)
+        assert token_files.parts_surely(path) == sure
+        out = str(tmp_path / file)
+        token_files.write_token_files(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), out, path, seq_len=16, batch=4, shards=2)
+        want = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        got = {r.id: (r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, out).collect()}
+        assert got == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)}
+
+
+def test_token_files_refuse_ids_that_are_no_integers(spark, tmp_path):
+    with pytest.raises(TypeError, match="integral"):
+        token_files.write_token_files(spark.createDataFrame([("x", "a")], "doc_id string, text string"), str(tmp_path / "none"), P.path("word_bpe_49k.json"))
