@@ -88,11 +88,16 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges: a table that grows with the input is never gathered in the driver, however small its files."""
+    return df.hint("merge")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
     """Inner join in which the rows of one key of ``big`` are dealt by hash of ``by`` to ``salts`` tasks; ``small`` is repeated as often."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    return left.join(large(right), [*on, "_salt"]).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch
+from loomspan.llm.common import Scratch, large
 
 
 def components(links: DataFrame, a: str, b: str, tmp: Scratch) -> DataFrame:
@@ -21,10 +21,10 @@ def components(links: DataFrame, a: str, b: str, tmp: Scratch) -> DataFrame:
         # Large star: every larger neighbour, and the node itself, hang on the node's smallest neighbour.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = both.filter("v > u").join(large(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours, and the node itself, hang on the smallest of them.
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(small, "u")
+        small = big.groupBy("u").agg(F.min("v").alias("m"))
+        near = big.join(large(small), "u")
         before, edges = edges, tmp.keep(
             near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links"
         )

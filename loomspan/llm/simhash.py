@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, salted_join, spare, stored, text_slices
+from loomspan.llm.common import Scratch, large, salted_join, spare, stored, text_slices
 from loomspan.llm.components import components
 from loomspan.llm.ngram_join import CountVectors
 from loomspan.llm.set_join import set_groups
@@ -79,13 +79,13 @@ def outside_pairs(buckets: DataFrame, key: list[str], near: Callable[[str, str],
     """
     spread = buckets.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("held"))
     live = spread.groupBy(*key).agg(F.max_by("root", "held").alias("major"), F.ceil(F.sum("held") / chunk).cast("long").alias("parts"), F.count(F.lit(1)).alias("roots"))
-    mine = buckets.join(live.filter("roots > 1").drop("roots"), key)
+    mine = buckets.join(large(live.filter("roots > 1").drop("roots")), key)
     rest = [c for c in buckets.columns if c not in (*key, "fp")]
     told = lambda x, part: mine.select(*key, "major", "parts", F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in rest), part.alias("part"))
     outside = told("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("a_root <> major").drop("major", "parts")
     every = told("b", F.pmod(F.xxhash64("fp"), F.col("parts")))
     once = (F.col("b_root") == F.col("major")) | (F.col("a") < F.col("b"))
-    return outside.join(every, [*key, "part"]).filter((F.col("a_root") != F.col("b_root")) & once & near("a", "b")).select("a", "b")
+    return outside.join(large(every), [*key, "part"]).filter((F.col("a_root") != F.col("b_root")) & once & near("a", "b")).select("a", "b")
 
 
 def links(fps: DataFrame, tmp: Scratch, distance: int = 4, blocks: int = 7, bucket: int = 16, chunk: int = 1024) -> DataFrame:
@@ -93,16 +93,16 @@ def links(fps: DataFrame, tmp: Scratch, distance: int = 4, blocks: int = 7, buck
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     keys = fps.select("fp", F.posexplode(F.array(*block_keys(blocks, distance))).alias("choice", "key"))
     sizes = keys.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
-    met = tmp.keep(keys.join(sizes, ["choice", "key"]), "buckets")
+    met = tmp.keep(keys.join(large(sizes), ["choice", "key"]), "buckets")
     few = met.filter(F.col("n") <= bucket).select("choice", "key", F.col("fp").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), ["choice", "key"]).filter((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
+    pairs = few.join(large(few.withColumnRenamed("a", "b")), ["choice", "key"]).filter((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
     many = met.filter(F.col("n") > bucket)
     hubs = many.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
     found = tmp.keep(pairs.unionByName(hubs).distinct(), "links")
     if many.isEmpty():
         return found
     roots = components(found, "a", "b", tmp)
-    rooted = many.select("choice", "key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("choice", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = many.select("choice", "key", "fp").join(large(roots), F.col("fp") == F.col("node"), "left").select("choice", "key", "fp", F.coalesce("root", "fp").alias("root"))
     more = outside_pairs(tmp.keep(rooted, "rooted"), ["choice", "key"], near, chunk)
     return found.unionByName(tmp.keep(more.distinct(), "links"))
 
@@ -112,12 +112,12 @@ def _grouped(rows: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     distinct = tmp.keep(rows.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
     found = tmp.keep(components(links, "a", "b", tmp), "roots")
-    rooted = tmp.keep(found.join(distinct, found.node == distinct.fp).select("fp", "root", "first"), "rooted")
+    rooted = tmp.keep(found.join(large(distinct), found.node == distinct.fp).select("fp", "root", "first"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = salted_join(rooted, least, ["root"], "fp").select(F.col("fp").alias("f"), "best")
-    labels = distinct.join(named, distinct.fp == F.col("f"), "left").select("fp", F.coalesce("best", "first").alias("best"))
+    labels = distinct.join(large(named), distinct.fp == F.col("f"), "left").select("fp", F.coalesce("best", "first").alias("best"))
     labels = tmp.keep(labels, "labels")  # so that copies by the thousand meet their label in a join that Spark can split
-    return rows.join(labels, "fp").select("id", "h", "fp", F.col("best.id").alias("first_id"), F.col("best.h").alias("first_h"))
+    return rows.join(large(labels), "fp").select("id", "h", "fp", F.col("best.id").alias("first_id"), F.col("best.h").alias("first_h"))
 
 
 def _near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **settings) -> DataFrame:

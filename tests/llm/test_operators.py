@@ -763,3 +763,20 @@ def test_token_files_of_other_tokenizers_take_whole_texts(spark, tmp_path):
 def test_token_files_refuse_ids_that_are_no_integers(spark, tmp_path):
     with pytest.raises(TypeError, match="integral"):
         token_files.write_token_files(spark.createDataFrame([("x", "a")], "doc_id string, text string"), str(tmp_path / "none"), P.path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_simhash_gathers_no_table_in_the_driver(spark, monkeypatch, bucket):
+    """Tables of fingerprints, links and roots grow with the input, so no join broadcasts one, however small its files are."""
+    plans, keep = [], simhash.Scratch.keep
+
+    def kept(tmp, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(tmp, df, name)
+
+    monkeypatch.setattr(simhash.Scratch, "keep", kept)
+    rnd = random.Random(5)
+    texts = [prose(rnd, 30) for _ in range(6)]
+    rows = [(i, texts[i % 6] + (" end" * (i % 4)), None, None, None) for i in range(60)]
+    found = simhash.near_duplicates(frame(spark, rows), bucket=bucket)
+    assert found.count() == 60 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
