@@ -203,6 +203,46 @@ def overlapping_pairs(spans: DataFrame, key: list[str], name: str, other: str =
     return kept.select(*key, name, F.col(f"{other}_{name}").alias(other))
 
 
+def _pieces(lo: str, hi: str, levels: int) -> str:
+    """SQL of the dyadic intervals (level, place) that make up ``[lo, hi]``, at most two a level."""
+    left, right = f"shiftright({lo} + shiftleft(1L, j) - 1, j)", f"shiftright({hi} + 1, j)"
+    both = f"array(if({left} < {right} AND {left} & 1 = 1, struct(j AS level, {left} AS place), NULL), if({left} < {right} AND {right} & 1 = 1, struct(j AS level, {right} - 1 AS place), NULL))"
+    return f"array_compact(flatten(transform(sequence(0, {levels}), j -> {both})))"
+
+
+def _around(t: str, levels: int) -> str:
+    """SQL of the dyadic intervals that hold the time ``t``, one a level."""
+    return f"transform(sequence(0, {levels}), j -> struct(j AS level, shiftright({t}, j) AS place))"
+
+
+def first_overlapping(spans: DataFrame, key: list[str], name: str, order: Column, k: int, other: str = "other", rank: str = "rank", short: int = 128, salts: int = 32, levels: int = 42) -> DataFrame:
+    """For each span the first ``k`` spans of its key, by ``order``, that overlap it (ends included): ``key, name, other, rank``.
+
+    ``order`` is ascending and ends with ``name``, which is unique within a key; spans have ``t0 <= t1`` and ``2 ** levels`` ms at most. No
+    pairs are made beyond those asked for: every span meets the first ``short`` of its key, and is done if ``k`` of them overlap it,
+    since all others come later. The rest ask dyadic intervals of time, of which each holds the first ``k + 1`` spans that start in it,
+    and the first ``k + 1`` that it is a piece of. A span overlaps those that start within it after its own start, found by the pieces of
+    its time, and those around its start, found by the intervals that hold that; so it meets ``3 (k + 1)`` spans a level at most.
+    """
+    mine = spans.select(*key, name, "t0", "t1", order.alias("_o"))
+    others = mine.select(*key, F.col(name).alias(other), F.col("t0").alias("_s0"), F.col("t1").alias("_s1"), "_o")
+    top = lambda df, by, n, at: df.withColumn(at, F.row_number().over(Window.partitionBy(*by).orderBy("_o"))).filter(F.col(at) <= n)
+    firsts = top(others, key, short, "_at").drop("_at").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = mine.drop("_o").withColumn("_salt", F.pmod(F.xxhash64(name), F.lit(salts)).cast("int"))
+    met = left.join(firsts, [*key, "_salt"]).filter((F.col(name) != F.col(other)) & (F.col("t0") <= F.col("_s1")) & (F.col("_s0") <= F.col("t1")))
+    found = top(met.select(*key, name, other, "_o"), [*key, name], k, rank)
+    done = found.filter(F.col(rank) == k).select(*key, name)
+    ready = found.join(done.hint("merge"), [*key, name], "left_semi")
+    rest = mine.drop("_o").join(done.hint("merge"), [*key, name], "left_anti")
+    told = lambda cover, nodes: f"transform({nodes}, x -> struct({cover} AS cover, x.level AS level, x.place AS place))"
+    tell = lambda starts, covers: F.explode(F.expr(f"concat({told(False, starts)}, {told(True, covers)})"))
+    asked = rest.select(*key, name, tell(_pieces("t0 + 1", "t1", levels), _around("t0", levels)).alias("_node"))
+    held = others.select(*key, other, "_o", tell(_around("_s0", levels), _pieces("_s0", "_s1", levels)).alias("_node"))
+    held = top(held.join(asked.select(*key, "_node").distinct().hint("merge"), [*key, "_node"], "left_semi"), [*key, "_node"], k + 1, "_at").drop("_at")
+    more = asked.join(held.hint("merge"), [*key, "_node"]).filter(F.col(name) != F.col(other))
+    return ready.unionByName(top(more.select(*key, name, other, "_o"), [*key, name], k, rank)).select(*key, name, other, rank)
+
+
 def timeline(spans: DataFrame, row: Column, width_ms: int) -> DataFrame:
     """Level of detail: spans of one row merged per cell of ``width_ms``, with their number and whole extent."""
     return spans.groupBy(row.alias("row"), F.floor(F.col("t0") / width_ms).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomspan.functions import families
 from loomspan.operators import intervals as I
 from loomspan.operators import reports as P
-from loomspan.operators.aggregate import top_per_group
 from loomspan.queries import quantile_sql, query
 from loomspan.queries.calls import WITH_BOTH, WITH_CALLS
 from loomspan.queries.intervals import SPANS_SQL, spans
@@ -104,9 +103,7 @@ def j16_native_usage(spark, sf_dir):
 def j13_related_candidates(spark, sf_dir):
     """Sessions of one project whose windows overlap, the busiest forty."""
     s = T.calls(spark, sf_dir).groupBy("session").agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t1"), F.count_distinct(F.floor(F.col("t_ms") / 60000)).alias("minutes")).withColumn("project", F.col("session") % 5)
-    met = I.overlapping_pairs(s.select("project", "session", "t0", "t1"), ["project"], "session")
-    busy = met.join(s.select(F.col("session").alias("other"), "minutes"), "other")
-    return top_per_group(busy, ["session"], [F.col("minutes").desc(), F.col("other")], 40).select("session", "other", "rank")
+    return I.first_overlapping(s, ["project"], "session", F.struct(-F.col("minutes"), F.col("session")), 40).select("session", "other", "rank")
 
 
 @query("SELECT CASE WHEN event_type IN ('click', 'view') THEN 'file' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1")

@@ -274,6 +274,20 @@ def test_overlapping_pairs(spark):
         assert sorted(got) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] <= b[3] and b[2] <= a[3])
 
 
+@pytest.mark.parametrize("short,k", [(1, 3), (4, 3), (200, 5)])
+def test_first_overlapping(spark, short, k):
+    """Those that the first few of a key decide, and those that ask the intervals of time, by brute force; also points, and equal times."""
+    rows, df = spans(spark, 12, 60)
+    rows = [*rows, *((r[0], 1000 + i, r[2], r[2]) for i, r in enumerate(rows[:8])), ("lone", 2000, 5, 9)]
+    df = spark.createDataFrame(rows, df.schema)
+    got = [(r.g, r.id, r.other, r["rank"]) for r in intervals.first_overlapping(df, ["g"], "id", F.struct(F.col("id") % 7, "id"), k, short=short, salts=3).collect()]
+    want = []
+    for a in rows:
+        met = sorted((b[1] % 7, b[1]) for b in rows if a[0] == b[0] and a[1] != b[1] and a[2] <= b[3] and b[2] <= a[3])
+        want += [(a[0], a[1], b, n + 1) for n, (_, b) in enumerate(met[:k])]
+    assert sorted(got) == sorted(want)
+
+
 def test_skill_comparison_and_top_files(spark):
     a = spark.createDataFrame([("s", i, 1.0) for i in range(15)] + [("t", 1, 2.0)], "name string, session long, usd double")
     b = spark.createDataFrame([("s", i, 1.0) for i in range(3)], "name string, session long, usd double")
