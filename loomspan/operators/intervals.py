@@ -100,12 +100,15 @@ def as_of(left: DataFrame, right: DataFrame, key: str, t: str, value: str, forwa
     return both.withColumn(value, found).filter("_side = 1").drop("_side", "_v")
 
 
-def near_pairs(rows: DataFrame, key: list[str], t: str, within: int, session: str = "session") -> DataFrame:
-    """Pairs of rows of different sessions under one key at most ``within`` ms apart: an equi join on time buckets, no range scan."""
-    cell = F.floor(F.col(t) / within)
-    a = rows.select(*(F.col(c).alias(c) for c in key), F.col(session).alias("a_session"), F.col(t).alias("a_t"), cell.alias("_cell"))
-    b = rows.select(*(F.col(c).alias(c) for c in key), F.col(session).alias("b_session"), F.col(t).alias("b_t"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-    met = a.join(b, [*key, "_cell"])
+def near_pairs(rows: DataFrame, key: list[str], t: str, within: int, session: str = "session", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows of different sessions under one key at most ``within`` ms apart: an equi join on time buckets, no range scan.
+
+    Every pair of rows is made once; the columns ``carry`` come along as ``a_x`` and ``b_x``.
+    """
+    rows = rows.select(*key, F.col(session).alias("_s"), F.col(t).alias("_t"), *carry)
+    side = lambda x, at: rows.select(*key, F.col("_s").alias(f"{x}_session"), F.col("_t").alias(f"{x}_t"), *(F.col(c).alias(f"{x}_{c}") for c in carry), at.alias("_cell"))
+    cell = F.floor(F.col("_t") / within)
+    met = side("a", cell).join(side("b", F.explode(F.array(cell - 1, cell))), [*key, "_cell"])  # b is not before a
     after = (F.col("b_t") > F.col("a_t")) | ((F.col("b_t") == F.col("a_t")) & (F.col("b_session") > F.col("a_session")))
     return met.filter(after & (F.col("b_t") - F.col("a_t") <= within) & (F.col("a_session") != F.col("b_session"))).drop("_cell")
 
@@ -114,17 +117,16 @@ def conflict_marks(writes: DataFrame, spawns: DataFrame, within: int) -> DataFra
     """Sessions that wrote one file within a time of each other, unless one delegated to the other.
 
     ``writes``: session, t_ms, top, rel. A parent's and its child's writes do not count outside the child's interval (``spawns``:
-    parent, child, t0, t1); inside it they race. Same top: conflict, another worktree: overlap; a conflict wins.
+    parent, child, t0, t1); inside it they race. Same top: conflict, another worktree: overlap; a conflict wins. A write carries
+    its session's spawns into the join (a child has few), since pairs can be many more than writes and do not move again.
     """
-    pairs = near_pairs(writes, ["rel"], "t_ms", within)
-    tops = writes.select("session", "rel", F.col("t_ms").alias("t"), "top").distinct()
-    side = lambda s: tops.select(F.col("session").alias(f"{s}_session"), "rel", F.col("t").alias(f"{s}_t"), F.col("top").alias(f"{s}_top"))
-    named = pairs.distinct().join(side("a"), ["a_session", "rel", "a_t"]).join(side("b"), ["b_session", "rel", "b_t"])
-    down = spawns.select(F.col("parent").alias("a_session"), F.col("child").alias("b_session"), F.col("t0").alias("d0"), F.col("t1").alias("d1"))
-    up = spawns.select(F.col("parent").alias("b_session"), F.col("child").alias("a_session"), F.col("t0").alias("u0"), F.col("t1").alias("u1"))
-    told = named.join(down, ["a_session", "b_session"], "left").join(up, ["a_session", "b_session"], "left")
-    race = F.when(F.col("d0").isNotNull(), F.col("a_t").between(F.col("d0"), F.col("d1"))).when(F.col("u0").isNotNull(), F.col("b_t").between(F.col("u0"), F.col("u1")))
-    kept = told.filter(F.coalesce(race, F.lit(True)))
+    told = spawns.groupBy(F.col("child").alias("session")).agg(F.collect_list(F.struct("parent", "t0", "t1")).alias("spawned"))
+    named = writes.select("session", "t_ms", "top", "rel").distinct().join(told, "session", "left")
+    pairs = near_pairs(named, ["rel"], "t_ms", within, carry=("top", "spawned"))
+    of = lambda child, parent: F.explode_outer(F.filter(f"{child}_spawned", lambda x: x["parent"] == F.col(f"{parent}_session")))
+    met = pairs.withColumn("d", of("b", "a")).withColumn("u", of("a", "b"))
+    race = F.when(F.col("d.t0").isNotNull(), F.col("a_t").between(F.col("d.t0"), F.col("d.t1"))).when(F.col("u.t0").isNotNull(), F.col("b_t").between(F.col("u.t0"), F.col("u.t1")))
+    kept = met.filter(F.coalesce(race, F.lit(True)))
     mark = F.when(F.col("a_top") == F.col("b_top"), "conflict").otherwise("overlap")
     return kept.select("rel", "a_session", "b_session", "a_t", "b_t", mark.alias("mark"), F.coalesce(race, F.lit(False)).alias("race"))
 

@@ -288,6 +288,16 @@ def test_first_overlapping(spark, short, k):
     assert sorted(got) == sorted(want)
 
 
+def test_conflicts_move_writes_and_not_pairs(spark):
+    """Pairs can be many more than writes: nothing is dealt out by both their sessions; equal writes and a parent told twice change no pair."""
+    w = spark.createDataFrame([(1, 0, "T", "f"), (1, 0, "T", "f"), (2, 500, "T", "f"), (2, 500, "U", "f"), (3, 500, "T", "f")], "session long, t_ms long, top string, rel string")
+    told = spark.createDataFrame([(1, 2, 0, 900), (1, 2, 600, 900), (3, 2, 0, 900), (2, 3, 500, 500)], "parent long, child long, t0 long, t1 long")
+    made = intervals.conflict_marks(w, told, 1000)
+    assert "b_session" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    got = sorted((r.a_session, r.b_session, r.mark, r.race) for r in made.collect())
+    assert got == [(1, 2, "conflict", True), (1, 2, "overlap", True), (1, 3, "conflict", False), (2, 3, "conflict", True), (2, 3, "overlap", True)]
+
+
 def test_skill_comparison_and_top_files(spark):
     a = spark.createDataFrame([("s", i, 1.0) for i in range(15)] + [("t", 1, 2.0)], "name string, session long, usd double")
     b = spark.createDataFrame([("s", i, 1.0) for i in range(3)], "name string, session long, usd double")
