@@ -19,6 +19,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: What runs on for longer belongs to another run.
 LONGEST_MS = 86_400_000
 _OUT = "file string, call_id string, place long, t_ms long, name string, what string, ms long, err boolean"
+_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
+
+
+def in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """The rows of a key's chunks by their first column, nulls as None; all chunks first, since each is in no order of its own.
+
+    Most keys have a few rows a micro-batch, for which frames that are joined, sorted and cast cost far more than the rows.
+    """
+    rows = []
+    for part in parts:
+        rows += zip(*([None if x is None or x is pd.NA or x != x else x for x in part[c].tolist()] for c in columns), strict=True)
+    return sorted(rows, key=lambda r: r[0])
+
+
+def told(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """``rows`` as a frame of plain objects, which Spark casts to the output's types; none for no rows."""
+    if rows:
+        yield pd.DataFrame(dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True)), dtype=object)
 
 
 class OpenCalls:
@@ -59,14 +77,12 @@ def close_calls(events: DataFrame, most: int = 2000) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = OpenCalls(*(json.loads(state.get[0]) if state.exists else ([], None)), most)
-        # All chunks of a key before its first event is taken: each is in no order of its own.
-        batch = pd.concat([p[["place", "kind", "t_ms", "name", "err"]] for p in parts]).sort_values("place", kind="stable")
         rows = []
-        for place, kind, t_ms, name, err in batch.itertuples(index=False):
-            for row in machine.step(kind, int(place), int(t_ms), None if pd.isna(name) else name, False if pd.isna(err) else bool(err)):
+        for place, kind, t_ms, name, err in in_order(parts, ["place", "kind", "t_ms", "name", "err"]):
+            for row in machine.step(kind, int(place), int(t_ms), name, bool(err)):
                 rows.append((*key, *row))
         state.update((json.dumps([machine.open, machine.last]),))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"ms": "Int64", "err": "boolean"})
+        yield from told(rows, _COLUMNS)
 
     return events.groupBy("file", "call_id").applyInPandasWithState(run, _OUT, "held string", "append", GroupStateTimeout.NoTimeout)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomspan.operators.turns import CLOSERS, OPENERS
-from loomspan.streaming.open_calls import replay
+from loomspan.streaming.open_calls import in_order, replay, told
 
 _TURN = "turn long, opened_by string, place long, prompt_place long, t0 long, t1 long, closed_by string, late boolean"
 _NAMES = [c.split()[0] for c in _TURN.split(", ")]
@@ -74,17 +74,13 @@ def running_turns(lines: DataFrame, quiet_ms: int | None = None) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = TurnMachine(quiet_ms, json.loads(state.get[0]) if state.exists else None)
-        batch = pd.concat([p[_LINE] for p in parts]).sort_values("place", kind="stable")
-        number = lambda x: None if pd.isna(x) else int(x)
+        number = lambda x: None if x is None else int(x)
         rows, place = [], 0
-        for place, kind, t_ms, ms in batch.itertuples(index=False):
-            rows += machine.step(int(place), None if pd.isna(kind) else kind, number(t_ms), number(ms))
+        for place, kind, t_ms, ms in in_order(parts, _LINE):
+            rows += machine.step(int(place), kind, number(t_ms), number(ms))
         rows += machine.open_turn()
         state.update((json.dumps(machine.held),))
-        whole = {"prompt_place": "Int64", "t0": "Int64", "t1": "Int64"}
-        told = pd.DataFrame(rows, columns=_NAMES).astype(whole)
-        told.insert(0, "session", key[0])
-        yield told.assign(at=int(place))
+        yield from told([(key[0], *(r.get(c) for c in _NAMES), int(place)) for r in rows], ["session", *_NAMES, "at"])
 
     return lines.groupBy("session").applyInPandasWithState(run, f"session string, {_TURN}, at long", "held string", "append", GroupStateTimeout.NoTimeout)
 

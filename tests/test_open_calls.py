@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from loomspan.operators.intervals import pair_results
+from loomspan.streaming import open_calls
 from loomspan.streaming.open_calls import LONGEST_MS, OpenCalls, close_calls, closed_calls, settled
 
 EVENTS = "file string, call_id string, kind string, place long, t_ms long, name string, err boolean"
@@ -69,3 +70,14 @@ def test_spilled_calls_are_told(spark, tmp_path):
     rows = [("f", None, "call", i, i, "bash", None) for i in range(5)] + [("f", None, "result", 9, 100, None, False)]
     got = {r.place: (r.what, r.ms) for r in stream_of(spark, tmp_path, [rows[:3], rows[3:]], most=3).collect()}
     assert got == {0: ("spilled", None), 1: ("spilled", None), 2: ("closed", 98)}
+
+
+def test_a_key_costs_its_rows_and_no_frames():
+    """Chunks are put in order as plain rows, nulls as None; a key that makes no rows makes no frame."""
+    import pandas as pd
+
+    parts = [pd.DataFrame({"place": [3, 1], "ms": [None, 2.0]}), pd.DataFrame({"place": [2], "ms": [float("nan")]})]
+    assert open_calls.in_order(iter(parts), ["place", "ms"]) == [(1, 2.0), (2, None), (3, None)]
+    assert list(open_calls.told([], ["a", "b"])) == []
+    (frame,) = open_calls.told([(1, None), (None, True)], ["a", "b"])
+    assert frame.values.tolist() == [[1, None], [None, True]]
