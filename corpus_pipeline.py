@@ -27,7 +27,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash blocks and Hamming distance, links verified and completed at a similarity of 0.8 of five-word shingles."""
     return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 

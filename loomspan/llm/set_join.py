@@ -68,10 +68,13 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, hot: DataFr
 class SetJoin:
     """The steps above over one table of texts; ``rows`` and ``nodes`` hold every row, ``links`` spans the groups of nodes."""
 
-    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 8, chunk: int = 512):
-        """``source``: ``id, h, text``, h a hash of the text. ``chunk``: the side of a tile; blocks of up to a sixteenth of it are small."""
+    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 8, chunk: int = 512, first: Callable[[DataFrame, Scratch], DataFrame] | None = None):
+        """``source``: ``id, h, text``, h a hash of the text. ``chunk``: the side of a tile; blocks of up to a sixteenth of it are small.
+
+        ``first``: pairs ``a, b`` of nodes, of the table of sets, that are compared before all others.
+        """
         self.source, self.tmp, self.bound, self.shingle, self.similarity = source, tmp, bound, shingle, similarity
-        self.small, self.slot, self.chunk = max(2, chunk // 16), slot, chunk
+        self.small, self.slot, self.chunk, self.first = max(2, chunk // 16), slot, chunk, first
         self.shared = source.sparkSession.sparkContext.broadcast(common_shingles(source, shingle, every, most))  # at most ``most`` entries
         full, self.nodes = self._rows()
         self.heads = self._live_heads(full)
@@ -186,6 +189,8 @@ class SetJoin:
 
     def _links(self) -> DataFrame:
         found = self._hub_links()
+        if self.first is not None:
+            found = self._alike(self.first(self.sets, self.tmp)).unionByName(found)
         rooted = self._rooted(found)
         large, turn, before = F.col("block") > self.small, 0, None
         while True:

@@ -8,8 +8,9 @@ the rows outside the commonest component meet the rest, dealt by hash into parts
 that are linked already are not paired.
 
 Blocks of 64 bits reach pairs that are nearly equal, not a shingle similarity of 0.8: there 10 of 64 bits differ on average,
-and blocks that 20 differing bits leave alone would have 3 bits. :func:`similar_groups` therefore lets pairs meet as
-:mod:`loomspan.llm.set_join` does, verifies the Hamming distance of a 512-bit fingerprint and decides links by the shingle sets.
+and blocks that 20 differing bits leave alone would have 3 bits. :func:`similar_groups` therefore takes the pairs that the blocks and
+the Hamming distance give first, as above, decides each by the shingle sets, and lets what they cannot reach meet as
+:mod:`loomspan.llm.set_join` does, under the Hamming distance of a 512-bit fingerprint.
 """
 
 from __future__ import annotations
@@ -170,15 +171,26 @@ class Fingerprints:
         return i[fits], j[fits]
 
 
+def hamming_pairs(sets: DataFrame, tmp: Scratch, **settings) -> DataFrame:
+    """Pairs ``a, b`` of nodes whose SimHash, the first word of their ``point``, is the same or linked by :func:`links`: blocks, join, Hamming distance."""
+    words = tmp.keep(sets.select("node", F.element_at("point", 1).alias("fp")), "words")
+    names = tmp.keep(words.groupBy("fp").agg(F.min("node").alias("named")), "names")
+    same = salted_join(words, names, ["fp"], "node").filter("node <> named").select(F.col("named").alias("a"), F.col("node").alias("b"))
+    side = lambda x: names.select(F.col("fp").alias(x), F.col("named").alias(f"{x}_node"))
+    near = salted_join(salted_join(links(names.select("fp"), tmp, **settings), side("a"), ["a"], "b"), side("b"), ["b"], "a")
+    return same.unionByName(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
+
+
 def _similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, **settings) -> DataFrame:
-    return set_groups(docs, id_col, text_col, "similar", Fingerprints(CountVectors(similarity)), shingle, similarity, **settings)
+    return set_groups(docs, id_col, text_col, "similar", Fingerprints(CountVectors(similarity)), shingle, similarity, first=hamming_pairs, **settings)
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per input row: ``id, component_id``, the smallest id that links of ``similarity`` (0.8) or more lead to.
 
     Similarity is that of the sets of word shingles (``shingle``, 5 words), and every link is decided by the two sets of 64-bit
-    shingle hashes; :mod:`loomspan.llm.set_join` tells which pairs meet, :class:`Fingerprints` which of them are compared.
+    shingle hashes. Pairs of :func:`hamming_pairs` come first; :mod:`loomspan.llm.set_join` tells which others meet, :class:`Fingerprints`
+    which of them are compared.
 
     Null and empty texts are equal to each other and to texts of white space; a very long text costs its length; repeated rows
     share a group. A null id counts last: a group of null ids only has a null ``component_id``. An empty table gives no rows;

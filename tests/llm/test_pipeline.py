@@ -76,3 +76,23 @@ def test_pipeline_handles_clashing_columns(spark):
         docs = stage(spark, docs, "")
         assert docs.columns[-6:] == ["id", "fp", "size", "ids", "decoded", "_k"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_near_duplicate_stage_goes_by_simhash(spark, monkeypatch):
+    """The stage's first pairs are those of SimHash blocks and Hamming distance: all within the distance, and near copies among them."""
+    from loomspan.llm import simhash
+
+    seen, made = [], simhash.hamming_pairs
+
+    def told(sets, tmp):
+        pairs = made(sets, tmp)
+        words = {r.node: r.fp for r in sets.select("node", F.element_at("point", 1).alias("fp")).collect()}
+        seen.extend(((words[r.a] ^ words[r.b]) % (1 << 64)).bit_count() for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(simhash, "hamming_pairs", told)
+    rnd = random.Random(2)
+    texts = [prose(rnd, 300) for _ in range(12)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(100 + i, t + " end", "en", "s", 0) for i, t in enumerate(texts)]
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(12)) and len(seen) >= 6 and max(seen) <= 4
