@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import Scratch, salted_join, spare, stored
+from loomspan.llm.common import Scratch, large, salted_join, spare, stored
 
 # Titles by the gender they tell, Latin and Cyrillic; the last ones tell none.
 MALE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н")
@@ -297,7 +297,7 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
         maps = placed.groupBy("id", "x").agg(F.sort_array(F.collect_set(F.struct("pos", "made"))).alias("made"))  # repeated rows have the same places
         maps = stored(maps.select(F.col("id").alias(own_id), F.col("x").alias(own_h), F.transform("made", lambda x: x["made"]).alias(made_at)), "pii-places")
     rest = [c for c in docs.columns if c != count_col]
-    joined = docs.select(*rest).withColumn(h, F.xxhash64(text)).join(maps, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_h)), "left")
+    joined = docs.select(*rest).withColumn(h, F.xxhash64(text)).join(large(maps), F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_h)), "left")
     gaps = F.split(text, PATTERN, -1)
     whole = F.array_join(F.zip_with(gaps, made_at, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     columns = [F.when(F.col(made_at).isNull(), text).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in rest]

@@ -780,3 +780,10 @@ def test_simhash_gathers_no_table_in_the_driver(spark, monkeypatch, bucket):
     rows = [(i, texts[i % 6] + (" end" * (i % 4)), None, None, None) for i in range(60)]
     found = simhash.near_duplicates(frame(spark, rows), bucket=bucket)
     assert found.count() == 60 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_surrogates_join_texts_alike_at_every_size(spark):
+    """Texts meet their replacements by merging, however few these are, so the disk a GB does not jump where a broadcast ends."""
+    docs = frame(spark, [(i, f"mail x{i}@example.com now", None, None, None) for i in range(5)])
+    plan = pii.pseudonymise(docs, "a key of some length")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
