@@ -100,6 +100,24 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str, salts:
     return left.join(large(right), [*on, "_salt"]).drop("_salt")
 
 
+def told_apart(df: DataFrame, key: Column, asked: DataFrame, name: str, bits: int = 24) -> DataFrame:
+    """``df`` with a boolean ``name``: false only where no row of ``asked`` has the same ``key``, a hash made of columns of either table.
+
+    The keys asked for mark places of a bitmap, whose words are broadcast: at most 2 to the power of ``bits - 6`` rows (262,144), however
+    large the tables. With more keys asked for than places it is true more often, so what is asked is joined with the rows of true in any case.
+    """
+    place = key.bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = asked.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.withColumns({"_at": word, "_mark": bit}).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    return found.select(*df.columns, F.coalesce(F.col("_bits").bitwiseAND(F.col("_mark")) != 0, F.lit(False)).alias(name))
+
+
+def sieve(df: DataFrame, key: Column, asked: DataFrame) -> DataFrame:
+    """``df`` without the rows that :func:`told_apart` rules out, so that few others move in the join with ``asked`` that follows."""
+    return told_apart(df, key, asked, "_asked").filter("_asked").drop("_asked")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents; one of fewer splits than the cluster has cores is dealt out, so that all of them work."""
     docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism

@@ -11,15 +11,17 @@ from loomspan.llm.common import Scratch, large
 def components(links: DataFrame, a: str, b: str, tmp: Scratch) -> DataFrame:
     """Label the nodes of undirected ``links``: rows ``node, root`` with the smallest node of each component.
 
-    Every round is two grouped minima and two joins, written to ``tmp``, until the links no longer change; the number of
-    rounds grows with the logarithm of the graph. A hub's links are pre-aggregated and never gathered. A link of which an
+    Every round is two grouped minima and two joins, written to ``tmp``, until all components are stars, as links that span them
+    already may be from the start; the number of rounds grows with the logarithm of the graph. A hub's links are pre-aggregated and never gathered. A link of which an
     end is null joins nothing; nodes without links are not in the result.
     """
     edges = tmp.keep(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    state = None
     while True:
-        # Large star: every larger neighbour, and the node itself, hang on the node's smallest neighbour.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # All are stars when every node with a smaller neighbour has no other.
+        if not both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).agg(F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1))).first()[0]:
+            break
+        # Large star: every larger neighbour, and the node itself, hang on the node's smallest neighbour.
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         big = both.filter("v > u").join(large(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours, and the node itself, hang on the smallest of them.
@@ -29,10 +31,5 @@ def components(links: DataFrame, a: str, b: str, tmp: Scratch) -> DataFrame:
             near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links"
         )
         tmp.drop(before)
-        # The star steps are done when nothing changes: same number of links and same sum of their hashes.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -7,8 +7,8 @@
    them; sets are made for the nodes that are left.
 2. Every node is compared with one hub. A block (the nodes of one key) names the node of which the largest share of keys is live, the
    least edited one; a node's hub is the one that most of its blocks name. This joins most families.
-3. While large blocks hold several groups, their nodes are dealt to slots of some eight by hash, those of one
-   slot meet, and the links found join groups before the next round. Every round is linear in the nodes.
+3. While large blocks hold several groups, each of their nodes is dealt to a slot of some 32 nodes of one of its blocks by hash, those of one
+   slot meet with their sets, and the links found join groups before the next round. Every round is linear in the nodes.
 4. What is still apart meets for certain: in small blocks nodes of different groups that share enough keys, in large ones those outside
    the commonest group and all others, dealt to tiles of bounded size on both sides.
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, salted_join, stored, text_slices
+from loomspan.llm.common import Scratch, salted_join, sieve, stored, text_slices, told_apart
 from loomspan.llm.components import components
 from loomspan.llm.shingles import common_shingles, rare_first, shingle_hashes
 
@@ -68,7 +68,7 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, hot: DataFr
 class SetJoin:
     """The steps above over one table of texts; ``rows`` and ``nodes`` hold every row, ``links`` spans the groups of nodes."""
 
-    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 8, chunk: int = 512, first: Callable[[DataFrame, Scratch], DataFrame] | None = None):
+    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 32, chunk: int = 512, first: Callable[[DataFrame, Scratch], DataFrame] | None = None):
         """``source``: ``id, h, text``, h a hash of the text. ``chunk``: the side of a tile; blocks of up to a sixteenth of it are small.
 
         ``first``: pairs ``a, b`` of nodes, of the table of sets, that are compared before all others.
@@ -98,15 +98,19 @@ class SetJoin:
         rows = self.source.mapInArrow(run, f"id {kind}, h long, f1 long, f2 long, n int, head array<long>")
         rows = self.tmp.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
         order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
-        return rows, self.tmp.keep(rows.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min(order).alias("first")), "nodes")
+        return rows, self.tmp.keep(rows.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min(order).alias("first"), F.count(F.lit(1)).alias("times")), "nodes")
 
     def _live_heads(self, full: DataFrame) -> DataFrame:
         """``key, node, n, pos, block``, and the node's number of ``keys``, for the keys that two nodes or more have, one of them early enough, of the nodes with enough of them."""
-        mine = full.select("rid", "n", "head").filter("n > 0").join(self.nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
+        # Rows that no other row's set equals are nodes; the heads of these do not move.
+        told = told_apart(full.filter("n > 0"), F.xxhash64("f1", "f2"), self.nodes.filter("times > 1"), "copied").select("rid", "n", "head", "copied")
+        mine = told.filter("copied").join(self.nodes.select(F.col("node").alias("rid")), "rid", "left_semi").unionByName(told.filter("NOT copied"))
         keyed = mine.select(F.col("rid").alias("node"), "n", F.posexplode("head").alias("pos", "key"))
         early = F.col("pos") <= F.col("n") - F.ceil(2 * self.similarity / (1 + self.similarity) * F.col("n") - 1e-9) + F.floor(F.col("n") / MORE)
         live = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("block"), F.min(~early).alias("late")).filter("block > 1 AND NOT late").select("key")
-        first = self.tmp.keep(keyed.join(self.tmp.keep(live, "live"), "key"), "heads")
+        live = self.tmp.keep(live, "live")
+        self.tmp.release()
+        first = self.tmp.keep(keyed.join(live, "key"), "heads")
         self.tmp.release()
         # The least that a set of this size shares with another one.
         needed = 1 + F.floor(F.ceil(self.similarity * F.col("n") - 1e-9) / MORE)
@@ -138,7 +142,7 @@ class SetJoin:
         name = lambda h: F.xxhash64(F.struct("id", h)).alias("name")
         asked = self.rows.select("rid", "id", "h").join(named, "rid")
         asked = asked.select(name("h"), F.col("rid").alias("node"), "hub", "is_hub", F.col("id").alias("asked_id"), F.col("h").alias("asked_h"))
-        texts = self.source.select(name("h"), "id", "h", "text").join(asked, "name").filter(F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("h") == F.col("asked_h")))
+        texts = sieve(self.source.select(name("h"), "id", "h", "text"), F.col("name"), asked).join(asked, "name").filter(F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("h") == F.col("asked_h")))
         texts = texts.dropDuplicates(["name", "node"]).select("node", "hub", "is_hub", "text")
         made = texts.mapInArrow(run, f"node long, hub long, is_hub boolean, n int, shingles array<long>, point array<{bound.kind}>")
         found = self.tmp.keep(made, "sets")
@@ -166,8 +170,10 @@ class SetJoin:
         hot = [hot_keys(pairs, x) for x in "ab"]
 
         def with_sets(df: DataFrame, *cols: str) -> DataFrame:
+            ends = df.select(F.explode(F.array("a", "b")).alias("node"))
+            sets = sieve(self.sets.select("node", *cols), F.xxhash64("node"), ends)  # the others do not move
             for x, other, keys in zip("ab", "ba", hot, strict=True):
-                df = spread_join(df, self.sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols)), x, other, keys)
+                df = spread_join(df, sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols)), x, other, keys)
             return df
 
         near = with_sets(pairs, "n", "point").filter(self._points_allow()).select("a", "b")
@@ -178,11 +184,15 @@ class SetJoin:
         self.tmp.release()
         return found
 
-    def _rooted(self, links: DataFrame) -> DataFrame:
+    def _roots(self, links: DataFrame) -> DataFrame:
+        """``node, root`` of the nodes that ``links`` join."""
+        return self.tmp.keep(components(links, "a", "b", self.tmp), "roots")
+
+    def _rooted(self, heads: DataFrame, roots: DataFrame) -> DataFrame:
         """``heads`` with each node's group (``root``), in blocks that hold several."""
-        roots = self.tmp.keep(components(links, "a", "b", self.tmp), "roots")
-        rooted = self.heads.join(roots.withColumnRenamed("node", "label"), F.col("node") == F.col("label"), "left")
-        rooted = rooted.select("key", "node", "n", "pos", "block", F.coalesce("root", F.col("node")).alias("root"))
+        heads = heads.select("key", "node", "n", "pos", "block")
+        rooted = heads.join(roots.withColumnRenamed("node", "label"), F.col("node") == F.col("label"), "left")
+        rooted = rooted.select(*heads.columns, F.coalesce("root", F.col("node")).alias("root"))
         spread = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
         apart = spread.groupBy("key").agg(F.max_by("root", "held").alias("major"), F.max("held").alias("held"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").drop("groups")
         return self.tmp.keep(rooted.join(self.tmp.keep(apart, "apart"), "key"), "rooted")
@@ -191,32 +201,59 @@ class SetJoin:
         found = self._hub_links()
         if self.first is not None:
             found = self._alike(self.first(self.sets, self.tmp)).unionByName(found)
-        rooted = self._rooted(found)
+        roots = self._roots(found)
+        # Rounds look at large blocks only, and at those only that still hold several groups.
         large, turn, before = F.col("block") > self.small, 0, None
+        rooted = self._rooted(self.heads.filter(large), roots)
         while True:
             # What the last step would compare in large blocks, against what a round costs, and how many groups are still apart there.
             counts = F.coalesce(F.sum(F.when(F.col("root") != F.col("major"), F.col("block"))), F.lit(0)), F.count(F.lit(1)), F.count_distinct("root")
-            work, held, groups = rooted.filter(large).agg(*counts).first()
-            if work <= self.chunk * held / 8 or (before is not None and groups > 0.9 * before):
+            work, held, groups = rooted.agg(*counts).first()
+            # A round that has not joined half of the groups is the last: the next would cost as much and join fewer.
+            if work <= self.chunk * held / 8 or (before is not None and groups > 0.5 * before):
                 break
             before, turn = groups, turn + 1
-            found = found.unionByName(self._alike(self._slot_pairs(rooted.filter(large), turn)))
-            rooted = self._rooted(found)
-        last = self._small_pairs(rooted)
+            roots = self._roots(self._spanning(roots).unionByName(self._slot_links(rooted, turn)))
+            rooted = self._rooted(rooted, roots)
+        last = self._small_pairs(self._rooted(self.heads.filter(~large), roots).unionByName(rooted))
         if work:
-            last = last.unionByName(self._tile_pairs(rooted.filter(large)))
-        return found.unionByName(self._alike(last.distinct()))
-
-    def _slot_pairs(self, rooted: DataFrame, turn: int, blocks: int = 4) -> DataFrame:
-        """Nodes of different groups that a round deals to one slot of a block; a node takes part in the least of its blocks by hash."""
-        each = rooted.select("node", "root", "n", F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key").alias("key"))
-        picked = each.groupBy("node", "root", "n").agg(F.slice(F.array_sort(F.collect_list("key")), 1, blocks).alias("keys"))  # a node has as many keys as its head
-        picked = picked.select("node", "root", "n", F.explode("keys.key").alias("key"))
+            last = last.unionByName(self._tile_pairs(rooted))
+        return self._spanning(roots).unionByName(self._alike(last.distinct()))
+
+    def _spanning(self, roots: DataFrame) -> DataFrame:
+        """One link ``a, b`` of each node to its root."""
+        return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    def _slot_links(self, rooted: DataFrame, turn: int) -> DataFrame:
+        """Links between groups that the nodes of one slot span; a node takes part in the least of its blocks by hash, which nodes of many common keys share."""
+        bound, similarity = self.bound, self.similarity
+        order = F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key")
+        picked = rooted.groupBy("node", "root").agg(F.min(order).getField("key").alias("key"))
         sizes = picked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / self.slot).alias("slots"))
-        dealt = self.tmp.keep(salted_join(picked, sizes, ["key"], "node").withColumn("slot_no", F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.col("slots"))).drop("slots"), "slots")
-        left, right = (dealt.select("key", "slot_no", F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("n").alias(f"{x}_n")) for x in "ab")
-        met = left.join(right, ["key", "slot_no"]).filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & self._sizes_allow())
-        return met.select("a", "b").distinct()
+        dealt = salted_join(picked, sizes, ["key"], "node").select("node", "root", "key", F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.col("slots")).alias("slot_no"))
+        dealt = self.tmp.keep(dealt, "slots")
+        met = dealt.join(sieve(self.sets, F.xxhash64("node"), dealt).select("node", "n", "shingles", "point"), "node")
+
+        def run(slot: pa.Table) -> pa.Table:
+            node, group, n = (slot.column(c).to_numpy().copy() for c in ("node", "root", "n"))
+            links = []
+            if len(np.unique(group)) > 1:
+                points = np.stack(slot.column("point").to_numpy(zero_copy_only=False))
+                sets = slot.column("shingles").to_numpy(zero_copy_only=False)
+                i, j = bound.tile(points, n, points, n)
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    if a >= b or group[a] == group[b] or min(n[a], n[b]) < similarity * max(n[a], n[b]) - 1e-9:
+                        continue
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if common >= similarity * (n[a] + n[b] - common) - 1e-9:
+                        links.append((node[a], node[b]))
+                        group[group == group[b]] = group[a]
+            return pa.table({x: pa.array([link[k] for link in links], pa.int64()) for k, x in enumerate("ab")})
+
+        found = self.tmp.keep(met.groupBy("key", "slot_no").applyInArrow(run, "a long, b long"), "found")
+        self.tmp.drop(dealt)
+        self.tmp.release()
+        return found
 
     def _sizes_allow(self) -> Column:
         return F.least("a_n", "b_n") >= F.lit(self.similarity) * F.greatest("a_n", "b_n") - 1e-9

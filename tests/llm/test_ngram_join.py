@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import set_join, simhash
+from loomspan.llm.common import Scratch, sieve, told_apart
+from loomspan.llm.components import components
 from loomspan.llm.ngram_join import CountVectors, jaccard_classes
 from tests.llm.test_operators import WORDS, edited, empty, frame, odd_rows, prose, similar_components
 
@@ -84,3 +86,26 @@ def test_candidates_of_a_family_grow_with_its_rows(spark, monkeypatch, join):
         if n == 120:
             assert got == similar_components(rows, 0.8)
     assert seen[1] < 6 * seen[0] and seen[1] < 480 * 480 / 12, seen
+
+
+def test_few_rows_pass_that_are_not_asked_for(spark):
+    df = spark.range(20000).withColumn("text", F.concat(F.lit("t"), "id"))
+    asked = spark.range(0, 20000, 50)
+    key = F.xxhash64("id")
+    kept = {r.id for r in sieve(df, key, asked).collect()}
+    assert kept >= set(range(0, 20000, 50)) and len(kept) < 500
+    full = {r.id for r in told_apart(df, key, asked, "maybe", bits=7).filter("maybe").collect()}  # more keys than places
+    assert full >= set(range(0, 20000, 50)) and len(full) > 10000
+    assert told_apart(df, key, asked.limit(0), "maybe").filter("maybe").count() == 0
+
+
+def test_stars_are_components_at_once(spark, monkeypatch):
+    written, plain = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(name) or plain(self, df, name))
+    with Scratch(spark, "test") as tmp:
+        stars = spark.createDataFrame([(1, 5), (7, 1), (1, 9), (3, 4)], "a long, b long")
+        found = {(r.node, r.root) for r in components(stars, "a", "b", tmp).collect()}
+        assert found == {(1, 1), (5, 1), (7, 1), (9, 1), (3, 3), (4, 3)} and len(written) == 1
+        chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (50, 61)], "a long, b long")
+        found = {(r.node, r.root) for r in components(chain, "a", "b", tmp).collect()}
+        assert found == {(i, 0) for i in range(41)} | {(i, 50) for i in (50, 60, 61)}
