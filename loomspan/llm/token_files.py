@@ -9,8 +9,10 @@ last sequence is padded. Beside each shard an index file has a row per document
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from functools import lru_cache
 from itertools import accumulate, islice
 
 import numpy as np
@@ -81,8 +83,6 @@ class WordTokenizer:
     """A tokenizers-library file applied to texts: each distinct chunk once where the file :func:`parts_surely`, else whole texts."""
 
     def __init__(self, path: str, most: int = 800_000):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,6 +119,17 @@ class WordTokenizer:
         return self.ids[take], np.concatenate([[0], ends])[np.cumsum([0, *map(len, each)])]
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str, changed_ns: int, size: int) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a file as it is now, kept with the chunks that it knows for the next tasks of this Python worker."""
+    at = os.stat(path)
+    return _loaded(path, at.st_mtime_ns, at.st_size)
+
+
 def _open_dir(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -193,7 +204,7 @@ def write_token_files(
     dealt = source.repartitionByRange(n, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), F.xxhash64("text"))
 
     def run(batches):
-        tokenizer, task = WordTokenizer(tokenizer_path), TaskContext.get()
+        tokenizer, task = shared_tokenizer(tokenizer_path), TaskContext.get()
         dtype = "uint16" if max(tokenizer.vocabulary, end_id + 1) <= 1 << 16 else "uint32"
         shard = task.partitionId()
         name = f"shard-{shard:06d}-{task.taskAttemptId()}"

@@ -6,6 +6,7 @@ import re
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -418,6 +419,20 @@ def test_token_files_round_trip(spark, seq_len, batch):
     assert len(whole) == start
 
 
+def test_a_worker_keeps_its_tokenizer_while_the_file_stays(tmp_path):
+    path = tmp_path / "words.json"
+    path.write_bytes(Path(P.path("word_bpe_49k.json")).read_bytes())
+    kept = token_files.shared_tokenizer(str(path))
+    first = [x.tolist() for x in kept(["one two", "two three"])]
+    known = kept.known
+    again = token_files.shared_tokenizer(str(path))
+    assert again is kept and [x.tolist() for x in again(["one two", "two three"])] == first and again.known == known
+    fresh = token_files.WordTokenizer(str(path))(["three four one", ""])
+    assert all((x == y).all() for x, y in zip(again(["three four one", ""]), fresh, strict=True))
+    path.write_bytes(path.read_bytes() + b"\n")
+    assert token_files.shared_tokenizer(str(path)) is not kept
+
+
 def test_token_files_empty(spark):
     out = fresh_dir(spark, "test-token-files")
     token_files.write_token_files(empty(spark), out, P.path("word_bpe_49k.json"))
