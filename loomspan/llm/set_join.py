@@ -7,8 +7,9 @@
    them; sets are made for the nodes that are left.
 2. Every node is compared with one hub. A block (the nodes of one key) names the node of which the largest share of keys is live, the
    least edited one; a node's hub is the one that most of its blocks name. This joins most families.
-3. While large blocks hold several groups, each of their nodes is dealt to a slot of some 32 nodes of one of its blocks by hash, those of one
-   slot meet with their sets, and the links found join groups before the next round. Every round is linear in the nodes.
+3. While large blocks hold several groups, each of their nodes is dealt to a slot of up to 512 nodes of one of its blocks by hash, those of one
+   slot meet with their sets, and the links found join groups before the next round. Every round is linear in the nodes. Groups go by
+   the names of hubs until then, and only names are joined.
 4. What is still apart meets for certain: in small blocks nodes of different groups that share enough keys, in large ones those outside
    the commonest group and all others, dealt to tiles of bounded size on both sides.
 
@@ -25,10 +26,10 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, salted_join, sieve, stored, text_slices, told_apart
+from loomspan.llm.common import Scratch, large, salted_join, sieve, stored, text_slices, told_apart
 from loomspan.llm.components import components
 from loomspan.llm.shingles import common_shingles, rare_first, shingle_hashes
 
@@ -52,23 +53,10 @@ class Bound(Protocol):
         """Places of the pairs that two tables of points allow."""
 
 
-def hot_keys(pairs: DataFrame, key: str, most: int = 1024) -> DataFrame:
-    """``key, salts`` for the keys of over ``most`` pairs."""
-    return pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts")).filter("salts > 1")
-
-
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
-    """Inner join on ``key``, unique in ``small``; rows of ``big`` with a ``hot`` key are dealt by hash of ``by``, so no task gets them all."""
-    salts = F.coalesce("salts", F.lit(1))
-    left = big.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
-    right = small.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return left.join(right, [key, "salt"]).drop("salt")
-
-
 class SetJoin:
     """The steps above over one table of texts; ``rows`` and ``nodes`` hold every row, ``links`` spans the groups of nodes."""
 
-    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 32, chunk: int = 512, first: Callable[[DataFrame, Scratch], DataFrame] | None = None):
+    def __init__(self, source: DataFrame, tmp: Scratch, bound: Bound, shingle: int, similarity: float, every: int = 32, most: int = 1 << 16, slot: int = 512, chunk: int = 512, first: Callable[[DataFrame, Scratch], DataFrame] | None = None):
         """``source``: ``id, h, text``, h a hash of the text. ``chunk``: the side of a tile; blocks of up to a sixteenth of it are small.
 
         ``first``: pairs ``a, b`` of nodes, of the table of sets, that are compared before all others.
@@ -105,20 +93,21 @@ class SetJoin:
         # Rows that no other row's set equals are nodes; the heads of these do not move.
         told = told_apart(full.filter("n > 0"), F.xxhash64("f1", "f2"), self.nodes.filter("times > 1"), "copied").select("rid", "n", "head", "copied")
         mine = told.filter("copied").join(self.nodes.select(F.col("node").alias("rid")), "rid", "left_semi").unionByName(told.filter("NOT copied"))
+        # All keys move once, their rows small, and a key's rows are counted where they lie; a hot key's rows may spill there.
         keyed = mine.select(F.col("rid").alias("node"), "n", F.posexplode("head").alias("pos", "key"))
-        early = F.col("pos") <= F.col("n") - F.ceil(2 * self.similarity / (1 + self.similarity) * F.col("n") - 1e-9) + F.floor(F.col("n") / MORE)
-        live = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("block"), F.min(~early).alias("late")).filter("block > 1 AND NOT late").select("key")
-        live = self.tmp.keep(live, "live")
-        self.tmp.release()
-        first = self.tmp.keep(keyed.join(live, "key"), "heads")
+        keyed = keyed.select("key", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+        n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+        early = pos <= n - F.ceil(2 * self.similarity / (1 + self.similarity) * n - 1e-9) + F.floor(n / MORE)
+        of_key, of_node = Window.partitionBy("key"), Window.partitionBy("node")
+        live = keyed.withColumns({"block": F.count(F.lit(1)).over(of_key), "late": F.min(~early).over(of_key)}).filter("block > 1 AND NOT late")
+        first = self.tmp.keep(live.select("key", "node", n.cast("int").alias("n"), pos.cast("int").alias("pos")), "live")
         self.tmp.release()
         # The least that a set of this size shares with another one.
         needed = 1 + F.floor(F.ceil(self.similarity * F.col("n") - 1e-9) / MORE)
-        rich = first.groupBy("node", "n").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") >= needed).select("node", "keys")
-        rich = self.tmp.keep(first.join(rich, "node"), "rich")
-        again = rich.groupBy("key").agg(F.count(F.lit(1)).alias("block")).filter("block > 1")
-        found = self.tmp.keep(rich.join(self.tmp.keep(again, "live"), "key"), "heads")
-        self.tmp.drop(first, rich)
+        rich = first.withColumn("keys", F.count(F.lit(1)).over(of_node)).filter(F.col("keys") >= needed)
+        found = self.tmp.keep(rich.withColumn("block", F.count(F.lit(1)).over(of_key)).filter("block > 1"), "heads")
+        self.tmp.drop(first)
+        self.tmp.release()
         return found
 
     def _sets(self) -> DataFrame:
@@ -157,31 +146,31 @@ class SetJoin:
         return self.bound.allows(F.col("a_point"), F.col("a_n"), F.col("b_point"), F.col("b_n"))
 
     def _hub_links(self) -> DataFrame:
-        """The nodes that are similar to their hubs; every set moves once, with the hub's number, and hubs' sets once more."""
-        a, b = (self.sets.filter(rows).select(F.col(node).alias(x), *more, *(F.col(c).alias(f"{x}_{c}") for c in ("n", "point", "shingles"))) for x, node, rows, more in (("a", "node", "node <> hub", [F.col("hub").alias("b")]), ("b", "node", "is_hub", [])))
-        hot = hot_keys(self.named.filter("node <> hub").select(F.col("hub").alias("b")), "b")
-        found = self.tmp.keep(spread_join(a, b, "b", "a", hot).filter(self._points_allow()).filter(self._sets_alike()).select("a", "b"), "found")
+        """The nodes that are similar to their hubs; points meet first, and only sets of pairs that they allow move."""
+        a, b = (self.sets.filter(rows).select(F.col(node).alias(x), *more, *(F.col(c).alias(f"{x}_{c}") for c in ("n", "point"))) for x, node, rows, more in (("a", "node", "node <> hub", [F.col("hub").alias("b")]), ("b", "node", "is_hub", [])))
+        return self._verified(a.join(large(b), "b").filter(self._sizes_allow()).filter(self._points_allow()).select("a", "b"))
+
+    def _with_sets(self, pairs: DataFrame, *cols: str) -> DataFrame:
+        """``pairs`` with these columns of both sets; where a hub has many partners, Spark's joins split its part."""
+        df = pairs
+        sets = sieve(self.sets.select("node", *cols), F.xxhash64("node"), pairs.select(F.explode(F.array("a", "b")).alias("node")))  # the others do not move
+        for x in "ab":
+            df = df.join(large(sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols))), x)
+        return df
+
+    def _verified(self, near: DataFrame) -> DataFrame:
+        """Those pairs ``a, b`` of nodes whose sets are similar enough."""
+        near = self.tmp.keep(near, "near")
+        found = self.tmp.keep(self._with_sets(near, "n", "shingles").filter(self._sets_alike()).select("a", "b"), "found")
+        self.tmp.drop(near)
         self.tmp.release()
         return found
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs ``a, b`` of nodes whose sets are similar enough."""
+        """:meth:`_verified` of the pairs whose points allow it."""
         pairs = self.tmp.keep(pairs, "pairs")
-        hot = [hot_keys(pairs, x) for x in "ab"]
-
-        def with_sets(df: DataFrame, *cols: str) -> DataFrame:
-            ends = df.select(F.explode(F.array("a", "b")).alias("node"))
-            sets = sieve(self.sets.select("node", *cols), F.xxhash64("node"), ends)  # the others do not move
-            for x, other, keys in zip("ab", "ba", hot, strict=True):
-                df = spread_join(df, sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols)), x, other, keys)
-            return df
-
-        near = with_sets(pairs, "n", "point").filter(self._points_allow()).select("a", "b")
-        near = self.tmp.keep(near, "near")
-        met = with_sets(near, "n", "shingles")
-        found = self.tmp.keep(met.filter(self._sets_alike()).select("a", "b"), "found")
-        self.tmp.drop(pairs, near)
-        self.tmp.release()
+        found = self._verified(self._with_sets(pairs, "n", "point").filter(self._points_allow()).select("a", "b"))
+        self.tmp.drop(pairs)
         return found
 
     def _roots(self, links: DataFrame) -> DataFrame:
@@ -198,26 +187,34 @@ class SetJoin:
         return self.tmp.keep(rooted.join(self.tmp.keep(apart, "apart"), "key"), "rooted")
 
     def _links(self) -> DataFrame:
-        found = self._hub_links()
+        links = self._hub_links()
+        # Hubs name most groups without components; only where a hub has a hub itself are two names those of one group.
+        roots, open_names = links.select(F.col("a").alias("node"), F.col("b").alias("root")), links.join(large(links.select(F.col("b").alias("a")).distinct()), "a", "left_semi")
         if self.first is not None:
-            found = self._alike(self.first(self.sets, self.tmp)).unionByName(found)
-        roots = self._roots(found)
+            roots = self._roots(self._alike(self.first(self.sets, self.tmp)).unionByName(links))
+            links, open_names = self._spanning(roots), links.limit(0)
         # Rounds look at large blocks only, and at those only that still hold several groups.
-        large, turn, before = F.col("block") > self.small, 0, None
-        rooted = self._rooted(self.heads.filter(large), roots)
+        in_large, turn, before = F.col("block") > self.small, 0, None
+        rooted = self._rooted(self.heads.filter(in_large), roots)
         while True:
             # What the last step would compare in large blocks, against what a round costs, and how many groups are still apart there.
             counts = F.coalesce(F.sum(F.when(F.col("root") != F.col("major"), F.col("block"))), F.lit(0)), F.count(F.lit(1)), F.count_distinct("root")
             work, held, groups = rooted.agg(*counts).first()
-            if work <= self.chunk * held / 8 or (before is not None and groups > 0.9 * before):
+            if work <= self.chunk * held or (before is not None and groups > 0.9 * before):
                 break
             before, turn = groups, turn + 1
-            roots = self._roots(self._spanning(roots).unionByName(self._slot_links(rooted, turn)))
+            roots = self._renamed(roots, self._roots(open_names.unionByName(self._slot_links(rooted, turn))))
+            links, open_names = self._spanning(roots), links.limit(0)
             rooted = self._rooted(rooted, roots)
-        last = self._small_pairs(self._rooted(self.heads.filter(~large), roots).unionByName(rooted))
+        last = self._small_pairs(self.heads.filter(~in_large), roots, rooted)
         if work:
             last = last.unionByName(self._tile_pairs(rooted))
-        return self._spanning(roots).unionByName(self._alike(last.distinct()))
+        return links.unionByName(self._alike(last.distinct()))
+
+    def _renamed(self, roots: DataFrame, names: DataFrame) -> DataFrame:
+        """``roots`` after their names, themselves nodes, were joined to groups (``node, root`` of ``names``)."""
+        told = roots.join(large(names.select(F.col("node").alias("root"), F.col("root").alias("new"))), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        return self.tmp.keep(told.unionByName(names).groupBy("node").agg(F.min("root").alias("root")), "renamed")
 
     def _spanning(self, roots: DataFrame) -> DataFrame:
         """One link ``a, b`` of each node to its root."""
@@ -227,26 +224,34 @@ class SetJoin:
         """Links between groups that the nodes of one slot span; a node takes part in the least of its blocks by hash, which nodes of many common keys share."""
         bound, similarity = self.bound, self.similarity
         order = F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key")
-        picked = rooted.groupBy("node", "root").agg(F.min(order).getField("key").alias("key"))
-        sizes = picked.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / self.slot).alias("slots"))
+        picked = rooted.groupBy("node", "root", "n").agg(F.min(order).getField("key").alias("key"))
+        sizes = picked.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / self.slot, F.sum("n") / (self.slot << 12))).alias("slots"))
         dealt = salted_join(picked, sizes, ["key"], "node").select("node", "root", "key", F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.col("slots")).alias("slot_no"))
         dealt = self.tmp.keep(dealt, "slots")
-        met = dealt.join(sieve(self.sets, F.xxhash64("node"), dealt).select("node", "n", "shingles", "point"), "node")
+        met = dealt.join(large(sieve(self.sets, F.xxhash64("node"), dealt).select("node", "n", "shingles", "point")), "node")
 
         def run(slot: pa.Table) -> pa.Table:
-            node, group, n = (slot.column(c).to_numpy().copy() for c in ("node", "root", "n"))
-            links = []
-            if len(np.unique(group)) > 1:
+            group, n = (slot.column(c).to_numpy().copy() for c in ("root", "n"))
+            names, at = np.unique(group, return_index=True)
+            if len(names) > 1:
                 points = np.stack(slot.column("point").to_numpy(zero_copy_only=False))
                 sets = slot.column("shingles").to_numpy(zero_copy_only=False)
                 i, j = bound.tile(points, n, points, n)
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    if a >= b or group[a] == group[b] or min(n[a], n[b]) < similarity * max(n[a], n[b]) - 1e-9:
-                        continue
-                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if common >= similarity * (n[a] + n[b] - common) - 1e-9:
-                        links.append((node[a], node[b]))
-                        group[group == group[b]] = group[a]
+                fits = (i < j) & (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = i[fits], j[fits]
+                shingles, places = np.unique(np.concatenate(sets), return_inverse=True)
+                places, has = np.split(places, np.cumsum(n)[:-1]), np.zeros(len(shingles), bool)
+                for a in np.unique(i):
+                    has[places[a]] = True
+                    for b in j[i == a]:
+                        if group[a] == group[b]:
+                            continue
+                        common = np.count_nonzero(has[places[b]])
+                        if common >= similarity * (n[a] + n[b] - common) - 1e-9:
+                            group[group == group[b]] = group[a]
+                    has[places[a]] = False
+            first = dict(zip(group[at][::-1].tolist(), names[::-1].tolist(), strict=True))  # the least name of each group
+            links = [(x, first[g]) for x, g in zip(names.tolist(), group[at].tolist(), strict=True) if x != first[g]]
             return pa.table({x: pa.array([link[k] for link in links], pa.int64()) for k, x in enumerate("ab")})
 
         found = self.tmp.keep(met.groupBy("key", "slot_no").applyInArrow(run, "a long, b long"), "found")
@@ -257,10 +262,11 @@ class SetJoin:
     def _sizes_allow(self) -> Column:
         return F.least("a_n", "b_n") >= F.lit(self.similarity) * F.greatest("a_n", "b_n") - 1e-9
 
-    def _small_pairs(self, rooted: DataFrame) -> DataFrame:
-        """Nodes of different groups that share as many keys as they must, less those that may be keys of large blocks."""
-        large = rooted.groupBy("node").agg(F.count_if(F.col("block") > self.small).alias("large"))
-        small = rooted.filter(F.col("block") <= self.small).join(large, "node")
+    def _small_pairs(self, heads: DataFrame, roots: DataFrame, rooted: DataFrame) -> DataFrame:
+        """In small blocks, nodes of different groups that share as many keys as they must, less those that may be keys of large blocks (``rooted``)."""
+        many = rooted.groupBy("node").agg(F.count(F.lit(1)).alias("large"))
+        told = heads.select("key", "node", "n", "pos").join(large(roots), "node", "left").join(large(many), "node", "left")
+        small = self.tmp.keep(told.withColumns({"root": F.coalesce("root", "node"), "large": F.coalesce("large", F.lit(0))}), "small")
         left, right = (small.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "pos", "large")), F.col("node").alias(x)) for x in "ab")
         met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & self._sizes_allow())
         needed = 1 + F.floor(F.least("a_n", "b_n") / MORE)

@@ -99,6 +99,19 @@ def test_few_rows_pass_that_are_not_asked_for(spark):
     assert told_apart(df, key, asked.limit(0), "maybe").filter("maybe").count() == 0
 
 
+def test_keys_move_once_and_sets_after_points(spark, monkeypatch):
+    """Texts that are windows over one text, each like the next few only, in blocks of 50."""
+    written, plain = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(name) or plain(self, df, name))
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 200]), None, None, None) for k in range(200)] + [(500, " ".join(words[:90]), None, None, None)]
+    got = {r.id: r.component_id for r in jaccard_classes(frame(spark, rows), chunk=8).collect()}
+    assert got == {k: 0 for k in range(200)} | {500: 500}
+    # The first keep of live keys is of the rows that have them, and none joins all keys again; sets of a pair move after its points.
+    assert written.index("live") < written.index("heads") < written.index("near") < written.index("found")
+    assert "rich" not in written and written.count("live") == 1
+
+
 def test_stars_are_components_at_once(spark, monkeypatch):
     written, plain = [], Scratch.keep
     monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(name) or plain(self, df, name))
